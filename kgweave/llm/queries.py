@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from kgweave.llm import decontaminate, licenses, mixing, secrets, url_rules, warc
+from kgweave.llm import decontaminate, licenses, mixing, quality, secrets, tokens, url_rules, warc
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
+    "op2_token_counts": tokens.op2_token_counts,
     "op4_warc": warc.op4_warc,
     "op6_url_rules": url_rules.op6_url_rules,
     "op7_mixture": mixing.op7_mixture,
