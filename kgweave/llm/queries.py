@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from kgweave.llm import decontaminate, licenses, mixing, quality, secrets, tokens, url_rules, warc
+from kgweave.llm import decontaminate, licenses, mixing, ngram_join, quality, secrets, tokens, url_rules, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_token_counts": tokens.op2_token_counts,
     "op4_warc": warc.op4_warc,
+    "op5_ngram_join": ngram_join.op5_ngram_join,
     "op6_url_rules": url_rules.op6_url_rules,
     "op7_mixture": mixing.op7_mixture,
     "op8_secrets": secrets.op8_secrets,
@@ -15,6 +16,7 @@ QUERIES = {
     "op10_licenses": licenses.op10_licenses,
 }
 ORACLES = {
+    "op5_ngram_join": ngram_join.OP5_SQL,
     "op6_url_rules": url_rules.OP6_SQL,
     "op7_mixture": mixing.OP7_SQL,
     "op9_contamination": decontaminate.OP9_SQL,
