@@ -64,12 +64,12 @@ def candidates(index: DataFrame, rare: DataFrame) -> DataFrame:
 
 
 def phrase_matches(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, matches (array of start, len, items of exact windows by start), and ``keep`` columns.
+    """Per row of ``docs``: doc_id, n_words, matches (array of start, len, items of exact windows by start), and ``keep`` expressions.
 
     A null text, or one without words, has no matches; repeated rows each get theirs; a null doc_id matches like any.
     Windows are a table of the benchmark's size. Terms are broadcast up to BROADCAST_ROWS, beyond that shuffled.
     """
-    source = docs.select(*doc_key(doc_id, text), F.col(doc_id).alias("doc_id"), F.col(text).alias("_t"), *keep)
+    source = docs.select(*doc_key(doc_id, text), F.col(doc_id).alias("doc_id"), F.col(text).alias("_t"), *[F.expr(e) for e in keep])
     wins = cut(windows(items, size=size), "windows")
     n_wins = wins.count()
     vocabulary = cut(wins.select(F.explode("terms").alias("term")).distinct(), "terms")
@@ -82,7 +82,7 @@ def phrase_matches(docs: DataFrame, items: DataFrame, text: str = "text", doc_id
     rows = per.count()
     joined = source.join(small(per, rows, 20_000), ["_k1", "_k2"], "left").withColumn("w", words(F.col("_t")))
     exact = F.filter(F.coalesce("cands", F.expr("CAST(array() AS array<struct<start:int,len:int,terms:array<string>,items:array<bigint>>>)")), lambda c: F.slice("w", c["start"] + 1, c["len"]) == c["terms"])
-    return joined.select("doc_id", F.size("w").cast("long").alias("n_words"), F.transform(exact, lambda c: F.struct(c["start"].alias("start"), c["len"].alias("len"), c["items"].alias("items"))).alias("matches"), "_t", *keep)
+    return joined.select("doc_id", F.size("w").cast("long").alias("n_words"), F.transform(exact, lambda c: F.struct(c["start"].alias("start"), c["len"].alias("len"), c["items"].alias("items"))).alias("matches"), *source.columns[4:])
 
 
 def covered(matches: Column) -> Column:

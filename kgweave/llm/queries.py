@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from kgweave.llm import decontaminate, licenses, mixing, ngram_join, quality, secrets, tokens, url_rules, warc
+from kgweave.llm import decontaminate, hnsw, licenses, mixing, ngram_join, quality, secrets, tokens, url_rules, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_token_counts": tokens.op2_token_counts,
+    "op3_neighbours": hnsw.op3_neighbours,
     "op4_warc": warc.op4_warc,
     "op5_ngram_join": ngram_join.op5_ngram_join,
     "op6_url_rules": url_rules.op6_url_rules,
