@@ -28,6 +28,8 @@ REGIMES = ((1, 10.0), (101, 5.0), (401, 2.5))
 TASK_TOKENS, TASK_DOCS, LEAST_RANGES = 1_500_000, 2_000_000, 64
 #: Tokens that a task holds before it hands them on.
 HELD = 2_000_000
+#: Holders of a signature from which on its undecided pairs are compared in blocks, sets of a block, and tokens compared at once.
+MANY, BLOCK, COLUMNS = 64, 512, 4096
 
 
 class Threshold:
@@ -262,12 +264,63 @@ def verified(pairs: DataFrame, sets: DataFrame, th: Threshold) -> DataFrame:
     return two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def compare(t: pa.Table, th: Threshold) -> pa.Table:
+    """Links between two blocks (or within one) of sets that join what is still apart; rid, comp, i, j, block, tokens."""
+    rids, block = t.column("rid").to_numpy(), t.column("block").to_numpy()
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("tokens")]
+    n = np.array([len(s) for s in sets])
+    rows = np.repeat(np.arange(len(sets)), n)
+    _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[token] > 1
+    rows, token = rows[shared], np.unique(token[shared], return_inverse=True)[1] if shared.any() else token[shared]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    by = np.argsort(token, kind="stable")
+    rows, token = rows[by], token[by]
+    for lo in range(0, int(token[-1]) + 1 if len(token) else 0, COLUMNS):
+        a, b = np.searchsorted(token, (lo, lo + COLUMNS))
+        m = np.zeros((len(sets), COLUMNS), np.float32)
+        m[rows[a:b], token[a:b] - lo] = 1
+        common += m @ m.T
+    both = common.astype(np.int64)
+    near = 100 * both >= th.percent * (n[:, None] + n[None, :] - both)
+    if t.column("i")[0].as_py() != t.column("j")[0].as_py():
+        near &= block[:, None] != block[None, :]
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(y, y)
+        return x
+
+    comp = t.column("comp").to_pylist()
+    out: list[tuple[int, int]] = []
+    for x, y in np.argwhere(np.triu(near, 1)).tolist():
+        u, v = top(comp[x]), top(comp[y])
+        if u != v:
+            parent[max(u, v)] = min(u, v)
+            out.append((int(min(rids[x], rids[y])), int(max(rids[x], rids[y]))))
+    return pa.table([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
+def compared(mixed: DataFrame, sets: DataFrame, th: Threshold) -> DataFrame:
+    """Links among sets that share a signature many hold: such sets form clusters, cut into blocks by hash, and each two
+    blocks are compared as matrices. mixed: sig, rid, comp. No pair is a row; only links that join components are."""
+    middle = mixed.groupBy("sig").agg(F.min("rid").alias("a"))
+    clusters = components(mixed.join(middle, "sig").select("a", F.col("rid").alias("b")))
+    members = clusters.select(F.col("node").alias("rid"), F.col("comp").alias("cluster")).join(mixed.groupBy("rid").agg(F.first("comp").alias("comp")), "rid")
+    members = cut(members, "members")
+    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")).join(sets, "rid")
+    sent = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "rid", "comp", "tokens")
+    return sent.groupBy("cluster", "i", "j").applyInArrow(lambda t: compare(t, th), "a long, b long")
+
+
 def jaccard_components(df: DataFrame, k: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, n, rid, component_id) and verified links between sets (a, b: rid).
 
     Sets of k-word shingles of whole texts link where 100 * intersection >= percent * union. Equal sets are one class
     from the start. Each signature's smallest set is verified against the others that hold it; only sets that this
-    leaves in different components are then verified pair by pair, so components are those of all links.
+    leaves in different components are then compared with each other, so components are those of all links.
     component_id is the smallest doc_id reachable. A null or empty text has the empty set and links with nothing; a
     document without doc_id keeps its row with component_id null; repeated rows each keep theirs.
     """
@@ -292,11 +345,16 @@ def jaccard_components(df: DataFrame, k: int = 5, percent: int = 80, text: str =
     links = cut(verified(star, sets, th), "links")
     comp = cut(components(links), "components")
     where = sigs.join(comp.withColumnRenamed("node", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
-    where = cut(where.join(where.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig"), "sig", "left_semi"), "mixed")
-    x, y = (where.select("sig", *[F.col(c).alias(f"{c}{i}") for c in ("rid", "n", "comp")]) for i in (1, 2))
+    apart = where.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("sig", "m")
+    where = cut(where.join(apart, "sig"), "mixed")
+    few, many = where.where(F.col("m") <= MANY), where.where(F.col("m") > MANY)
+    x, y = (few.select("sig", *[F.col(c).alias(f"{c}{i}") for c in ("rid", "n", "comp")]) for i in (1, 2))
     rest = x.join(y, "sig").where("comp1 < comp2").where(fits(F.col("n1"), F.col("n2")))
     rest = rest.select(F.least("rid1", "rid2").alias("a"), F.greatest("rid1", "rid2").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = cut(verified(rest, sets, th), "more")
+    more = verified(rest, sets, th)
+    if not many.isEmpty():
+        more = more.union(compared(many, sets, th))
+    more = cut(more, "more")
     if not more.isEmpty():
         links = links.union(more)
         comp = cut(components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more)), "components")
