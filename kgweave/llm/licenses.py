@@ -31,7 +31,8 @@ class Signature:
     confidence: float
 
     def compiled(self) -> re.Pattern[bytes]:
-        return re.compile(rb"(?<!" + WORD + rb")" + self.pattern.encode().replace(b" ", GAP) + rb"(?!" + WORD + rb")")
+        pattern = self.pattern.encode().replace(b" ?", b"\1").replace(b" ", GAP).replace(b"\1", b"(?:" + GAP + b")?")
+        return re.compile(rb"(?<!" + WORD + rb")" + pattern + rb"(?!" + WORD + rb")")
 
 
 def signatures() -> tuple[Signature, ...]:
