@@ -18,23 +18,25 @@ def limit_batch(hits: DataFrame, key: str, ts: str, seconds: int = WINDOW_S, mos
     return hits.withColumn("n_window", F.count("*").over(w)).withColumn("rejected", F.col("n_window") > most)
 
 
-def limit_stream(hits: DataFrame, key: str, ts: str, seconds: int = WINDOW_S, most: int = MOST) -> DataFrame:
-    """The same over a stream (key, ts): state is a key's hit times of the last window, dropped when it has passed."""
+def limit_stream(hits: DataFrame, key: str, ts: str, seconds: int = WINDOW_S, most: int = MOST, late: str = "10 minutes") -> DataFrame:
+    """The same over a stream (key, ts): state is a key's hit times of the last window, dropped when the watermark has
+    passed it. Hits later than ``late`` are dropped; hits of one key count in order of time within a micro-batch. Of hits
+    at the same instant, each counts those before it only."""
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
         if state.hasTimedOut:
             state.remove()
             return
         times = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(ts)
+        rows = pd.concat(list(batches)).sort_values("_us")
         out = []
-        for t in rows[ts]:
-            now = int(pd.Timestamp(t).value // 1000)
+        for t, now in zip(rows[ts], rows["_us"].tolist(), strict=True):
             times = [x for x in times if now - x < seconds * 1_000_000] + [now]
             out.append((k[0], t, len(times), len(times) > most))
         state.update((times,))
-        state.setTimeoutDuration(seconds * 1000)
+        state.setTimeoutTimestamp(max(max(times) // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[key, ts, "n_window", "rejected"])
 
     kind, when = hits.schema[key].dataType.simpleString(), hits.schema[ts].dataType.simpleString()
-    return hits.select(key, ts).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {ts} {when}, n_window long, rejected boolean", "times array<long>", "append", "ProcessingTimeTimeout")
+    timed = hits.withWatermark(ts, late).select(key, ts, F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"))
+    return timed.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {ts} {when}, n_window long, rejected boolean", "times array<long>", "append", "EventTimeTimeout")
