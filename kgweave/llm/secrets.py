@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -97,7 +99,13 @@ def secret_report(df: DataFrame, text: str = "text", doc_id: str = "doc_id", own
 
 
 def redact(df: DataFrame, text: str = "text", doc_id: str = "doc_id", owner: str = "source", min_owners: int = MIN_OWNERS, mark: str = "[secret]") -> DataFrame:
-    """``df`` with each live span of ``text`` replaced by ``mark``; overlapping live spans become one mark. Columns as in ``df``."""
+    """``df`` with each live span of ``text`` replaced by ``mark``; overlapping live spans become one mark. Columns as in ``df``.
+
+    Only texts that a gate finds candidates in are moved; all others, null and empty ones among them, pass as they are.
+    """
+    gates = functools.reduce(operator.or_, [F.regexp_like(F.col(text), F.lit(k.gate)) for k in (*KINDS, GENERIC)])
+    may = F.coalesce(gates, F.lit(False))
+    rest, df = df.where(~may), df.where(may)
     live = secret_report(df, text, doc_id, owner, min_owners).select("_k1", "_k2", F.filter("found", lambda s: s["live"]).alias("_live")).where(F.size("_live") > 0).dropDuplicates(["_k1", "_k2"])
     joined = df.withColumns(dict(zip(("_k1", "_k2"), doc_key(doc_id, text), strict=True))).join(live, ["_k1", "_k2"], "left")
     t = F.col(text)
@@ -110,7 +118,7 @@ def redact(df: DataFrame, text: str = "text", doc_id: str = "doc_id", owner: str
         ),
         lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))),
     )
-    return joined.withColumn(text, F.when(F.col("_live").isNull(), t).otherwise(built)).select(*df.columns)
+    return joined.withColumn(text, F.when(F.col("_live").isNull(), t).otherwise(built)).select(*df.columns).union(rest)
 
 
 def _joined(spans: Column) -> Column:
