@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgweave.llm.base import cut, small, table
+from kgweave.llm.base import cut, give_back, lean, small, table
 from kgweave.llm.components import components
 from kgweave.llm.shingles import Hasher, U, mix, set_id
 
@@ -71,7 +71,7 @@ def stats(docs: DataFrame, k: int, th: Threshold) -> DataFrame:
                     n[row], rid[row], used[row] = len(s), set_id(s), [len(th.used(s, r)) for r in range(len(th.regimes))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(rid, pa.int64()), pa.array(used, pa.list_(pa.int64()))], ["doc_id", "n", "rid", "used"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, rid long, used array<long>")
+    return docs.mapInArrow(lean(run), "doc_id long, n long, rid long, used array<long>")
 
 
 def token_pieces(docs: DataFrame, k: int, th: Threshold, ranges: list[int], salts: int) -> DataFrame:
@@ -117,7 +117,7 @@ def token_pieces(docs: DataFrame, k: int, th: Threshold, ranges: list[int], salt
                     size = 0
         yield from flush()
 
-    return docs.mapInArrow(run, "part int, salt int, tokens binary, rids binary")
+    return docs.mapInArrow(lean(run), "part int, salt int, tokens binary, rids binary")
 
 
 def _pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +146,9 @@ def shared_tokens(pieces: DataFrame, salts: int) -> DataFrame:
         def whole(t: pa.Table) -> pa.Table:
             tokens, rids = _pairs(t)
             _, inverse, n = np.unique(tokens, return_inverse=True, return_counts=True)
-            return rows(t.column("part")[0].as_py(), tokens, rids, n[inverse])
+            out = rows(t.column("part")[0].as_py(), tokens, rids, n[inverse])
+            give_back()
+            return out
 
         return pieces.groupBy("part").applyInArrow(whole, schema)
 
@@ -227,7 +229,7 @@ def signatures(shared: DataFrame, classes: DataFrame, th: Threshold) -> DataFram
                 size += [n] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (sig, rid, size)], ["sig", "rid", "n"])
 
-    return per.mapInArrow(run, "sig long, rid long, n long")
+    return per.mapInArrow(lean(run), "sig long, rid long, n long")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, wanted_rows: int, k: int) -> DataFrame:
@@ -242,7 +244,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, wanted_rows: int, k: int) ->
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 500], strict=True), (pa.int64(), pa.binary()), strict=True)], ["rid", "tokens"])
 
     joined = docs.join(small(wanted.select(F.col("rep").alias("doc_id"), "rid"), wanted_rows), "doc_id").select("doc_id", "text", "rid")
-    return joined.mapInArrow(run, "rid long, tokens binary")
+    return joined.mapInArrow(lean(run), "rid long, tokens binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, th: Threshold) -> DataFrame:
@@ -261,7 +263,7 @@ def verified(pairs: DataFrame, sets: DataFrame, th: Threshold) -> DataFrame:
 
     one = pairs.join(sets.select(F.col("rid").alias("b"), F.col("tokens").alias("y")), "b")
     two = one.join(sets.select(F.col("rid").alias("a"), F.col("tokens").alias("x")), "a")
-    return two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return two.select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long")
 
 
 def compare(t: pa.Table, th: Threshold) -> pa.Table:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kgweave.llm.base import cut, new_folder, small, table
+from kgweave.llm.base import cut, lean, new_folder, small, table
 
 ORDER = 5
 #: n-grams of one model shard.
@@ -88,7 +88,7 @@ def count_grams(df: DataFrame, text: str, order: int) -> DataFrame:
             for i in range(0, len(k), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(k[i : i + 100_000]), pa.array(n[i : i + 100_000])], ["key", "n"])
 
-    return df.select(text).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return df.select(text).mapInArrow(lean(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -246,14 +246,17 @@ def scored(df: DataFrame, uri: str, shards: int, text: str = "text", order: int
         return total
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(column)
-            n = np.array([len(t.as_buffer()) if t.is_valid else 0 for t in texts], np.int64)
-            group = np.cumsum(n) // CHUNK
-            loss = np.concatenate([losses(texts.slice(int(i[0]), len(i))) for i in np.split(np.arange(len(n)), np.flatnonzero(np.diff(group)) + 1)]) if len(n) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n), pa.array(loss)], [f.name for f in schema.fields])
-
-    return df.mapInArrow(run, schema)
+        try:
+            for b in batches:
+                texts = b.column(column)
+                n = np.array([len(t.as_buffer()) if t.is_valid else 0 for t in texts], np.int64)
+                group = np.cumsum(n) // CHUNK
+                loss = np.concatenate([losses(texts.slice(int(i[0]), len(i))) for i in np.split(np.arange(len(n)), np.flatnonzero(np.diff(group)) + 1)]) if len(n) else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n), pa.array(loss)], [f.name for f in schema.fields])
+        finally:
+            load.cache_clear()  # the worker outlives the task
+
+    return df.mapInArrow(lean(run), schema)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
