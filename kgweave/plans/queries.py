@@ -357,7 +357,7 @@ ANSWERS = "SELECT l_orderkey * 10 + l_linenumber AS question_id, CASE WHEN l_lin
 KNOWN = "SELECT lpad(CAST(o_orderkey AS VARCHAR(20)), 7, '0') AS pmid FROM {orders} WHERE o_orderstatus = 'F'"
 
 
-@query("grade_pmids", f"WITH a AS ({plain(ANSWERS)}), k AS ({plain(KNOWN)}), c AS (SELECT question_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '(?i)PMID[s:]*\\s*\\d{{6,9}}\\b|pubmed/\\d{{6,9}}\\b'), lambda m: regexp_extract(m, '\\d{{6,9}}')))) AS pmid FROM a), g AS (SELECT question_id, count(*) AS cited, count(k.pmid) AS found FROM c LEFT JOIN k USING (pmid) GROUP BY ALL) SELECT a.question_id, coalesce(cited, 0) AS cited, coalesce(found, 0) AS found, found / cited AS exists_rate FROM (SELECT DISTINCT question_id FROM a) LEFT JOIN g USING (question_id)")
+@query("grade_pmids", f"WITH a AS ({plain(ANSWERS)}), k AS ({plain(KNOWN)}), c AS (SELECT question_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '(?i)PMID[s:]*\\s*\\d{{6,9}}\\b|pubmed/\\d{{6,9}}\\b'), lambda m: regexp_extract(m, '\\d{{6,9}}')))) AS pmid FROM a), g AS (SELECT question_id, count(*) AS cited, count(k.pmid) AS found FROM c LEFT JOIN k USING (pmid) GROUP BY ALL) SELECT a.question_id, coalesce(cited, 0) AS cited, coalesce(found, 0) AS found, found / cited AS exists_rate FROM (SELECT DISTINCT question_id FROM a) AS a LEFT JOIN g USING (question_id)")
 def grade_pmids(s: SparkSession, d: str) -> DataFrame:
     return E.citation_rates(bound(s, d, ANSWERS), bound(s, d, KNOWN))
 
