@@ -266,9 +266,9 @@ def verified(pairs: DataFrame, sets: DataFrame, th: Threshold) -> DataFrame:
     return two.select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long")
 
 
-def compare(t: pa.Table, th: Threshold) -> pa.Table:
-    """Links between two blocks (or within one) of sets that join what is still apart; rid, comp, i, j, block, tokens."""
-    rids, block = t.column("rid").to_numpy(), t.column("block").to_numpy()
+def similar(t: pa.Table, th: Threshold) -> np.ndarray:
+    """Which sets of two blocks (or of one) are similar enough, as a matrix; i, j, block, tokens. Sets of one of two blocks are not compared."""
+    block = t.column("block").to_numpy()
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("tokens")]
     n = np.array([len(s) for s in sets])
     rows = np.repeat(np.arange(len(sets)), n)
@@ -287,6 +287,13 @@ def compare(t: pa.Table, th: Threshold) -> pa.Table:
     near = 100 * both >= th.percent * (n[:, None] + n[None, :] - both)
     if t.column("i")[0].as_py() != t.column("j")[0].as_py():
         near &= block[:, None] != block[None, :]
+    np.fill_diagonal(near, False)
+    return near
+
+
+def compare(t: pa.Table, th: Threshold) -> pa.Table:
+    """Links between two blocks (or within one) of sets that join what is still apart; rid, comp, i, j, block, tokens."""
+    rids, near = t.column("rid").to_numpy(), similar(t, th)
     parent: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -317,12 +324,69 @@ def compared(mixed: DataFrame, sets: DataFrame, th: Threshold) -> DataFrame:
     return sent.groupBy("cluster", "i", "j").applyInArrow(lambda t: compare(t, th), "a long, b long")
 
 
+def side_by_side(comp: DataFrame, docs: DataFrame, sets: DataFrame, most: int) -> DataFrame:
+    """The members of each component (node, comp) cut into blocks, and each two blocks together: kind, cluster, i, j, block,
+    rid, docs, tokens. Components of one block are packed together. Links are within components, so nothing else can link."""
+    members = comp.withColumnRenamed("node", "rid").join(docs, "rid")
+    sizes = members.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    alone = F.col("blocks") == 1
+    bins = F.lit(max(1, math.ceil(2 * most / BLOCK)))
+    dealt = dealt.withColumn("kind", alone.cast("int")).withColumn("cluster", F.when(alone, F.pmod(F.xxhash64("comp"), bins)).otherwise(F.col("comp"))).join(sets, "rid")
+    each = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return each.select("kind", "cluster", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "rid", "docs", "tokens")
+
+
+def all_links(blocks: DataFrame, th: Threshold) -> DataFrame:
+    """Every link between two different sets, once: a, b (rid, a < b)."""
+
+    def run(t: pa.Table) -> pa.Table:
+        rids = t.column("rid").to_numpy()
+        x, y = np.nonzero(np.triu(similar(t, th)))
+        out = pa.table([pa.array(f(rids[x], rids[y])) for f in (np.minimum, np.maximum)], names=["a", "b"])
+        give_back()
+        return out
+
+    return blocks.groupBy("kind", "cluster", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def link_counts(blocks: DataFrame, th: Threshold) -> DataFrame:
+    """rid, others: documents of all different sets that a set links with. Counted within the blocks, so no link is a row."""
+
+    def run(t: pa.Table) -> pa.Table:
+        others = similar(t, th) @ t.column("docs").to_numpy()
+        out = pa.table([t.column("rid").combine_chunks(), pa.array(others.astype(np.int64))], names=["rid", "others"])
+        give_back()
+        return out
+
+    return blocks.groupBy("kind", "cluster", "i", "j").applyInArrow(run, "rid long, others long").groupBy("rid").agg(F.sum("others").alias("others"))
+
+
 def jaccard_components(df: DataFrame, k: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, n, rid, component_id) and verified links between sets (a, b: rid).
+    """Documents (doc_id, n, rid, component_id) and all verified links between different sets (a, b: rid, a < b), made when
+    they are read. Documents of one rid have equal sets and link with each other too.
+    """
+    out, blocks, th, _ = joined_sets(df, k, percent, text, doc_id)
+    return out, all_links(blocks, th)
+
+
+def jaccard_links(df: DataFrame, k: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Documents (doc_id, n, rid, component_id, n_links: other documents that it links with; null without doc_id).
+
+    Rows of one doc_id count once for each set they have.
+    """
+    out, blocks, th, docs = joined_sets(df, k, percent, text, doc_id)
+    counts = docs.join(link_counts(blocks, th), "rid", "left").select("rid", (F.col("docs") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return out.join(counts, "rid", "left").withColumn("n_links", F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))))
+
+
+def joined_sets(df: DataFrame, k: int, percent: int, text: str, doc_id: str) -> tuple[DataFrame, DataFrame, Threshold, DataFrame]:
+    """Documents (doc_id, n, rid, component_id), the members of components side by side, and rid, docs (documents of a set).
 
     Sets of k-word shingles of whole texts link where 100 * intersection >= percent * union. Equal sets are one class
     from the start. Each signature's smallest set is verified against the others that hold it; only sets that this
-    leaves in different components are then compared with each other, so components are those of all links.
+    leaves in different components are then compared with each other, so components are those of all links. The links
+    themselves come from comparing all members of each component afterwards.
     component_id is the smallest doc_id reachable. A null or empty text has the empty set and links with nothing; a
     document without doc_id keeps its row with component_id null; repeated rows each keep theirs.
     """
@@ -343,7 +407,8 @@ def jaccard_components(df: DataFrame, k: int = 5, percent: int = 80, text: str =
     # sets that any pair may need: those of signatures that two sets hold
     held = sigs.join(first.select("sig"), "sig", "left_semi").select("rid").distinct()
     wanted = cut(classes.join(held, "rid", "left_semi").select("rid", "rep"), "wanted")
-    sets = cut(whole_sets(docs, wanted, wanted.count(), k), "sets")
+    wanted_rows = wanted.count()
+    sets = cut(whole_sets(docs, wanted, wanted_rows, k), "sets")
     links = cut(verified(star, sets, th), "links")
     comp = cut(components(links), "components")
     where = sigs.join(comp.withColumnRenamed("node", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
@@ -358,13 +423,13 @@ def jaccard_components(df: DataFrame, k: int = 5, percent: int = 80, text: str =
         more = more.union(compared(many, sets, th))
     more = cut(more, "more")
     if not more.isEmpty():
-        links = links.union(more)
         comp = cut(components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more)), "components")
     reps = classes.select("rid", "rep").join(comp.withColumnRenamed("node", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
     least = reps.groupBy("comp").agg(F.min("rep").alias("component_id"))
     by_class = reps.join(least, "comp").select("rid", "component_id")
     out = found.join(by_class, "rid", "left").select("doc_id", "n", "rid", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-    return out, links
+    holders = named.select("rid", "doc_id").distinct().groupBy("rid").agg(F.count("*").alias("docs"))
+    return out, side_by_side(comp, holders, sets, wanted_rows), th, holders
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -372,6 +437,12 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
+def op5_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5_ngram_join with each document's number of links."""
+    docs = jaccard_links(table(spark, sf_dir, "documents"), k=3, percent=90)
+    return docs.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+
+
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM d),
@@ -382,3 +453,6 @@ r AS (SELECT doc_id AS node, doc_id AS seen FROM s)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c.component_id FROM s JOIN (
   WITH RECURSIVE walk AS (SELECT doc_id AS node, doc_id AS seen FROM s UNION SELECT w.node, CASE WHEN e.a = w.seen THEN e.b ELSE e.a END FROM walk w JOIN e ON e.a = w.seen OR e.b = w.seen)
   SELECT node, min(seen) AS component_id FROM walk GROUP BY node) c ON c.node = s.doc_id"""
+
+OP5_LINKS_SQL = f"""SELECT doc_id, n_shingles, component_id, coalesce(n_links, 0) AS n_links FROM ({OP5_SQL}) AS o LEFT JOIN (
+{OP5_SQL[: OP5_SQL.index(",\nr AS ")]} SELECT doc_id, count(*) AS n_links FROM (SELECT a AS doc_id FROM e UNION ALL SELECT b FROM e) GROUP BY doc_id) AS l USING (doc_id)"""

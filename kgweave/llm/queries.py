@@ -10,6 +10,7 @@ QUERIES = {
     "op3_neighbours": hnsw.op3_neighbours,
     "op4_warc": warc.op4_warc,
     "op5_ngram_join": ngram_join.op5_ngram_join,
+    "op5_ngram_links": ngram_join.op5_ngram_links,
     "op6_url_rules": url_rules.op6_url_rules,
     "op7_mixture": mixing.op7_mixture,
     "op8_secrets": secrets.op8_secrets,
@@ -18,6 +19,7 @@ QUERIES = {
 }
 ORACLES = {
     "op5_ngram_join": ngram_join.OP5_SQL,
+    "op5_ngram_links": ngram_join.OP5_LINKS_SQL,
     "op6_url_rules": url_rules.OP6_SQL,
     "op7_mixture": mixing.OP7_SQL,
     "op9_contamination": decontaminate.OP9_SQL,

@@ -137,6 +137,33 @@ def test_near_duplicates(spark):
     assert got == {i: (len(sets[i]), top[i]) for i in ids}
 
 
+def test_all_links(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [[f"w{rng.randint(0, 999)}" for _ in range(n)] for n in (90, 120)]
+    rows = [(500, None), (None, " ".join(base[0]))]
+    for i in range(60):
+        t = list(base[i % 2])
+        t[rng.randrange(len(t))] = f"x{i % 40}"
+        rows.append((i, " ".join(t)))
+    rows += [(100 + i, rows[2][1]) for i in range(3)]
+    shingles = lambda t: frozenset(zip(*[(t or "").split()[j:] for j in range(3)], strict=False))
+    sets = [(i, shingles(t)) for i, t in rows if i is not None]
+    near = lambda a, b: bool(a) and 100 * len(a & b) >= 90 * len(a | b)
+    links = {frozenset((a, b)) for _, a in sets for _, b in sets if a != b and near(a, b)}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (512, 7):
+        monkeypatch.setattr(ngram_join, "BLOCK", block)
+        out, found = ngram_join.jaccard_components(df, 3, 90)
+        text_of = dict(rows)
+        name = {r.rid: shingles(text_of[r.doc_id]) for r in out.where("rid IS NOT NULL").collect()}
+        got = [frozenset((name[r.a], name[r.b])) for r in found.collect()]
+        assert len(got) == len(set(got))
+        assert set(got) == links
+        counts = {r.doc_id: r.n_links for r in ngram_join.jaccard_links(df, 3, 90).collect()}
+        assert counts.pop(None) is None
+        assert counts == {i: sum(near(a, b) for j, b in sets if j != i) for i, a in sets}
+
+
 def test_token_trees():
     rng = random.Random(6)
     encoder = tokens.Encoder(open(tokens.VOCABULARY, "rb").read())
