@@ -29,8 +29,8 @@ SEGMENT = 1 << 20
 CHUNK = 32 << 20
 #: A document's cross entropy is shrunk towards its language's median as if it had so many more bytes.
 PRIOR = 200
-#: Distance above the median, in units of (upper quantile - median), at which a document is rejected.
-UPPER, REACH = 0.9, 3.0
+#: Share of a language's trusted text, scored by a model that did not train on it, that the limit keeps; and parts for that.
+KEPT, FOLDS = 0.98, 2
 NO_LANGUAGE = "und"
 
 
@@ -264,32 +264,48 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 AND coalesce(t, 0) = 0").select("doc_id")
 
 
-def limits(trusted: DataFrame, lang: str = "lang") -> DataFrame:
-    """_q_lang, _q_mid, _q_limit (nats a byte) from quantiles of the trusted documents of each language; _q_lang null: of all."""
-    ce = trusted.where("_q_bytes > 0").select(F.coalesce(F.col(lang), F.lit(NO_LANGUAGE)).alias("_q_lang"), (F.col("_q_loss") / F.col("_q_bytes")).alias("ce"))
-    q = lambda p: F.percentile_approx("ce", p, F.lit(10_000))
-    return ce.rollup("_q_lang").agg(q(0.5).alias("_q_mid"), q(UPPER).alias("up")).select("_q_lang", "_q_mid", (F.col("_q_mid") + REACH * (F.col("up") - F.col("_q_mid"))).alias("_q_limit"))
+def held_out(trusted: DataFrame, text: str = "text", lang: str = "lang", order: int = ORDER) -> DataFrame:
+    """_q_name (language), _q_bytes, _q_loss of trusted texts, each scored by a model of the other parts. Copies are in one part."""
+    dealt = trusted.select(lang, text, F.pmod(F.xxhash64(text), F.lit(FOLDS)).alias("_q_fold"))
+    parts = []
+    for fold in range(FOLDS):
+        model = save(train(dealt.where(F.col("_q_fold") != fold), text, order))
+        parts.append(scored(dealt.where(F.col("_q_fold") == fold), *model, text, order))
+    every = functools.reduce(DataFrame.unionByName, parts).where("_q_bytes > 0")
+    return cut(every.select(F.coalesce(F.col(lang), F.lit(NO_LANGUAGE)).alias("_q_name"), "_q_bytes", "_q_loss"), "held_out")
+
+
+def shrunk() -> Column:
+    """Cross entropy (nats a byte), shrunk towards the language's median by PRIOR bytes."""
+    return (F.col("_q_loss") + PRIOR * F.col("_q_mid")) / (F.col("_q_bytes") + PRIOR)
+
+
+def limits(losses: DataFrame) -> DataFrame:
+    """_q_lang, _q_mid, _q_limit (nats a byte): of each language the median, and the limit that keeps KEPT of ``losses``; _q_lang null: of all."""
+    q = lambda c, p: F.percentile_approx(c, p, F.lit(10_000))
+    each = losses.withColumn("_q_lang", F.explode(F.array("_q_name", F.lit(None).cast("string"))))
+    mids = cut(each.groupBy("_q_lang").agg(q(F.col("_q_loss") / F.col("_q_bytes"), 0.5).alias("_q_mid")), "medians")
+    mids = small(mids.withColumnRenamed("_q_lang", "_q_of"), mids.count(), 100_000)
+    return each.join(mids, F.col("_q_lang").eqNullSafe(F.col("_q_of"))).groupBy("_q_lang").agg(F.first("_q_mid").alias("_q_mid"), q(shrunk(), KEPT).alias("_q_limit"))
 
 
 def judged(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", order: int = ORDER) -> DataFrame:
     """``docs`` with _q_bytes, _q_loss, _q_mid, _q_limit and _q_keep.
 
-    Trained on all trusted documents. Kept is a document whose cross entropy, shrunk towards the median of its language
-    by PRIOR bytes, is at most the language's limit; a language without trusted text takes the limits of all. Null and
+    Trained on all trusted documents; the limits come from trusted text scored by models that did not see it. Kept is a
+    document whose cross entropy, shrunk towards the median of its language by PRIOR bytes, is at most the language's limit; a language without trusted text takes the limits of all. Null and
     empty texts have no perplexity and are not kept. Without any trusted text nothing is known and every text is kept.
     """
     ids = trusted_ids(labels)
     trusted = docs.join(small(ids, ids.count()).withColumnRenamed("doc_id", "_q_id"), F.col(doc_id) == F.col("_q_id"), "left_semi")
     uri, shards = save(train(trusted, text, order))
-    found = limits(scored(trusted.select(lang, text), uri, shards, text, order), lang)
-    found = cut(found, "limits")  # a row for each language
+    found = cut(limits(held_out(trusted, text, lang, order)), "limits")  # a row for each language
     every = found.where("_q_lang IS NULL").first()
     by_lang = small(found.where("_q_lang IS NOT NULL"), found.count(), 100_000)
     out = scored(docs, uri, shards, text, order).withColumn("_q_name", F.coalesce(F.col(lang), F.lit(NO_LANGUAGE))).join(by_lang, F.col("_q_name") == F.col("_q_lang"), "left").drop("_q_name", "_q_lang")
     mid, limit = (every["_q_mid"], every["_q_limit"]) if every else (None, None)
     out = out.withColumn("_q_mid", F.coalesce("_q_mid", F.lit(mid).cast("double"))).withColumn("_q_limit", F.coalesce("_q_limit", F.lit(limit).cast("double")))
-    shrunk = (F.col("_q_loss") + PRIOR * F.col("_q_mid")) / (F.col("_q_bytes") + PRIOR)
-    return out.withColumn("_q_keep", (F.col("_q_bytes") > 0) & F.coalesce(shrunk <= F.col("_q_limit"), F.lit(True)))
+    return out.withColumn("_q_keep", (F.col("_q_bytes") > 0) & F.coalesce(shrunk() <= F.col("_q_limit"), F.lit(True)))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

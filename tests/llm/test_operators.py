@@ -238,6 +238,18 @@ def test_quality(spark):
         assert got == pytest.approx(want)
 
 
+def test_quality_limits_hold_on_unseen_text(spark):
+    rng = random.Random(10)
+    letters = {"en": "abcdefgh", "de": "ijklmnop"}
+    words = {lang: ["".join(rng.choice(x) for _ in range(rng.randint(2, 9))) for _ in range(3000)] for lang, x in letters.items()}
+    rows = [(i, " ".join(words[lang][int(3000 * rng.random() ** 2)] for _ in range(60)), lang) for i, lang in enumerate(("en", "de") * 200)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    out = quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels).collect()
+    for lang in letters:
+        lost = sum(not r._q_keep for r in out if r.doc_id >= 200 and r.lang == lang)
+        assert lost <= 8  # of 100; 2 are expected
+
+
 def test_empty_tables(docs, spark):
     none = docs.where("1 = 0")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
