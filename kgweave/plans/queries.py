@@ -53,6 +53,11 @@ def sparse(s: SparkSession, d: str) -> DataFrame:
     return facts(s, d).where(SPARSE).select(F.concat(F.lit("drug:"), "chemical").alias("source"), F.concat(F.lit("gene:"), "gene").alias("target")).distinct()
 
 
+def whole(s: SparkSession, d: str) -> DataFrame:
+    """All pairs of a drug and a gene that any fact joins."""
+    return merged(s, d).select("source", "target").distinct()
+
+
 def seeds(s: SparkSession) -> DataFrame:
     return s.range(1, 6).select(F.col("id").alias("question_id"), F.concat(F.lit("gene:S"), F.col("id").cast("string")).alias("node"))
 
@@ -189,12 +194,23 @@ def g_neighbourhood_2(s: SparkSession, d: str) -> DataFrame:
     return G.neighbourhood(sparse(s, d), seeds(s), 2)
 
 
+@query("g_neighbourhood_2_whole")
+def g_neighbourhood_2_whole(s: SparkSession, d: str) -> DataFrame:
+    return G.neighbourhood(whole(s, d), seeds(s), 2)
+
+
 @query("g_induced_1", f"WITH {SPARSE_CTE}, {SEEDS_CTE}, {WALK}, k AS (SELECT * FROM h0 UNION SELECT * FROM h1) SELECT a.question_id, source, target FROM sparse JOIN k a ON a.node = source JOIN k b ON b.node = target AND b.question_id = a.question_id")
 def g_induced_1(s: SparkSession, d: str) -> DataFrame:
     e = sparse(s, d)
     return G.induced(e, G.neighbourhood(e, seeds(s), 1)).select("question_id", "source", "target")
 
 
+@query("g_induced_1_whole")
+def g_induced_1_whole(s: SparkSession, d: str) -> DataFrame:
+    e = whole(s, d)
+    return G.induced(e, G.neighbourhood(e, seeds(s), 1)).select("question_id", "source", "target")
+
+
 PATHS_CTE = "roots AS (SELECT node AS root FROM seeds), r0 AS (SELECT root, root AS node, root AS path FROM roots)" + "".join(
     f", r{i} AS (SELECT root, dst AS node, min(path || '>' || dst) AS path FROM r{i - 1} JOIN sym ON src = node WHERE (root, dst) NOT IN ({' UNION ALL '.join(f'SELECT (root, node) FROM r{j}' for j in range(i))}) GROUP BY root, dst)" for i in range(1, 5)
 ) + ", found AS (" + " UNION ALL ".join(f"SELECT root, node, CAST({i} AS INTEGER) AS hops, path FROM r{i}" for i in range(1, 5)) + ")"
@@ -212,6 +228,11 @@ def g_shortest_paths(s: SparkSession, d: str) -> DataFrame:
     return G.shortest_paths(sparse(s, d), pairs(s))
 
 
+@query("g_shortest_paths_whole")
+def g_shortest_paths_whole(s: SparkSession, d: str) -> DataFrame:
+    return G.shortest_paths(whole(s, d), pairs(s))
+
+
 @query("g_critical_paths", f"""WITH {SPARSE_CTE}, {SEEDS_CTE}, {PATHS_CTE}, p AS ({PAIRS}), strong AS (SELECT 'drug:' || chemical AS a, 'gene:' || gene AS b, bool_or({CRITICAL} OR level IN ('1A', '1B')) AS c FROM facts WHERE {SPARSE} GROUP BY ALL),
 steps AS (SELECT from_id, to_id, string_split(path, '>')[i] AS x, string_split(path, '>')[i + 1] AS y FROM p, unnest(range(1, hops + 1)) AS u(i))
 SELECT from_id, to_id, bool_or(c) AS critical FROM steps JOIN strong ON least(x, y) = a AND greatest(x, y) = b GROUP BY ALL""")
@@ -220,6 +241,11 @@ def g_critical_paths(s: SparkSession, d: str) -> DataFrame:
     return G.critical_paths(G.shortest_paths(sparse(s, d), pairs(s)), B.fact_edges(f)).select("from_id", "to_id", "critical")
 
 
+@query("g_critical_paths_whole")
+def g_critical_paths_whole(s: SparkSession, d: str) -> DataFrame:
+    return G.critical_paths(G.shortest_paths(whole(s, d), pairs(s)), B.fact_edges(facts(s, d))).select("from_id", "to_id", "critical")
+
+
 @query("g_expand_clusters", f"WITH {MEMBERS_CTE} SELECT 'gene:' || gene AS source, 'variant:' || variant AS target, level FROM flat")
 def g_expand_clusters(s: SparkSession, d: str) -> DataFrame:
     return G.expand_clusters(B.clusters(B.cluster_members(facts(s, d))))[1].select("source", "target", "level")
@@ -314,7 +340,15 @@ def rag_rrf(s: SparkSession, d: str) -> DataFrame:
 @query("retrieve_question", f"""WITH {SPARSE_CTE}, {SEEDS_CTE}, {WALK}, k AS (SELECT * FROM h0 UNION SELECT * FROM h1), e AS (SELECT a.question_id, source || ' -- ' || target AS line FROM sparse JOIN k a ON a.node = source JOIN k b ON b.node = target AND b.question_id = a.question_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY line) AS r, count(*) OVER (PARTITION BY question_id) AS n_lines FROM e) SELECT question_id, string_agg(line, chr(10) ORDER BY line) AS context, max(n_lines) AS n_lines FROM r WHERE r <= 60 GROUP BY question_id""")
 def retrieve_question(s: SparkSession, d: str) -> DataFrame:
-    e = sparse(s, d)
+    return retrieved(s, sparse(s, d))
+
+
+@query("retrieve_question_whole")
+def retrieve_question_whole(s: SparkSession, d: str) -> DataFrame:
+    return retrieved(s, whole(s, d))
+
+
+def retrieved(s: SparkSession, e: DataFrame) -> DataFrame:
     questions = s.range(1, 6).select(F.col("id").alias("question_id"), F.concat(F.lit("which drugs touch xs"), F.col("id").cast("string")).alias("question"))
     index = s.range(1, 6).select(F.concat(F.lit("gene:S"), F.col("id").cast("string")).alias("id"), F.concat(F.lit("XS"), F.col("id").cast("string")).alias("label"))
     linked = R.link_substring(questions, index).select("question_id", F.col("id").alias("node"))

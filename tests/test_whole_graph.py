@@ -1,0 +1,39 @@
+from kgweave.plans import queries as Q
+
+DATA = "/root/testdata/sf0.001"
+
+
+def test_whole_graph(spark):
+    facts = Q.facts(spark, DATA).select("chemical", "gene", "level", "role").collect()
+    edges = {(f"drug:{f.chemical}", f"gene:{f.gene}") for f in facts}
+    strong = {(f"drug:{f.chemical}", f"gene:{f.gene}") for f in facts if f.level in ("1A", "1B")}
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    hops, paths = set(), {}
+    for q in range(1, 6):
+        root = f"gene:S{q}"
+        best, front = {root: root}, {root: root}
+        hops.add((q, root, 0))
+        for h in range(1, 5):
+            step = {}
+            for x, path in front.items():
+                for y in near.get(x, ()):
+                    if y not in best:
+                        step[y] = min(step.get(y, f"{path}>{y}"), f"{path}>{y}")
+            best |= step
+            front = step
+            hops |= {(q, y, h) for y in step if h <= 2}
+            paths |= {(root, y): (h, p) for y, p in step.items() if y in {f"gene:S{i}" for i in range(1, 31)}}
+    assert {tuple(r) for r in Q.g_neighbourhood_2_whole(spark, DATA).select("question_id", "node", "hop").collect()} == hops
+    assert {(r.from_id, r.to_id): (r.hops, r.path) for r in Q.g_shortest_paths_whole(spark, DATA).collect()} == paths
+    got = {(r.from_id, r.to_id): r.critical for r in Q.g_critical_paths_whole(spark, DATA).collect()}
+    ends = lambda x, y: (min(x, y), max(x, y))
+    assert got == {k: any(ends(x, y) in strong for x, y in zip(p.split(">"), p.split(">")[1:], strict=False)) for k, (_, p) in paths.items()}
+    one = {q: {n for p, n, h in hops if p == q and h < 2} for q in range(1, 6)}
+    induced = {(q, a, b) for q in one for a, b in edges if a in one[q] and b in one[q]}
+    assert {tuple(r) for r in Q.g_induced_1_whole(spark, DATA).select("question_id", "source", "target").collect()} == induced
+    lines = {r.question_id: (r.context.split("\n"), r.n_lines) for r in Q.retrieve_question_whole(spark, DATA).collect()}
+    want = {q: sorted(f"{a} -- {b}" for p, a, b in induced if p == q) for q in one}
+    assert lines == {q: (v[:60], len(v)) for q, v in want.items() if v}
