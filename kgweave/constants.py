@@ -13,11 +13,22 @@ EDGE_VERB = {
     "belongs_to_class": "belongs to class",
 }
 STOPWORDS = (
-    "the a an and or of to in on for with is are was were be been does do did how what which who why when where can could should would may might will "
-    "this that these those it its from by as at about between into than then there their them they you your our not no any all"
+    "a an the is are was were be been being of to for in on at by with from and or but if then than so as it this that these those what "
+    "which who whom whose where when why how does do did can could should would will have has had i you we they he she me us them him her "
+    "between about into through during before after above below tell explain show list give find say see look describe any some all most "
+    "more less very patient class gene drug phenotype variant carry carries carrying pharmacogenomic association associations reference "
+    "references cite citation clinical evidence guideline guidelines level interaction interactions"
 ).split()
-REFUSAL_CUES = ("i don't know", "i do not know", "cannot answer", "can't answer", "not in the", "no information", "insufficient", "unable to", "not available", "no data")
-NEGATIVE_CUES = ("no evidence", "not associated", "no association", "no known", "no significant", "does not affect", "no relationship", "not linked")
+REFUSAL_CUES = (
+    "not in pharmgkb", "not in the graph", "not in this graph", "no pharmacogenomic guideline", "no guideline", "no information",
+    "no entries", "no results", "no associations", "no data", "cannot find", "could not find", "no specific guidance", "does not contain",
+    "does not have", "is not present", "i don't have", "i do not have", "no retrieved context", "there is no", "there are no", "outside",
+    "i'm unable", "no specific pharmacogenomic", "do not appear",
+)
+NEGATIVE_CUES = (
+    "no clinically meaningful", "not clinically meaningful", "no clinically significant", "no significant", "no, ", "no.\n",
+    "no association", "not associated", "no documented", "no curated evidence", "ambiguous", "not listed as associated",
+)
 LINK_CUT, MULTI_WORD_BONUS, HITS_PER_TERM, MOST_ENTITIES = 0.18, 0.05, 3, 6
 TOP_K, TOP_FINAL, RRF_K = 20, 8, 60
 MOST_PMIDS, MOST_CHUNK_PMIDS = 25, 10
