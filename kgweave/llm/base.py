@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kgweave.sources.shared import cut, drop_cut, new_folder, shared_dir
+
+__all__ = ["cut", "drop_cut", "new_folder", "shared_dir"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -28,41 +30,40 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="kgweave-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the application ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(at)
-    fs.deleteOnExit(at)
-    return path
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read again: lineage ends at files that survive lost executors."""
-    spark = df.sparkSession
-    path = new_folder(spark, name) + "/t"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_cut(df: DataFrame) -> None:
-    """Delete a table written by cut() that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in df.inputFiles()[:1]:
-        at = jvm.org.apache.hadoop.fs.Path(f.rsplit("/", 1)[0])
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def row_of(df: DataFrame, *dropped: str) -> Column:
+    """All columns of ``df`` but ``dropped`` as one struct, which no name of an operator's own can clash with."""
+    return F.struct(*([F.col(quoted(c)) for c in others(df, *dropped)] or [F.lit(0).alias("_none")]))
+
+
+def others(df: DataFrame, *dropped: str) -> list[str]:
+    """Columns of ``df`` but ``dropped``, whose case does not count."""
+    gone = {d.lower() for d in dropped}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def unpacked(df: DataFrame, row: str, *dropped: str) -> list[Column]:
+    """The columns that row_of packed, to be selected."""
+    return [F.col(row)[c].alias(c) for c in others(df, *dropped)]
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used: lambdas and branches share no subexpressions."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(sizes: Column, block: int = 64) -> Column:
+    """For each entry of an array of integers the sum of those before it, in blocks, as appending to an array copies it."""
+    none = F.expr("CAST(array() AS array<int>)")
+    step = lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+    total = lambda x: F.aggregate(x, F.lit(0), lambda a, n: a + n)
+    whole = lambda x, at: F.aggregate(x, F.struct(at.alias("at"), none.alias("out")), step, lambda a: a["out"])
+    cuts = lambda s: F.transform(F.sequence(F.lit(0), F.ceil(F.size(s) / block).cast("int") - 1), lambda b: F.slice(s, b * block + 1, F.lit(block)))
+    many = lambda s: let(cuts(s), lambda parts: F.flatten(F.zip_with(parts, whole(F.transform(parts, total), F.lit(0)), whole)))
+    return let(sizes, lambda s: F.when(F.size(s) > block, many(s)).otherwise(whole(s, F.lit(0))))
 
 
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:

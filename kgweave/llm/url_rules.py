@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgweave.llm.base import ascii_lower, small, table
+from kgweave.llm.base import ascii_lower, quoted, row_of, small, table, unpacked
 
 
 @dataclass(frozen=True)
@@ -66,42 +66,48 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.filter(F.split(ascii_lower(url), "[^a-z0-9]+"), lambda t: t != ""))
 
 
-def rule_index(spark: SparkSession, rules: tuple[UrlRule, ...], urls: DataFrame) -> DataFrame:
+RULE = "rule_id int, name string, pattern string, tokens array<string>, verdict string, rank int, kind string"
+
+
+def rule_table(spark: SparkSession, rules: tuple[UrlRule, ...]) -> DataFrame:
+    """The rules as a table (RULE); an earlier rule has the smaller rule_id."""
+    return spark.createDataFrame([(i, r.name, r.pattern, list(r.tokens), r.verdict, r.rank, r.kind) for i, r in enumerate(rules)], RULE)
+
+
+def rule_index(rules: DataFrame, urls: DataFrame) -> DataFrame:
     """One row a rule under its rarest literal token, by the tokens' frequency in ``urls`` (ties: longer, then first).
 
-    urls: column ``url``. The frequencies are counted over all of it; only the rules' own tokens are counted.
+    rules: RULE. urls: column ``url``. The frequencies are counted over all of it; only the rules' own tokens are counted.
     """
-    columns = "rule_id int, name string, pattern string, tokens array<string>, verdict string, rank int, kind string"
-    rows = [(i, r.name, r.pattern, list(r.tokens), r.verdict, r.rank, r.kind) for i, r in enumerate(rules)]
-    table_ = spark.createDataFrame(rows, columns)
-    literals = table_.select(F.explode("tokens").alias("token")).distinct()
+    literals = rules.select(F.explode("tokens").alias("token")).distinct()
     seen = (
         urls.select(F.explode(url_tokens(F.col("url"))).alias("token"))
-        .join(small(literals, sum(len(r.tokens) for r in rules)), "token", "left_semi")
+        .join(small(literals, literals.count()), "token", "left_semi")
         .groupBy("token").agg(F.count("*").alias("freq"))
     )
-    ranked = (
-        table_.select("*", F.explode("tokens").alias("token")).join(seen, "token", "left")
+    return (
+        rules.select("*", F.explode("tokens").alias("token")).join(seen, "token", "left")
         .groupBy("rule_id", "name", "pattern", "verdict", "rank", "kind")
         .agg(F.min_by("token", F.struct(F.coalesce("freq", F.lit(0)), -F.length("token"), "token")).alias("anchor"))
     )
-    return ranked
 
 
-def judge_urls(df: DataFrame, rules: tuple[UrlRule, ...] = SITE_RULES + PATTERN_RULES, url: str = "url", default: str = "allow") -> DataFrame:
+def judge_urls(df: DataFrame, rules: tuple[UrlRule, ...] | DataFrame = SITE_RULES + PATTERN_RULES, url: str = "url", default: str = "allow") -> DataFrame:
     """``df`` with host, path, rule, verdict, pattern_rule.
 
-    Each distinct url fetches the rules indexed under one of its tokens; only those run their regular expression. The
-    matching site rule of greatest rank (ties: smaller position) gives rule and verdict; otherwise the highest pattern
-    rule gives the verdict and pattern_rule; otherwise ``default``. A null url, or one without ``://``, has empty host
-    and path and gets the default. Rows are kept one for one, repeated ones too. Columns of ``df`` with these names or
-    starting with ``_u_`` are replaced.
+    rules: a tuple, or a table of RULE columns for sets too large for one. Each distinct url fetches the rules indexed
+    under one of its tokens; only those run their regular expression. The matching site rule of greatest rank (ties:
+    smaller rule_id) gives rule and verdict; otherwise the highest pattern rule gives the verdict and pattern_rule;
+    otherwise ``default``. A null url, or one without ``://``, has empty host and path and gets the default, as has an
+    empty one. Rows are kept one for one, repeated ones too; an empty table gives an empty one. Columns of ``df`` with
+    the five names are replaced; all others keep theirs.
     """
     spark = df.sparkSession
-    own = ["host", "path", "rule", "verdict", "pattern_rule"]
-    df = df.drop(*own)
-    urls = df.select(F.col(url).alias("url")).where(F.col("url").contains("://")).groupBy("url").agg(F.count("*").alias("copies"))
-    index = small(rule_index(spark, rules, urls), len(rules))
+    own = ("host", "path", "rule", "verdict", "pattern_rule")
+    rows = df.select(row_of(df, *own).alias("_row"), F.col(quoted(url)).alias("url"))
+    urls = rows.select("url").where(F.col("url").contains("://")).distinct()
+    table_ = rules if isinstance(rules, DataFrame) else rule_table(spark, rules)
+    index = small(rule_index(table_, rows.select("url").where(F.col("url").contains("://"))), table_.count())
     u = F.col("url")
     subject = F.concat(F.col("h"), F.regexp_extract(u, r"(?s)^.*?://[^/?#]*(.*)$", 1))
     hits = (
@@ -112,15 +118,12 @@ def judge_urls(df: DataFrame, rules: tuple[UrlRule, ...] = SITE_RULES + PATTERN_
     )
     # max_by ignores rows whose ordering is null, so each kind is judged on its own
     best = lambda kind: F.max_by(F.struct("name", "verdict"), F.when(F.col("kind") == kind, F.struct("rank", -F.col("rule_id"))))
-    judged = hits.groupBy("url").agg(best("site").alias("_u_s"), best("pattern").alias("_u_p")).withColumnRenamed("url", "_u_url")
-    joined = df.join(judged, F.col(url) == F.col("_u_url"), "left")
-    return joined.withColumns({
-        "host": host_of(F.col(url)),
-        "path": path_of(F.col(url)),
-        "rule": F.col("_u_s.name"),
-        "verdict": F.coalesce("_u_s.verdict", "_u_p.verdict", F.lit(default)),
-        "pattern_rule": F.when(F.col("_u_s").isNull(), F.col("_u_p.name")),
-    }).drop("_u_url", "_u_s", "_u_p")
+    judged = hits.groupBy("url").agg(best("site").alias("s"), best("pattern").alias("p")).withColumnRenamed("url", "_hit")
+    joined = rows.join(judged, F.col("url") == F.col("_hit"), "left")
+    return joined.select(
+        *unpacked(df, "_row", *own), host_of(u).alias("host"), path_of(u).alias("path"), F.col("s.name").alias("rule"),
+        F.coalesce("s.verdict", "p.verdict", F.lit(default)).alias("verdict"), F.when(F.col("s").isNull(), F.col("p.name")).alias("pattern_rule"),
+    )
 
 
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
