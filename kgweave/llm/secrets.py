@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgweave.llm.base import doc_key, table
+from kgweave.llm.base import doc_key, let, quoted, row_of, running, table
 
 
 @dataclass(frozen=True)
@@ -34,30 +34,26 @@ KINDS = (
 )
 #: Candidates that count only if corpus-wide ownership shows them to be owner-specific.
 GENERIC = SecretKind("owned", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24,}+", r"[A-Za-z0-9+/_=-]{24}")
-#: Owners from which on a value is a widely copied example.
-MIN_OWNERS = 3
+#: Owners, or repositories of fewer owners, from which on a value is a widely copied example.
+MIN_OWNERS, MIN_REPOS = 3, 25
 
 
 def find_spans(text: Column, kind: SecretKind, order: int) -> Column:
     """array<struct<start,ord,end,kind,value>>: code point offsets from the lengths of the gaps between matches."""
-    pattern = F.lit(kind.pattern)
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.split(text, kind.pattern, -1)
-    pieces = F.arrays_zip(F.transform(F.slice(gaps, F.lit(1), F.size(found)), F.length).alias("gap"), found.alias("hit"))
     value = lambda hit: F.regexp_extract(hit, kind.pattern, kind.value) if kind.value else hit
+    span = lambda x: F.struct(
+        (x["before"] + x["gap"]).alias("start"), F.lit(order).alias("ord"), (x["before"] + x["gap"] + F.length(x["hit"])).alias("end"), F.lit(kind.name).alias("kind"), value(x["hit"]).alias("value"),
+    )
+    gaps = lambda found: F.transform(F.slice(F.split(text, kind.pattern, -1), F.lit(1), F.size(found)), F.length)
+    before = lambda found, gap: running(F.zip_with(gap, found, lambda g, h: g + F.length(h)))
+    placed = lambda found, gap: F.transform(F.arrays_zip(before(found, gap).alias("before"), gap.alias("gap"), found.alias("hit")), span)
+    spans = let(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), lambda found: let(gaps(found), lambda gap: placed(found, gap)))
     none = F.expr("CAST(array() AS array<struct<start:int,ord:int,end:int,kind:string,value:string>>)")
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        span = F.struct(start.alias("start"), F.lit(order).alias("ord"), (start + F.length(x["hit"])).alias("end"), F.lit(kind.name).alias("kind"), value(x["hit"]).alias("value"))
-        kept = F.concat(acc["out"], F.array(span))
-        return F.struct((start + F.length(x["hit"])).alias("at"), (F.when(F.length(value(x["hit"])) >= kind.least, kept).otherwise(acc["out"]) if kind.least else kept).alias("out"))
-
-    spans = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.regexp_like(text, F.lit(kind.gate)), spans).otherwise(none)
+    kept = F.filter(spans, lambda s: F.length(s["value"]) >= kind.least) if kind.least else spans
+    return F.when(F.regexp_like(text, F.lit(kind.gate)), kept).otherwise(none)
 
 
-def scan(df: DataFrame, text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def scan(df: DataFrame, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row a document: carried columns, ``base`` and ``extra`` span arrays (by start, then kind). Null text: none."""
     t = F.coalesce(F.col(text), F.lit(""))
     flat = df.select(*carry, *[find_spans(t, k, i).alias(f"_s{i}") for i, k in enumerate(KINDS)], find_spans(t, GENERIC, len(KINDS)).alias("_g"))
@@ -76,20 +72,23 @@ def ownership(spans: DataFrame, owner: str, repo: str) -> DataFrame:
     )
 
 
-def secret_report(df: DataFrame, text: str = "text", doc_id: str = "doc_id", owner: str = "source", min_owners: int = MIN_OWNERS) -> DataFrame:
+def secret_report(df: DataFrame, text: str = "text", doc_id: str = "doc_id", owner: str = "source", min_owners: int = MIN_OWNERS, min_repos: int = MIN_REPOS) -> DataFrame:
     """Per row of ``df``: _k1, _k2, doc_id, base spans, and ``found``: every span with ``live``.
 
-    A repository is a document and its owner the ``owner`` column (null is an owner of its own). A candidate value held
-    by ``min_owners`` owners or more is a widely copied example, otherwise live. Candidates without a telling prefix
-    (kind owned) become spans only where live. Empty and null texts have no spans; repeated rows each get their result.
+    A repository is a distinct text, so that copies of one document are one, and its owner the ``owner`` column (null
+    is an owner of its own). A candidate value held by ``min_owners`` owners, or in ``min_repos`` repositories of fewer,
+    is a widely copied example, otherwise live. Candidates without a telling prefix (kind owned) become spans only
+    where live. Empty and null texts have no spans; repeated rows each get their result; an empty table has no rows.
+    Other columns of ``df`` play no part, whatever their names.
     """
-    docs = df.select(*doc_key(doc_id, text), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(owner).cast("string"), F.lit("\0")).alias("_o"), F.col(text).alias("_t"))
+    keyed = df.select(F.col(quoted(doc_id)).alias("doc_id"), F.coalesce(F.col(quoted(owner)).cast("string"), F.lit("\0")).alias("_o"), F.col(quoted(text)).alias("_t"))
+    docs = keyed.select(*doc_key("doc_id", "_t"), "doc_id", "_o", "_t")
     scanned = scan(docs, "_t", ("_k1", "_k2", "doc_id", "_o"))
     spans = scanned.where((F.size("base") > 0) | (F.size("extra") > 0)).select("_k1", "_k2", "_o", F.explode(F.concat("base", "extra")).alias("s"))
     spans = spans.select("_k1", "_k2", "_o", "s.*", F.sha2(F.col("s.value"), 256).alias("vhash")).distinct()
-    owners = ownership(spans, "_o", "_k1")
+    owners = ownership(spans, "_o", "_k2")
     judged = (
-        spans.join(owners, "vhash").withColumn("live", F.col("n_owners") < min_owners)
+        spans.join(owners, "vhash").withColumn("live", (F.col("n_owners") < min_owners) & (F.col("n_repos") < min_repos))
         .where((F.col("kind") != GENERIC.name) | F.col("live"))
         .select("_k1", "_k2", F.struct("start", "ord", "end", "kind", "live", "vhash").alias("s")).distinct()
         .groupBy("_k1", "_k2").agg(F.array_sort(F.collect_list("s")).alias("found"))
@@ -98,18 +97,20 @@ def secret_report(df: DataFrame, text: str = "text", doc_id: str = "doc_id", own
     return scanned.select("_k1", "_k2", "doc_id", "base").join(judged, ["_k1", "_k2"], "left").withColumn("found", F.coalesce("found", empty))
 
 
-def redact(df: DataFrame, text: str = "text", doc_id: str = "doc_id", owner: str = "source", min_owners: int = MIN_OWNERS, mark: str = "[secret]") -> DataFrame:
+def redact(df: DataFrame, text: str = "text", doc_id: str = "doc_id", owner: str = "source", min_owners: int = MIN_OWNERS, mark: str = "[secret]", min_repos: int = MIN_REPOS) -> DataFrame:
     """``df`` with each live span of ``text`` replaced by ``mark``; overlapping live spans become one mark. Columns as in ``df``.
 
     Only texts that a gate finds candidates in are moved; all others, null and empty ones among them, pass as they are.
+    Rows are kept one for one, repeated ones too; an empty table gives an empty one.
     """
-    gates = functools.reduce(operator.or_, [F.regexp_like(F.col(text), F.lit(k.gate)) for k in (*KINDS, GENERIC)])
+    gates = functools.reduce(operator.or_, [F.regexp_like(F.col(quoted(text)), F.lit(k.gate)) for k in (*KINDS, GENERIC)])
     may = F.coalesce(gates, F.lit(False))
-    rest, df = df.where(~may), df.where(may)
-    live = secret_report(df, text, doc_id, owner, min_owners).select("_k1", "_k2", F.filter("found", lambda s: s["live"]).alias("_live")).where(F.size("_live") > 0).dropDuplicates(["_k1", "_k2"])
-    joined = df.withColumns(dict(zip(("_k1", "_k2"), doc_key(doc_id, text), strict=True))).join(live, ["_k1", "_k2"], "left")
-    t = F.col(text)
-    built = F.aggregate(
+    rest, held = df.where(~may), df.where(may)
+    live = secret_report(held, text, doc_id, owner, min_owners, min_repos).select("_k1", "_k2", F.filter("found", lambda s: s["live"]).alias("_live")).where(F.size("_live") > 0).dropDuplicates(["_k1", "_k2"])
+    packed = held.select(row_of(held).alias("_row"), F.col(quoted(doc_id)).alias("_d"), F.col(quoted(text)).alias("_t"))
+    joined = packed.select("_row", "_t", *doc_key("_d", "_t")).join(live, ["_k1", "_k2"], "left")
+    t = F.col("_t")
+    merged = F.aggregate(
         F.col("_live"),
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda a, s: F.struct(
@@ -118,7 +119,9 @@ def redact(df: DataFrame, text: str = "text", doc_id: str = "doc_id", owner: str
         ),
         lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))),
     )
-    return joined.withColumn(text, F.when(F.col("_live").isNull(), t).otherwise(built)).select(*df.columns).union(rest)
+    new = F.when(F.col("_live").isNull(), t).otherwise(merged)
+    columns = [new.alias(c) if c == text else F.col("_row")[c].alias(c) for c in df.columns]
+    return joined.select(*columns).union(rest)
 
 
 def _joined(spans: Column) -> Column:
