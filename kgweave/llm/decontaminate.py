@@ -9,11 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgweave.llm.base import ascii_lower, cut, doc_key, small, table
+from kgweave.llm.base import BROADCAST_ROWS, ascii_lower, cut, doc_key, quoted, row_of, small, table
 
 WINDOW = 10
 #: Terms of each window that get postings, rarest first.
 INDEX_TERMS = 2
+#: Words of a full window that a proximity match needs, and how far from their places they may stand.
+NEAR, SLOP = 8, 3
+#: Words of a stretch of text in which two lists meet.
+STRETCH = 64
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -22,11 +26,12 @@ def words(text: Column) -> Column:
 
 
 def windows(items: DataFrame, item_id: str = "item_id", text: str = "text", size: int = WINDOW) -> DataFrame:
-    """Distinct windows: win (id), terms (array), items (how many, and which hold it). Items without words have none."""
-    w = items.select(F.col(item_id).alias("item"), words(F.col(text)).alias("w")).where(F.size("w") > 0)
+    """Distinct windows: win (id), terms (array), items (which hold it). Items without words have none."""
+    w = items.select(F.col(quoted(item_id)).alias("item"), words(F.col(quoted(text))).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1)))
     each = w.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, size))).alias("terms"))
-    return each.groupBy("terms").agg(F.collect_set("item").alias("items")).withColumn("win", F.xxhash64(F.array_join("terms", " "))).select("win", "terms", "items")
+    named = each.groupBy("terms").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return named.select(F.md5(F.array_join("terms", " ")).alias("win"), "terms", "items")
 
 
 def term_counts(docs: DataFrame, vocabulary: DataFrame, text: str = "text") -> DataFrame:
@@ -34,10 +39,15 @@ def term_counts(docs: DataFrame, vocabulary: DataFrame, text: str = "text") -> D
     return docs.select(F.explode(words(F.col(text))).alias("term")).join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
 
 
-def index_terms(wins: DataFrame, counts: DataFrame, k: int = INDEX_TERMS) -> DataFrame:
-    """Per window its k rarest terms with offsets: rank 1 is the rarest. Windows with a term that no text holds are gone."""
+def index_terms(wins: DataFrame, counts: DataFrame, k: int = INDEX_TERMS, size: int = WINDOW, near: int = NEAR) -> DataFrame:
+    """Per window its k rarest terms with offsets: rank 1 is the rarest (ties: smaller offset).
+
+    Terms that no text holds have no place. A window with fewer other terms than a match needs is gone: ``near`` of a
+    full window, all of a shorter one.
+    """
     each = wins.select("win", F.size("terms").alias("len"), F.posexplode("terms").alias("off", "term")).join(counts, "term")
-    per = each.groupBy("win", "len").agg(F.array_sort(F.collect_list(F.struct("n", "off", "term"))).alias("t")).where(F.size("t") == F.col("len"))
+    need = F.when(F.col("len") == size, F.least(F.lit(near), F.col("len"))).otherwise(F.col("len"))
+    per = each.groupBy("win", "len").agg(F.array_sort(F.collect_list(F.struct("n", "off", "term"))).alias("t")).where(F.size("t") >= need)
     return per.select("win", "len", F.least(F.size("t"), F.lit(k)).alias("needs"), F.posexplode(F.slice("t", 1, k)).alias("rank", "t")).select("win", "len", "needs", (F.col("rank") + 1).alias("rank"), "t.off", "t.term")
 
 
@@ -46,43 +56,66 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return docs.select("_k1", "_k2", F.posexplode(words(F.col("_t"))).alias("pos", "term")).join(terms, "term", "left_semi")
 
 
-def candidates(index: DataFrame, rare: DataFrame) -> DataFrame:
-    """Offset-adjusted intersection: (_k1, _k2, win, start) where all index terms of a window stand at their offsets.
+def candidates(index: DataFrame, rare: DataFrame, rows: int, slop: int = SLOP) -> DataFrame:
+    """Offset-adjusted intersection: (_k1, _k2, win, start) where the rarest term of a window stands at its offset and
+    the next rarest within ``slop`` words of its own. rows: of ``rare``.
 
-    The rarest term's list comes first; each further list only meets starts that are still alive.
+    The rarest term's list comes first; the next list meets it in stretches of STRETCH words, so that a text in which
+    both are common is compared piece by piece.
     """
-    alive = None
-    for rank in range(1, INDEX_TERMS + 1):
-        here = rare.where(F.col("rank") == rank).select("win", "len", "needs", "off", "term")
-        found = index.join(F.broadcast(here), "term").select("_k1", "_k2", "win", "len", "needs", (F.col("pos") - F.col("off")).alias("start")).where(F.col("start") >= 0)
-        if alive is None:
-            alive = found
-        else:
-            keys = ["_k1", "_k2", "win", "start"]
-            alive = alive.where(F.col("needs") < rank).unionByName(alive.where(F.col("needs") >= rank).join(found.select(*keys), keys, "left_semi"))
-    return alive.drop("needs")
-
-
-def phrase_matches(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, matches (array of start, len, items of exact windows by start), and ``keep`` expressions.
-
-    A null text, or one without words, has no matches; repeated rows each get theirs; a null doc_id matches like any.
-    Windows are a table of the benchmark's size. Terms are broadcast up to BROADCAST_ROWS, beyond that shuffled.
+    place = lambda rank: index.join(small(rare.where(F.col("rank") == rank).select("win", "len", "needs", "off", "term"), rows), "term").select("_k1", "_k2", "win", "len", "needs", (F.col("pos") - F.col("off")).alias("start"))
+    stretch = lambda c: F.floor(c / STRETCH)
+    first = place(1).where(F.col("start") >= -slop)
+    alone = first.where(F.col("needs") == 1)
+    other = place(2).select("_k1", "_k2", "win", F.col("start").alias("at"))
+    other = other.withColumn("piece", F.explode(F.array_distinct(F.array(stretch(F.col("at") - slop), stretch(F.col("at") + slop)))))
+    both = first.where(F.col("needs") > 1).withColumn("piece", stretch(F.col("start")))
+    held = [both[c] == other[c] for c in ("_k1", "_k2", "win", "piece")]
+    both = both.join(other, [*held, F.abs(F.col("at") - F.col("start")) <= slop], "left_semi")
+    return alone.select("_k1", "_k2", "win", "start").unionByName(both.select("_k1", "_k2", "win", "start"))
+
+
+def phrase_matches(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = WINDOW, near: int = NEAR, slop: int = SLOP, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``docs`` as a struct ``_row``, with n_words, matches (exact windows) and near (proximity matches of full windows).
+
+    Both are arrays of start, len, items, by start. An exact match has all words of the window at their places. A
+    proximity match begins where the window's rarest term stands at its place and the next rarest within ``slop`` words
+    of its own, with at least ``near`` words of the window within ``slop`` words of their places; so exact matches of
+    full windows are among them, and a window with an inserted, dropped or changed word is found unless that was one of
+    its two rarest terms. Rarity is by occurrences in all texts.
+
+    A null text, or one without words, has no matches; repeated rows each get theirs; a null doc_id matches like any;
+    items without words and items without texts find nothing; either table may be empty. Ids of items can be of any
+    type. What is broadcast is counted before: terms, windows and places up to BROADCAST_ROWS, beyond that shuffled.
     """
-    source = docs.select(*doc_key(doc_id, text), F.col(doc_id).alias("doc_id"), F.col(text).alias("_t"), *[F.expr(e) for e in keep])
-    wins = cut(windows(items, size=size), "windows")
+    rows = docs.select(row_of(docs).alias("_row"), F.col(quoted(doc_id)).alias("_d"), F.col(quoted(text)).alias("_t"))
+    source = rows.select("_row", "_t", *doc_key("_d", "_t"))
+    wins = cut(windows(items, item_id, item_text, size), "windows")
     n_wins = wins.count()
     vocabulary = cut(wins.select(F.explode("terms").alias("term")).distinct(), "terms")
     counts = term_counts(source, small(vocabulary, vocabulary.count()), "_t")
-    rare = cut(index_terms(wins, counts), "rare")
+    rare = cut(index_terms(wins, counts, INDEX_TERMS, size, near), "rare")
     named = rare.select("term").distinct()
-    index = cut(postings(source, small(named, n_wins * INDEX_TERMS)), "postings")
-    found = candidates(index, rare).distinct().join(small(wins, n_wins), "win")
-    per = cut(found.groupBy("_k1", "_k2").agg(F.array_sort(F.collect_list(F.struct("start", "len", "terms", "items"))).alias("cands")), "candidates")
-    rows = per.count()
-    joined = source.join(small(per, rows, 20_000), ["_k1", "_k2"], "left").withColumn("w", words(F.col("_t")))
-    exact = F.filter(F.coalesce("cands", F.expr("CAST(array() AS array<struct<start:int,len:int,terms:array<string>,items:array<bigint>>>)")), lambda c: F.slice("w", c["start"] + 1, c["len"]) == c["terms"])
-    return joined.select("doc_id", F.size("w").cast("long").alias("n_words"), F.transform(exact, lambda c: F.struct(c["start"].alias("start"), c["len"].alias("len"), c["items"].alias("items"))).alias("matches"), *source.columns[4:])
+    n_rare = rare.count()
+    index = cut(postings(source, small(named, n_rare)), "postings")
+    found = candidates(index, rare, n_rare, slop).distinct()
+    per = cut(found.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("start", "win")).alias("places")), "places")
+    n_places = per.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
+    # a place is compared with its window where the text is: the words around it go to the window, not the text
+    texts = source.select("_k1", "_k2", "_t").join(small(per, n_places), ["_k1", "_k2"]).select("_k1", "_k2", words(F.col("_t")).alias("w"), "places").dropDuplicates(["_k1", "_k2"])
+    lo = lambda p: F.greatest(p["start"] - slop, F.lit(0))
+    around = texts.select("_k1", "_k2", F.explode(F.transform("places", lambda p: F.struct(p["start"].alias("start"), p["win"].alias("win"), lo(p).alias("lo"), F.slice("w", lo(p) + 1, p["start"] + size + slop - lo(p)).alias("part")))).alias("p")).select("_k1", "_k2", "p.*")
+    met = around.join(small(wins, n_wins), "win").withColumn("len", F.size("terms"))
+    exact = (F.col("start") >= 0) & (F.slice("part", F.col("start") - F.col("lo") + 1, F.col("len")) == F.col("terms"))
+    stands = lambda t, i: F.array_contains(F.slice("part", F.greatest(F.col("start") + i - slop - F.col("lo"), F.lit(0)) + 1, F.col("start") + i + slop - F.greatest(F.col("start") + i - slop, F.col("lo")) + 1), t)
+    placed = F.size(F.filter(F.transform("terms", lambda t, i: stands(t, i)), lambda x: x))
+    hits = met.select("_k1", "_k2", F.col("start"), "len", "items", exact.alias("exact"), ((F.col("len") == size) & (placed >= near)).alias("near")).where("exact OR near")
+    span = F.struct("start", "len", "items")
+    spans = cut(hits.groupBy("_k1", "_k2").agg(*[F.array_sort(F.collect_list(F.when(F.col(c), span))).alias(c) for c in ("exact", "near")]), "matches")
+    n_items = spans.agg(F.coalesce(F.sum(F.size("exact") + F.size("near")), F.lit(0))).first()[0]
+    joined = source.select("_row", "_k1", "_k2", F.size(words(F.col("_t"))).cast("long").alias("n_words")).join(small(spans, n_items, BROADCAST_ROWS // 4), ["_k1", "_k2"], "left")
+    none = F.array().cast(spans.schema["exact"].dataType)
+    return joined.select("_row", "n_words", F.coalesce("exact", none).alias("matches"), F.coalesce("near", none).alias("near"))
 
 
 def covered(matches: Column) -> Column:
@@ -91,25 +124,21 @@ def covered(matches: Column) -> Column:
     return F.aggregate(matches, F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")), step, lambda a: a["n"])
 
 
-def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 5, text: str = "text", doc_id: str = "doc_id", size: int = WINDOW) -> DataFrame:
-    """doc keys, win and start where a window's index terms all stand within ``slop`` words of their offsets."""
-    source = docs.select(*doc_key(doc_id, text), F.col(text).alias("_t"))
-    wins = windows(items, size=size)
-    vocabulary = wins.select(F.explode("terms").alias("term")).distinct()
-    rare = cut(index_terms(wins, term_counts(source, vocabulary, "_t")), "rare")
-    index = cut(postings(source, rare.select("term").distinct()), "postings")
-    listed = index.join(F.broadcast(rare), "term").select("_k1", "_k2", "win", "needs", "rank", (F.col("pos") - F.col("off")).alias("start"))
-    first = listed.where("rank = 1").select("_k1", "_k2", "win", "needs", "start")
-    rest = listed.where("rank > 1").select("_k1", "_k2", "win", "rank", F.col("start").alias("other"))
-    near = first.join(rest, ["_k1", "_k2", "win"], "left").where(F.col("other").isNull() | (F.abs(F.col("other") - F.col("start")) <= slop))
-    return near.groupBy("_k1", "_k2", "win", "start", "needs").agg(F.count_distinct("rank").alias("others")).where("others >= needs - 1").drop("needs", "others")
+def item_names(matches: Column) -> Column:
+    """Ids of the items of matches, as strings: distinct and sorted."""
+    return F.array_sort(F.array_distinct(F.transform(F.flatten(F.transform(matches, lambda m: m["items"])), lambda i: i.cast("string"))))
 
 
 def op9_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = phrase_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    items = F.array_sort(F.array_distinct(F.transform(F.flatten(F.transform("matches", lambda m: m["items"])), lambda i: i.cast("string"))))
+    """The contract's digests of exact matches, and items and words that proximity matches cover. Nulls, repeats and
+    empty tables as in phrase_matches."""
+    found = phrase_matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    items, near = item_names(F.col("matches")), item_names(F.col("near"))
     hit = covered(F.col("matches")).cast("long")
-    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+    return found.select(
+        F.col("_row.doc_id").alias("doc_id"), "n_words", hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
+        F.size("near").cast("long").alias("n_near"), F.size(near).cast("long").alias("n_near_items"), F.sha2(F.array_join(near, ","), 256).alias("near_sha256"),
+    )
 
 
 OP9_SQL = r"""
@@ -120,6 +149,17 @@ sizes AS (SELECT DISTINCT n FROM wins),
 grams AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM d, sizes, unnest(range(1, len(w) - n + 2)) AS u(i) WHERE len(w) >= n),
 hits AS (SELECT r, i, grams.n, item_id FROM grams JOIN wins ON grams.g = wins.g AND grams.n = wins.n),
 places AS (SELECT r, count(DISTINCT p) AS n_hit FROM hits, unnest(range(i, i + n)) AS u(p) GROUP BY r),
-named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY r)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN places USING (r) LEFT JOIN named USING (r)"""
+named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY r),
+counts AS (SELECT t, count(*) AS n FROM d, unnest(w) AS u(t) GROUP BY t),
+full_ AS (SELECT DISTINCT g, string_split(g, ' ') AS t FROM wins WHERE n = 10),
+offs AS (SELECT g, o - 1 AS o, t[o] AS t FROM full_, unnest(range(1, 11)) AS u(o)),
+ranked AS (SELECT g, o, offs.t, row_number() OVER (PARTITION BY g ORDER BY n, o) AS rank, count(*) OVER (PARTITION BY g) AS held FROM offs JOIN counts ON counts.t = offs.t),
+posts AS (SELECT r, i - 1 AS p, w[i] AS t FROM d, unnest(range(1, len(w) + 1)) AS u(i) WHERE w[i] IN (SELECT t FROM offs)),
+firsts AS (SELECT DISTINCT r, g, p - o AS s FROM posts JOIN ranked ON posts.t = ranked.t WHERE rank = 1 AND held >= 8 AND p - o >= -3),
+starts AS (SELECT f.r, f.g, f.s FROM firsts f JOIN ranked k ON k.g = f.g AND k.rank = 2 JOIN posts p ON p.r = f.r AND p.t = k.t AND p.p - k.o - f.s BETWEEN -3 AND 3 GROUP BY ALL),
+near AS (SELECT s.r, s.g, s.s FROM starts s JOIN offs k ON k.g = s.g JOIN posts p ON p.r = s.r AND p.t = k.t AND p.p - k.o - s.s BETWEEN -3 AND 3 GROUP BY ALL HAVING count(DISTINCT k.o) >= 8),
+near_n AS (SELECT r, count(*) AS n_near FROM near GROUP BY r),
+near_i AS (SELECT r, count(*) AS n_near_items, string_agg(item, ',' ORDER BY item) AS near_items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM near JOIN wins ON wins.g = near.g AND wins.n = 10) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CAST(coalesce(n_near_items, 0) AS BIGINT) AS n_near_items, sha256(coalesce(near_items, '')) AS near_sha256
+FROM d LEFT JOIN places USING (r) LEFT JOIN named USING (r) LEFT JOIN near_n USING (r) LEFT JOIN near_i USING (r)"""
