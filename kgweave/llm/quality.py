@@ -236,7 +236,8 @@ def scored(df: DataFrame, uri: str, shards: int, text: str = "text", order: int
                 if shards > 1:
                     own &= shard_of(k >> 8, shards) == shard
                 loss = np.zeros(hi - lo)
-                loss[own] = -log_probability(part, k[own], order)
+                each, again = np.unique(k[own], return_inverse=True)  # far fewer than positions, and looked up in order
+                loss[own] = -log_probability(part, each, order)[again]
                 first, last = np.searchsorted(ends, lo, "right"), np.searchsorted(ends, hi - 1, "right")
                 doc = np.searchsorted(ends, np.arange(lo, hi), "right") if last > first else None
                 if doc is None:
