@@ -9,12 +9,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kgweave.llm.base import cut, small, table
-
-#: Distinct vectors of a shard on average, links of a node on upper levels (twice on the lowest), beam widths.
-SHARD, LINKS, EF_BUILD, EF_SEARCH = 4096, 16, 64, 64
-#: Queries that meet a shard in one task, and those that advance together.
-BLOCK, TOGETHER = 32_768, 256
+from kgweave.llm.base import cut, quoted, small, table
+
+#: Distinct vectors of a shard on average, links of a node on upper levels (twice on the lowest), beam width while building.
+SHARD, LINKS, EF_BUILD = 16_384, 16, 64
+#: Beam widths to choose from. A shard takes the least at which PROBES of its own vectors find TARGET of their nearest.
+WIDTHS, PROBES, TARGET = (64, 128, 256, 512, 1024), 64, 0.95
+#: Queries that meet a shard in one task, those of one row, and those that advance together.
+BLOCK, PACK, TOGETHER = 32_768, 2048, 256
 #: Nodes expanded in one step of a beam.
 STEP = 4
 #: Nodes without an incoming path get one of these extra slots of a node that has.
@@ -110,6 +112,12 @@ def reached(links: np.ndarray, start: np.ndarray) -> np.ndarray:
     return seen[:-1]
 
 
+def lengthened(x: np.ndarray) -> np.ndarray:
+    """With a further component that makes all vectors equally long."""
+    square = (x.astype(np.float64) ** 2).sum(1)
+    return np.concatenate((x, np.sqrt(np.maximum(square.max() - square, 0))[:, None]), 1).astype(np.float32)
+
+
 def build(vectors: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """Augmented vectors in insertion order and, from the top level down, (order, flat neighbours) as positions.
 
@@ -117,12 +125,10 @@ def build(vectors: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, list[tuple[
     query's is zero. Levels come from a hash of the id, so a rebuilt shard is the same.
     """
     n = len(vectors)
-    square = (vectors.astype(np.float64) ** 2).sum(1)
-    extra = np.sqrt(np.maximum(square.max() - square, 0))[:, None]
     u = (pd.util.hash_array(ids.astype(np.int64)) >> np.uint64(11)).astype(np.float64) / 2**53
     level = np.minimum((-np.log(np.maximum(u, 1e-300)) / math.log(LINKS)).astype(int), 8)
     order = np.lexsort((ids, -level))  # upper levels are prefixes of this order
-    x = np.concatenate((vectors, extra), 1).astype(np.float32)[order]
+    x = lengthened(vectors)[order]
     levels = level[order]
     layers: list[tuple[np.ndarray, np.ndarray]] = []
     for lv in range(int(levels[0]), -1, -1):
@@ -175,15 +181,45 @@ def search(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], q: np.nda
     return np.concatenate(out)
 
 
+def width(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray, k: int) -> int:
+    """The beam width this shard needs, measured against all of it; 0 where none suffices and all vectors are compared."""
+    probe = x[np.argsort(pd.util.hash_array(ids.astype(np.int64) ^ 0x5BD1E995))[:PROBES], :-1]
+    k = min(k, len(x))
+    full = probe @ x[:, :-1].T
+    least = -np.partition(-full, k - 1, axis=1)[:, k - 1]
+    for ef in WIDTHS:
+        if ef >= k:
+            found = search(x, layers, probe, max(ef, STEP))
+            hit = (found >= 0) & (np.take_along_axis(full, np.maximum(found, 0), 1) >= least[:, None] - 1e-5 * np.abs(least[:, None]))
+            if np.minimum(hit.sum(1), k).sum() >= TARGET * k * len(probe):
+                return ef
+    return 0
+
+
+def scan(x: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k largest inner products of each query, all vectors compared."""
+    k = min(k, len(x))
+    out = []
+    for i in range(0, len(q), TOGETHER):
+        full = q[i : i + TOGETHER] @ x.T
+        top = np.argpartition(-full, k - 1, axis=1)[:, :k]
+        out.append(np.take_along_axis(top, np.argsort(-np.take_along_axis(full, top, 1), axis=1, kind="stable"), 1))
+    return np.concatenate(out)
+
+
 def valid(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     """vec_id, v, dim of vectors that take part: not null, finite, not zero, with an id."""
-    v = F.col(embedding)
+    v = F.col(quoted(embedding))
     ok = F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists(v, lambda e: e != 0)
-    return vectors.where(F.col(vec_id).isNotNull() & ok).select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v"), F.size(v).alias("dim")).distinct()
+    return vectors.where(F.col(quoted(vec_id)).isNotNull() & ok).select(F.col(quoted(vec_id)).cast("long").alias("vec_id"), v.alias("v"), F.size(v).alias("dim")).distinct()
+
+
+GRAPH = "dim int, shard int, shards int, ef int, x binary, ids binary, n_ids binary, links array<binary>, sizes array<int>"
 
 
 def index(vectors: DataFrame, keep: int, shard: int = SHARD) -> DataFrame:
-    """One row a shard: dim, shard, ids (of each distinct vector, smallest first, ``keep`` at most), x (their float32), layers.
+    """One row a shard (GRAPH): ids (of each distinct vector, smallest first, ``keep`` at most), x (their float32), layers
+    as flat arrays, and ef, the beam width measured for it.
 
     vectors: vec_id, v, dim. Equal vectors are one node: no search returns more than ``keep`` of them, those of smallest
     id. Distinct vectors are dealt to shards by hash, so that no shard grows with a popular vector.
@@ -191,50 +227,68 @@ def index(vectors: DataFrame, keep: int, shard: int = SHARD) -> DataFrame:
     first = Window.partitionBy("v").orderBy("vec_id")
     nodes = vectors.select("dim", "v", "vec_id", F.row_number().over(first).alias("r")).where(F.col("r") <= keep).groupBy("dim", "v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     nodes = cut(nodes, "nodes")
-    sizes = nodes.groupBy("dim").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"))
-    dealt = nodes.join(F.broadcast(sizes), "dim").withColumn("shard", F.pmod(F.xxhash64("v"), F.col("shards")).cast("int"))
+    sizes = cut(nodes.groupBy("dim").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards")), "sizes")
+    dealt = nodes.join(small(sizes, sizes.count()), "dim").withColumn("shard", F.pmod(F.xxhash64("v"), F.col("shards")).cast("int"))
 
     def make(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(pdf["v"].to_numpy()).astype(np.float32)
         order, layers = build(x, np.array([i[0] for i in pdf["ids"]], np.int64))
         ids = [pdf["ids"].iloc[i] for i in order]
+        x = x[order]
+        ef = width(lengthened(x), layers, np.array([i[0] for i in ids], np.int64), keep)
         return pd.DataFrame({
-            "dim": pdf["dim"].iloc[:1].to_numpy(), "shard": pdf["shard"].iloc[:1].to_numpy(), "shards": pdf["shards"].iloc[:1].to_numpy(), "x": [x[order].tobytes()],
+            "dim": pdf["dim"].iloc[:1].to_numpy(), "shard": pdf["shard"].iloc[:1].to_numpy(), "shards": pdf["shards"].iloc[:1].to_numpy(), "ef": [ef], "x": [x.tobytes()],
             "ids": [np.concatenate(ids).astype(np.int64).tobytes()], "n_ids": [np.array([len(i) for i in ids], np.int32).tobytes()], "links": [[a.tobytes() for _, a in layers]], "sizes": [[len(a) for a, _ in layers]],
         })
 
-    return dealt.groupBy("dim", "shard").applyInPandas(make, "dim int, shard int, shards int, x binary, ids binary, n_ids binary, links array<binary>, sizes array<int>")
+    return dealt.groupBy("dim", "shard").applyInPandas(make, GRAPH)
+
+
+def packed(queries: DataFrame, blocks: int) -> DataFrame:
+    """Distinct query vectors (dim, v, k1, k2) in rows of about PACK: dim, block, x (float32), k1, k2 (their keys)."""
+    parts = BLOCK // PACK
+    dealt = queries.withColumn("part", F.pmod(F.xxhash64("v", F.lit(7)), F.lit(blocks * parts)).cast("int"))
 
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf["v"].to_numpy()).astype(np.float32)
+        return pd.DataFrame({"dim": pdf["dim"].iloc[:1].to_numpy(), "block": [int(pdf["part"].iloc[0]) // parts], "x": [x.tobytes()], "k1": [pdf["k1"].to_numpy(np.int64).tobytes()], "k2": [pdf["k2"].to_numpy(np.int64).tobytes()]})
+
+    return dealt.groupBy("dim", "part").applyInPandas(pack, "dim int, block int, x binary, k1 binary, k2 binary")
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", ef: int = EF_SEARCH, shard: int = SHARD) -> DataFrame:
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", shard: int = SHARD) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best found by inner product in double precision, ties to smaller ids.
 
-    Both tables: ids and vectors. A query's own id is no candidate; vectors that are null, zero, or hold null or
-    non-finite components take no part; vectors are only compared with those of equal length; equal rows count once.
+    Both tables: ids and vectors; other columns play no part. A query's own id is no candidate; vectors that are null,
+    zero, or hold null or non-finite components, and rows without id, take no part; vectors are only compared with
+    those of equal length; equal rows count once; of equal scores the smaller ids come first. Either table may be empty.
+
+    Each shard's beam is as wide as it must be to find TARGET of the nearest of a sample of its own vectors; a shard in
+    which no width does is scanned. Blocks of queries, not single ones, go to the shards.
     """
     built = cut(index(valid(vectors, vec_id, embedding), k + 1, shard), "index")
-    asked = valid(queries, vec_id, embedding)
-    distinct = cut(asked.groupBy("dim", "v").agg(F.count("*").alias("copies")), "asked")
+    keyed = valid(queries, vec_id, embedding).select("vec_id", "dim", "v", F.xxhash64("v").alias("k1"), F.xxhash64("v", F.lit(1)).alias("k2"))
+    asked = cut(keyed.select("vec_id", "k1", "k2"), "asked")
+    distinct = cut(keyed.select("dim", "v", "k1", "k2").distinct(), "distinct")
     blocks = max(1, math.ceil(distinct.count() / BLOCK))
-    shards = built.select("dim", "shard")
-    block = F.pmod(F.xxhash64("v", F.lit(7)), F.lit(blocks)).cast("int")
-    sent = distinct.select("dim", "v", block.alias("block")).join(small(shards.groupBy("dim").agg(F.max("shard").alias("last")), 1), "dim").select("dim", "block", "v", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("shard"))
+    lasts = cut(built.groupBy("dim").agg(F.max("shard").alias("last")), "lasts")
+    sent = cut(packed(distinct, blocks), "packed").join(small(lasts, lasts.count()), "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("last")))).drop("last")
     graphs = built.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def look(graph: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         if graph.empty or ask.empty:
-            return pd.DataFrame({"dim": [], "v": [], "grp": [], "found": []})
+            return pd.DataFrame({"k1": [], "k2": [], "grp": [], "found": []})
         g = graph.iloc[0]
         dim = int(g["dim"])
         x = np.frombuffer(g["x"], np.float32).reshape(-1, dim)
-        square = (x.astype(np.float64) ** 2).sum(1)
-        long = np.concatenate((x, np.sqrt(np.maximum(square.max() - square, 0))[:, None].astype(np.float32)), 1)
         layers = [(np.arange(n), np.frombuffer(raw, np.int32).reshape(n, -1)) for raw, n in zip(g["links"], g["sizes"], strict=True)]
         n_ids = np.frombuffer(g["n_ids"], np.int32)
         ends = np.cumsum(n_ids)
         ids = np.frombuffer(g["ids"], np.int64)
-        q = np.stack(ask["v"].to_numpy()).astype(np.float32)
-        found = search(long, layers, q, min(max(ef, k + 1), max(len(x), STEP)))
+        q = np.concatenate([np.frombuffer(b, np.float32) for b in ask["x"]]).reshape(-1, dim)
+        k1, k2 = (np.concatenate([np.frombuffer(b, np.int64) for b in ask[c]]) for c in ("k1", "k2"))
+        ef = int(g["ef"])
+        found = search(lengthened(x), layers, q, min(max(ef, k + 1), max(len(x), STEP))) if ef else scan(x, q, k + 1)
         exact = x.astype(np.float64)
         out = []
         for i, row in enumerate(found):
@@ -244,17 +298,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "
             scores = np.repeat(score, n_ids[row])
             best = np.lexsort((every, -scores))[: k + 1]
             out.append([{"neg": -float(s), "id": int(e)} for s, e in zip(scores[best], every[best], strict=True)])
-        return pd.DataFrame({"dim": dim, "v": ask["v"].to_numpy(), "grp": int(g["shard"]) // 64, "found": out})
+        return pd.DataFrame({"k1": k1, "k2": k2, "grp": int(g["shard"]) // 64, "found": out})
 
-    kind = distinct.schema["v"].dataType.simpleString()
-    hits = graphs.groupBy("dim", "shard", "block").cogroup(sent.groupBy("dim", "shard", "block")).applyInPandas(look, f"dim int, v {kind}, grp int, found array<struct<neg:double,id:long>>")
+    hits = graphs.groupBy("dim", "shard", "block").cogroup(sent.groupBy("dim", "shard", "block")).applyInPandas(look, "k1 long, k2 long, grp int, found array<struct<neg:double,id:long>>")
     best = F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k + 1)
-    merged = hits.groupBy("v", "grp").agg(best.alias("found")).groupBy("v").agg(best.alias("found"))
-    each = asked.select(F.col("vec_id").alias("query_id"), "v").join(merged, "v")
+    merged = hits.groupBy("k1", "k2", "grp").agg(best.alias("found")).groupBy("k1", "k2").agg(best.alias("found"))
+    each = asked.withColumnRenamed("vec_id", "query_id").join(merged, ["k1", "k2"])
     own = F.slice(F.filter("found", lambda f: f["id"] != F.col("query_id")), 1, k)
     return each.select("query_id", F.posexplode(own).alias("pos", "f")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("f.id").alias("vec_id"), (-F.col("f.neg")).alias("score"))
 
 
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of each row whose vec_id is divisible by 20, among all other rows. Nulls and ties as in nearest."""
     vectors = table(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.where("vec_id % 20 = 0"))
