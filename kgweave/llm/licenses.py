@@ -9,8 +9,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kgweave.llm.base import table
+from kgweave.llm.base import lean, quoted, table
 
 #: Bytes of words: ASCII letters and digits, and everything beyond ASCII.
 IS_WORD = np.array([48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
@@ -107,20 +108,24 @@ class Scanner:
 
     def __init__(self, rules: tuple[Signature, ...]):
         self.base = [(label, re.compile(rb"(?<!" + WORD + rb")" + phrase.encode().replace(b" ", GAP) + rb"(?!" + WORD + rb")"), phrase.split()[-1].encode() if label != "mit" else b"mit") for phrase, label in BASE]
+        self.highest = -max((r.priority for r in rules), default=0)
         self.by_keyword: dict[bytes, list[tuple[int, Signature, re.Pattern[bytes]]]] = {}
         for i, r in enumerate(rules):
             self.by_keyword.setdefault(r.keyword.encode(), []).append((i, r, r.compiled()))
 
     def detections(self, low: bytes) -> list[tuple[int, int, Signature]]:
         """Byte spans of signature matches; one that lies within another of higher priority, or of the same and longer, or equal and earlier in the rules, is suppressed."""
-        found = [(m.start(), m.end(), -r.priority, i, r) for keyword, rules in self.by_keyword.items() if keyword in low for i, r, p in rules for m in p.finditer(low)]
-        # by start, then longest: a span can only lie within spans met before it
-        found.sort(key=lambda d: (d[0], -d[1], d[2], d[3]))
-        kept: list[tuple[int, int, int, int, Signature]] = []
-        for d in sorted(found, key=lambda d: (d[2], d[0] - d[1], d[3], d[0])):
-            if not any(k[0] <= d[0] and d[1] <= k[1] for k in kept):
-                kept.append(d)
-        return [(d[0], d[1], d[4]) for d in sorted(kept, key=lambda d: (d[0], d[1], d[3]))]
+        found = [(m.start(), -m.end(), -r.priority, i, r) for keyword, rules in self.by_keyword.items() if keyword in low for i, r, p in rules for m in p.finditer(low)]
+        # in this order whatever a span can lie within comes before it, so the farthest end of each priority decides
+        found.sort(key=lambda d: d[:4])
+        reach: dict[int, int] = {}
+        kept: list[tuple[int, int, Signature]] = []
+        for start, end, priority, _, r in found:
+            if any(reach.get(p, -1) >= -end for p in range(priority, self.highest - 1, -1)):
+                continue
+            kept.append((start, -end, r))
+            reach[priority] = max(reach.get(priority, -1), -end)
+        return kept
 
     def scan(self, text: bytes) -> tuple[int, int, int | None, int | None, str, str, float]:
         low = text.translate(ASCII_LOWER)
@@ -144,7 +149,8 @@ def scan_licenses(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rul
     """One row per row of ``df`` (SCHEMA), without a shuffle: each text is read once, whole.
 
     Null and empty texts have no words, no labels and score 0; repeated rows each get theirs. A phrase's places are
-    counted also where signatures overlap them; signatures only add labels.
+    counted also where signatures overlap them; signatures only add labels. Other columns play no part; an empty table
+    gives an empty one.
     """
     rules = signatures() if rules is None else rules
 
@@ -157,8 +163,9 @@ def scan_licenses(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rul
             cols = [b.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, types[1:], strict=True))]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return df.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"`{text}` text").mapInArrow(run, SCHEMA)
+    return df.select(F.col(quoted(doc_id)).cast("long").alias("doc_id"), F.col(quoted(text)).alias("text")).mapInArrow(lean(run), SCHEMA)
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns of every document; nulls, empty texts and repeated rows as in scan_licenses."""
     return scan_licenses(table(spark, sf_dir, "documents"))
