@@ -6,19 +6,20 @@ import base64
 from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import pyarrow.fs as pafs
 import regex
 import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kgweave.llm.base import table
+from kgweave.llm.base import cut, lean, let, others, quoted, running, table
 
-#: Ranks of the byte-level vocabulary; any file of tiktoken's format can be given instead.
+#: The vocabulary of the query; the operator takes any file of tiktoken's format.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: The vocabulary's pre-token pattern. Fixed value.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -61,7 +62,7 @@ class Encoder:
 
 
 class SegmentTree:
-    """Leaves of about LEAF pre-tokens; inner nodes hold sums of code points and tokens of their subtrees."""
+    """Leaves of about LEAF pre-tokens, some empty after edits; inner nodes hold sums of code points and tokens of their subtrees."""
 
     def __init__(self, lengths: list[int], counts: list[int]):
         self.leaves = [(lengths[i : i + LEAF], counts[i : i + LEAF]) for i in range(0, len(lengths), LEAF)] or [([], [])]
@@ -93,15 +94,21 @@ class SegmentTree:
 
     def set_leaves(self, first: int, last: int, lengths: list[int], counts: list[int]) -> None:
         """Replace leaves first..last by these pre-tokens, and the sums above them."""
-        if first == last and len(lengths) <= 2 * LEAF:
-            self.leaves[first] = (lengths, counts)
-            i = self.size + first
-            self.chars[i], self.tokens[i] = sum(lengths), sum(counts)
-            while i > 1:
-                i //= 2
-                self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
-                self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
-        else:
+        slots = last - first + 1
+        if len(lengths) <= 2 * LEAF * slots:
+            share = max(1, -(-len(lengths) // slots))
+            changed = set()
+            for j in range(slots):
+                own = self.leaves[first + j] = lengths[j * share : (j + 1) * share], counts[j * share : (j + 1) * share]
+                i = self.size + first + j
+                self.chars[i], self.tokens[i] = sum(own[0]), sum(own[1])
+                changed.add(i // 2)
+            while changed - {0}:  # level by level, each sum once
+                for i in changed:
+                    self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
+                    self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
+                changed = {i // 2 for i in changed} - {0}
+        else:  # the text has grown by more than its leaves hold
             self.leaves[first : last + 1] = [(lengths[i : i + LEAF], counts[i : i + LEAF]) for i in range(0, len(lengths), LEAF)]
             self.leaves = [x for x in self.leaves if x[0]] or [([], [])]
             self.build()
@@ -158,17 +165,33 @@ def apply_edits(tree: SegmentTree, encoder: Encoder, text: str, edits: list[tupl
 STATE = "_n_before long, _n_tokens long, _n_pieces long, _n_again long, _n_edits long, _text string, _lengths array<int>, _counts array<int>"
 
 
-def count_tokens(df: DataFrame, text: str = "text", edits: str | None = None, lengths: str | None = None, counts: str | None = None, vocabulary: str = VOCABULARY, leaves: bool = True) -> DataFrame:
+def lists(column: pa.Array) -> list[list[int] | None]:
+    """The lists of an Arrow column of lists, by way of one array of all their items."""
+    flat, ends = column.flatten().to_numpy(zero_copy_only=False).tolist(), np.cumsum([0 if n is None else n for n in pa.compute.list_value_length(column).to_pylist()]).tolist()
+    return [flat[a:b] if ok else None for a, b, ok in zip([0, *ends], ends, column.is_valid().to_pylist(), strict=False)]
+
+
+def count_tokens(df: DataFrame, vocabulary: str, text: str = "text", edits: str | None = None, lengths: str | None = None, counts: str | None = None, leaves: bool = True) -> DataFrame:
     """``df`` with STATE: token counts before and after the edits, the edited text and the tree's leaves.
 
-    edits: column of array<struct<start,end,put>>, applied in order, each to the text as left by the one before; offsets
-    beyond the text are moved to its end; null: none. lengths, counts: columns with the leaves of an earlier run over the
-    same text; without them the text is encoded once. A null text counts as empty: 0 tokens. Every row is counted.
+    vocabulary: a file of tiktoken's format, as a path or URI that the driver can read. edits: column of
+    array<struct<start,end,put>>, applied in order, each to the text as left by the one before; offsets beyond the text
+    are moved to its end; null: none. lengths, counts: columns with the leaves of an earlier run over the same text;
+    without them (or where they are null) the text is encoded once. A null text counts as empty: 0 tokens. Rows are
+    counted one for one, repeated ones too; an empty table gives an empty one. Columns of ``df`` with names of STATE
+    are replaced, also where they are the input.
     """
-    ranks = df.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())  # one file of a fixed vocabulary
+    fs, path = pafs.FileSystem.from_uri(vocabulary)
+    with fs.open_input_stream(path) as f:
+        ranks = df.sparkSession.sparkContext.broadcast(f.read())  # one file of a fixed vocabulary
     own = T._parse_datatype_string(STATE)
-    schema = T.StructType([*df.schema.fields, *own.fields])
-    at = {k: df.columns.index(v) for k, v in (("text", text), ("edits", edits), ("lengths", lengths), ("counts", counts)) if v}
+    passed = others(df, *[f.name for f in own.fields])
+    inputs = {k: v for k, v in (("text", text), ("edits", edits), ("lengths", lengths), ("counts", counts)) if v}
+    # columns travel under numbers, so that none clashes with another
+    sent = [*passed, *[c for c in dict.fromkeys(inputs.values()) if c not in passed]]
+    at = {k: sent.index(v) for k, v in inputs.items()}
+    numbered = df.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(sent)])
+    schema = T.StructType([*numbered.schema.fields[: len(passed)], *own.fields])
     types = [pa.int64()] * 5 + [pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +200,7 @@ def count_tokens(df: DataFrame, text: str = "text", edits: str | None = None, le
             for lo in range(0, b.num_rows, 500):  # leaves take several times the room of texts
                 part = b.slice(lo, 500)
                 out = []
-                old = zip(part.column(at["lengths"]).to_pylist(), part.column(at["counts"]).to_pylist(), strict=True) if lengths else [(None, None)] * part.num_rows
+                old = zip(lists(part.column(at["lengths"])), lists(part.column(at["counts"])), strict=True) if lengths and counts else [(None, None)] * part.num_rows
                 todo = part.column(at["edits"]).to_pylist() if edits else [None] * part.num_rows
                 for t, e, (ls, cs) in zip(part.column(at["text"]).to_pylist(), todo, old, strict=True):
                     t = t or ""
@@ -193,22 +216,19 @@ def count_tokens(df: DataFrame, text: str = "text", edits: str | None = None, le
                     else:
                         total = before
                     out.append((before, total, len(ls), again, len(e or ()), t if leaves else None, np.array(ls, np.int32) if leaves else None, np.array(cs, np.int32) if leaves else None))
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True))], [f.name for f in schema.fields])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(passed)], *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True))], [f.name for f in schema.fields])
 
-    return df.mapInArrow(run, schema)
+    found = numbered.mapInArrow(lean(run), schema)
+    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(passed)], *[f.name for f in own.fields])
 
 
 def redactions(text: Column, pattern: str, put: str) -> Column:
     """Edits that replace every match of the pattern, last first, so that offsets stay those of the text."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
     zero = F.expr("CAST(array() AS array<struct<start:int,end:int,put:string>>)")
-    spans = F.aggregate(
-        F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), F.transform(found, F.length).alias("len")),
-        F.struct(F.lit(0).alias("at"), zero.alias("out")),
-        lambda a, x: F.struct((a["at"] + x["gap"] + x["len"]).alias("at"), F.concat(F.array(F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + x["len"]).alias("end"), F.lit(put).alias("put"))), a["out"]).alias("out")),
-        lambda a: a["out"],
-    )
+    gaps = lambda found: F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), F.length)
+    edit_ = lambda x: F.struct((x["before"] + x["gap"]).alias("start"), (x["before"] + x["gap"] + F.length(x["hit"])).alias("end"), F.lit(put).alias("put"))
+    placed = lambda found, gap: F.transform(F.arrays_zip(running(F.zip_with(gap, found, lambda g, h: g + F.length(h))).alias("before"), gap.alias("gap"), found.alias("hit")), edit_)
+    spans = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: let(gaps(found), lambda gap: F.reverse(placed(found, gap))))
     return F.when(F.regexp_like(text, F.lit(pattern)), spans).otherwise(zero)
 
 
@@ -217,7 +237,13 @@ NUMBERS = r"\+?[0-9][0-9() .-]{6,}[0-9]"
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of every document, and after its personal numbers are replaced, from the same trees."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", redactions(F.coalesce("text", F.lit("")), NUMBERS, "<number>").alias("edits"))
-    out = count_tokens(docs, edits="edits", leaves=False)
-    return out.select("doc_id", F.col("_n_before").alias("n_tokens"), F.col("_n_edits").alias("n_edits"), F.col("_n_tokens").alias("n_tokens_edited"), F.col("_n_pieces").alias("n_pieces"), F.col("_n_again").alias("n_encoded_again"))
+    """Tokens of every document, and after its personal numbers are replaced: trees are written once, and the edits
+    applied to those read back. Null and empty texts have 0 tokens; repeated rows each get theirs."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("_text"), redactions(F.coalesce("text", F.lit("")), NUMBERS, "<number>").alias("edits"))
+    edited = F.size("edits") > 0
+    first = count_tokens(docs, VOCABULARY, "_text")
+    # texts and leaves go on where edits need them
+    trees = cut(first.select("doc_id", "edits", F.col("_n_tokens").alias("n_tokens"), F.col("_n_pieces").alias("n_pieces"), *[F.when(edited, F.col(c)).alias(c) for c in ("_text", "_lengths", "_counts")]), "trees")
+    rest = trees.where(~edited).select("doc_id", "n_tokens", F.lit(0).cast("long").alias("n_edits"), F.col("n_tokens").alias("n_tokens_edited"), "n_pieces", F.lit(0).cast("long").alias("n_encoded_again"))
+    again = count_tokens(trees.where(edited).select("doc_id", "n_tokens", "edits", "_text", "_lengths", "_counts"), VOCABULARY, "_text", "edits", "_lengths", "_counts", leaves=False)
+    return rest.unionByName(again.select("doc_id", "n_tokens", F.col("_n_edits").alias("n_edits"), F.col("_n_tokens").alias("n_tokens_edited"), F.col("_n_pieces").alias("n_pieces"), F.col("_n_again").alias("n_encoded_again")))
