@@ -18,6 +18,8 @@ from kgweave.llm.base import new_folder, small, table
 
 #: Compressed bytes after which a file is closed and the next begun.
 ROLL_BYTES = 256 << 20
+#: Payload bytes of a shard: the lesser up to so many shards, then the greater.
+SHARD_BYTES, SMALL_SHARDS, LARGE_SHARD_BYTES = 8 << 20, 64, 1 << 30
 #: Regenerated headers are the same on every run.
 DATE = "2020-01-01T00:00:00Z"
 MANIFEST = "file string, bytes long, records long, sha256 string"
@@ -51,7 +53,11 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to
 
 
 class _Roller:
-    """Files of one task: written under a temporary name of this attempt, renamed when whole."""
+    """Files of one task: written under a temporary name of this attempt, renamed when whole.
+
+    The final name holds a digest of the bytes, so attempts of one task agree in names and contents: nothing that may
+    be committed already is ever replaced or deleted.
+    """
 
     def __init__(self, uri: str, shard: int, attempt: int, limit: int):
         self.fs, self.root = pafs.FileSystem.from_uri(uri)
@@ -60,8 +66,7 @@ class _Roller:
 
     def write(self, data: bytes) -> None:
         if self.out is None:
-            self.name = f"part-{self.shard:05d}-{self.seq:05d}.warc.gz"
-            self.temp = f"{self.root}/_temporary-{self.attempt}-{self.name}"
+            self.temp = f"{self.root}/_temporary-{self.attempt}-{self.shard:05d}-{self.seq:05d}"
             self.out, self.size, self.records, self.sha = self.fs.open_output_stream(self.temp, compression=None), 0, 0, hashlib.sha256()
         self.out.write(data)
         self.sha.update(data)
@@ -74,21 +79,31 @@ class _Roller:
         if self.out is None:
             return
         self.out.close()
-        final = f"{self.root}/{self.name}"
-        if self.fs.get_file_info(final).type != pafs.FileType.NotFound:  # an earlier attempt's, with the same bytes
-            self.fs.delete_file(final)
-        self.fs.move(self.temp, final)
-        self.done.append((self.name, self.size, self.records, self.sha.hexdigest()))
+        digest = self.sha.hexdigest()
+        name = f"part-{self.shard:05d}-{self.seq:05d}-{digest[:16]}.warc.gz"
+        found = self.fs.get_file_info(f"{self.root}/{name}")
+        if found.type == pafs.FileType.File and found.size == self.size:  # another attempt's
+            self.fs.delete_file(self.temp)
+        else:
+            self.fs.move(self.temp, f"{self.root}/{name}")
+        self.done.append((name, self.size, self.records, digest))
         self.out, self.seq = None, self.seq + 1
 
 
+def shards_for(payload_bytes: int) -> int:
+    """A number that depends on the data alone, so that the same pages give the same files on any cluster."""
+    return max(1, min(SMALL_SHARDS, -(-payload_bytes // SHARD_BYTES)), -(-payload_bytes // LARGE_SHARD_BYTES))
+
+
 def write_warc(pages: DataFrame, uri: str, roll_bytes: int = ROLL_BYTES, shards: int | None = None) -> DataFrame:
     """Write page_id, url, html as WARC files below ``uri`` and return the manifest (MANIFEST), itself a table there.
 
     Records are range-sorted by url, page_id and payload, so that neighbours compress well and each shard's files are
     the same on every run. Of records with equal payloads that with the greatest (page_id, url) is the response, the
     others are revisits of it; of rows alike in all three the first is. A null html is an empty payload; a null page_id
-    or url is written as empty. Only files that the manifest names are committed: what lost attempts leave is not read.
+    or url is written as empty. An empty table gives an empty manifest; other columns play no part. Only files that the
+    manifest names are committed: what lost attempts leave is not read. The number of shards follows from the payloads'
+    bytes (shards_for).
     """
     spark = pages.sparkSession
     hashed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha1("html"))
@@ -96,7 +111,7 @@ def write_warc(pages: DataFrame, uri: str, roll_bytes: int = ROLL_BYTES, shards:
     shared = spark.read.schema(shared.schema).parquet(_saved(shared, f"{uri}/_shared"))
     joined = hashed.join(small(shared, shared.count(), 50_000), "digest", "left")
     order = ["url", "page_id", "digest"]
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = shards or shards_for(pages.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()[0])
     ranged = joined.repartitionByRange(n, *order).sortWithinPartitions(*order).select("page_id", "url", "html", "digest", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"), F.col("first").isNotNull().alias("shared"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,6 +187,7 @@ def read_warc(manifest: DataFrame, uri: str, payloads: bool = False) -> DataFram
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was written for each page, as read back from the archives. Nulls and repeated rows as in write_warc."""
     uri = new_folder(spark, "warc")
     manifest = write_warc(table(spark, sf_dir, "pages"), uri)
     return read_warc(manifest, uri).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "file")
