@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kgweave.llm.base import cut, give_back, lean, small, table
+from kgweave.llm.base import cut, give_back, lean, quoted, row_of, small, table, unpacked
 from kgweave.llm.components import components
 from kgweave.llm.shingles import Hasher, U, mix, set_id
 
@@ -60,7 +61,9 @@ class Threshold:
 
 
 def stats(docs: DataFrame, k: int, th: Threshold) -> DataFrame:
-    """doc_id, n (set size), rid (names the set; null for an empty one), used (tokens by regime)."""
+    """doc_id, n (set size), rid (names the set; null for an empty one), used (tokens by regime), and the columns of docs after text."""
+    more = docs.schema.fields[2:]
+    schema = T.StructType([*T._parse_datatype_string("doc_id long, n long, rid long, used array<long>").fields, *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -69,9 +72,9 @@ def stats(docs: DataFrame, k: int, th: Threshold) -> DataFrame:
             for row, s in hasher.sets(b.column(1), k):
                 if len(s):
                     n[row], rid[row], used[row] = len(s), set_id(s), [len(th.used(s, r)) for r in range(len(th.regimes))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(rid, pa.int64()), pa.array(used, pa.list_(pa.int64()))], ["doc_id", "n", "rid", "used"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(rid, pa.int64()), pa.array(used, pa.list_(pa.int64())), *b.columns[2:]], [f.name for f in schema.fields])
 
-    return docs.mapInArrow(lean(run), "doc_id long, n long, rid long, used array<long>")
+    return docs.mapInArrow(lean(run), schema)
 
 
 def token_pieces(docs: DataFrame, k: int, th: Threshold, ranges: list[int], salts: int) -> DataFrame:
@@ -362,14 +365,34 @@ def link_counts(blocks: DataFrame, th: Threshold) -> DataFrame:
     return blocks.groupBy("kind", "cluster", "i", "j").applyInArrow(run, "rid long, others long").groupBy("rid").agg(F.sum("others").alias("others"))
 
 
-def jaccard_components(df: DataFrame, k: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, n, rid, component_id) and all verified links between different sets (a, b: rid, a < b), made when
+def jaccard_components(df: DataFrame, k: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_id, n, rid, component_id, and the columns of ``carry``) and all verified links between different sets (a, b: rid, a < b), made when
     they are read. Documents of one rid have equal sets and link with each other too.
     """
-    out, blocks, th, _ = joined_sets(df, k, percent, text, doc_id)
+    out, blocks, th, _ = joined_sets(df, k, percent, text, doc_id, carry)
     return out, all_links(blocks, th)
 
 
+def survivors(df: DataFrame, k: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row of ``df`` of each group of near duplicates, with all its columns.
+
+    Rows are judged one by one, by content: of the rows that links join, that of smallest doc_id stays (a null doc_id
+    comes last; then the smallest hash of the content), whatever other rows share its doc_id. Of rows alike in doc_id
+    and text one stays. Texts without words (null, empty) are nobody's duplicate; their rows all stay.
+    """
+    packed = df.select(row_of(df).alias("_row"), F.col(quoted(doc_id)).cast("long").alias("_d"), F.col(quoted(text)).alias("_t"))
+    packed = packed.select("_row", "_d", "_t", F.xxhash64("_d", "_t").alias("_key"), F.xxhash64("_t", "_d", F.lit(1)).alias("_other"))
+    found, _ = jaccard_components(packed, k, percent, "_t", "_key", ("_d", "_other"))
+    named = found.where("rid IS NOT NULL").select(F.col("doc_id").alias("_key"), "_other", F.col("component_id").alias("comp"), F.struct(F.col("_d").isNull(), "_d", F.col("doc_id"), "_other").alias("order"))
+    first = named.groupBy("comp").agg(F.min("order").alias("first"), F.count("*").alias("n")).where("n > 1")
+    # a row of each group, and what else is in it; groups of one need no look-up
+    several = cut(named.join(first, "comp").groupBy("_key", "_other").agg(F.max(F.col("order") == F.col("first")).alias("stays"), F.count("*").alias("copies")), "several")
+    judged = packed.join(small(several, several.count()), ["_key", "_other"], "left").where("stays IS NULL OR stays")
+    columns = unpacked(df, "_row")
+    repeated = F.coalesce(F.col("copies"), F.lit(1)) > 1
+    return judged.where(~repeated).select(*columns).unionByName(judged.where(repeated).dropDuplicates(["_key", "_other"]).select(*columns))
+
+
 def jaccard_links(df: DataFrame, k: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Documents (doc_id, n, rid, component_id, n_links: other documents that it links with; null without doc_id).
 
@@ -380,7 +403,7 @@ def jaccard_links(df: DataFrame, k: int = 5, percent: int = 80, text: str = "tex
     return out.join(counts, "rid", "left").withColumn("n_links", F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))))
 
 
-def joined_sets(df: DataFrame, k: int, percent: int, text: str, doc_id: str) -> tuple[DataFrame, DataFrame, Threshold, DataFrame]:
+def joined_sets(df: DataFrame, k: int, percent: int, text: str, doc_id: str, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, Threshold, DataFrame]:
     """Documents (doc_id, n, rid, component_id), the members of components side by side, and rid, docs (documents of a set).
 
     Sets of k-word shingles of whole texts link where 100 * intersection >= percent * union. Equal sets are one class
@@ -391,8 +414,8 @@ def joined_sets(df: DataFrame, k: int, percent: int, text: str, doc_id: str) ->
     document without doc_id keeps its row with component_id null; repeated rows each keep theirs.
     """
     th = Threshold(percent)
-    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = cut(stats(docs, k, th), "stats")
+    docs = df.select(F.col(quoted(doc_id)).cast("long").alias("doc_id"), F.col(quoted(text)).alias("text"))
+    found = cut(stats(df.select(F.col(quoted(doc_id)).cast("long").alias("doc_id"), F.col(quoted(text)).alias("text"), *carry), k, th), "stats")
     named = found.where("rid IS NOT NULL AND doc_id IS NOT NULL")
     classes = cut(named.groupBy("rid").agg(F.first("n").alias("n"), F.first("used").alias("used"), F.min("doc_id").alias("rep")), "classes")
     sums = classes.agg(F.count("*").alias("docs"), *[F.coalesce(F.sum(F.element_at("used", r + 1)), F.lit(0)).alias(f"u{r}") for r in range(len(th.regimes))]).first()
@@ -427,12 +450,13 @@ def joined_sets(df: DataFrame, k: int, percent: int, text: str, doc_id: str) ->
     reps = classes.select("rid", "rep").join(comp.withColumnRenamed("node", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
     least = reps.groupBy("comp").agg(F.min("rep").alias("component_id"))
     by_class = reps.join(least, "comp").select("rid", "component_id")
-    out = found.join(by_class, "rid", "left").select("doc_id", "n", "rid", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    out = found.join(by_class, "rid", "left").select("doc_id", "n", "rid", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), *carry)
     holders = named.select("rid", "doc_id").distinct().groupBy("rid").agg(F.count("*").alias("docs"))
     return out, side_by_side(comp, holders, sets, wanted_rows), th, holders
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document. Nulls, empty texts and repeated rows as in joined_sets."""
     docs, _ = jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
     return docs.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
