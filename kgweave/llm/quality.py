@@ -8,19 +8,21 @@ from __future__ import annotations
 
 import functools
 import math
+import operator
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kgweave.llm.base import cut, lean, new_folder, small, table
+from kgweave.llm.base import cut, drop_cut, lean, new_folder, others, quoted, small, table
 
-ORDER = 5
+#: Bytes of an n-gram: longer than most syllables, so that counts go on growing with the text.
+ORDER = 6
 #: n-grams of one model shard.
 SHARD_ROWS = 6_000_000
 #: Positions of one numpy pass.
@@ -31,6 +33,9 @@ CHUNK = 32 << 20
 PRIOR = 200
 #: Share of a language's trusted text, scored by a model that did not train on it, that the limit keeps; and parts for that.
 KEPT, FOLDS = 0.98, 2
+#: Steps of one nat a byte in which medians and limits are taken.
+BINS = 10_000
+OWN = ("_q_bytes", "_q_loss", "_q_mid", "_q_limit", "_q_keep")
 NO_LANGUAGE = "und"
 
 
@@ -114,7 +119,10 @@ def train(trusted: DataFrame, text: str = "text", order: int = ORDER) -> DataFra
         d1, d2, d3 = discounts(*(seen.get((o, i), 0) for i in (1, 2, 3, 4)))
         d = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
         ctx = F.shiftright("key", 8)
-        contexts = counts[o].groupBy(ctx.alias("ctx")).agg(F.sum("n").alias("total"), (F.sum(d) / F.sum("n")).alias("back"))
+        # whole numbers are added, so that a model does not depend on the order of rows
+        of_count = [F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2), F.count_if(F.col("n") > 2)]
+        back = functools.reduce(operator.add, [c * x for c, x in zip(of_count, (d1, d2, d3), strict=True)])
+        contexts = counts[o].groupBy(ctx.alias("ctx")).agg(F.sum("n").alias("total"), (back / F.sum("n")).alias("back"))
         lower = F.lit(1 / 256) if o == 1 else F.col("lower")
         grams = counts[o].select("key", "n", ctx.alias("ctx")).join(contexts, "ctx")
         if o > 1:
@@ -132,8 +140,12 @@ def shard_of(context: Column | np.ndarray, shards: int) -> Column | np.ndarray:
     return (context & 0xFFFF) * 40503 % 65537 % shards
 
 
-def save(model: DataFrame, shards: int | None = None) -> tuple[str, int]:
-    """Write the model as one Arrow file a shard in the shared folder; orders 1 and 2 are in every shard (65,792 n-grams at most)."""
+def save(model: DataFrame, shards: int | None = None) -> tuple[str, tuple[str, ...]]:
+    """Write the model as one Arrow file a shard in the shared folder: the folder, and the file of each shard ('' for none).
+
+    Orders 1 and 2 are in every shard (65,792 n-grams at most). A file is named by the attempt that wrote it and never
+    replaced; those of lost attempts are not among the names returned.
+    """
     spark = model.sparkSession
     model = cut(model, "model")
     shards = shards or max(1, math.ceil(model.count() / SHARD_ROWS))
@@ -145,21 +157,18 @@ def save(model: DataFrame, shards: int | None = None) -> tuple[str, int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(uri)
-        attempt = TaskContext.get().taskAttemptId()
-        t = pa.Table.from_batches(list(batches)) if shards else None  # a partition holds a few shards of bounded size
-        named: list[int] = []
-        for s in np.unique(t.column("shard").to_numpy()).tolist() if t.num_rows else []:
-            temp, final = f"{root}/_temporary-{attempt}-{s}", f"{root}/shard-{s}"
-            with fs.open_output_stream(temp) as out, pa.ipc.new_file(out, t.schema) as writer:
+        t = pa.Table.from_batches(list(batches))  # a partition holds a few shards of bounded size
+        named: list[tuple[int, str]] = []
+        for s in np.unique(t.column("shard").to_numpy()).tolist():
+            name = f"shard-{s}-{TaskContext.get().taskAttemptId()}"
+            with fs.open_output_stream(f"{root}/{name}") as out, pa.ipc.new_file(out, t.schema) as writer:
                 writer.write_table(t.filter(pa.compute.equal(t.column("shard"), s)))
-            if fs.get_file_info(final).type != pafs.FileType.NotFound:
-                fs.delete_file(final)
-            fs.move(temp, final)
-            named.append(s)
-        yield pa.RecordBatch.from_arrays([pa.array(named, pa.int32())], ["shard"])
+            named.append((s, name))
+        yield pa.RecordBatch.from_arrays([pa.array([n[0] for n in named], pa.int32()), pa.array([n[1] for n in named], pa.string())], ["shard", "file"])
 
-    written = sum(1 for _ in dealt.mapInArrow(guarded(run), "shard int").collect())
-    return uri, shards if written else 0
+    files = {r.shard: r.file for r in dealt.mapInArrow(guarded(run), "shard int, file string").collect()}  # a name a shard
+    drop_cut(model)
+    return uri, tuple(files.get(s, "") for s in range(shards))
 
 
 def guarded(run):  # noqa: ANN001, ANN201
@@ -174,12 +183,12 @@ def guarded(run):  # noqa: ANN001, ANN201
 
 
 @functools.lru_cache(maxsize=1)
-def load(uri: str, shard: int) -> dict[tuple[int, str], tuple[np.ndarray, np.ndarray]]:
+def load(uri: str, file: str) -> dict[tuple[int, str], tuple[np.ndarray, np.ndarray]]:
     """Sorted keys and values by (order, logp or logb)."""
-    fs, root = pafs.FileSystem.from_uri(uri)
-    if fs.get_file_info(f"{root}/shard-{shard}").type == pafs.FileType.NotFound:
+    if not file:
         return {}
-    with fs.open_input_file(f"{root}/shard-{shard}") as f:
+    fs, root = pafs.FileSystem.from_uri(uri)
+    with fs.open_input_file(f"{root}/{file}") as f:
         t = pa.ipc.open_file(f).read_all()
     order, key = t.column("ord").to_numpy(), t.column("key").to_numpy()
     out = {}
@@ -218,8 +227,13 @@ def log_probability(part: dict, k: np.ndarray, order: int) -> np.ndarray:
     return out
 
 
-def scored(df: DataFrame, uri: str, shards: int, text: str = "text", order: int = ORDER) -> DataFrame:
-    """``df`` with _q_bytes and _q_loss (nats over all bytes of the text). All columns and rows pass through."""
+def scored(df: DataFrame, uri: str, files: tuple[str, ...], text: str = "text", order: int = ORDER) -> DataFrame:
+    """``df`` with _q_bytes and _q_loss (nats over all bytes of the text). All columns and rows pass through.
+
+    An n-gram and all that it backs off to are in one shard, so each position is looked up in one. A task reads the
+    shards one after another and holds one of them; a join of positions with counts would move many times the text.
+    """
+    shards = len(files)
     schema = T.StructType([*df.schema.fields, T.StructField("_q_bytes", T.LongType()), T.StructField("_q_loss", T.DoubleType())])
     column = df.columns.index(text)
 
@@ -227,8 +241,8 @@ def scored(df: DataFrame, uri: str, shards: int, text: str = "text", order: int
         x, ends = padded(texts, order)
         lengths = np.diff(np.concatenate(([0], ends))) - (order - 1)
         total = np.zeros(len(ends))
-        for shard in range(shards):
-            part = load(uri, shard)
+        for shard, file in enumerate(files):
+            part = load(uri, file)
             for lo in range(order - 1, len(x), SEGMENT):
                 hi = min(lo + SEGMENT, len(x))
                 k = keys(x, lo, hi, order)
@@ -281,35 +295,69 @@ def shrunk() -> Column:
     return (F.col("_q_loss") + PRIOR * F.col("_q_mid")) / (F.col("_q_bytes") + PRIOR)
 
 
+def binned(value: Column) -> Column:
+    return F.round(value * BINS).cast("long")
+
+
+def quantile(rows: DataFrame, value: Column, share: float, name: str) -> DataFrame:
+    """_q_lang and ``name``: the least value, in steps of 1 / BINS, that at least ``share`` of a language's rows do not exceed.
+
+    Exact: rows are counted by language and step, and a language has a few 100,000 steps at most.
+    """
+    counts = rows.select("_q_lang", binned(value).alias("bin")).groupBy("_q_lang", "bin").agg(F.count("*").alias("n"))
+    whole = Window.partitionBy("_q_lang")
+    upto = counts.select("_q_lang", "bin", F.sum("n").over(whole.orderBy("bin")).alias("upto"), F.sum("n").over(whole).alias("all"))
+    return upto.where(F.col("upto") >= F.ceil(F.col("all") * share)).groupBy("_q_lang").agg((F.min("bin") / BINS).alias(name))
+
+
 def limits(losses: DataFrame) -> DataFrame:
     """_q_lang, _q_mid, _q_limit (nats a byte): of each language the median, and the limit that keeps KEPT of ``losses``; _q_lang null: of all."""
-    q = lambda c, p: F.percentile_approx(c, p, F.lit(10_000))
     each = losses.withColumn("_q_lang", F.explode(F.array("_q_name", F.lit(None).cast("string"))))
-    mids = cut(each.groupBy("_q_lang").agg(q(F.col("_q_loss") / F.col("_q_bytes"), 0.5).alias("_q_mid")), "medians")
-    mids = small(mids.withColumnRenamed("_q_lang", "_q_of"), mids.count(), 100_000)
-    return each.join(mids, F.col("_q_lang").eqNullSafe(F.col("_q_of"))).groupBy("_q_lang").agg(F.first("_q_mid").alias("_q_mid"), q(shrunk(), KEPT).alias("_q_limit"))
+    mids = cut(quantile(each, F.col("_q_loss") / F.col("_q_bytes"), 0.5, "_q_mid"), "medians")
+    languages = mids.count()
+    with_mid = each.join(small(mids.withColumnRenamed("_q_lang", "_q_of"), languages, 100_000), F.col("_q_lang").eqNullSafe(F.col("_q_of")))
+    top = quantile(with_mid, shrunk(), KEPT, "_q_limit").withColumnRenamed("_q_lang", "_q_of")
+    return mids.join(small(top, languages, 100_000), F.col("_q_lang").eqNullSafe(F.col("_q_of"))).drop("_q_of")
 
 
 def judged(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", order: int = ORDER) -> DataFrame:
-    """``docs`` with _q_bytes, _q_loss, _q_mid, _q_limit and _q_keep.
+    """``docs`` with _q_bytes, _q_loss, _q_mid, _q_limit and _q_keep, which replace columns of these names.
 
     Trained on all trusted documents; the limits come from trusted text scored by models that did not see it. Kept is a
-    document whose cross entropy, shrunk towards the median of its language by PRIOR bytes, is at most the language's limit; a language without trusted text takes the limits of all. Null and
-    empty texts have no perplexity and are not kept. Without any trusted text nothing is known and every text is kept.
+    document whose cross entropy, shrunk towards the median of its language by PRIOR bytes, is at most the language's
+    limit; a language without trusted text, and a null language, take the limits of all. Null and empty texts have no
+    perplexity and are not kept. Rows are judged one for one, repeated ones alike; a null doc_id is never trusted, but
+    judged. Without any trusted text nothing is known and every text is kept; an empty table gives an empty one.
     """
+    return _judged(docs, labels, text, lang, doc_id, order, others(docs, *OWN), OWN)
+
+
+def kept(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", order: int = ORDER) -> DataFrame:
+    """The rows of ``docs`` that ``judged`` keeps, with all their columns and no others."""
+    return _judged(docs, labels, text, lang, doc_id, order, docs.columns, ())
+
+
+def _judged(docs: DataFrame, labels: DataFrame, text: str, lang: str, doc_id: str, order: int, columns: list[str], own: tuple[str, ...]) -> DataFrame:
+    """Columns travel under numbers, so that none clashes with an operator's own; without ``own`` only kept rows."""
+    number = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    docs = docs.select(*[F.col(quoted(c)).alias(n) for c, n in number.items()])
+    text, lang, doc_id = number[text], number[lang], number[doc_id]
     ids = trusted_ids(labels)
     trusted = docs.join(small(ids, ids.count()).withColumnRenamed("doc_id", "_q_id"), F.col(doc_id) == F.col("_q_id"), "left_semi")
-    uri, shards = save(train(trusted, text, order))
+    model = save(train(trusted, text, order))
     found = cut(limits(held_out(trusted, text, lang, order)), "limits")  # a row for each language
     every = found.where("_q_lang IS NULL").first()
     by_lang = small(found.where("_q_lang IS NOT NULL"), found.count(), 100_000)
-    out = scored(docs, uri, shards, text, order).withColumn("_q_name", F.coalesce(F.col(lang), F.lit(NO_LANGUAGE))).join(by_lang, F.col("_q_name") == F.col("_q_lang"), "left").drop("_q_name", "_q_lang")
+    out = scored(docs, *model, text, order).withColumn("_q_name", F.coalesce(F.col(lang), F.lit(NO_LANGUAGE))).join(by_lang, F.col("_q_name") == F.col("_q_lang"), "left").drop("_q_name", "_q_lang")
     mid, limit = (every["_q_mid"], every["_q_limit"]) if every else (None, None)
     out = out.withColumn("_q_mid", F.coalesce("_q_mid", F.lit(mid).cast("double"))).withColumn("_q_limit", F.coalesce("_q_limit", F.lit(limit).cast("double")))
-    return out.withColumn("_q_keep", (F.col("_q_bytes") > 0) & F.coalesce(shrunk() <= F.col("_q_limit"), F.lit(True)))
+    out = out.withColumn("_q_keep", (F.col("_q_bytes") > 0) & F.coalesce(binned(shrunk()) <= binned(F.col("_q_limit")), F.lit(True)))
+    return (out if own else out.where("_q_keep")).select(*[F.col(number[c]).alias(c) for c in columns], *own)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity a byte of every document, its language's limit, and whether it is kept. Null and empty texts have no
+    perplexity; otherwise as in judged."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     perplexity = lambda c: F.exp(c)
     return judged(docs, table(spark, sf_dir, "labels")).select(
