@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 from base64 import b32encode
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -54,8 +55,9 @@ def test_contamination(spark):
         rows.append((i % 50, " , ".join(t).upper() if i % 3 else " ".join(t)))
     rows += [(None, items[0][1]), (70, None), (71, "")]
     got = decontaminate.phrase_matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
-    got = got.select("doc_id", "n_words", decontaminate.covered(F.col("matches")).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.transform("matches", lambda m: m["items"])))).alias("items"))
+    got = got.select("_row.doc_id", "n_words", decontaminate.covered(F.col("matches")).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.transform("matches", lambda m: m["items"])))).alias("items"), F.transform("near", lambda m: m["start"]).alias("near"))
     want = []
+    counts = Counter(w for _, t in rows for w in re.findall(r"[a-z0-9]+", (t or "").lower()))
     wins = [(i, tuple(w[j : j + 10])) for i, t in items for w in [re.findall(r"[a-z0-9]+", (t or "").lower())] if w for j in range(max(1, len(w) - 9))]
     for doc_id, text in rows:
         w = re.findall(r"[a-z0-9]+", (text or "").lower())
@@ -65,8 +67,31 @@ def test_contamination(spark):
                 if tuple(w[j : j + len(win)]) == win:
                     hit |= set(range(j, j + len(win)))
                     found.add(i)
-        want.append((doc_id, len(w), len(hit), sorted(found)))
-    assert sorted(map(repr, ((r.doc_id, r.n_words, r.hit, r["items"]) for r in got.collect()))) == sorted(map(repr, want))
+        near = []
+        for win in {x for _, x in wins if len(x) == 10}:
+            held = sorted((counts[t], o, t) for o, t in enumerate(win) if counts[t])
+            if len(held) < 8:
+                continue
+            place = lambda t, at: any(0 <= p < len(w) and w[p] == t for p in range(at - 3, at + 4))  # noqa: B023, E731
+            for p, t in enumerate(w):
+                s = p - held[0][1]
+                if t == held[0][2] and s >= -3 and place(held[1][2], s + held[1][1]) and sum(place(x, s + o) for o, x in enumerate(win)) >= 8:
+                    near.append(s)
+        want.append((doc_id, len(w), len(hit), sorted(found), sorted(near)))
+    assert sum(len(x[4]) for x in want) > sum(1 for x in want if x[2])
+    assert sorted(map(repr, ((r.doc_id, r.n_words, r.hit, r["items"], r.near) for r in got.collect()))) == sorted(map(repr, want))
+
+
+def test_contamination_of_changed_passages(spark):
+    rng = random.Random(13)
+    words = [f"w{i}" for i in range(400)]
+    item = [rng.choice(words) for _ in range(40)]
+    changed = {"dropped": item[:13] + item[14:], "inserted": [*item[:21], "new", *item[21:]], "replaced": [*item[:7], "other", *item[8:17], "other", *item[18:]], "other": [rng.choice(words) for _ in range(40)]}
+    docs = spark.createDataFrame([(i, name, " ".join(t)) for i, (name, t) in enumerate(changed.items())], "doc_id long, name string, text string")
+    items = spark.createDataFrame([("x-1", " ".join(item)), ("empty", ""), (None, None)], "item_id string, text string")
+    got = {r.name: [list(m["items"]) for m in r.near] for r in decontaminate.phrase_matches(docs, items).select("_row.name", "near").collect()}
+    assert got["other"] == []
+    assert all(got[k] and {i for m in got[k] for i in m} == {"x-1"} for k in ("dropped", "inserted", "replaced"))
 
 
 def test_licenses(docs):
@@ -167,15 +192,16 @@ def test_all_links(spark, monkeypatch):
 def test_token_trees():
     rng = random.Random(6)
     encoder = tokens.Encoder(open(tokens.VOCABULARY, "rb").read())
-    for size in (0, 1, 30, 2500):
+    for size in (0, 1, 30, 2500, 30_000):
         text = "".join(rng.choice("aab  bc '\n\t.,12sé'll ") for _ in range(size))
         tree = tokens.SegmentTree(*encoder.pieces(text))
         for _ in range(25):
             start = rng.randint(0, len(text))
-            put = "".join(rng.choice("ab '\n1") for _ in range(rng.randint(0, 40)))
-            text, again = tokens.edit(tree, encoder, text, start, min(len(text), start + rng.randint(0, 30)), put)
+            put = "".join(rng.choice("ab '\n1") for _ in range(rng.choice((0, 3, 40, 900))))
+            text, again = tokens.edit(tree, encoder, text, start, min(len(text), start + rng.choice((0, 5, 30, 1500))), put)
             assert tree.flat() == encoder.pieces(text)
             assert again <= 3 * len(put) + 60
+            assert tree.chars[1] == len(text)
         assert tree.total == len(encoder.bpe.encode_ordinary(text))
 
 
