@@ -8,40 +8,55 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgweave.llm import decontaminate, mixing, ngram_join, quality, secrets
-from kgweave.llm.base import new_folder, table
+from kgweave.llm.base import new_folder, quoted, table, unpacked
 
 #: Near duplicates: words of a shingle and percent of similarity.
 SHINGLE_WORDS, SIMILARITY = 5, 80
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier keeps."""
-    return quality.judged(docs, table(spark, sf_dir, "labels")).where("_q_keep").select(*docs.columns)
+    """Documents that the classifier keeps, trained on the documents that ``labels`` trusts.
+
+    Null and empty texts have no perplexity and go; a null language takes the limits of all; repeated rows stay or go
+    together; with no trusted text every text stays; an empty table gives an empty one.
+    """
+    return quality.kept(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of smallest doc_id; of repeated rows with that id one."""
-    found, _ = ngram_join.jaccard_components(docs, k=SHINGLE_WORDS, percent=SIMILARITY)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return kept.dropDuplicates(["doc_id", "text"]) if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count() else kept
+    """One row of each group of near duplicates: that of smallest doc_id, a null doc_id last.
+
+    Rows are judged by content, so rows that share a doc_id but not a text are separate documents; of rows alike in
+    both one stays. Texts without words are nobody's duplicate and stay.
+    """
+    return ngram_join.survivors(docs, SHINGLE_WORDS, SIMILARITY)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
-    found = decontaminate.phrase_matches(docs, table(spark, sf_dir, "benchmark"), keep=tuple(f"`{c}` AS `_c_{c}`" for c in docs.columns))
-    return found.where(F.size("matches") == 0).select(*[F.col(f"_c_{c}").alias(c) for c in docs.columns])
+    """Documents in which no window of a benchmark item stands, neither word by word nor as a proximity match.
+
+    Null and empty texts, and all documents where the benchmark is empty, stay; repeated rows stay or go together.
+    """
+    found = decontaminate.phrase_matches(docs, table(spark, sf_dir, "benchmark"))
+    return found.where((F.size("matches") == 0) & (F.size("near") == 0)).select(*unpacked(docs, "_row"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with live-looking secrets replaced in their texts."""
+    """All documents, one for one, with live-looking secrets replaced in their texts and n_chars counted anew.
+
+    Null and empty texts pass as they are (n_chars of a null text is null); repeated rows get the same text.
+    """
     out = secrets.redact(docs)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*[F.col(quoted(c)) for c in docs.columns]) if "n_chars" in docs.columns else out
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture: documents repeated by their source's rate, in global random order."""
-    return mixing.poisson_mix(docs).withColumnsRenamed({"_copy": "copy", "_copies": "copies"})
+    """The mixture: documents repeated by their source's rate, in global random order, with ``_copy`` and ``_copies``.
+
+    A null source is one of its own; null and empty texts are repeated like others of their source, unless it has no
+    text at all; rows of one doc_id are repeated equally often; an empty table gives an empty one.
+    """
+    return mixing.poisson_mix(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
