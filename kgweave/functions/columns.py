@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,28 +69,73 @@ def ngrams(terms: Column, sizes: tuple[int, ...] = (3, 2, 1)) -> Column:
     return F.array_distinct(F.flatten(F.array(*[of(n) for n in sizes])))
 
 
+def edge_verb(kind: Column) -> Column:
+    verbs = F.create_map(*[F.lit(x) for kv in EDGE_VERB.items() for x in kv])
+    return F.coalesce(F.try_element_at(verbs, kind), kind)
+
+
+def edge_tags(*tags: Column, separator: str = ", ", lead: str = "") -> Column:
+    """``[a, b]`` of the tags that apply (not null), with ``lead`` before; nothing where none does."""
+    own = F.filter(F.array(*tags), lambda t: t.isNotNull())
+    return F.when(F.size(own) > 0, F.concat(F.lit(f"{lead}["), F.array_join(own, separator), F.lit("]"))).otherwise("")
+
+
+def tag(value: Column, prefix: str = "", suffix: str = "") -> Column:
+    """The value between prefix and suffix; null for an empty one."""
+    return F.when(F.coalesce(value.cast("string"), F.lit("")) != "", F.concat(F.lit(prefix), value.cast("string"), F.lit(suffix)))
+
+
 def render_edge(a: Column, b: Column, kind: Column, level: Column, role: Column, critical: Column, count: Column) -> Column:
     """``A --verb[Llevel, role, CRITICAL, n variants]--> B``; tags that do not apply are left out."""
-    verbs = F.create_map(*[F.lit(x) for kv in EDGE_VERB.items() for x in kv])
-    tag = F.filter(
-        F.array(F.when(F.coalesce(level, F.lit("")) != "", F.concat(F.lit("L"), level)), F.when(F.coalesce(role, F.lit("")) != "", role), F.when(critical, "CRITICAL"), F.when(count > 0, F.concat(count.cast("string"), F.lit(" variants")))),
-        lambda t: t.isNotNull(),
-    )
-    tags = F.when(F.size(tag) > 0, F.concat(F.lit("["), F.array_join(tag, ", "), F.lit("]"))).otherwise("")
-    return F.concat(a, F.lit(" --"), F.coalesce(F.try_element_at(verbs, kind), kind), tags, F.lit("--> "), b)
+    tags = edge_tags(tag(level, "L"), tag(role), F.when(critical, F.lit("CRITICAL")), F.when(count > 0, tag(count, suffix=" variants")))
+    return F.concat(a, F.lit(" --"), edge_verb(kind), tags, F.lit("--> "), b)
+
+
+#: White space of the patterns below and of ``stripped``: ASCII, without the vertical tab in classes that two engines read differently.
+BLANK = r"[ \t\n\f\r]"
+
+
+def stripped(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
 
 
 def normalize_answer(text: Column) -> Column:
-    """An answer without marks of its origin: citations, level tags, emphasis, headings, list marks, blank runs."""
-    for pattern, put in ((r"(?i)\(?\bPMID:?\s*\d+\)?", ""), (r"(?i)\[?\bevidence level\s*[1-4][AB]?\]?", ""), (r"\*\*|__|`", ""), (r"(?m)^#+\s*", ""), (r"(?m)^\s*[-*]\s+", ""), (r"\n{3,}", "\n\n")):
+    """An answer without marks of its origin: one form of citation, no list marks and emphasis, single blank lines."""
+    text = F.coalesce(text, F.lit(""))
+    for pattern, put in (
+        (r"(?i)\[PMID[: \t\n\f\r]*([0-9]+)\]", "(cite $1)"), (r"(?i)\bPMID[: \t\n\f\r]*([0-9]+)\b", "(cite $1)"),
+        (rf"(?dm)^{BLANK}*[-•·*]{BLANK}+", ""), (rf"(?dm)^{BLANK}*[0-9]+[.)]{BLANK}+", ""), (r"\*\*|__", ""), (rf"\n{BLANK}*\n+", "\n\n"),
+    ):
         text = F.regexp_replace(text, pattern, put)
-    return F.trim(text)
+    return stripped(text)
 
 
 def extract_pmids(text: Column) -> Column:
-    """Distinct identifiers of 6 to 9 digits in citation contexts, in order."""
-    hits = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?i)PMID[s:]*\s*\d{6,9}\b|pubmed/\d{6,9}\b"), F.lit(0))
-    return F.array_distinct(F.transform(hits, lambda m: F.regexp_extract(m, r"(\d{6,9})", 1)))
+    """Distinct identifiers of 6 to 9 digits in citation contexts (``PMID: 1234567``, ``[1234567]``), in order."""
+    hits = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?i)\bPMID[: \t\n\f\r]*[0-9]{6,9}\b|\[[0-9]{6,9}\]"), F.lit(0))
+    return F.array_distinct(F.transform(hits, lambda m: F.regexp_extract(m, r"([0-9]{6,9})", 1)))
+
+
+def quoted_pattern(text: Column) -> Column:
+    """A pattern that matches the text itself."""
+    return F.concat(F.lit(r"\Q"), F.replace(text, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+
+
+def mentions(text: Column, entity: Column) -> Column:
+    """Whether the entity stands in the text between word boundaries, case ignored; an empty one does not."""
+    pattern = F.concat(F.lit(r"(?iU)\b"), quoted_pattern(entity), F.lit(r"\b"))
+    return (F.coalesce(entity, F.lit("")) != "") & F.regexp_like(F.coalesce(text, F.lit("")), pattern)
+
+
+def format_percent(x: Column, digits: int = 1) -> Column:
+    """A share as a percentage; null as a dash."""
+    return F.when(x.isNull(), "—").otherwise(F.format_string(f"%.{digits}f%%", 100 * x.cast("double")))
+
+
+def format_number(x: Column, whole: bool = False) -> Column:
+    """A number with one decimal, a whole one as it is; null as a dash."""
+    return F.when(x.isNull(), "—").otherwise(x.cast("string") if whole else F.format_string("%.1f", x.cast("double")))
 
 
 def any_cue(text: Column, cues: tuple[str, ...]) -> Column:
@@ -143,15 +188,11 @@ def lcs_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def register(spark) -> None:  # noqa: ANN001
-    """SQL-callable helpers."""
+    """SQL-callable helpers: functions of SQL where the expression is one, an Arrow batch function for the ratio."""
     spark.udf.register("lcs_ratio", lcs_ratio)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Lineage cut at files in spark.checkpoint.dir; a local folder only where that is unset."""
-    import tempfile
-
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kgweave-"))
-    return df.checkpoint()
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION slug(part STRING) RETURNS STRING RETURN lower(trim(BOTH '_' FROM regexp_replace(part, '[^A-Za-z0-9_:.-]+', '_')))")
+    mid, half, d = "(k / n + 1.96 * 1.96 / (2 * n))", "1.96 * sqrt((k / n) * (1 - k / n) / n + 1.96 * 1.96 / (4 * n * n))", "(1 + 1.96 * 1.96 / n)"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION wilson_lo(k DOUBLE, n DOUBLE) RETURNS DOUBLE RETURN CASE WHEN n = 0 THEN 0D ELSE greatest(0D, ({mid} - {half}) / {d}) END")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION wilson_hi(k DOUBLE, n DOUBLE) RETURNS DOUBLE RETURN CASE WHEN n = 0 THEN 1D ELSE least(1D, ({mid} + {half}) / {d}) END")
+    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION sign_test_p(w BIGINT, l BIGINT) RETURNS DOUBLE RETURN CASE WHEN w + l = 0 THEN 1D ELSE least(1D, 2 * aggregate(sequence(0, least(w, l)), 0D, (a, i) -> a + exp(
+        aggregate(sequence(1, w + l), 0D, (b, j) -> b + ln(j)) - aggregate(sequence(0, i), 0D, (b, j) -> b + ln(greatest(j, 1))) - aggregate(sequence(0, w + l - i), 0D, (b, j) -> b + ln(greatest(j, 1))) - (w + l) * ln(2D)))) END""")

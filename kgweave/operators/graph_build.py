@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgweave.constants import HIGH_EVIDENCE, MOST_PMIDS
+from kgweave.constants import DRUG_CLASSES, HIGH_EVIDENCE, MOST_PMIDS, SEED_CLASSES, SEED_TYPES
 from kgweave.functions.columns import edge_type, fold_distinct, is_critical, level_rank, row_key, slug, split_cell
+from kgweave.sources.shared import cut
 
 
 def node_id(kind: str, label: Column) -> Column:
@@ -38,7 +39,7 @@ def merge_edges(rows: DataFrame, keys: list[str], level: str = "level", role: st
     """
     texts = [role, *([gene] if gene else [])]
     base = rows.groupBy(*keys, *texts).agg(F.min_by(level, F.struct(level_rank(F.col(level)).alias("r"), F.col(order).alias("o"))).alias("_l"), F.min(F.struct(level_rank(F.col(level)).alias("r"), F.col(order).alias("o"))).alias("_lo"), F.max(critical).alias("_c"), F.sum(count).alias("_n"), F.min(order).alias("_o"))
-    fold = lambda c: fold_distinct(F.transform(F.array_sort(F.collect_list(F.struct("_o", F.coalesce(F.col(c), F.lit("")).alias("v")))), lambda s: s["v"]), ", ")
+    fold = lambda c: fold_distinct(F.transform(F.array_sort(F.collect_list(F.struct("_o", F.coalesce(F.col(c), F.lit("")).alias("v")))), lambda s: s["v"]), ",")
     return base.groupBy(*keys).agg(F.min_by("_l", "_lo").alias("level"), F.max("_c").alias("critical"), F.sum("_n").alias("n"), *[fold(c).alias(c) for c in texts])
 
 
@@ -63,14 +64,14 @@ def class_edges(drugs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def cluster_members(facts: DataFrame) -> DataFrame:
-    """Best record of each (gene, variant): strongest level, first on ties."""
+    """Best record of each (gene, variant): strongest level, first on ties; ``first`` is the variant's first place."""
     best = F.min_by(F.struct("level", "role", "chemical", "phenotype", "ord"), F.struct(level_rank(F.col("level")).alias("r"), F.col("ord").alias("o")))
-    return facts.groupBy("gene", "variant").agg(best.alias("b")).select("gene", "variant", "b.*")
+    return facts.groupBy("gene", "variant").agg(best.alias("b"), F.min("ord").alias("first")).select("gene", "variant", "b.*", "first")
 
 
 def clusters(members: DataFrame) -> DataFrame:
-    """Per gene: label ``GENE variants (N)``, N, best level, and members sorted by order."""
-    m = F.array_sort(F.collect_list(F.struct("ord", "variant", "level", "role", "chemical")))
+    """Per gene: label ``GENE variants (N)``, N, best level, and members in the order of their variants' first places."""
+    m = F.array_sort(F.collect_list(F.struct("first", "variant", "level", "role", "chemical")))
     return members.groupBy("gene").agg(F.count("*").alias("n"), F.min_by("level", level_rank(F.col("level"))).alias("level"), m.alias("members")).withColumn("label", F.concat("gene", F.lit(" variants ("), F.col("n").cast("string"), F.lit(")")))
 
 
@@ -132,3 +133,172 @@ def holdout(facts: DataFrame, key_columns: list[str], share: float = 0.30, seed:
 
 def exclude(facts: DataFrame, held: DataFrame, key_columns: list[str]) -> DataFrame:
     return facts.withColumn("row_key", row_key(*[F.col(c).cast("string") for c in key_columns])).join(held, "row_key", "left_anti").drop("row_key")
+
+
+# from raw tables to one graph
+
+
+def dimension(rows: DataFrame, name: str, columns: dict[str, str], flags: dict[str, str] | None = None, upper: bool = False, order: str = "ord") -> DataFrame:
+    """key and attributes of a reference table: trimmed cells, flags from ``yes``, of rows with one key the last (by ``order``).
+
+    columns: attribute -> column; key: the trimmed name in one case. Rows without a name are dropped.
+    """
+    label = F.trim(F.coalesce(F.col(name), F.lit("")))
+    each = rows.where(label != "").select(
+        (F.upper if upper else F.lower)(label).alias("key"), label.alias("name"), *[F.trim(F.coalesce(F.col(c), F.lit(""))).alias(a) for a, c in columns.items()],
+        *[(F.lower(F.trim(F.coalesce(F.col(c), F.lit("")))) == "yes").alias(a) for a, c in (flags or {}).items()], F.col(order).alias("_o"),
+    )
+    attributes = [c for c in each.columns if c not in ("key", "_o")]
+    return each.groupBy("key").agg(F.max_by(F.struct(*attributes), "_o").alias("a")).select("key", "a.*")
+
+
+def named_drugs(rows: DataFrame, name: str, aliases: str, columns: dict[str, str], order: str = "ord") -> DataFrame:
+    """key and attributes of drugs by name and alias: a name wins over aliases; of names the last row, of aliases the first."""
+    label = F.trim(F.coalesce(F.col(name), F.lit("")))
+    each = rows.where(label != "").select(F.struct(label.alias("name"), *[F.trim(F.coalesce(F.col(c), F.lit(""))).alias(a) for a, c in columns.items()]).alias("a"), F.col(aliases).alias("_x"), F.col(order).alias("_o"))
+    unquoted = lambda c: F.trim(F.trim(F.coalesce(c, F.lit("")), F.lit('"')))
+    names = each.select(F.lower("a.name").alias("key"), "a", F.lit(0).alias("kind"), (-F.col("_o")).alias("o"))
+    more = each.select(F.explode(split_cell(unquoted(F.col("_x")))).alias("key"), "a", F.lit(1).alias("kind"), F.col("_o").alias("o")).withColumn("key", F.lower(unquoted(F.col("key")))).where("key <> ''")
+    return names.unionByName(more).groupBy("key").agg(F.min_by("a", F.struct("kind", "o")).alias("a")).select("key", "a.*")
+
+
+def class_table(spark, classes: dict[str, tuple[str, ...]] | None = None) -> DataFrame:  # noqa: ANN001
+    """class, member: the curated drug classes."""
+    return spark.createDataFrame([(c, m) for c, members in (classes or DRUG_CLASSES).items() for m in members], "class string, member string")
+
+
+def occurrences(facts: DataFrame) -> DataFrame:
+    """One row for each gene and chemical of a fact, with its variants and phenotypes as arrays and a total order.
+
+    facts: variant, gene, type, level, chemicals, phenotypes, ord. Genes and variants are divided at ``,`` and ``;``,
+    chemicals and phenotypes at ``,`` with outer quotes stripped. Facts without gene, variant or chemical cells are
+    dropped. A fact whose chemical cell holds no name has one row without chemical.
+    """
+    cell = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    unquoted = lambda c: F.trim(cell(c), F.lit('"'))
+    rows = facts.where((cell("gene") != "") & (cell("variant") != "") & (cell("chemicals") != "")).select(
+        "ord", cell("type").alias("role"), cell("level").alias("level"), F.transform(split_cell(F.col("gene"), "[,;]"), F.upper).alias("genes"),
+        split_cell(F.col("variant"), "[,;]").alias("variants"), split_cell(unquoted("chemicals")).alias("chems"), split_cell(unquoted("phenotypes")).alias("phens"),
+    )
+    genes = rows.select("*", F.posexplode("genes").alias("g", "gene"))
+    return genes.select("ord", "g", F.posexplode_outer("chems").alias("c", "chemical"), "gene", "role", "level", "variants", "phens", is_critical(F.col("role"), F.col("level")).alias("critical"))
+
+
+def build_graph(facts: DataFrame, genes: DataFrame, drugs: DataFrame, phenotypes: DataFrame, classes: DataFrame, relations: DataFrame, most: int = MOST_PMIDS) -> tuple[DataFrame, DataFrame]:
+    """nodes and edges of one property graph.
+
+    facts: as in ``occurrences`` (held-out ones excluded before). genes: ``dimension`` with fullName, pharmgkb_id,
+    chromosome, is_vip by upper-case key; drugs: ``named_drugs`` with pharmgkb_id, atc, top_level; phenotypes:
+    ``dimension`` with pharmgkb_id, xref. classes: class, member. relations: entity1, type1, entity2, type2,
+    association, pmids. Every class becomes a node, used or not.
+
+    Nodes take the first label, and of each attribute the first value that is not empty; edges of one source, target and
+    type are one, with the strongest level, roles and genes folded in order. An edge's id is a hash of its ends and
+    type. Every step is a join or an aggregation on node or edge ids; nothing is collected.
+    """
+    seen = cut(occurrences(facts), "occurrences")
+    gene_id, drug_id, phen_id = (lambda c, k=k: slug(F.lit(k), c) for k in ("gene", "drug", "phen"))
+    chems = seen.where("chemical IS NOT NULL")
+    place = lambda i, j: F.struct("ord", "g", F.coalesce("c", F.lit(-1)).alias("c"), F.lit(i).alias("step"), j.alias("sub")).alias("o")
+    none = F.lit(None).cast("string")
+    zero = F.lit(0)
+
+    def rows(df: DataFrame, kind: str, node: Column, label: Column, order: Column, **extra: Column) -> DataFrame:
+        more = {"fullName": none, "pharmgkb_id": none, "chromosome": none, "is_vip": F.lit(None).cast("boolean"), "atc": none, "top_level": none, "gene": none, "level": none, "xref": none, "description": none} | extra
+        return df.select(node.alias("id"), label.alias("label"), F.lit(kind).alias("type"), order, *[c.alias(a) for a, c in more.items()])
+
+    first = lambda df, c: df.groupBy(c).agg(F.min("o").alias("o"))
+    g = first(seen.select("gene", place(0, zero)), "gene").join(genes.withColumnRenamed("key", "gene"), "gene", "left")
+    p = first(seen.select(F.posexplode("phens").alias("sub", "phen"), "ord", "g", "c").select("phen", place(1, F.col("sub"))), "phen").withColumn("key", F.lower("phen")).join(phenotypes, "key", "left")
+    c = first(chems.select("chemical", place(2, zero)), "chemical").withColumn("key", F.lower("chemical")).join(drugs, "key", "left")
+    node_rows = [
+        rows(g, "gene", gene_id(F.col("gene")), F.col("gene"), F.col("o"), fullName=F.coalesce("fullName", "gene"), pharmgkb_id=F.col("pharmgkb_id"), chromosome=F.col("chromosome"), is_vip=F.coalesce("is_vip", F.lit(False))),
+        rows(p, "phenotype", phen_id(F.col("phen")), F.col("phen"), F.col("o"), pharmgkb_id=F.col("pharmgkb_id"), xref=F.col("xref")),
+        rows(c, "drug", drug_id(F.col("chemical")), F.col("chemical"), F.col("o"), pharmgkb_id=F.col("pharmgkb_id"), atc=F.col("atc"), top_level=F.col("top_level")),
+    ]
+    every = node_rows[0].unionByName(node_rows[1]).unionByName(node_rows[2])
+    filled = lambda a: F.coalesce(F.col(a).cast("string"), F.lit("")) != ""
+    attributes = [a for a in every.columns if a not in ("id", "label", "type", "o")]
+    merged = every.groupBy("id").agg(F.min_by("label", "o").alias("label"), F.min_by("type", "o").alias("type"), *[F.max(a).alias(a) if a == "is_vip" else F.min_by(a, F.when(filled(a), F.col("o"))).alias(a) for a in attributes])
+    # of a node that has the attribute at all an empty value stays empty, not null
+    had = {"gene": ("pharmgkb_id", "chromosome", "fullName"), "phenotype": ("pharmgkb_id", "xref"), "drug": ("pharmgkb_id", "atc", "top_level")}
+    for a in {x for v in had.values() for x in v}:
+        merged = merged.withColumn(a, F.when(F.col("type").isin(*[k for k, v in had.items() if a in v]), F.coalesce(a, F.lit(""))).otherwise(F.col(a)))
+    named = classes.select("class").distinct()
+    class_nodes = rows(named, "drug_class", slug(F.lit("class"), F.col("class")), F.col("class"), F.lit(None).alias("o"), description=F.concat(F.lit("Drug class: "), "class")).drop("o")
+
+    member = chems.select("gene", "level", "role", "chemical", "phens", "ord", "g", "c", F.posexplode("variants").alias("v", "rsid")).select(gene_id(F.col("gene")).alias("gene_id"), "gene", "rsid", F.struct("level", "role", "chemical", "phens").alias("m"), level_rank(F.col("level")).alias("rank"), F.struct("ord", "g", "c", "v").alias("o"))
+    best = member.groupBy("gene_id", "rsid").agg(F.min_by("m", F.struct("rank", "o")).alias("m"), F.min("o").alias("o"), F.min(F.struct("o", "gene")).alias("named")).select("gene_id", "rsid", "m.*", "o", "named")
+    best = cut(best, "members")
+    per = best.groupBy("gene_id").agg(
+        F.min("named").alias("named"), F.count("*").alias("n"), F.min_by("level", F.when(F.col("level") != "", level_rank(F.col("level")))).alias("level"),
+        F.transform(F.array_sort(F.collect_list(F.struct("o", "rsid", "level", "role", "chemical"))), lambda x: F.struct(x["rsid"].alias("rsid"), x["level"].alias("level"), x["role"].alias("role"), x["chemical"].alias("chemical"))).alias("members"),
+    ).select("gene_id", F.col("named.gene").alias("gene"), "n", F.coalesce("level", F.lit("")).alias("level"), "members")
+    label = F.concat("gene", F.lit(" variants ("), F.col("n").cast("string"), F.lit(")"))
+    cluster = lambda i: slug(F.lit("vcluster"), i)
+    members_type = per.schema["members"].dataType
+    cluster_nodes = rows(per.withColumn("_l", label), "variant_cluster", cluster(F.col("gene_id")), F.col("_l"), F.lit(None).alias("o"), gene=F.col("gene"), level=F.col("level"), members=F.col("members")).drop("o")
+    plain = merged.unionByName(class_nodes).withColumn("members", F.lit(None).cast(members_type))
+    nodes = cut(plain.unionByName(cluster_nodes), "nodes")
+
+    def events(df: DataFrame, source: Column, target: Column, kind: Column, level: Column = none, role: Column = none, critical: Column | None = None, n: Column | None = None, gene: Column = none, order: Column | None = None) -> DataFrame:
+        return df.select(
+            source.alias("source"), target.alias("target"), kind.alias("type"), level.alias("level"), role.alias("role"), (F.lit(None).cast("boolean") if critical is None else critical).alias("critical"),
+            (F.lit(None).cast("long") if n is None else n.cast("long")).alias("n"), gene.alias("gene"), order if order is not None else F.lit(None).alias("ord"),
+        )
+
+    to_class = chems.withColumn("member", F.lower("chemical")).join(classes.select(F.lower("member").alias("member"), "class"), "member")
+    at = lambda j: F.struct("ord", "g", "c", j.alias("sub")).alias("ord")
+    each_phen = chems.select("ord", "g", "c", "gene", "chemical", "role", "level", "critical", F.posexplode("phens").alias("sub", "phen"))
+    key = F.col("critical")
+    drug, gene, phen = drug_id(F.col("chemical")), gene_id(F.col("gene")), phen_id(F.col("phen"))
+    raw = (
+        events(chems, drug, gene, edge_type(F.col("role"), F.col("level")), F.col("level"), F.col("role"), key, order=at(zero))
+        .unionByName(events(to_class, drug, slug(F.lit("class"), F.col("class")), F.lit("belongs_to_class"), order=at(zero)))
+        .unionByName(events(each_phen.where(key), drug, phen, F.lit("can_trigger"), F.col("level"), gene=F.col("gene"), order=at(F.col("sub"))))
+        .unionByName(events(each_phen.where(~key), gene, phen, F.lit("associated_with"), F.col("level"), F.col("role"), order=at(F.col("sub"))))
+    )
+    folded = merge_edges(raw, ["source", "target", "type"], gene="gene")
+    clustered = events(per, F.col("gene_id"), cluster(F.col("gene_id")), F.lit("has_variant"), F.col("level"), n=F.col("n")).drop("ord")
+    risky = best.where(is_critical(F.col("role"), F.col("level"))).select("gene_id", F.explode("phens").alias("phen")).select(cluster(F.col("gene_id")).alias("source"), phen.alias("target")).distinct()
+    risks = events(risky, F.col("source"), F.col("target"), F.lit("linked_to_risk"), critical=F.lit(True)).drop("ord")
+    blank = lambda c: F.nullif(F.col(c), F.lit(""))
+    edges = folded.select("source", "target", "type", "level", blank("role").alias("role"), "critical", "n", blank("gene").alias("gene")).unionByName(clustered).unionByName(risks)
+    found = attach_pmids(edges, pmid_sets(entity_pairs(relations, nodes), most))
+    edge_id = F.md5(F.concat_ws("|", "source", "type", "target"))
+    return nodes, found.select(edge_id.alias("id"), "source", "target", "type", "level", "role", "critical", F.col("n").alias("count"), "gene", "pmids")
+
+
+def entity_pairs(relations: DataFrame, nodes: DataFrame) -> DataFrame:
+    """relations between two different nodes: entity1, entity2 (ids), association, pmids. Entities of other types, and
+    those that are no node, are dropped."""
+    kind = {"Gene": lambda c: slug(F.lit("gene"), F.upper(c)), "Chemical": lambda c: slug(F.lit("drug"), c), "Disease": lambda c: slug(F.lit("phen"), c)}
+    trimmed = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+
+    def node(i: int) -> Column:
+        out = F.lit(None).cast("string")
+        for k, make in kind.items():
+            out = F.when(trimmed(f"type{i}") == k, make(trimmed(f"entity{i}"))).otherwise(out)
+        return out
+
+    mapped = relations.select(node(1).alias("entity1"), node(2).alias("entity2"), "association", "pmids").where("entity1 <> entity2")
+    for c in ("entity1", "entity2"):
+        mapped = mapped.join(nodes.select(F.col("id").alias(c)), c, "left_semi")
+    return mapped
+
+
+def seed_graph(nodes: DataFrame, edges: DataFrame, classes: DataFrame, seed_classes: tuple[str, ...] = SEED_CLASSES) -> tuple[DataFrame, DataFrame]:
+    """The view around the drugs of some classes: these drugs and classes, genes and phenotypes that an edge joins with a
+    drug, clusters of these genes, and all edges between them."""
+    kinds = nodes.select("id", "type")
+    drugs = classes.where(F.col("class").isin(*seed_classes)).select(slug(F.lit("drug"), F.col("member")).alias("id")).distinct().join(kinds.select("id"), "id", "left_semi")
+    own = classes.where(F.col("class").isin(*seed_classes)).select(slug(F.lit("class"), F.col("class")).alias("id")).distinct()
+    near = edges.where(F.col("type").isin(*SEED_TYPES))
+    ends = near.select(F.col("source").alias("id"), F.col("target").alias("other")).union(near.select("target", "source"))
+    reached = ends.join(drugs, "id", "left_semi").select(F.col("other").alias("id")).distinct().join(kinds, "id")
+    genes = reached.where("type = 'gene'").select("id")
+    phens = reached.where("type = 'phenotype'").select("id")
+    clusters_ = edges.where("type = 'has_variant'").join(genes.withColumnRenamed("id", "source"), "source", "left_semi").select(F.col("target").alias("id")).join(kinds.where("type = 'variant_cluster'").select("id"), "id", "left_semi")
+    keep = cut(drugs.union(own).union(genes).union(phens).union(clusters_).distinct(), "seed")
+    both = edges.join(keep.withColumnRenamed("id", "source"), "source", "left_semi").join(keep.withColumnRenamed("id", "target"), "target", "left_semi")
+    return nodes.join(keep, "id", "left_semi"), both.select(edges.columns)

@@ -5,29 +5,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgweave.constants import CRITICAL_LEVELS
-from kgweave.functions.columns import checkpointed
-
-MOST_HOPS = 4
-
+from kgweave.constants import CRITICAL_LEVELS, MOST_HOPS, SEED_HOPS, SEED_NODES
+from kgweave.sources.shared import cut
 
 def symmetric(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("source").alias("src"), F.col("target").alias("dst")).union(edges.select("target", "source")).distinct()
+    """src, dst of every edge in both directions, written once: each hop joins with it again."""
+    both = edges.select(F.col("source").alias("src"), F.col("target").alias("dst")).where("src <> dst")
+    return cut(both.union(both.select("dst", "src")).distinct(), "symmetric")
+
 
+def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = 1, sym: DataFrame | None = None) -> DataFrame:
+    """question_id, node, hop: nodes within ``hops`` (0 to 4) undirected steps of a question's seeds (question_id, node).
 
-def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = 1) -> DataFrame:
-    """question_id, node, hop: nodes within ``hops`` (0 to 4) undirected steps of a question's seeds (question_id, node)."""
+    sym: of ``symmetric``, where it is at hand.
+    """
     hops = max(0, min(hops, MOST_HOPS))
-    sym = symmetric(edges)
+    sym = symmetric(edges) if sym is None else sym
     seen = seeds.select("question_id", "node").distinct().withColumn("hop", F.lit(0))
     front = seen
     for h in range(1, hops + 1):
         step = front.join(sym, front.node == sym.src).select("question_id", F.col("dst").alias("node")).distinct()
-        front = checkpointed(step.join(seen, ["question_id", "node"], "left_anti").withColumn("hop", F.lit(h)))
+        front = cut(step.join(seen, ["question_id", "node"], "left_anti").withColumn("hop", F.lit(h)), "front")
         seen = seen.unionByName(front)
     return seen
 
 
+def hydrate(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``ids`` (node, ...) with the attributes of their nodes; ids that are no node are dropped."""
+    return ids.join(nodes.withColumnRenamed("id", "node"), "node")
+
+
+def seed_expansion(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, hops: float | None = 1, most: int = SEED_NODES) -> tuple[DataFrame, DataFrame]:
+    """Nodes (question_id, id, attributes) and edges (question_id, ...) of each seed's surroundings, the ``most`` nodes of
+    greatest degree in them.
+
+    hops is brought to 1 to 3; without a number (null, not a number) there is no step and only the seed remains.
+    """
+    steps = 0 if hops is None or hops != hops else int(min(max(hops, 1), SEED_HOPS))
+    kept = cut(hydrate(nodes, neighbourhood(edges, seeds, steps)).withColumnRenamed("node", "id").drop("hop"), "expansion")
+    inner = cut(induced(edges, kept.select("question_id", F.col("id").alias("node"))), "induced")
+    ends = inner.select("question_id", F.explode(F.array("source", "target")).alias("id")).groupBy("question_id", "id").agg(F.count("*").alias("degree"))
+    ranked = kept.join(ends, ["question_id", "id"], "left").withColumn("r", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc(F.coalesce("degree", F.lit(0))), "id")))
+    top = ranked.where(F.col("r") <= most).drop("degree", "r")
+    for end in ("source", "target"):
+        inner = inner.join(top.select("question_id", F.col("id").alias(end)), ["question_id", end], "left_semi")
+    return top, inner
+
+
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends among a question's nodes, with question_id."""
     a = nodes.select("question_id", F.col("node").alias("source"))
@@ -42,13 +66,42 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def filter_edges(edges: DataFrame, types: list[str] | None = None, levels: list[str] | None = None) -> DataFrame:
     """Edges of the types and levels; an edge without level passes any level filter."""
-    if types is not None:
+    if types:
         edges = edges.where(F.col("type").isin(*types))
-    if levels is not None:
+    if levels:
         edges = edges.where(F.col("level").isNull() | (F.col("level") == "") | F.col("level").isin(*levels))
     return edges
 
 
+def ranked_nodes(nodes: DataFrame, edges: DataFrame, most: int) -> DataFrame:
+    """The ``most`` nodes (id, ...) of greatest degree in ``edges``; ties: smaller id."""
+    found = nodes.join(degrees(edges).withColumnRenamed("node", "id"), "id", "left")
+    return found.orderBy(F.desc(F.coalesce("degree", F.lit(0))), "id").limit(most).drop("degree")
+
+
+def apply_filters(nodes: DataFrame, edges: DataFrame, node_types: list[str] | None = None, edge_types: list[str] | None = None, levels: list[str] | None = None, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges that pass the filters (none: all pass), without dangling edges; then the ``most`` nodes of greatest degree."""
+    if node_types:
+        nodes = nodes.where(F.col("type").isin(*node_types))
+    edges = _joined_ends(filter_edges(edges, edge_types, levels), nodes)
+    if most:
+        nodes = cut(ranked_nodes(nodes, edges, most), "ranked")
+        edges = _joined_ends(edges, nodes)
+    return nodes, edges
+
+
+def _joined_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    for end in ("source", "target"):
+        edges = edges.join(nodes.select(F.col("id").alias(end)), end, "left_semi")
+    return edges
+
+
+def hidden_elements(nodes: DataFrame, edges: DataFrame, node_types: list[str] | None = None, edge_types: list[str] | None = None, levels: list[str] | None = None, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """ids of the nodes and of the edges that the filters hide: what ``apply_filters`` does not keep."""
+    shown_nodes, shown_edges = apply_filters(nodes, edges, node_types, edge_types, levels, most)
+    return nodes.select("id").join(shown_nodes.select("id"), "id", "left_anti"), edges.select("id").join(shown_edges.select("id"), "id", "left_anti")
+
+
 def top_nodes(edges: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """The ``most`` nodes of greatest degree (ties: smaller id) and the edges among them."""
     nodes = degrees(edges).orderBy(F.desc("degree"), "node").limit(most)
@@ -62,20 +115,20 @@ def hidden(edges: DataFrame, types: list[str] | None = None, levels: list[str] |
     return degrees(edges).select("node").join(visible, "node", "left_anti")
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int = MOST_HOPS) -> DataFrame:
+def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int = MOST_HOPS, sym: DataFrame | None = None) -> DataFrame:
     """from_id, to_id, hops, path (ids joined by ``>``): fewest undirected hops, of these the smallest path by characters.
 
     Each frontier keeps one path for each (root, node) before it grows, so the work per level is bounded by nodes, not paths.
     Pairs of one node with itself, or farther apart than ``most``, have no row.
     """
-    sym = symmetric(edges)
+    sym = symmetric(edges) if sym is None else sym
     roots = pairs.where("from_id <> to_id").select(F.col("from_id").alias("root")).distinct()
     front = roots.select("root", F.col("root").alias("node"), F.col("root").alias("path")).withColumn("hops", F.lit(0))
     seen = front
     for h in range(1, most + 1):
         step = front.join(sym, front.node == sym.src).select("root", F.col("dst").alias("node"), F.concat("path", F.lit(">"), "dst").alias("path"))
         best = step.join(seen.select("root", "node"), ["root", "node"], "left_anti").groupBy("root", "node").agg(F.min("path").alias("path")).withColumn("hops", F.lit(h))
-        front = checkpointed(best)
+        front = cut(best, "front")
         seen = seen.unionByName(front)
     return pairs.where("from_id <> to_id").distinct().join(seen, (F.col("from_id") == F.col("root")) & (F.col("to_id") == F.col("node"))).select("from_id", "to_id", F.col("hops").cast("int").alias("hops"), "path")
 
@@ -96,6 +149,16 @@ def expand_clusters(clusters: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, each.select(F.concat(F.lit("gene:"), "gene").alias("source"), F.concat(F.lit("variant:"), "variant").alias("target"), F.lit("has_variant").alias("type"), "level")
 
 
-def first_rows(df: DataFrame, keys: list[str], order: list, most: int) -> DataFrame:  # noqa: ANN001
-    """The first ``most`` rows of each key with their rank (from 1)."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= most)
+def expand_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The graph with each variant cluster replaced by a node for every member, joined to the cluster's gene; edges of the
+    clusters themselves are gone. Clusters without members stay."""
+    gone = nodes.where("type = 'variant_cluster' AND size(members) > 0").select("id", "gene", "members")
+    parent = edges.where("type = 'has_variant'").groupBy(F.col("target").alias("id")).agg(F.max("source").alias("parent"))
+    each = gone.join(parent, "id", "left").select("parent", "gene", F.col("id").alias("cluster"), F.explode("members").alias("m")).withColumn("id", F.concat("cluster", F.lit("__"), "m.rsid"))
+    fresh = each.select("id", F.col("m.rsid").alias("label"), F.lit("variant_cluster").alias("type"), "gene", F.col("m.level").alias("level"), F.array("m").alias("members"))
+    kept = nodes.join(gone.select("id"), "id", "left_anti")
+    new_edges = each.where("parent IS NOT NULL").select(F.md5(F.concat_ws("|", "parent", F.lit("has_variant"), "id")).alias("id"), F.col("parent").alias("source"), F.col("id").alias("target"), F.lit("has_variant").alias("type"), F.col("m.level").alias("level"))
+    left = edges
+    for end in ("source", "target"):
+        left = left.join(gone.select(F.col("id").alias(end)), end, "left_anti")
+    return kept.unionByName(fresh, allowMissingColumns=True), left.unionByName(new_edges, allowMissingColumns=True)

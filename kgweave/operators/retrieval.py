@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgweave.constants import BM25_B, BM25_K1, HITS_PER_TERM, LINK_CUT, MOST_CHUNK_PMIDS, MOST_ENTITIES, MULTI_WORD_BONUS, RRF_K, STOPWORDS, TOP_FINAL, TOP_K
+from kgweave.constants import (
+    BM25_B, BM25_K1, HIGH_EVIDENCE, HITS_PER_TERM, LINK_CUT, MOST_CHUNK_PMIDS, MOST_ENTITIES, MOST_RELATION_CHUNKS, MULTI_WORD_BONUS, RRF_K, SEARCH_CUT, SEARCH_HITS, STOPWORDS, TOP_FINAL, TOP_K,
+)
 from kgweave.functions.columns import lcs_ratio, ngrams, question_terms, render_edge, split_cell, tokens
+from kgweave.sources.shared import cut, small
 
 
 def question_ngrams(questions: DataFrame, stopwords: list[str] | None = None) -> DataFrame:
@@ -24,81 +29,167 @@ def link_substring(questions: DataFrame, index: DataFrame, least: int = 3) -> Da
     whole = parts.join(labels.where("head <> ''"), "head").where(F.contains("q", F.lower("label"))).select("question_id", "id", "label")
     # single-token labels can also end within a word: their prefixes are met by the same suffixes cut to the label's length
     sizes = labels.select(F.length("head").alias("n")).distinct()
-    cut = parts.join(F.broadcast(sizes), F.length("head") > F.col("n")).select("question_id", "q", F.expr("substring(head, 1, n)").alias("head"))
-    more = cut.distinct().join(labels.where("head <> ''"), "head").where(F.contains("q", F.lower("label"))).select("question_id", "id", "label")
+    cuts = parts.join(F.broadcast(sizes), F.length("head") > F.col("n")).select("question_id", "q", F.expr("substring(head, 1, n)").alias("head"))
+    more = cuts.distinct().join(labels.where("head <> ''"), "head").where(F.contains("q", F.lower("label"))).select("question_id", "id", "label")
     return whole.union(more).distinct()
 
 
-def link_fuzzy(questions: DataFrame, index: DataFrame, stopwords: list[str] | None = None, cut: float = LINK_CUT, most: int = MOST_ENTITIES) -> DataFrame:
-    """question_id, id, term, score (0: perfect): terms against labels by longest common subsequence.
+def choices(index: DataFrame) -> DataFrame:
+    """id, choice, ord: lower-cased label of each entry, then its aliases (``alt``, divided at ``,`` and ``;``).
 
-    The cut leaves only pairs with 2 * min(m, n) / (m + n) of at least 1 - cut - bonus, so pairs are joined on length
-    windows instead of compared all with all; distinct terms are compared once. Per term the best HITS_PER_TERM choices
-    count, before the cut; per question the best ``most`` entities.
+    index: id, label, alt, ord (place in the index).
     """
-    terms = question_ngrams(questions, stopwords).where(~((F.size(F.split("term", " ")) == 1) & (F.length("term") < 4) & ~F.col("term").rlike("[0-9]")))
-    choices = index.select("id", F.lower("label").alias("choice")).distinct()
-    worst = cut + MULTI_WORD_BONUS
-    ratio = (1 - worst) / (1 + worst)
-    n = F.length("term")
-    windows = terms.select("term").distinct().withColumn("size", F.explode(F.sequence(F.ceil(n * ratio).cast("int"), F.floor(n / ratio).cast("int"))))
-    pairs = windows.join(choices.withColumn("size", F.length("choice")), "size").withColumn("d", 1 - lcs_ratio(F.col("term"), F.col("choice")))
-    best = pairs.withColumn("r", F.row_number().over(Window.partitionBy("term").orderBy("d", "choice", "id"))).where(F.col("r") <= HITS_PER_TERM)
-    scored = best.withColumn("score", F.greatest(F.lit(0.0), F.col("d") - F.when(F.contains("term", F.lit(" ")), MULTI_WORD_BONUS).otherwise(0.0))).where(F.col("score") <= cut)
-    per = terms.join(scored.select("term", "id", "score"), "term").groupBy("question_id", "id").agg(F.min_by("term", F.struct("score", "pos")).alias("term"), F.min("score").alias("score"))
-    return per.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy("score", "id"))).where(F.col("rank") <= most)
+    alts = split_cell(F.col("alt"), "[,;]") if "alt" in index.columns else F.array().cast("array<string>")
+    names = F.concat(F.array(F.lower(F.coalesce("label", F.lit("")))), F.transform(alts, F.lower))
+    place = F.col("ord") if "ord" in index.columns else F.lit(0)
+    return index.select("id", place.alias("o"), F.posexplode(names).alias("p", "choice")).where("choice <> ''").select("id", "choice", F.struct("o", "p", "id").alias("ord"))
 
 
-def chunk_facts(facts: DataFrame) -> DataFrame:
-    """source, text of fact rows that have a variant, a gene and a chemical."""
-    full = facts.where("variant <> '' AND gene <> '' AND chemical <> ''")
-    phen = F.when(F.coalesce("phenotype", F.lit("")) != "", F.concat(F.lit(" Phenotypes: "), "phenotype", F.lit("."))).otherwise("")
-    return full.select(F.lit("clinical").alias("source"), F.concat(F.lit("Variant "), "variant", F.lit(" in gene "), "gene", F.lit(" affects "), "role", F.lit(" of "), "chemical", F.lit(" (level "), "level", F.lit(")."), phen).alias("text"))
-
-
-def chunk_relations(relations: DataFrame) -> DataFrame:
-    """source, text of relations that are exactly ``associated``, with ten identifiers at most."""
-    ids = F.slice(split_cell(F.col("pmids"), "[,;]"), 1, MOST_CHUNK_PMIDS)
-    kept = relations.where(F.lower(F.trim("association")) == "associated")
-    tail = F.when(F.size(ids) > 0, F.concat(F.lit(" PMIDs: "), F.array_join(ids, ", "), F.lit("."))).otherwise("")
-    return kept.select(F.lit("relationship").alias("source"), F.concat("entity1", F.lit(" is associated with "), "entity2", F.lit("."), tail).alias("text"))
+def similar_texts(left: DataFrame, right: DataFrame, worst: float) -> DataFrame:
+    """term, choice, d of all pairs with d = 1 - (twice the longest common subsequence) / (sum of lengths) of at most ``worst``.
 
+    left: term, right: choice, both distinct. A pair of lengths m and n within the bound differs by t insertions and
+    deletions at most, and of t + 1 pieces of the term one stands in the choice unchanged, moved by t places at most. So
+    pieces are joined, not texts with texts; what meets is cut by edit distance, and the rest compared.
+    """
+    share = (1 - worst) / (1 + worst)
+    n_right = right.select(F.length("choice").alias("n")).distinct()
+    n_left = left.select(F.length("term").alias("m")).distinct()
+    most = F.floor((F.col("m") + F.col("n")) * worst + 1e-9).cast("int")
+    spare = most - F.pmod(most - F.col("m") - F.col("n"), F.lit(2))  # insertions and deletions have the parity of m + n
+    sizes = n_left.join(n_right, (F.col("n") >= F.col("m") * share - 1e-9) & (F.col("m") >= F.col("n") * share - 1e-9)).withColumn("t", spare).where("t >= abs(m - n)")
+    sizes = cut(sizes.withColumn("k", F.least(F.col("t") + 1, F.col("m"))), "sizes")
+    rows = sizes.count()  # pairs of lengths
+    start = lambda j: F.floor(j * F.col("m") / F.col("k")).cast("int")
+    pieces = left.join(small(sizes, rows), F.length("term") == F.col("m")).select("term", "m", "n", F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(j.alias("j"), F.substring("term", start(j) + 1, start(j + 1) - start(j)).alias("piece")))).alias("x")).select("term", "m", "n", "x.*")
+    steps = F.sequence(F.lit(0), F.col("k") - 1)
+    shift = lambda j: F.sequence(F.greatest(F.lit(0), start(j) - F.col("t")), F.greatest(F.least(F.col("n") - (start(j + 1) - start(j)), start(j) + F.col("t")), F.greatest(F.lit(0), start(j) - F.col("t"))))
+    parts = right.join(small(sizes, rows), F.length("choice") == F.col("n")).select("choice", "m", "n", F.explode(F.array_distinct(F.flatten(F.transform(steps, lambda j: F.transform(shift(j), lambda i: F.struct(j.alias("j"), F.substring("choice", i + 1, start(j + 1) - start(j)).alias("piece"))))))).alias("x")).select("choice", "m", "n", "x.*")
+    met = pieces.join(parts, ["m", "n", "j", "piece"]).select("term", "choice").distinct()
+    both = F.length("term") + F.length("choice")
+    near = met.where(F.levenshtein("term", "choice") <= F.floor(both * worst + 1e-9))
+    return near.withColumn("d", 1 - lcs_ratio(F.col("term"), F.col("choice"))).where(F.col("d") <= worst + 1e-9)
+
+
+def link_fuzzy(questions: DataFrame, index: DataFrame, stopwords: list[str] | None = None, most: int = MOST_ENTITIES, nodes: DataFrame | None = None) -> DataFrame:
+    """question_id, id, term, score (0: alike; less for terms of several words), rank: terms against labels and aliases.
+
+    index: id, label, and alt and ord where there are any. Of each term the best HITS_PER_TERM choices count, aliases of
+    one entity singly (ties: earlier in the index), and of these those whose entity is one of ``nodes`` (id; none: all)
+    and whose score is within LINK_CUT. A single word shorter than four letters without a digit links nothing. An
+    entity has its best score and the first term that reaches it; a question its ``most`` best entities, of equal ones
+    those linked first. A choice beyond the cut never displaces one within it, so only similar pairs are made.
+    """
+    asked = question_ngrams(questions, stopwords).where(~((F.size(F.split("term", " ")) == 1) & (F.length("term") < 4) & ~F.col("term").rlike("[0-9]")))
+    terms = cut(asked, "terms")
+    named = cut(choices(index), "choices")
+    pairs = similar_texts(terms.select("term").distinct(), named.select("choice").distinct(), LINK_CUT + MULTI_WORD_BONUS)
+    hits = pairs.join(named, "choice").withColumn("r", F.row_number().over(Window.partitionBy("term").orderBy(F.round("d", 9), "ord"))).where(F.col("r") <= HITS_PER_TERM)
+    if nodes is not None:
+        hits = hits.join(nodes.select("id").distinct(), "id", "left_semi")
+    bonus = F.when(F.contains("term", F.lit(" ")), MULTI_WORD_BONUS).otherwise(0.0)
+    scored = hits.withColumn("score", F.round(F.col("d") - bonus, 9)).where(F.col("score") <= LINK_CUT)
+    per = terms.join(scored.select("term", "id", "score", "r"), "term").groupBy("question_id", "id").agg(F.min_by("term", F.struct("score", "pos")).alias("term"), F.min("score").alias("score"), F.min(F.struct("pos", "r")).alias("first"))
+    ranked = per.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy("score", "first", "id")))
+    return ranked.where(F.col("rank") <= most).drop("first")
+
+
+def autocomplete(index: DataFrame, queries: DataFrame, most: int = SEARCH_HITS, worst: float = SEARCH_CUT) -> DataFrame:
+    """query, id, label, score, rank: the ``most`` entries whose label or an alias is similar to the query (ties: place in the index)."""
+    named = cut(choices(index), "choices")
+    asked = queries.select(F.lower(F.trim("query")).alias("term")).where("term <> ''").distinct()
+    hits = similar_texts(asked, named.select("choice").distinct(), worst).join(named, "choice").groupBy("term", "id").agg(F.min("d").alias("score"), F.min("ord").alias("ord"))
+    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("term").orderBy(F.round("score", 9), "ord"))).where(F.col("rank") <= most)
+    found = ranked.join(index.select("id", "label").dropDuplicates(["id"]), "id")
+    return queries.select("query", F.lower(F.trim("query")).alias("term")).join(found, "term").select("query", "id", "label", "score", "rank")
 
-def bm25(docs: DataFrame, questions: DataFrame, k: int = TOP_K, okapi: bool = True) -> DataFrame:
-    """question_id, doc_id, score, rank of the best k by BM25 (docs: doc_id, text; questions: question_id, question).
 
-    Only postings of query terms are kept after the term counts. A query term counts as often as it occurs. okapi:
-    logarithm ((n - df + 0.5) / (df + 0.5)), negative ones replaced by a quarter of the mean; otherwise ln(1 + that ratio).
+def chunk_facts(facts: DataFrame) -> DataFrame:
+    """source, text and the cells of fact rows that have a variant, a gene and chemicals (variant, gene, type, level, chemicals, phenotypes)."""
+    cell = {c: F.trim(F.coalesce(F.col(c), F.lit(""))) for c in ("variant", "gene", "type", "level", "chemicals", "phenotypes")}
+    full = facts.where((cell["variant"] != "") & (cell["gene"] != "") & (cell["chemicals"] != "")).select(*[c.alias(n) for n, c in cell.items()])
+    head = F.concat(F.lit("PharmGKB clinical variant — gene: "), "gene", F.lit("; variant(s): "), "variant", F.lit("; type: "), "type", F.lit("; evidence level: "), "level", F.lit("; chemicals: "), "chemicals")
+    tail = F.when(F.col("phenotypes") != "", F.concat(F.lit("; phenotype(s): "), "phenotypes")).otherwise("")
+    return full.select(F.lit("clinicalVariants").alias("source"), F.concat(head, tail).alias("text"), "gene", "variant", "level", "chemicals", "phenotypes", F.col("type").alias("cv_type"))
+
+
+def chunk_relations(relations: DataFrame, most: int | None = None) -> DataFrame:
+    """source, text, entity1, entity2, pmids (ten at most) of relations that are exactly ``associated`` and have names and
+    identifiers; with ``most`` only so many of those kept, by ``ord``. relations: entity1, type1, entity2, type2, association, pmids."""
+    trimmed = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    kept = relations.where(F.lower(trimmed("association")) == "associated").withColumn("_p", F.slice(split_cell(F.col("pmids"), "[,;]"), 1, MOST_CHUNK_PMIDS))
+    kept = kept.where((F.size("_p") > 0) & (trimmed("entity1") != "") & (trimmed("entity2") != ""))
+    if most is not None:
+        kept = kept.orderBy("ord").limit(most)
+    text = F.concat(F.lit("PharmGKB relationship: "), trimmed("entity1"), F.lit(" ("), trimmed("type1"), F.lit(") — "), trimmed("entity2"), F.lit(" ("), trimmed("type2"), F.lit("); PMIDs: "), F.array_join("_p", ", "))
+    return kept.select(F.lit("relationships").alias("source"), text.alias("text"), trimmed("entity1").alias("entity1"), trimmed("entity2").alias("entity2"), F.col("_p").alias("pmids"))
+
+
+def corpus(facts: DataFrame, relations: DataFrame, most: int | None = MOST_RELATION_CHUNKS) -> DataFrame:
+    """Chunks of high-evidence facts (held-out ones excluded before) and of the first ``most`` associated relations."""
+    return chunk_facts(facts.where(F.trim("level").isin(*HIGH_EVIDENCE))).unionByName(chunk_relations(relations, most), allowMissingColumns=True)
+
+
+def bm25_index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings (term, doc_id, tf, dl) and terms (term, df, n, average, raw: ln((n - df + 0.5) / (df + 0.5))), written once."""
+    held = docs.select("doc_id", tokens(F.col("text")).alias("t"))
+    tf = cut(held.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf")), "postings")
+    sums = held.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("average"))
+    terms = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(sums))
+    return tf, cut(terms.withColumn("raw", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))), "terms")
+
+
+def bm25(docs: DataFrame | tuple[DataFrame, DataFrame], questions: DataFrame, k: int = TOP_K, okapi: bool = True) -> DataFrame:
+    """question_id, doc_id, score, rank of the best k by BM25 (docs: doc_id, text, or its index; questions: question_id, question).
+
+    A query term counts as often as it occurs. okapi: negative logarithms are replaced by a quarter of the mean of all;
+    otherwise ln(1 + ratio). Only postings of query terms are read; a term that many documents hold is divided by the
+    engine where it is skewed.
     """
-    asked = questions.select("question_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("times"))
-    held = docs.select("doc_id", tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("dl"), "t")
-    sums = held.agg(F.count("*").alias("n"), F.avg("dl").alias("avg")).first()
-    n, average = sums["n"], sums["avg"] or 1.0
-    tf = held.select("doc_id", "dl", F.explode("t").alias("term"))
-    ratio = (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)
+    tf, terms = docs if isinstance(docs, tuple) else bm25_index(docs)
+    asked = cut(questions.select("question_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("times")), "asked")
     if okapi:
-        df = tf.groupBy("term").agg(F.count_distinct("doc_id").alias("df")).withColumn("raw", F.log(ratio))
-        floor = 0.25 * (df.agg(F.avg("raw")).first()[0] or 0.0)
-        idf = df.withColumn("idf", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw"))).select("term", "idf")
-        idf = idf.join(asked.select("term").distinct(), "term", "left_semi")
+        floor = 0.25 * (terms.agg(F.avg("raw")).first()[0] or 0.0)
+        idf = F.when(F.col("raw") < 0, floor).otherwise(F.col("raw"))
     else:
-        terms = asked.select("term").distinct()
-        idf = tf.join(terms, "term", "left_semi").groupBy("term").agg(F.count_distinct("doc_id").alias("df")).withColumn("idf", F.log(1 + ratio)).select("term", "idf")
-    counts = tf.join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    weight = F.col("times") * F.col("idf") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.lit(average)))
-    scores = asked.join(idf, "term").join(counts, "term").groupBy("question_id", "doc_id").agg(F.sum(weight).alias("score"))
+        idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = F.col("times") * idf * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("average")))
+    scores = asked.join(terms, "term").join(tf, "term").groupBy("question_id", "doc_id").agg(F.sum(weight).alias("score"))
     return _best(scores, k)
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
+def dense(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, block: int = 2048, part: int = 65_536) -> DataFrame:
     """question_id, doc_id, score, rank: largest inner products (vectors: doc_id, v; queries: question_id, q).
 
-    The query set is a parameter table; its rows are packed into blocks that each meet all vectors in one task step.
+    Parts of the vectors meet blocks of the queries as matrices, in double precision; each keeps k of a query, and these
+    are merged. No pair is a row.
     """
-    block = queries.groupBy(F.pmod("question_id", F.lit(16)).alias("b")).agg(F.collect_list(F.struct("question_id", "q")).alias("qs"))
-    met = vectors.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(15)))).join(F.broadcast(block), "b").select("doc_id", "v", F.explode("qs").alias("x"))
-    dot = F.aggregate(F.zip_with("v", "x.q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    return _best(met.select("x.question_id", "doc_id", dot.alias("score")), k)
+    def dealt(df: DataFrame, key: str, vector: str, n: int) -> tuple[DataFrame, int]:
+        df = cut(df.select(F.col(key).alias("key"), F.col(vector).alias("x")), "vectors")
+        parts = max(1, -(-df.count() // n))
+        return df.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")), parts
+
+    left, n_left = dealt(vectors, "doc_id", "v", part)
+    right, n_right = dealt(queries, "question_id", "q", block)
+    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1)))).select("key", "x", F.col("part").alias("i"), F.col("other").alias("j"))
+    right = right.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1)))).select("key", "x", F.col("other").alias("i"), F.col("part").alias("j"))
+
+    def best(docs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if docs.empty or asked.empty:
+            return pd.DataFrame({"question_id": [], "doc_id": [], "score": []})
+        x, q = (np.stack(t["x"].to_numpy()).astype(np.float64) for t in (docs, asked))
+        found = np.einsum("qd,nd->qn", q, x, optimize=True)
+        ids, rows = docs["key"].to_numpy(), []
+        for i, score in enumerate(found):
+            score = np.round(score, 9)
+            least = -np.partition(-score, min(k, len(score)) - 1)[min(k, len(score)) - 1]
+            top = np.flatnonzero(score >= least)
+            top = top[np.lexsort((ids[top], -score[top]))][:k]
+            rows.append(pd.DataFrame({"question_id": asked["key"].iloc[i], "doc_id": ids[top], "score": found[i][top]}))
+        return pd.concat(rows)
+
+    types = f"question_id {queries.schema['question_id'].dataType.simpleString()}, doc_id {vectors.schema['doc_id'].dataType.simpleString()}, score double"
+    return _best(left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(best, types), k)
 
 
 def _best(scores: DataFrame, k: int) -> DataFrame:
@@ -115,9 +206,10 @@ def fuse(rankings: list[DataFrame], k: int = TOP_FINAL, constant: int = RRF_K) -
 
 
 def render_chunks(ranked: DataFrame, docs: DataFrame) -> DataFrame:
-    """question_id, context: ``[i] text`` lines by rank."""
-    lines = ranked.join(docs, "doc_id").select("question_id", "rank", F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), "text").alias("line"))
-    return lines.groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda s: s["line"]), "\n").alias("context"))
+    """question_id, context: a head line and ``  [i] text`` lines by rank."""
+    lines = ranked.join(docs, "doc_id").select("question_id", "rank", F.concat(F.lit("  ["), F.col("rank").cast("string"), F.lit("] "), "text").alias("line"))
+    head = F.lit("RETRIEVED EVIDENCE (top-8 by hybrid BM25 + dense search):")
+    return lines.groupBy("question_id").agg(F.concat_ws("\n", head, F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda s: s["line"]), "\n")).alias("context"))
 
 
 def edge_lines(edges: DataFrame) -> DataFrame:

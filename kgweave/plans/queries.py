@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kgweave.constants import HIGH_EVIDENCE, NEGATIVE_CUES, REFUSAL_CUES, STOPWORDS
@@ -14,31 +12,18 @@ from kgweave.operators import graph_build as B
 from kgweave.operators import graph_ops as G
 from kgweave.operators import retrieval as R
 from kgweave.plans.bindings import FACTS, RELATIONS, bound, plain
+from kgweave.plans.registry import query
 from kgweave.streaming.limiter import limit_batch
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
 RANK = "CASE level WHEN '1A' THEN 1 WHEN '1B' THEN 2 WHEN '2A' THEN 3 WHEN '2B' THEN 4 WHEN '3' THEN 5 WHEN '4' THEN 6 ELSE 99 END"
 CRITICAL = "(contains(role, 'Toxicity') AND level IN ('1A', '1B'))"
 FACTS_CTE = f"facts AS ({plain(FACTS)})"
 EVENTS_CTE = f"events_ AS (SELECT 'drug:' || chemical AS source, 'gene:' || gene AS target, CASE WHEN {CRITICAL} THEN 'linked_to_risk' ELSE 'affects_response_to' END AS type, level, role, {CRITICAL} AS critical, ord FROM facts)"
 EDGES_CTE = f"""{FACTS_CTE}, {EVENTS_CTE}, per_role AS (SELECT source, target, type, role, min(ord) AS o FROM events_ GROUP BY ALL),
-roles AS (SELECT source, target, type, string_agg(role, ', ' ORDER BY o) AS role FROM per_role GROUP BY ALL),
+roles AS (SELECT source, target, type, string_agg(role, ',' ORDER BY o) AS role FROM per_role GROUP BY ALL),
 edges AS (SELECT source, target, type, arg_min(level, CAST({RANK} AS VARCHAR) || ord) AS level, bool_or(critical) AS critical, count(*) AS n FROM events_ GROUP BY ALL),
 merged AS (SELECT source, target, type, level, critical, n, roles.role FROM edges JOIN roles USING (source, target, type))"""
-SPARSE = "quantity = 50 AND suppkey <= 30"
-SPARSE_CTE = f"{FACTS_CTE}, sparse AS (SELECT DISTINCT 'drug:' || chemical AS source, 'gene:' || gene AS target FROM facts WHERE {SPARSE}), sym AS (SELECT source AS src, target AS dst FROM sparse UNION SELECT target, source FROM sparse)"
-
-
-def query(name: str, oracle: str | None = None):  # noqa: ANN201
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[name] = f
-        if oracle:
-            ORACLES[name] = oracle
-        return f
-
-    return add
+WHOLE_CTE = f"{FACTS_CTE}, pairs_ AS (SELECT DISTINCT 'drug:' || chemical AS source, 'gene:' || gene AS target FROM facts), sym AS (SELECT source AS src, target AS dst FROM pairs_ UNION SELECT target, source FROM pairs_)"
 
 
 def facts(s: SparkSession, d: str) -> DataFrame:
@@ -49,10 +34,6 @@ def merged(s: SparkSession, d: str) -> DataFrame:
     return B.merge_edges(B.fact_edges(facts(s, d)), ["source", "target", "type"])
 
 
-def sparse(s: SparkSession, d: str) -> DataFrame:
-    return facts(s, d).where(SPARSE).select(F.concat(F.lit("drug:"), "chemical").alias("source"), F.concat(F.lit("gene:"), "gene").alias("target")).distinct()
-
-
 def whole(s: SparkSession, d: str) -> DataFrame:
     """All pairs of a drug and a gene that any fact joins."""
     return merged(s, d).select("source", "target").distinct()
@@ -102,10 +83,10 @@ def kg_class_edges(s: SparkSession, d: str) -> DataFrame:
     return B.class_edges(facts(s, d), classes)
 
 
-MEMBERS_CTE = f"{FACTS_CTE}, members AS (SELECT gene, variant, arg_min({{'level': level, 'role': role, 'chemical': chemical, 'phenotype': phenotype, 'ord': ord}}, CAST({RANK} AS VARCHAR) || ord) AS b FROM facts GROUP BY gene, variant), flat AS (SELECT gene, variant, b.level AS level, b.role AS role, b.chemical AS chemical, b.phenotype AS phenotype, b.ord AS ord FROM members)"
+MEMBERS_CTE = f"{FACTS_CTE}, members AS (SELECT gene, variant, arg_min({{'level': level, 'role': role, 'chemical': chemical, 'phenotype': phenotype, 'ord': ord}}, CAST({RANK} AS VARCHAR) || ord) AS b, min(ord) AS first FROM facts GROUP BY gene, variant), flat AS (SELECT gene, variant, first, b.level AS level, b.role AS role, b.chemical AS chemical, b.phenotype AS phenotype, b.ord AS ord FROM members)"
 
 
-@query("kg_clusters", f"WITH {MEMBERS_CTE} SELECT gene, gene || ' variants (' || count(*) || ')' AS label, count(*) AS n, arg_min(level, {RANK}) AS level, string_agg(variant || ':' || level, ',' ORDER BY ord) AS members FROM flat GROUP BY gene")
+@query("kg_clusters", f"WITH {MEMBERS_CTE} SELECT gene, gene || ' variants (' || count(*) || ')' AS label, count(*) AS n, arg_min(level, {RANK}) AS level, string_agg(variant || ':' || level, ',' ORDER BY first) AS members FROM flat GROUP BY gene")
 def kg_clusters(s: SparkSession, d: str) -> DataFrame:
     c = B.clusters(B.cluster_members(facts(s, d)))
     return c.select("gene", "label", "n", "level", F.array_join(F.transform("members", lambda m: F.concat(m["variant"], F.lit(":"), m["level"])), ",").alias("members"))
@@ -189,24 +170,13 @@ def g_hidden(s: SparkSession, d: str) -> DataFrame:
 WALK = "h0 AS (SELECT question_id, node FROM seeds), h1 AS (SELECT DISTINCT question_id, dst AS node FROM h0 JOIN sym ON src = node EXCEPT SELECT * FROM h0), h2 AS (SELECT DISTINCT question_id, dst AS node FROM h1 JOIN sym ON src = node EXCEPT SELECT * FROM h1 EXCEPT SELECT * FROM h0)"
 
 
-@query("g_neighbourhood_2", f"WITH {SPARSE_CTE}, {SEEDS_CTE}, {WALK} SELECT *, CAST(0 AS INTEGER) AS hop FROM h0 UNION ALL SELECT *, CAST(1 AS INTEGER) FROM h1 UNION ALL SELECT *, CAST(2 AS INTEGER) FROM h2")
+@query("g_neighbourhood_2", f"WITH {WHOLE_CTE}, {SEEDS_CTE}, {WALK} SELECT *, CAST(0 AS INTEGER) AS hop FROM h0 UNION ALL SELECT *, CAST(1 AS INTEGER) FROM h1 UNION ALL SELECT *, CAST(2 AS INTEGER) FROM h2")
 def g_neighbourhood_2(s: SparkSession, d: str) -> DataFrame:
-    return G.neighbourhood(sparse(s, d), seeds(s), 2)
-
-
-@query("g_neighbourhood_2_whole")
-def g_neighbourhood_2_whole(s: SparkSession, d: str) -> DataFrame:
     return G.neighbourhood(whole(s, d), seeds(s), 2)
 
 
-@query("g_induced_1", f"WITH {SPARSE_CTE}, {SEEDS_CTE}, {WALK}, k AS (SELECT * FROM h0 UNION SELECT * FROM h1) SELECT a.question_id, source, target FROM sparse JOIN k a ON a.node = source JOIN k b ON b.node = target AND b.question_id = a.question_id")
+@query("g_induced_1", f"WITH {WHOLE_CTE}, {SEEDS_CTE}, {WALK}, k AS (SELECT * FROM h0 UNION SELECT * FROM h1) SELECT a.question_id, source, target FROM pairs_ JOIN k a ON a.node = source JOIN k b ON b.node = target AND b.question_id = a.question_id")
 def g_induced_1(s: SparkSession, d: str) -> DataFrame:
-    e = sparse(s, d)
-    return G.induced(e, G.neighbourhood(e, seeds(s), 1)).select("question_id", "source", "target")
-
-
-@query("g_induced_1_whole")
-def g_induced_1_whole(s: SparkSession, d: str) -> DataFrame:
     e = whole(s, d)
     return G.induced(e, G.neighbourhood(e, seeds(s), 1)).select("question_id", "source", "target")
 
@@ -223,27 +193,19 @@ def pairs(s: SparkSession) -> DataFrame:
 PAIRS = "SELECT root AS from_id, node AS to_id, hops, path FROM found WHERE node IN (SELECT 'gene:S' || i FROM range(1, 31) AS u(i))"
 
 
-@query("g_shortest_paths", f"WITH {SPARSE_CTE}, {SEEDS_CTE}, {PATHS_CTE} {PAIRS}")
+@query("g_shortest_paths", f"WITH {WHOLE_CTE}, {SEEDS_CTE}, {PATHS_CTE} {PAIRS}")
 def g_shortest_paths(s: SparkSession, d: str) -> DataFrame:
-    return G.shortest_paths(sparse(s, d), pairs(s))
-
-
-@query("g_shortest_paths_whole")
-def g_shortest_paths_whole(s: SparkSession, d: str) -> DataFrame:
     return G.shortest_paths(whole(s, d), pairs(s))
 
 
-@query("g_critical_paths", f"""WITH {SPARSE_CTE}, {SEEDS_CTE}, {PATHS_CTE}, p AS ({PAIRS}), strong AS (SELECT 'drug:' || chemical AS a, 'gene:' || gene AS b, bool_or({CRITICAL} OR level IN ('1A', '1B')) AS c FROM facts WHERE {SPARSE} GROUP BY ALL),
-steps AS (SELECT from_id, to_id, string_split(path, '>')[i] AS x, string_split(path, '>')[i + 1] AS y FROM p, unnest(range(1, hops + 1)) AS u(i))
-SELECT from_id, to_id, bool_or(c) AS critical FROM steps JOIN strong ON least(x, y) = a AND greatest(x, y) = b GROUP BY ALL""")
+@query("g_critical_paths", f"""WITH {WHOLE_CTE}, {SEEDS_CTE}, {PATHS_CTE}, p AS ({PAIRS}), strong AS (SELECT 'drug:' || chemical AS a, 'gene:' || gene AS b, bool_or({CRITICAL} OR level IN ('1A', '1B')) AS c FROM facts GROUP BY ALL),
+steps AS (SELECT from_id, to_id, hops, string_split(path, '>')[i] AS x, string_split(path, '>')[i + 1] AS y FROM p, unnest(range(1, hops + 1)) AS u(i)),
+flags AS (SELECT from_id, to_id, hops, bool_or(c) AS critical FROM steps JOIN strong ON least(x, y) = a AND greatest(x, y) = b GROUP BY ALL)
+SELECT from_id, to_id, hops, critical, CAST(row_number() OVER (PARTITION BY from_id ORDER BY critical DESC, hops, to_id) AS INTEGER) AS place FROM flags""")
 def g_critical_paths(s: SparkSession, d: str) -> DataFrame:
-    f = facts(s, d).where(SPARSE)
-    return G.critical_paths(G.shortest_paths(sparse(s, d), pairs(s)), B.fact_edges(f)).select("from_id", "to_id", "critical")
-
-
-@query("g_critical_paths_whole")
-def g_critical_paths_whole(s: SparkSession, d: str) -> DataFrame:
-    return G.critical_paths(G.shortest_paths(whole(s, d), pairs(s)), B.fact_edges(facts(s, d))).select("from_id", "to_id", "critical")
+    found = G.critical_paths(G.shortest_paths(whole(s, d), pairs(s)), B.fact_edges(facts(s, d)))
+    place = F.row_number().over(Window.partitionBy("from_id").orderBy(F.desc("critical"), "hops", "to_id"))
+    return found.select("from_id", "to_id", "hops", "critical", place.alias("place"))
 
 
 @query("g_expand_clusters", f"WITH {MEMBERS_CTE} SELECT 'gene:' || gene AS source, 'variant:' || variant AS target, level FROM flat")
@@ -287,16 +249,6 @@ def link_substring(s: SparkSession, d: str) -> DataFrame:
     return R.link_substring(bound(s, d, QUESTIONS), bound(s, d, INDEX))
 
 
-@query("link_fuzzy")
-def link_fuzzy(s: SparkSession, d: str) -> DataFrame:
-    return R.link_fuzzy(bound(s, d, QUESTIONS), bound(s, d, INDEX)).select("question_id", "id", "term", F.round("score", 6).alias("score"), "rank")
-
-
-@query("rag_chunks", f"WITH {FACTS_CTE}, rel AS ({plain(RELATIONS)}) SELECT 'clinical' AS source, 'Variant ' || variant || ' in gene ' || gene || ' affects ' || role || ' of ' || chemical || ' (level ' || level || '). Phenotypes: ' || phenotype || '.' AS text FROM facts UNION ALL SELECT 'relationship', entity1 || ' is associated with ' || entity2 || '. PMIDs: ' || replace(pmids, ';', ', ') || '.' FROM rel WHERE association = 'associated'")
-def rag_chunks(s: SparkSession, d: str) -> DataFrame:
-    return R.chunk_facts(facts(s, d)).unionByName(R.chunk_relations(bound(s, d, RELATIONS)))
-
-
 BM25_CTE = r"""qt AS (SELECT question_id, term, count(*) AS times FROM (SELECT item_id AS question_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM benchmark) GROUP BY ALL),
 dt AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS t FROM documents), st AS (SELECT count(*) AS n, avg(len(t)) AS a FROM dt),
 tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM dt) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)"""
@@ -337,85 +289,9 @@ def rag_rrf(s: SparkSession, d: str) -> DataFrame:
     return fused.select("question_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("retrieve_question", f"""WITH {SPARSE_CTE}, {SEEDS_CTE}, {WALK}, k AS (SELECT * FROM h0 UNION SELECT * FROM h1), e AS (SELECT a.question_id, source || ' -- ' || target AS line FROM sparse JOIN k a ON a.node = source JOIN k b ON b.node = target AND b.question_id = a.question_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY line) AS r, count(*) OVER (PARTITION BY question_id) AS n_lines FROM e) SELECT question_id, string_agg(line, chr(10) ORDER BY line) AS context, max(n_lines) AS n_lines FROM r WHERE r <= 60 GROUP BY question_id""")
-def retrieve_question(s: SparkSession, d: str) -> DataFrame:
-    return retrieved(s, sparse(s, d))
-
-
-@query("retrieve_question_whole")
-def retrieve_question_whole(s: SparkSession, d: str) -> DataFrame:
-    return retrieved(s, whole(s, d))
-
-
-def retrieved(s: SparkSession, e: DataFrame) -> DataFrame:
-    questions = s.range(1, 6).select(F.col("id").alias("question_id"), F.concat(F.lit("which drugs touch xs"), F.col("id").cast("string")).alias("question"))
-    index = s.range(1, 6).select(F.concat(F.lit("gene:S"), F.col("id").cast("string")).alias("id"), F.concat(F.lit("XS"), F.col("id").cast("string")).alias("label"))
-    linked = R.link_substring(questions, index).select("question_id", F.col("id").alias("node"))
-    lines = G.induced(e, G.neighbourhood(e, linked, 1)).select("question_id", F.concat_ws(" -- ", "source", "target").alias("line"))
-    return R.packet(lines)
-
-
 # question sets, grading, judging
 
 
-@query("gen_wellknown", f"WITH {FACTS_CTE}, q AS (SELECT DISTINCT 'Which gene modifies the response to ' || chemical || ' at level ' || level || '?' AS question, gene AS gold FROM facts WHERE level = '1A'), r AS (SELECT *, row_number() OVER (ORDER BY md5('7|' || question || '|' || gold), question, gold) AS r FROM q) SELECT 'S1-' || lpad(CAST(r AS VARCHAR), 3, '0') AS id, question, gold FROM r WHERE r <= 20")
-def gen_wellknown(s: SparkSession, d: str) -> DataFrame:
-    q = facts(s, d).where("level = '1A'").select(F.concat(F.lit("Which gene modifies the response to "), "chemical", F.lit(" at level "), "level", F.lit("?")).alias("question"), F.col("gene").alias("gold")).distinct()
-    drawn = q.withColumn("h", F.md5(F.concat_ws("|", F.lit("7"), "question", "gold"))).orderBy("h", "question", "gold").limit(20).withColumn("stratum", F.lit("S1"))
-    return E.question_ids(drawn, ["h", "question", "gold"]).select("id", "question", "gold")
-
-
-@query("gen_longtail", f"WITH {FACTS_CTE}, c AS (SELECT chemical, count(*) AS cf FROM facts GROUP BY ALL), g AS (SELECT gene, count(*) AS gf FROM facts GROUP BY ALL), p AS (SELECT DISTINCT chemical, gene FROM facts) SELECT chemical, gene, least(cf, gf) AS freq FROM p JOIN c USING (chemical) JOIN g USING (gene) ORDER BY freq, chemical, gene LIMIT 25")
-def gen_longtail(s: SparkSession, d: str) -> DataFrame:
-    f = facts(s, d)
-    p = f.select("chemical", "gene").distinct().join(f.groupBy("chemical").agg(F.count("*").alias("cf")), "chemical").join(f.groupBy("gene").agg(F.count("*").alias("gf")), "gene")
-    return p.select("chemical", "gene", F.least("cf", "gf").alias("freq")).orderBy("freq", "chemical", "gene").limit(25)
-
-
-@query("gen_comparative", f"WITH {FACTS_CTE}, f AS (SELECT DISTINCT gene, p_brand AS drug_class, chemical FROM facts JOIN part ON chemical = 'P' || p_partkey) SELECT gene, drug_class, min(chemical) AS first_drug, max(chemical) AS second_drug, count(*) AS n FROM f GROUP BY gene, drug_class HAVING count(*) >= 2")
-def gen_comparative(s: SparkSession, d: str) -> DataFrame:
-    classes = bound(s, d, "SELECT 'P' || CAST(p_partkey AS VARCHAR(20)) AS chemical, p_brand AS drug_class FROM {part}")
-    f = facts(s, d).select("gene", "chemical").distinct().join(classes, "chemical")
-    return f.groupBy("gene", "drug_class").agg(F.min("chemical").alias("first_drug"), F.max("chemical").alias("second_drug"), F.count("*").alias("n")).where("n >= 2")
-
-
-@query("grade_entities", r"""WITH a AS (SELECT conv_id, turn, ' ' || regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+', ' ', 'g') || ' ' AS t, [split_part(text, ' ', 2), 'the', 'warfarin'] AS gold FROM conversations WHERE role = 'assistant'),
-m AS (SELECT *, list_filter(gold, lambda e: contains(t, ' ' || trim(regexp_replace(lower(e), '[^\p{L}\p{N}_]+', ' ', 'g')) || ' ')) AS hit FROM a) SELECT conv_id, turn, array_to_string(hit, ',') AS mentioned, len(hit) / len(gold) AS recall FROM m""")
-def grade_entities(s: SparkSession, d: str) -> DataFrame:
-    a = bound(s, d, "SELECT conv_id, turn, text, array(split_part(text, ' ', 2), 'the', 'warfarin') AS gold FROM {conversations} WHERE role = 'assistant'")
-    return E.entity_recall(a).select("conv_id", "turn", F.array_join("mentioned", ",").alias("mentioned"), "recall")
-
-
-ANSWERS = "SELECT l_orderkey * 10 + l_linenumber AS question_id, CASE WHEN l_linenumber % 3 = 0 THEN 'no source' ELSE 'see PMID: ' || lpad(CAST(l_orderkey AS VARCHAR(20)), 7, '0') || ' and pubmed/' || lpad(CAST(l_orderkey + 1 AS VARCHAR(20)), 7, '0') END AS text FROM {lineitem}"
-KNOWN = "SELECT lpad(CAST(o_orderkey AS VARCHAR(20)), 7, '0') AS pmid FROM {orders} WHERE o_orderstatus = 'F'"
-
-
-@query("grade_pmids", f"WITH a AS ({plain(ANSWERS)}), k AS ({plain(KNOWN)}), c AS (SELECT question_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '(?i)PMID[s:]*\\s*\\d{{6,9}}\\b|pubmed/\\d{{6,9}}\\b'), lambda m: regexp_extract(m, '\\d{{6,9}}')))) AS pmid FROM a), g AS (SELECT question_id, count(*) AS cited, count(k.pmid) AS found FROM c LEFT JOIN k USING (pmid) GROUP BY ALL) SELECT a.question_id, coalesce(cited, 0) AS cited, coalesce(found, 0) AS found, found / cited AS exists_rate FROM (SELECT DISTINCT question_id FROM a) AS a LEFT JOIN g USING (question_id)")
-def grade_pmids(s: SparkSession, d: str) -> DataFrame:
-    return E.citation_rates(bound(s, d, ANSWERS), bound(s, d, KNOWN))
-
-
-CUE = lambda cues: " OR ".join("contains(lower(text), '" + c.replace("'", "''") + "')" for c in cues)
-SPOKEN = "SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'I do not know. ' WHEN 1 THEN 'There is No Evidence. ' ELSE '' END || text AS text FROM {conversations}"
-
-
-@query("grade_refusal", f"SELECT conv_id, turn, {CUE(REFUSAL_CUES)} AS refused, {CUE(NEGATIVE_CUES)} AS negative FROM ({plain(SPOKEN)})")
-def grade_refusal(s: SparkSession, d: str) -> DataFrame:
-    return E.refusals(bound(s, d, SPOKEN)).select("conv_id", "turn", "refused", "negative")
-
-
-@query("grade_levels")
-def grade_levels(s: SparkSession, d: str) -> DataFrame:
-    f = facts(s, d).select("ord", F.concat(F.lit("rated as level "), "level", F.lit(" for "), "chemical").alias("text"))
-    return f.select("ord", F.array_join(E.claimed_levels("text"), ",").alias("levels"))
-
-
-@query("json_extract")
-def json_extract(s: SparkSession, d: str) -> DataFrame:
-    return bound(s, d, "SELECT event_id, 'Here: ' || props || ' done' AS text FROM {events}").select("event_id", E.tolerant_json("text").alias("json"))
-
-
 @query("dedupe_latest_success", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_type = 'error' THEN 1 ELSE 0 END, CASE WHEN event_type = 'error' THEN epoch_us(ts) ELSE -epoch_us(ts) END, CASE WHEN event_type = 'error' THEN event_id ELSE -event_id END) AS r FROM events) SELECT user_id, event_id, event_type FROM r WHERE r = 1")
 def dedupe_latest_success(s: SparkSession, d: str) -> DataFrame:
     log = bound(s, d, "SELECT * FROM {events}")
@@ -436,20 +312,6 @@ def judge_swap(s: SparkSession, d: str) -> DataFrame:
 VERDICTS = "SELECT event_id, event_type, user_id, CASE event_id % 5 WHEN 0 THEN 'A' WHEN 1 THEN ' b because' WHEN 2 THEN 'ANSWER B' WHEN 3 THEN 'Tie' ELSE 'unclear' END AS text FROM {events}"
 
 
-@query("judge_parse", f"SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'A' WHEN 3 THEN 'TIE' END AS pick, CASE event_id % 5 WHEN 0 THEN 'A3' WHEN 1 THEN 'A1' WHEN 2 THEN 'A3' WHEN 3 THEN 'TIE' END AS winner FROM ({plain(VERDICTS)})")
-def judge_parse(s: SparkSession, d: str) -> DataFrame:
-    v = bound(s, d, VERDICTS).withColumn("pick", E.parse_verdict(F.col("text")))
-    return v.select("event_id", "pick", E.unblind(F.col("pick"), F.lit("A3"), F.lit("A1")).alias("winner"))
-
-
-NORMALIZE = "SELECT conv_id, turn, '## Answer' || chr(10) || '- **bold** (PMID: 1234567)' || chr(10) || chr(10) || chr(10) || chr(10) || text AS text FROM {conversations}"
-
-
-@query("judge_normalize", f"SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)\\(?\\bPMID:?\\s*\\d+\\)?', '', 'g'), '(?i)\\[?\\bevidence level\\s*[1-4][AB]?\\]?', '', 'g'), '\\*\\*|__|`', '', 'g'), '(?m)^#+\\s*', '', 'g'), '(?m)^\\s*[-*]\\s+', '', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')) AS text FROM ({plain(NORMALIZE)})")
-def judge_normalize(s: SparkSession, d: str) -> DataFrame:
-    return bound(s, d, NORMALIZE).select("conv_id", "turn", C.normalize_answer(F.col("text")).alias("text"))
-
-
 RUBRIC = "SELECT event_id, event_type AS arm, CASE WHEN event_id % 7 = 0 THEN 'none' ELSE 'F=' || CAST(1 + event_id % 5 AS VARCHAR(9)) || ' C=' || CAST(1 + event_id % 3 AS VARCHAR(9)) || ' CS=' || CAST(1 + event_id % 4 AS VARCHAR(9)) END AS text FROM {events}"
 
 
@@ -468,7 +330,7 @@ def rubric_summary(s: SparkSession, d: str) -> DataFrame:
 def _pair_sql(keys: str) -> str:
     group = f"GROUP BY {keys}" if keys else ""
     lead = f"{keys}, " if keys else ""
-    return f"""WITH j AS (SELECT event_type AS stratum, CASE WHEN user_id % 2 = 0 THEN 'x' ELSE 'y' END AS pair, CASE event_id % 5 WHEN 0 THEN 'A3' WHEN 1 THEN 'A1' WHEN 2 THEN 'A3' WHEN 3 THEN 'TIE' END AS winner FROM events),
+    return f"""WITH j AS (SELECT event_type AS stratum, CASE WHEN user_id % 2 = 0 THEN 'x' ELSE 'y' END AS pair, CASE event_id % 5 WHEN 0 THEN 'A3' WHEN 1 THEN 'A1' WHEN 2 THEN 'A3' ELSE 'TIE' END AS winner FROM events),
 s AS (SELECT {lead}count(*) AS n, count(*) FILTER (WHERE winner = 'A3') AS wins, count(*) FILTER (WHERE winner = 'A1') AS losses, count(*) FILTER (WHERE winner = 'TIE') AS ties FROM j WHERE winner IS NOT NULL {group}),
 p AS (SELECT *, wins + losses AS m, wins / (wins + losses) AS rate FROM s),
 t AS (SELECT *, least(1, 2 * (SELECT sum(exp(lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) - m * ln(2))) FROM unnest(range(0, least(wins, losses) + 1)) AS u(i))) AS p FROM p)
@@ -496,12 +358,6 @@ def pairwise_stratum(s: SparkSession, d: str) -> DataFrame:
     return _rounded(E.pairwise(_judgments(s, d), ["stratum", "pair"], "A3"))
 
 
-@query("hypotheses", f"WITH r AS ({_pair_sql('pair')}) SELECT pair, rate > 0.55 AND p < 0.05 AS h1, rate >= 0.60 AS h2 FROM r")
-def hypotheses(s: SparkSession, d: str) -> DataFrame:
-    r = _rounded(E.pairwise(_judgments(s, d), ["pair"], "A3"))
-    return r.select("pair", ((F.col("rate") > 0.55) & (F.col("p") < 0.05)).alias("h1"), (F.col("rate") >= 0.60).alias("h2"))
-
-
 @query("arm_headline", "SELECT event_type AS arm, count(*) AS n, count(*) FILTER (WHERE value IS NULL OR value < 5) AS n_errors, round(avg(value), 6) AS mean_value, round(avg(length(props)), 6) AS mean_chars FROM events GROUP BY ALL")
 def arm_headline(s: SparkSession, d: str) -> DataFrame:
     rows = bound(s, d, "SELECT event_type AS arm, value, length(props) AS chars FROM {events}")
@@ -516,12 +372,6 @@ def stratum_grid(s: SparkSession, d: str) -> DataFrame:
     return E.grid(scores, strata, arms, "value").withColumn("mean", F.round("mean", 6))
 
 
-@query("claims_hallucination", "WITH c AS (SELECT d.doc_id % 50 AS q, source AS arm, CASE WHEN toxic = 1 THEN 'false' WHEN quality = 1 THEN 'true' ELSE 'unverifiable' END AS s FROM documents d JOIN labels USING (doc_id)) SELECT arm, count(*) AS claims, count(*) FILTER (WHERE s = 'true') AS supported, count(*) FILTER (WHERE s = 'false') AS unsupported, count(DISTINCT q) AS questions_covered, round(count(*) FILTER (WHERE s = 'false') / count(*), 6) AS hallucination_rate, round(count(*) FILTER (WHERE s = 'true') / count(*), 6) AS support_rate FROM c GROUP BY arm")
-def claims_hallucination(s: SparkSession, d: str) -> DataFrame:
-    seg = bound(s, d, "SELECT d.doc_id % 50 AS question_id, map('X', source) AS label_to_arm, array(named_struct('made_by', array('X', 'unknown'), 'supported', CASE WHEN toxic = 1 THEN 'false' WHEN quality = 1 THEN 'true' ELSE 'unverifiable' END)) AS claims FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id")
-    return E.hallucination(seg).withColumns({c: F.round(c, 6) for c in ("hallucination_rate", "support_rate")})
-
-
 @query("arms_complete", "SELECT user_id, count(DISTINCT event_type) AS members FROM events GROUP BY user_id HAVING count(DISTINCT event_type) >= 5")
 def arms_complete(s: SparkSession, d: str) -> DataFrame:
     return E.complete(bound(s, d, "SELECT user_id, event_type FROM {events}"), "user_id", "event_type", 5)

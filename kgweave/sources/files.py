@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NODES = "id string, label string, type string, fullName string, pharmgkb_id string, chromosome string, is_vip boolean, atc string, top_level string, gene string, level string, xref string, description string, members array<struct<rsid string, level string, role string, chemical string>>"
 EDGES = "id string, source string, target string, type string, level string, role string, critical boolean, count bigint, gene string, pmids array<string>"
@@ -35,10 +38,84 @@ def append_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def write_graph(nodes: DataFrame, edges: DataFrame, index: DataFrame, path: str, suffix: str = "") -> None:
-    """The three artefacts of a graph build."""
-    for name, df in (("nodes", nodes), ("edges", edges), ("search_index", index)):
-        df.write.mode("overwrite").parquet(f"{path}/{name}{suffix}")
+def write_lines(df: DataFrame, path: str, column: str = "row_key") -> None:
+    """One value a line."""
+    df.select(F.col(column).cast("string")).write.mode("overwrite").text(path)
+
+
+def write_holdout(facts: DataFrame, keys: DataFrame, key_columns: list[str], path: str) -> None:
+    """The held-out rows as a table and their keys as lines."""
+    from kgweave.functions.columns import row_key
+
+    held = facts.withColumn("row_key", row_key(*[F.col(c).cast("string") for c in key_columns])).join(keys.select("row_key"), "row_key", "left_semi")
+    write_tsv(held.select(*key_columns), f"{path}/heldout_variants")
+    write_lines(keys, f"{path}/heldout_variant_hashes")
+
+
+ARTEFACTS = ("nodes", "edges", "seed_nodes", "seed_edges", "search_index")
+
+
+def write_graph(path: str, suffix: str = "", **tables: DataFrame) -> None:
+    """The artefacts of a graph build (ARTEFACTS), each as Parquet; the suffix keeps a reduced build beside the full one."""
+    for name in ARTEFACTS:
+        if name in tables:
+            tables[name].write.mode("overwrite").parquet(f"{path}/{name}{suffix}")
+
+
+def read_graph(spark: SparkSession, path: str, suffix: str = "", seed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """nodes and edges of a written graph, or of its seed view."""
+    head = "seed_" if seed else ""
+    return spark.read.parquet(f"{path}/{head}nodes{suffix}"), spark.read.parquet(f"{path}/{head}edges{suffix}")
+
+
+def read_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """nodes and edges of a graph kept as one JSON document, ``{"nodes": [...], "edges": [...]}``."""
+    fields = [T.StructField(n, T.ArrayType(T._parse_datatype_string(d))) for n, d in (("nodes", NODES), ("edges", EDGES))]
+    whole = spark.read.schema(T.StructType(fields)).option("multiLine", True).json(path)
+    return whole.selectExpr("inline(nodes)"), whole.selectExpr("inline(edges)")
+
+
+_GRAPHS: dict[tuple[str, str, str], tuple[DataFrame, DataFrame]] = {}
+
+
+def cached_graph(spark: SparkSession, path: str, suffix: str = "") -> tuple[DataFrame, DataFrame]:
+    """read_graph, kept for the session after the first call."""
+    key = (spark.sparkContext.applicationId, path, suffix)
+    if key not in _GRAPHS:
+        nodes, edges = read_graph(spark, path, suffix)
+        _GRAPHS[key] = nodes.persist(), edges.persist()
+    return _GRAPHS[key]
+
+
+_INDEXES: dict[str, DataFrame] = {}
+
+
+def set_search_index(spark: SparkSession, index: DataFrame) -> None:
+    """The session's search index, also the view ``search_index``."""
+    _INDEXES[spark.sparkContext.applicationId] = index
+    index.createOrReplaceTempView("search_index")
+
+
+def has_search_index(spark: SparkSession) -> bool:
+    return spark.sparkContext.applicationId in _INDEXES
+
+
+def get_search_index(spark: SparkSession) -> DataFrame:
+    if not has_search_index(spark):
+        raise LookupError("no search index has been set in this session")
+    return _INDEXES[spark.sparkContext.applicationId]
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def built_once(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table at ``path``, built and written only where it is not there as a whole (its _SUCCESS mark)."""
+    if not exists(spark, f"{path}/_SUCCESS"):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def corpus_pmids(relations: DataFrame, cell: str = "pmids") -> DataFrame:

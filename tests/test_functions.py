@@ -43,15 +43,27 @@ def test_fold_keeps_substring_rule(spark):
 
 def test_verdicts(spark):
     rows = spark.createDataFrame([("A",), ("b because",), ("ANSWER B",), ("tie\nmore",), ("?",), (None,)], "t string")
-    assert [r[0] for r in rows.select(E.parse_verdict(F.col("t"))).collect()] == ["A", "B", "A", "TIE", None, None]
-    assert [r[0] for r in rows.select(E.parse_verdict(F.col("t"), strict=True)).collect()] == ["A", None, None, "TIE", None, None]
+    assert [r[0] for r in rows.select(E.parse_verdict(F.col("t"))).collect()] == ["A", "B", "A", "TIE", "TIE", "TIE"]
+    assert [r[0] for r in rows.select(E.parse_verdict(F.col("t"), strict=True)).collect()] == ["A", "TIE", "TIE", "TIE", "TIE", "TIE"]
 
 
 def test_levels_and_json(spark):
-    rows = spark.createDataFrame([("level 1A for x", 'so ```json\n{"a": {"b": 1}}``` end'), ("3 apples", "none {"), (None, None)], "t string, j string")
+    cases = [
+        ("level 1A for x", 'so {"a": {"b": 1}} end {"c": 2}', ["1A"], '{"a": {"b": 1}}'), ("3 apples", "none {", [], None), (None, None, [], None), ("L 2b, l3 and L-4", '```json\n{"k": 1}\n```', ["2B", "3", "4"], '{"k": 1}'),
+        ("Evidence: 4, then far away from any of it there is a 3", "{bad} {}", ["4"], None), ("LEVEL=2a", "} {}", ["2A"], None), ("evidence3", '{"s": "}"}', [], None),
+    ]
+    rows = spark.createDataFrame([c[:2] for c in cases], "t string, j string").coalesce(1)
     got = rows.select(E.claimed_levels("t"), E.tolerant_json("j")).collect()
-    assert [list(r[0]) for r in got] == [["1A"], [], []]
-    assert [r[1] for r in got] == ['{"a": {"b": 1}}', None, None]
+    assert [list(r[0]) for r in got] == [c[2] for c in cases]
+    assert [r[1] for r in got] == [c[3] for c in cases]
+
+
+def test_answers(spark):
+    assert value(spark, C.extract_pmids(F.lit("pmid 1234567, [7654321], PMID:1234567 [12345] pubmed/2222222 XPMID 3333333"))) == ["1234567", "7654321"]
+    assert value(spark, C.normalize_answer(F.lit(" * a [pmid 12]\n2) **b**\n\n \nc PMID: 34x PMID:5 "))) == "a (cite 12)\nb\n\nc PMID: 34x (cite 5)"
+    text = F.lit("Takes CYP2C9*1x, cyp2d6 and St John's wort.")
+    assert [value(spark, C.mentions(text, F.lit(e))) for e in ("CYP2C9*1", "CYP2D6", "st john's", "john", "cyp2", "", "a\\Eb")] == [False, True, True, True, False, False, False]
+    assert value(spark, C.render_edge(F.lit("a"), F.lit("b"), F.lit("belongs_to_class"), F.lit(None).cast("string"), F.lit(""), F.lit(None).cast("boolean"), F.lit(None).cast("long"))) == "a --belongs to drug class--> b"
 
 
 @given(st.text("abc", max_size=9), st.text("abc", max_size=9))
@@ -76,16 +88,21 @@ def test_link_fuzzy_against_all_pairs(spark):
     rng = random.Random(4)
     labels = ["".join(rng.choice("abcd") for _ in range(rng.randint(4, 9))) for _ in range(60)]
     question = " ".join("".join(rng.choice("abcd") for _ in range(rng.randint(4, 9))) for _ in range(12))
-    index = spark.createDataFrame([(str(i), x) for i, x in enumerate(labels)], "id string, label string")
-    got = {(r.id, round(r.score, 9)) for r in link_fuzzy(spark.createDataFrame([(1, question)], "question_id long, question string"), index, most=1000).collect()}
+    alias = [rng.choice(labels) + rng.choice("ab") for _ in labels]
+    index = spark.createDataFrame([(str(i), x, f"{y}, {y[::-1]}", i) for i, (x, y) in enumerate(zip(labels, alias, strict=True))], "id string, label string, alt string, ord int")
+    nodes = spark.createDataFrame([(str(i),) for i in range(50)], "id string")
+    got = {(r.id, round(r.score, 9), r.term, r.rank) for r in link_fuzzy(spark.createDataFrame([(1, question)], "question_id long, question string"), index, nodes=nodes, most=7).collect()}
     terms = question.split()
-    grams = {" ".join(terms[i : i + n]) for n in (1, 2, 3) for i in range(len(terms) - n + 1)}
-    best: dict[str, float] = {}
+    grams = list(dict.fromkeys(" ".join(terms[i : i + n]) for n in (3, 2, 1) for i in range(len(terms) - n + 1)))
+    names = [(x, i) for i, (a, b) in enumerate(zip(labels, alias, strict=True)) for x in (a, b, b[::-1])]
+    best: dict[int, tuple[float, str]] = {}
     for t in grams:
-        bonus = 0.05 if " " in t else 0.0
-        ranked = sorted((1 - C.lcs_ratio_of(t, x), x, str(i)) for i, x in enumerate(labels))[:3]
-        for d, _, i in ranked:
-            score = max(0.0, d - bonus)
-            if score <= 0.18:
-                best[i] = min(best.get(i, 9), score)
-    assert got == {(i, round(s, 9)) for i, s in best.items()}
+        if " " not in t and len(t) < 4:
+            continue
+        for d, _, i in sorted((round(1 - C.lcs_ratio_of(t, x), 9), place, i) for place, (x, i) in enumerate(names))[:3]:
+            score = round(d - (0.05 if " " in t else 0.0), 9)
+            if i < 50 and score <= 0.18 and (i not in best or score < best[i][0]):
+                best[i] = (score, t) if i not in best else (score, t)
+    first = {i: n for n, i in enumerate(best)}
+    want = sorted(best, key=lambda i: (best[i][0], first[i]))[:7]
+    assert got == {(str(i), best[i][0], best[i][1], n + 1) for n, i in enumerate(want)}

@@ -3,6 +3,7 @@ import random
 import pandas as pd
 
 from kgweave.operators.graph_ops import neighbourhood, shortest_paths
+from kgweave.sources import files
 from kgweave.sources.files import append_jsonl, read_jsonl, read_tsv, write_tsv
 from kgweave.streaming.limiter import limit_batch, limit_stream
 
@@ -50,6 +51,31 @@ def test_files(spark, tmp_path):
     assert read_jsonl(spark, str(tmp_path / "j"), "k string, v string").count() == 4
 
 
+def test_graph_files(spark, tmp_path):
+    nodes = spark.createDataFrame([("a", "A", "gene"), ("b", "B", "drug")], "id string, label string, type string")
+    edges = spark.createDataFrame([("e", "a", "b")], "id string, source string, target string")
+    path = f"file://{tmp_path}/g"
+    files.write_graph(path, "_heldout", nodes=nodes, edges=edges, seed_nodes=nodes.limit(1), seed_edges=edges.limit(0), search_index=nodes)
+    assert [df.count() for df in files.read_graph(spark, path, "_heldout")] == [2, 1]
+    assert [df.count() for df in files.read_graph(spark, path, "_heldout", seed=True)] == [1, 0]
+    one, two = files.cached_graph(spark, path, "_heldout"), files.cached_graph(spark, path, "_heldout")
+    assert one[0] is two[0] and one[0].is_cached
+    (tmp_path / "g.json").write_text('{"nodes": [{"id": "a", "members": [{"rsid": "rs1"}]}], "edges": [{"id": "e", "source": "a", "target": "a", "pmids": ["1"]}]}')
+    n, e = files.read_graph_json(spark, f"file://{tmp_path}/g.json")
+    assert (n.first().members[0].rsid, e.first().pmids) == ("rs1", ["1"])
+    made = []
+    for _ in range(2):
+        files.built_once(spark, f"{path}/built", lambda: made.append(1) or nodes)
+    assert made == [1]
+    files.set_search_index(spark, nodes)
+    assert files.has_search_index(spark) and files.get_search_index(spark).count() == spark.table("search_index").count() == 2
+    facts = spark.createDataFrame([("rs1", "G1", " x"), ("rs2", "G2", None)], "variant string, gene string, type string")
+    keys = spark.createDataFrame([("rs1|G1|x",)], "row_key string")
+    files.write_holdout(facts, keys, ["variant", "gene", "type"], path)
+    assert read_tsv(spark, f"{path}/heldout_variants", ["variant", "gene", "type"]).count() == 1
+    assert [r.row_key for r in files.read_lines(spark, f"{path}/heldout_variant_hashes").collect()] == ["rs1|G1|x"]
+
+
 def test_limiter_stream_agrees_with_batch(spark, tmp_path):
     rng = random.Random(2)
     rows = [(i % 3, pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=rng.randint(0, 600))) for i in range(150)]

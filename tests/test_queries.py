@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from kgweave.plans.queries import ORACLES, QUERIES
+from kgweave.plans import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
