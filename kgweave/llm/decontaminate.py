@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgweave.llm.base import BROADCAST_ROWS, ascii_lower, cut, doc_key, quoted, row_of, small, table
+from kgweave.llm.base import BROADCAST_ROWS, ascii_lower, cut, doc_key, quoted, row_of, small, table, unpacked
 
 WINDOW = 10
 #: Terms of each window that get postings, rarest first.
@@ -31,7 +31,7 @@ def windows(items: DataFrame, item_id: str = "item_id", text: str = "text", size
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1)))
     each = w.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, size))).alias("terms"))
     named = each.groupBy("terms").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    return named.select(F.md5(F.array_join("terms", " ")).alias("win"), "terms", "items")
+    return named.select(F.xxhash64(F.array_join("terms", " ")).alias("win"), "terms", "items")
 
 
 def term_counts(docs: DataFrame, vocabulary: DataFrame, text: str = "text") -> DataFrame:
@@ -75,8 +75,8 @@ def candidates(index: DataFrame, rare: DataFrame, rows: int, slop: int = SLOP) -
     return alone.select("_k1", "_k2", "win", "start").unionByName(both.select("_k1", "_k2", "win", "start"))
 
 
-def phrase_matches(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = WINDOW, near: int = NEAR, slop: int = SLOP, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``docs`` as a struct ``_row``, with n_words, matches (exact windows) and near (proximity matches of full windows).
+def matched_texts(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = WINDOW, near: int = NEAR, slop: int = SLOP, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Per text with a match (_k1, _k2: of doc_key): exact, near (proximity matches of full windows); a written table.
 
     Both are arrays of start, len, items, by start. An exact match has all words of the window at their places. A
     proximity match begins where the window's rarest term stands at its place and the next rarest within ``slop`` words
@@ -88,8 +88,7 @@ def phrase_matches(docs: DataFrame, items: DataFrame, text: str = "text", doc_id
     items without words and items without texts find nothing; either table may be empty. Ids of items can be of any
     type. What is broadcast is counted before: terms, windows and places up to BROADCAST_ROWS, beyond that shuffled.
     """
-    rows = docs.select(row_of(docs).alias("_row"), F.col(quoted(doc_id)).alias("_d"), F.col(quoted(text)).alias("_t"))
-    source = rows.select("_row", "_t", *doc_key("_d", "_t"))
+    source = keyed(docs, doc_id, text)
     wins = cut(windows(items, item_id, item_text, size), "windows")
     n_wins = wins.count()
     vocabulary = cut(wins.select(F.explode("terms").alias("term")).distinct(), "terms")
@@ -111,13 +110,34 @@ def phrase_matches(docs: DataFrame, items: DataFrame, text: str = "text", doc_id
     placed = F.size(F.filter(F.transform("terms", lambda t, i: stands(t, i)), lambda x: x))
     hits = met.select("_k1", "_k2", F.col("start"), "len", "items", exact.alias("exact"), ((F.col("len") == size) & (placed >= near)).alias("near")).where("exact OR near")
     span = F.struct("start", "len", "items")
-    spans = cut(hits.groupBy("_k1", "_k2").agg(*[F.array_sort(F.collect_list(F.when(F.col(c), span))).alias(c) for c in ("exact", "near")]), "matches")
-    n_items = spans.agg(F.coalesce(F.sum(F.size("exact") + F.size("near")), F.lit(0))).first()[0]
-    joined = source.select("_row", "_k1", "_k2", F.size(words(F.col("_t"))).cast("long").alias("n_words")).join(small(spans, n_items, BROADCAST_ROWS // 4), ["_k1", "_k2"], "left")
+    return cut(hits.groupBy("_k1", "_k2").agg(*[F.array_sort(F.collect_list(F.when(F.col(c), span))).alias(c) for c in ("exact", "near")]), "matches")
+
+
+def keyed(docs: DataFrame, doc_id: str, text: str, *columns: Column) -> DataFrame:
+    """_k1, _k2, _t and ``columns`` of every row of ``docs``."""
+    rows = docs.select(F.col(quoted(doc_id)).alias("_d"), F.col(quoted(text)).alias("_t"), *columns)
+    return rows.select(*doc_key("_d", "_t"), *rows.columns[1:])
+
+
+def phrase_matches(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] | None = None, **terms) -> DataFrame:  # noqa: ANN003
+    """Rows of ``docs`` one for one as a struct ``_row`` (its columns, or those of ``keep``), with n_words, matches (exact
+    windows) and near (proximity matches), both arrays of start, len, items, by start. Cases as in matched_texts."""
+    spans = matched_texts(docs, items, text, doc_id, **terms)
+    n_spans = spans.agg(F.coalesce(F.sum(F.size("exact") + F.size("near")), F.lit(0))).first()[0]
+    rows = keyed(docs, doc_id, text, row_of(docs if keep is None else docs.select(*[F.col(quoted(c)) for c in keep])).alias("_row"))
+    counted = rows.select("_row", "_k1", "_k2", F.size(words(F.col("_t"))).cast("long").alias("n_words"))
+    joined = counted.join(small(spans, n_spans, BROADCAST_ROWS // 4), ["_k1", "_k2"], "left")
     none = F.array().cast(spans.schema["exact"].dataType)
     return joined.select("_row", "n_words", F.coalesce("exact", none).alias("matches"), F.coalesce("near", none).alias("near"))
 
 
+def uncontaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", **terms) -> DataFrame:  # noqa: ANN003
+    """The rows of ``docs``, with all their columns, in which no window of an item stands, neither exactly nor nearly."""
+    bad = matched_texts(docs, items, text, doc_id, **terms).select("_k1", "_k2")
+    rows = keyed(docs, doc_id, text, row_of(docs).alias("_row")).drop("_t")
+    return rows.join(small(bad, bad.count()), ["_k1", "_k2"], "left_anti").select(*unpacked(docs, "_row"))
+
+
 def covered(matches: Column) -> Column:
     """Words inside any match; matches are sorted by start."""
     step = lambda a, m: F.struct((a["n"] + F.greatest(F.lit(0), m["start"] + m["len"] - F.greatest(a["to"], m["start"]))).alias("n"), F.greatest(a["to"], m["start"] + m["len"]).alias("to"))
@@ -132,7 +152,7 @@ def item_names(matches: Column) -> Column:
 def op9_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's digests of exact matches, and items and words that proximity matches cover. Nulls, repeats and
     empty tables as in phrase_matches."""
-    found = phrase_matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = phrase_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=("doc_id",))
     items, near = item_names(F.col("matches")), item_names(F.col("near"))
     hit = covered(F.col("matches")).cast("long")
     return found.select(
