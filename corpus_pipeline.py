@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgweave.llm import decontaminate, mixing, ngram_join, quality, secrets
-from kgweave.llm.base import new_folder, quoted, table, unpacked
+from kgweave.llm.base import new_folder, quoted, table
 
 #: Near duplicates: words of a shingle and percent of similarity.
 SHINGLE_WORDS, SIMILARITY = 5, 80
@@ -37,8 +37,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Null and empty texts, and all documents where the benchmark is empty, stay; repeated rows stay or go together.
     """
-    found = decontaminate.phrase_matches(docs, table(spark, sf_dir, "benchmark"))
-    return found.where((F.size("matches") == 0) & (F.size("near") == 0)).select(*unpacked(docs, "_row"))
+    return decontaminate.uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
