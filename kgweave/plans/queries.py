@@ -382,6 +382,6 @@ def context_size(s: SparkSession, d: str) -> DataFrame:
     return bound(s, d, "SELECT doc_id, CAST(length(text) AS BIGINT) AS chars FROM {documents}").withColumn("tokens", C.estimate_tokens(F.col("chars")))
 
 
-@query("rate_limiter", "WITH w AS (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 35999999999 PRECEDING AND CURRENT ROW) AS n_window FROM events) SELECT event_id, n_window, n_window > 2 AS rejected FROM w")
+@query("rate_limiter", "WITH w AS (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 35999999999 PRECEDING AND CURRENT ROW) - count(*) OVER (PARTITION BY user_id, epoch_us(ts)) + row_number() OVER (PARTITION BY user_id, epoch_us(ts) ORDER BY event_id) AS n_window FROM events) SELECT event_id, CAST(n_window AS BIGINT) AS n_window, n_window > 2 AS rejected FROM w")
 def rate_limiter(s: SparkSession, d: str) -> DataFrame:
-    return limit_batch(bound(s, d, "SELECT event_id, user_id, ts FROM {events}"), "user_id", "ts", 36_000, 2).select("event_id", "n_window", "rejected")
+    return limit_batch(bound(s, d, "SELECT event_id, user_id, ts FROM {events}"), "user_id", "ts", 36_000, 2, "event_id").select("event_id", "n_window", "rejected")

@@ -11,7 +11,8 @@ from kgweave.operators import retrieval as R
 from kgweave.plans.bindings import RAW_FACTS, RAW_RELATIONS, bound, plain
 from kgweave.plans.graph import FLAT, GRAPH_CTE, RANK, SEED_CTE, TYPE_LINES, VERB, graph, kg_index, seed
 from kgweave.plans.queries import QUESTIONS, dense
-from kgweave.plans.registry import query
+from kgweave.plans.registry import ORACLES, query
+from kgweave.sources.shared import cut
 
 # written out on their own, not taken from the engine's constants
 STOP = "', '".join(
@@ -133,9 +134,16 @@ def asked(s: SparkSession, d: str) -> DataFrame:
     return q.select("question_id", "question", "focus", F.when(F.col("seen") > 0, seen).otherwise(F.array().cast("array<string>")).alias("visible"))
 
 
+_RETRIEVED: dict[tuple[str, str], DataFrame] = {}
+
+
 def retrieved(s: SparkSession, d: str) -> DataFrame:
-    nodes, edges = graph(s, d)
-    return X.retrieve(asked(s, d), kg_index(s, d).withColumnRenamed("place", "ord"), nodes, edges)
+    """Retrieval for the questions, written once in a session."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _RETRIEVED:
+        nodes, edges = graph(s, d)
+        _RETRIEVED[key] = cut(X.retrieve(asked(s, d), kg_index(s, d).withColumnRenamed("place", "ord"), nodes, edges), "retrieved")
+    return _RETRIEVED[key]
 
 
 @query("retrieve_question", RETRIEVE_SQL)
@@ -160,14 +168,17 @@ def arm_contexts(s: SparkSession, d: str) -> DataFrame:
     return out.select("question_id", "arm", F.md5("context").alias("context_md5"), F.md5("prompt").alias("prompt_md5"), "context_chars")
 
 
-FUSED = "SELECT doc_id, text FROM {documents}"
+@query("arm_graph", f"WITH r AS ({RETRIEVE_SQL}) SELECT question_id, 'A3' AS arm, md5('Context:' || chr(10) || '---' || chr(10) || context_text || chr(10) || '---' || chr(10) || chr(10) || 'User question: ' || question) AS prompt_md5, CAST(length(context_text) AS INTEGER) AS context_chars FROM r JOIN ({plain(ASKED)}) USING (question_id)")
+def arm_graph(s: SparkSession, d: str) -> DataFrame:
+    return X.arm_contexts(asked(s, d), ("A3",), retrieved=retrieved(s, d)).select("question_id", "arm", F.md5("prompt").alias("prompt_md5"), "context_chars")
+
+
+TEXTS = "SELECT doc_id, text FROM {documents}"
 
 
-@query("arm_hybrid")
+@query("arm_hybrid", f"""WITH r AS ({ORACLES['rag_rrf']}) SELECT item_id AS question_id, 'A1' AS arm, 'RETRIEVED EVIDENCE (top-8 by hybrid BM25 + dense search):' || coalesce(chr(10) || string_agg('  [' || rank || '] ' || d.text, chr(10) ORDER BY rank), '') AS context
+FROM benchmark b LEFT JOIN r ON r.question_id = item_id LEFT JOIN documents d USING (doc_id) GROUP BY item_id""")
 def arm_hybrid(s: SparkSession, d: str) -> DataFrame:
-    """Context of the arm that fuses term and vector search, and of the graph arm for the graph's own questions."""
-    docs, questions = bound(s, d, FUSED), bound(s, d, QUESTIONS)
+    docs, questions = bound(s, d, TEXTS), bound(s, d, QUESTIONS)
     ranked = R.fuse([R.bm25(docs, questions, okapi=False), dense(s, d)])
-    one = X.arm_contexts(questions, ("A1",), ranked=ranked, chunks=docs)
-    two = X.arm_contexts(asked(s, d), ("A3",), retrieved=retrieved(s, d))
-    return one.unionByName(two).select("question_id", "arm", "context", "context_chars")
+    return X.arm_contexts(questions, ("A1",), ranked=ranked, chunks=docs).select("question_id", "arm", "context")

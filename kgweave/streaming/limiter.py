@@ -11,11 +11,16 @@ from pyspark.sql import functions as F
 WINDOW_S, MOST = 60, 20
 
 
-def limit_batch(hits: DataFrame, key: str, ts: str, seconds: int = WINDOW_S, most: int = MOST) -> DataFrame:
-    """hits with n_window (hits of the key in the last ``seconds``, this one and rejected ones included) and rejected."""
+def limit_batch(hits: DataFrame, key: str, ts: str, seconds: int = WINDOW_S, most: int = MOST, order: str | None = None) -> DataFrame:
+    """hits with n_window (hits of the key in the last ``seconds``, this one and rejected ones included) and rejected.
+
+    Hits of one key and instant count one after another, by ``order`` (without it, in any order).
+    """
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     w = Window.partitionBy(key).orderBy(micros).rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    return hits.withColumn("n_window", F.count("*").over(w)).withColumn("rejected", F.col("n_window") > most)
+    same = Window.partitionBy(key, micros)
+    later = F.count("*").over(same) - F.row_number().over(same.orderBy(F.col(order) if order else F.col(ts)))
+    return hits.withColumn("n_window", F.count("*").over(w) - later).withColumn("rejected", F.col("n_window") > most)
 
 
 def limit_stream(hits: DataFrame, key: str, ts: str, seconds: int = WINDOW_S, most: int = MOST, late: str = "10 minutes") -> DataFrame:
