@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -56,3 +57,9 @@ def drop_cut(*tables: DataFrame) -> None:
         jvm = df.sparkSession.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(df._cut_path)
         at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let files of shuffles go that no table refers to any more; Spark finds them when both sides collect garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
