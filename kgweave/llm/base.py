@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgweave.sources.shared import cut, drop_cut, new_folder, shared_dir
+from kgweave.sources.shared import cut, drop_cut, new_folder, release, shared_dir
 
-__all__ = ["cut", "drop_cut", "new_folder", "shared_dir"]
+__all__ = ["cut", "drop_cut", "new_folder", "release", "shared_dir"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgweave.llm.base import BROADCAST_ROWS, ascii_lower, cut, doc_key, quoted, row_of, small, table, unpacked
+from kgweave.llm.base import BROADCAST_ROWS, ascii_lower, cut, doc_key, drop_cut, quoted, release, row_of, small, table, unpacked
 
 WINDOW = 10
 #: Terms of each window that get postings, rarest first.
@@ -110,7 +110,10 @@ def matched_texts(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
     placed = F.size(F.filter(F.transform("terms", lambda t, i: stands(t, i)), lambda x: x))
     hits = met.select("_k1", "_k2", F.col("start"), "len", "items", exact.alias("exact"), ((F.col("len") == size) & (placed >= near)).alias("near")).where("exact OR near")
     span = F.struct("start", "len", "items")
-    return cut(hits.groupBy("_k1", "_k2").agg(*[F.array_sort(F.collect_list(F.when(F.col(c), span))).alias(c) for c in ("exact", "near")]), "matches")
+    found = cut(hits.groupBy("_k1", "_k2").agg(*[F.array_sort(F.collect_list(F.when(F.col(c), span))).alias(c) for c in ("exact", "near")]), "matches")
+    drop_cut(wins, vocabulary, rare, index, per)
+    release(docs.sparkSession)
+    return found
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str, *columns: Column) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kgweave.llm.base import cut, give_back, lean, quoted, row_of, small, table, unpacked
+from kgweave.llm.base import cut, drop_cut, give_back, lean, quoted, release, row_of, small, table, unpacked
 from kgweave.llm.components import components
 from kgweave.llm.shingles import Hasher, U, mix, set_id
 
@@ -433,7 +433,7 @@ def joined_sets(df: DataFrame, k: int, percent: int, text: str, doc_id: str, car
     wanted_rows = wanted.count()
     sets = cut(whole_sets(docs, wanted, wanted_rows, k), "sets")
     links = cut(verified(star, sets, th), "links")
-    comp = cut(components(links), "components")
+    comp = components(links)
     where = sigs.join(comp.withColumnRenamed("node", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
     apart = where.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("sig", "m")
     where = cut(where.join(apart, "sig"), "mixed")
@@ -446,7 +446,10 @@ def joined_sets(df: DataFrame, k: int, percent: int, text: str, doc_id: str, car
         more = more.union(compared(many, sets, th))
     more = cut(more, "more")
     if not more.isEmpty():
-        comp = cut(components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more)), "components")
+        first_comp, comp = comp, components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more))
+        drop_cut(first_comp)
+    drop_cut(sigs, star, wanted, links, where, more)
+    release(df.sparkSession)
     reps = classes.select("rid", "rep").join(comp.withColumnRenamed("node", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
     least = reps.groupBy("comp").agg(F.min("rep").alias("component_id"))
     by_class = reps.join(least, "comp").select("rid", "component_id")

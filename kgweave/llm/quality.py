@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kgweave.llm.base import cut, drop_cut, lean, new_folder, others, quoted, small, table
+from kgweave.llm.base import cut, drop_cut, lean, new_folder, others, quoted, release, small, table
 
 #: Bytes of an n-gram: longer than most syllables, so that counts go on growing with the text.
 ORDER = 6
@@ -106,7 +106,7 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 
 
 def train(trusted: DataFrame, text: str = "text", order: int = ORDER) -> DataFrame:
-    """Model rows: ord, key, logp (interpolated, of the n-gram's last byte) and logb (of the n-gram as a context of the next order)."""
+    """Model rows, to be saved: ord, key, logp (interpolated, of the n-gram's last byte) and logb (of the n-gram as a context of the next order)."""
     counts = {order: cut(count_grams(trusted, text, order), "counts")}
     for o in range(order - 1, 0, -1):  # continuation counts: how many different bytes stand before
         counts[o] = counts[o + 1].groupBy((F.col("key").bitwiseAND(F.lit((1 << 8 * o) - 1))).alias("key")).agg(F.count("*").alias("n"))
@@ -114,7 +114,7 @@ def train(trusted: DataFrame, text: str = "text", order: int = ORDER) -> DataFra
         counts[o] = cut(counts[o], f"counts{o}")
     of = functools.reduce(DataFrame.unionByName, [c.select(F.lit(o).alias("o"), "n").where("n <= 4").groupBy("o", "n").agg(F.count("*").alias("c")) for o, c in counts.items()])
     seen = {(r.o, r.n): r.c for r in of.collect()}
-    probability, rows = None, []
+    probability, rows, tables = None, [], []
     for o in range(1, order + 1):
         d1, d2, d3 = discounts(*(seen.get((o, i), 0) for i in (1, 2, 3, 4)))
         d = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
@@ -128,9 +128,12 @@ def train(trusted: DataFrame, text: str = "text", order: int = ORDER) -> DataFra
         if o > 1:
             grams = grams.withColumn("suffix", F.col("key").bitwiseAND(F.lit((1 << 8 * (o - 1)) - 1))).join(probability.select(F.col("key").alias("suffix"), F.col("p").alias("lower")), "suffix")
         probability = cut(grams.select("key", ((F.col("n") - d) / F.col("total") + F.col("back") * lower).alias("p")), f"p{o}")
+        tables.append(probability)
         rows.append(probability.select(F.lit(o).alias("ord"), "key", F.log("p").alias("logp"), F.lit(None).cast("double").alias("logb")))
         rows.append(contexts.select(F.lit(o).alias("ord"), F.col("ctx").alias("key"), F.lit(None).cast("double").alias("logp"), F.log("back").alias("logb")))
-    return functools.reduce(DataFrame.unionByName, rows)
+    model = functools.reduce(DataFrame.unionByName, rows)
+    model._parts = [*counts.values(), *tables]
+    return model
 
 
 def shard_of(context: Column | np.ndarray, shards: int) -> Column | np.ndarray:
@@ -171,6 +174,15 @@ def save(model: DataFrame, shards: int | None = None) -> tuple[str, tuple[str, .
     return uri, tuple(files.get(s, "") for s in range(shards))
 
 
+def trained(texts: DataFrame, text: str, order: int) -> tuple[str, tuple[str, ...]]:
+    """A saved model; the tables it was made of are gone."""
+    model = train(texts, text, order)
+    out = save(model)
+    drop_cut(*model._parts)
+    release(texts.sparkSession)
+    return out
+
+
 def guarded(run):  # noqa: ANN001, ANN201
     """Empty partitions have no batch, and so no schema."""
 
@@ -284,7 +296,7 @@ def held_out(trusted: DataFrame, text: str = "text", lang: str = "lang", order:
     dealt = trusted.select(lang, text, F.pmod(F.xxhash64(text), F.lit(FOLDS)).alias("_q_fold"))
     parts = []
     for fold in range(FOLDS):
-        model = save(train(dealt.where(F.col("_q_fold") != fold), text, order))
+        model = trained(dealt.where(F.col("_q_fold") != fold), text, order)
         parts.append(scored(dealt.where(F.col("_q_fold") == fold), *model, text, order))
     every = functools.reduce(DataFrame.unionByName, parts).where("_q_bytes > 0")
     return cut(every.select(F.coalesce(F.col(lang), F.lit(NO_LANGUAGE)).alias("_q_name"), "_q_bytes", "_q_loss"), "held_out")
@@ -344,7 +356,7 @@ def _judged(docs: DataFrame, labels: DataFrame, text: str, lang: str, doc_id: st
     text, lang, doc_id = number[text], number[lang], number[doc_id]
     ids = trusted_ids(labels)
     trusted = docs.join(small(ids, ids.count()).withColumnRenamed("doc_id", "_q_id"), F.col(doc_id) == F.col("_q_id"), "left_semi")
-    model = save(train(trusted, text, order))
+    model = trained(trusted, text, order)
     found = cut(limits(held_out(trusted, text, lang, order)), "limits")  # a row for each language
     every = found.where("_q_lang IS NULL").first()
     by_lang = small(found.where("_q_lang IS NOT NULL"), found.count(), 100_000)
