@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgweave.llm import decontaminate, mixing, ngram_join, quality, secrets
-from kgweave.llm.base import new_folder, quoted, table
+from kgweave.llm.base import cut, drop_cut, quoted, table
 
 #: Near duplicates: words of a shingle and percent of similarity.
 SHINGLE_WORDS, SIMILARITY = 5, 80
@@ -71,10 +71,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each result is written to the shared folder and read again, and deleted when the next is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = new_folder(spark, name.replace(" ", "-")) + "/t"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            drop_cut(before)
+        before = docs
     return docs
