@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kgweave.llm import decontaminate, hnsw, licenses, mixing, ngram_join, quality, secrets, tokens, url_rules, warc
+from kgweave.llm import decontaminate, fim, hnsw, licenses, mixing, ngram_join, quality, secrets, tokens, url_rules, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_secrets": secrets.op8_secrets,
     "op9_contamination": decontaminate.op9_contamination,
     "op10_licenses": licenses.op10_licenses,
+    "op11_fim": fim.op11_fim,
 }
 ORACLES = {
     "op5_ngram_join": ngram_join.OP5_SQL,
@@ -23,4 +24,5 @@ ORACLES = {
     "op6_url_rules": url_rules.OP6_SQL,
     "op7_mixture": mixing.OP7_SQL,
     "op9_contamination": decontaminate.OP9_SQL,
+    "op11_fim": fim.OP11_SQL,
 }
