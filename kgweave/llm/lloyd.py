@@ -47,11 +47,11 @@ def whole_numbers(vectors: DataFrame, vec_id: str, embedding: str, dim: int, sca
     return vectors.where(F.coalesce(fits, F.lit(False))).select(F.col(quoted(vec_id)).alias("vec_id"), F.transform(x, number).alias("v"))
 
 
-def first_centroids(kept: DataFrame, k: int, seed: int) -> np.ndarray:
+def first_centroids(kept: DataFrame, k: int, seed: int, dim: int) -> np.ndarray:
     """The k vectors of smallest hash of seed and vec_id, ties by components: k rows at most reach the driver."""
     order = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("vec_id").cast("string"), F.lit(""))), 256)
     rows = kept.select(order.alias("h"), "v").orderBy("h", "v").limit(k).collect()
-    return np.array([r.v for r in rows], np.int64).reshape(len(rows), -1)
+    return np.array([r.v for r in rows], np.int64).reshape(len(rows), dim)
 
 
 def squared(v: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -139,7 +139,7 @@ def cluster(vectors: DataFrame, k: int = CLUSTERS, rounds: int = ROUNDS, dim: in
     buckets = max(1, math.ceil(n / BUCKET_ROWS), min(spark.sparkContext.defaultParallelism, n // 2_000))
     numbered = kept.withColumn("row", F.monotonically_increasing_id()).repartition(buckets, "row")
     vs = Persisted(numbered, buckets, "vectors")
-    centroids = first_centroids(vs.read().select("vec_id", "v"), k, seed).reshape(-1, dim)
+    centroids = first_centroids(vs.read().select("vec_id", "v"), k, seed, dim)
     sums, counts = np.zeros(centroids.shape, np.int64), np.zeros(len(centroids), np.int64)
     changed, now = list(range(len(centroids))), None
     for step in range(rounds + 1):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kgweave.llm import decontaminate, fim, hnsw, licenses, lloyd, mixing, ngram_join, quality, secrets, tokens, url_rules, warc
+from kgweave.llm import decontaminate, fertility, fim, hnsw, licenses, lloyd, mixing, ngram_join, quality, secrets, tokens, url_rules, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_contamination": decontaminate.op9_contamination,
     "op10_licenses": licenses.op10_licenses,
     "op11_fim": fim.op11_fim,
+    "op12_fertility": fertility.op12_fertility,
     "op13_clusters": lloyd.op13_clusters,
 }
 ORACLES = {
@@ -26,5 +27,6 @@ ORACLES = {
     "op7_mixture": mixing.OP7_SQL,
     "op9_contamination": decontaminate.OP9_SQL,
     "op11_fim": fim.OP11_SQL,
+    "op12_fertility": fertility.op12_fertility,
     "op13_clusters": lloyd.OP13_SQL,
 }
