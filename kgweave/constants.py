@@ -14,24 +14,28 @@ EDGE_VERB = {
 }
 # three lists: of the application, of the evaluation (the default), and of its follow-up runs
 APP_STOPWORDS = (
-    "a an the is are was were be been being of to for in on at by with from and or but if then than so as it this that these those what "
-    "which who whom whose where when why how does do did can could should would will have has had i you we they he she me us them him her "
-    "between about into through during before after above below tell explain show list give find say see look describe any some all most "
-    "more less very"
-).split()
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "of", "to", "for", "in", "on", "at", "by", "with", "from", "and", "or",
+    "but", "if", "then", "than", "so", "as", "it", "this", "that", "these", "those", "what", "which", "who", "whom", "whose", "where", "when", "why",
+    "how", "does", "do", "did", "can", "could", "should", "would", "will", "have", "has", "had", "i", "you", "we", "they", "he", "she", "me", "us",
+    "them", "him", "her", "between", "about", "into", "through", "during", "before", "after", "above", "below", "tell", "explain", "show", "list",
+    "give", "find", "say", "see", "look", "describe", "any", "some", "all", "most", "more", "less", "very",
+)
 STOPWORDS = (
-    "a an the is are was were be been being of to for in on at by with from and or but if then than so as it this that these those what "
-    "which who whom whose where when why how does do did can could should would will have has had i you we they he she me us them him her "
-    "between about into through during before after above below tell explain show list give find say see look describe any some all most "
-    "more less very patient class gene drug phenotype variant carry carries carrying pharmacogenomic association associations reference "
-    "references cite citation clinical evidence guideline guidelines level interaction interactions"
-).split()
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "of", "to", "for", "in", "on", "at", "by", "with", "from", "and", "or",
+    "but", "if", "then", "than", "so", "as", "it", "this", "that", "these", "those", "what", "which", "who", "whom", "whose", "where", "when", "why",
+    "how", "does", "do", "did", "can", "could", "should", "would", "will", "have", "has", "had", "i", "you", "we", "they", "he", "she", "me", "us",
+    "them", "him", "her", "between", "about", "into", "through", "during", "before", "after", "above", "below", "tell", "explain", "show", "list",
+    "give", "find", "say", "see", "look", "describe", "any", "some", "all", "most", "more", "less", "very", "patient", "class", "gene", "drug",
+    "phenotype", "variant", "carry", "carries", "carrying", "pharmacogenomic", "association", "associations", "reference", "references", "cite",
+    "citation", "clinical", "evidence", "guideline", "guidelines", "level", "interaction", "interactions",
+)
 FOLLOW_UP_STOPWORDS = (
-    "a an the is are was were be of to for in on at by with from and or but if then than so as it this that these those what which who "
-    "whom whose where when why how does do did can could should would will have has had between about into through pharmacogenomic "
-    "association associations reference references cite citation clinical evidence guideline guidelines level interaction interactions "
-    "carry carries carrying patient class gene drug phenotype variant"
-).split()
+    "a", "an", "the", "is", "are", "was", "were", "be", "of", "to", "for", "in", "on", "at", "by", "with", "from", "and", "or", "but", "if", "then",
+    "than", "so", "as", "it", "this", "that", "these", "those", "what", "which", "who", "whom", "whose", "where", "when", "why", "how", "does", "do",
+    "did", "can", "could", "should", "would", "will", "have", "has", "had", "between", "about", "into", "through", "pharmacogenomic", "association",
+    "associations", "reference", "references", "cite", "citation", "clinical", "evidence", "guideline", "guidelines", "level", "interaction",
+    "interactions", "carry", "carries", "carrying", "patient", "class", "gene", "drug", "phenotype", "variant",
+)
 DRUG_CLASSES = {
     "Volatile Anesthetics": ("sevoflurane", "isoflurane", "desflurane", "halothane", "enflurane", "methoxyflurane"),
     "Depolarizing Neuromuscular Blockers": ("succinylcholine",),

@@ -52,14 +52,14 @@ OCC_CTE = f"""raw_f AS ({plain(RAW_FACTS)}), cells AS (SELECT ord, type AS role,
   {PARTS.format("trim(chemicals, chr(34))", ",")} AS chems, {PARTS.format("trim(phenotypes, chr(34))", ",")} AS phens FROM raw_f),
 by_gene AS (SELECT *, unnest(range(1, len(genes) + 1)) AS g FROM cells), by_chem AS (SELECT *, unnest(range(1, len(chems) + 1)) AS c FROM by_gene),
 occ AS (SELECT *, genes[g] AS gene, chems[c] AS chemical, contains(role, 'Toxicity') AND level IN ('1A', '1B') AS critical, ord || lpad(CAST(g AS VARCHAR), 3, '0') || lpad(CAST(c AS VARCHAR), 3, '0') AS o FROM by_chem),
-ids AS (SELECT *, {SLUG.format("'gene_' || gene")} AS gid, {SLUG.format("'drug_' || chemical")} AS did FROM occ),
-by_phen AS (SELECT ids.*, phens[i] AS phen, {SLUG.format("'phen_' || phens[i]")} AS pid, o || lpad(CAST(i AS VARCHAR), 3, '0') AS op FROM ids, unnest(range(1, len(phens) + 1)) AS u(i)),
+ids AS MATERIALIZED (SELECT *, {SLUG.format("'gene_' || gene")} AS gid, {SLUG.format("'drug_' || chemical")} AS did FROM occ),
+by_phen AS MATERIALIZED (SELECT ids.*, phens[i] AS phen, {SLUG.format("'phen_' || phens[i]")} AS pid, o || lpad(CAST(i AS VARCHAR), 3, '0') AS op FROM ids, unnest(range(1, len(phens) + 1)) AS u(i)),
 class_d AS ({plain(CLASSES)}),
 var AS (SELECT ids.*, variants[i] AS rsid, o || lpad(CAST(i AS VARCHAR), 3, '0') AS ov FROM ids, unnest(range(1, len(variants) + 1)) AS u(i)),
-member AS (SELECT gid, rsid, arg_min({{'level': level, 'role': role, 'chemical': chemical, 'phens': phens, 'gene': gene}}, CAST({RANK} AS VARCHAR) || '-' || ov) AS b, min(ov) AS ov FROM (SELECT *, level AS l FROM var) GROUP BY gid, rsid),
-flat AS (SELECT gid, rsid, ov, b.level AS level, b.role AS role, b.chemical AS chemical, b.phens AS phens, b.gene AS gene FROM member),
+member AS MATERIALIZED (SELECT gid, rsid, arg_min({{'level': level, 'role': role, 'chemical': chemical, 'phens': phens, 'gene': gene}}, CAST({RANK} AS VARCHAR) || '-' || ov) AS b, min(ov) AS ov FROM (SELECT *, level AS l FROM var) GROUP BY gid, rsid),
+flat AS MATERIALIZED (SELECT gid, rsid, ov, b.level AS level, b.role AS role, b.chemical AS chemical, b.phens AS phens, b.gene AS gene FROM member),
 clus AS (SELECT gid, arg_min(gene, ov) AS gene, count(*) AS n, arg_min(level, {RANK}) AS level, string_agg(rsid || ':' || level || ':' || role || ':' || chemical, '|' ORDER BY ov) AS members, {SLUG.format("'vcluster_' || gid")} AS cid FROM flat GROUP BY gid)"""
-EDGE_CTE = f"""ev AS (SELECT did AS source, gid AS target, CASE WHEN critical THEN 'linked_to_risk' ELSE 'affects_response_to' END AS type, level, role, critical, CAST(NULL AS VARCHAR) AS gene, o FROM ids
+EDGE_CTE = f"""ev AS MATERIALIZED (SELECT did AS source, gid AS target, CASE WHEN critical THEN 'linked_to_risk' ELSE 'affects_response_to' END AS type, level, role, critical, CAST(NULL AS VARCHAR) AS gene, o FROM ids
 UNION ALL SELECT did, {SLUG.format("'class_' || class")}, 'belongs_to_class', NULL, NULL, NULL, NULL, o FROM ids JOIN class_d ON member = lower(chemical)
 UNION ALL SELECT did, pid, 'can_trigger', level, NULL, NULL, gene, op FROM by_phen WHERE critical UNION ALL SELECT gid, pid, 'associated_with', level, role, NULL, NULL, op FROM by_phen WHERE NOT critical),
 texts AS (SELECT source, target, type, list(role ORDER BY ro) FILTER (WHERE role IS NOT NULL) AS roles, list(gene ORDER BY ro) FILTER (WHERE gene IS NOT NULL) AS genes FROM (SELECT source, target, type, role, gene, min(o) AS ro FROM ev GROUP BY ALL) GROUP BY ALL),
@@ -71,8 +71,8 @@ rel AS ({plain(RAW_RELATIONS)}), known AS (SELECT DISTINCT gid AS id FROM ids UN
 mapped AS (SELECT CASE type1 WHEN 'Gene' THEN {SLUG.format("'gene_' || upper(entity1)")} WHEN 'Chemical' THEN {SLUG.format("'drug_' || entity1")} END AS a, CASE type2 WHEN 'Gene' THEN {SLUG.format("'gene_' || upper(entity2)")} WHEN 'Chemical' THEN {SLUG.format("'drug_' || entity2")} END AS b, pmids FROM rel WHERE lower(trim(association)) = 'associated'),
 found AS (SELECT DISTINCT least(a, b) AS lo, greatest(a, b) AS hi, trim(p) AS pmid FROM mapped, unnest(string_split(pmids, ';')) AS u(p) WHERE a <> b AND a IN (SELECT id FROM known) AND b IN (SELECT id FROM known) AND trim(p) <> ''),
 pm AS (SELECT lo, hi, list_sort(list(pmid))[1:25] AS pmids FROM found GROUP BY lo, hi),
-e AS (SELECT md5(source || '|' || type || '|' || target) AS id, source, target, type, level, role, critical, count, gene, pmids FROM all_e LEFT JOIN pm ON lo = least(source, target) AND hi = greatest(source, target))"""
-NODE_CTE = f"""n AS (SELECT gid AS id, arg_min(ids.gene, o) AS label, 'gene' AS type, coalesce(max(fullName), arg_min(ids.gene, o)) AS fullName, coalesce(max(accession), '') AS pharmgkb_id, coalesce(max(chromosome), '') AS chromosome, coalesce(bool_or(is_vip), false) AS is_vip,
+e AS MATERIALIZED (SELECT md5(source || '|' || type || '|' || target) AS id, source, target, type, level, role, critical, count, gene, pmids FROM all_e LEFT JOIN pm ON lo = least(source, target) AND hi = greatest(source, target))"""
+NODE_CTE = f"""n AS MATERIALIZED (SELECT gid AS id, arg_min(ids.gene, o) AS label, 'gene' AS type, coalesce(max(fullName), arg_min(ids.gene, o)) AS fullName, coalesce(max(accession), '') AS pharmgkb_id, coalesce(max(chromosome), '') AS chromosome, coalesce(bool_or(is_vip), false) AS is_vip,
   CAST(NULL AS VARCHAR) AS atc, CAST(NULL AS VARCHAR) AS top_level, CAST(NULL AS VARCHAR) AS gene, CAST(NULL AS VARCHAR) AS level, CAST(NULL AS VARCHAR) AS xref, CAST(NULL AS VARCHAR) AS description, CAST(NULL AS VARCHAR) AS members FROM ids LEFT JOIN gene_d ON key = ids.gene GROUP BY gid
 UNION ALL SELECT did, arg_min(chemical, o), 'drug', NULL, coalesce(max(accession), ''), NULL, NULL, coalesce(max(atc), ''), coalesce(max(top_level), ''), NULL, NULL, NULL, NULL, NULL FROM ids LEFT JOIN drug_d ON key = lower(chemical) GROUP BY did
 UNION ALL SELECT pid, arg_min(phen, op), 'phenotype', NULL, coalesce(max(accession), ''), NULL, NULL, NULL, NULL, NULL, NULL, coalesce(max(xref), ''), NULL, NULL FROM by_phen LEFT JOIN phen_d ON key = lower(phen) GROUP BY pid
@@ -119,9 +119,9 @@ def kg_entity_pairs(s: SparkSession, d: str) -> DataFrame:
 
 SEED_CTE = f"""{GRAPH_CTE}, sd AS (SELECT DISTINCT {SLUG.format("'drug_' || member")} AS id FROM class_d WHERE class IN ('Brand#11', 'Brand#12') AND {SLUG.format("'drug_' || member")} IN (SELECT id FROM n)),
 near_e AS (SELECT * FROM e WHERE type IN ('linked_to_risk', 'affects_response_to', 'can_trigger', 'belongs_to_class', 'associated_with')),
-reached AS (SELECT target AS id FROM near_e WHERE source IN (SELECT id FROM sd) UNION SELECT source FROM near_e WHERE target IN (SELECT id FROM sd)),
-gp AS (SELECT id, type FROM reached JOIN n USING (id) WHERE type IN ('gene', 'phenotype')),
-keep AS (SELECT id FROM sd UNION SELECT {SLUG.format("'class_' || c")} FROM unnest(['Brand#11', 'Brand#12']) AS u(c) UNION SELECT id FROM gp UNION SELECT target FROM e WHERE type = 'has_variant' AND source IN (SELECT id FROM gp WHERE type = 'gene'))"""
+reached AS MATERIALIZED (SELECT target AS id FROM near_e WHERE source IN (SELECT id FROM sd) UNION SELECT source FROM near_e WHERE target IN (SELECT id FROM sd)),
+gp AS MATERIALIZED (SELECT id, type FROM reached JOIN n USING (id) WHERE type IN ('gene', 'phenotype')),
+keep AS MATERIALIZED (SELECT id FROM sd UNION SELECT {SLUG.format("'class_' || c")} FROM unnest(['Brand#11', 'Brand#12']) AS u(c) UNION SELECT id FROM gp UNION SELECT target FROM e WHERE type = 'has_variant' AND source IN (SELECT id FROM gp WHERE type = 'gene'))"""
 
 
 def seed(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -151,10 +151,10 @@ def kg_index(s: SparkSession, d: str) -> DataFrame:
     return bins.join(sizes, ["type", "bin"]).select("id", "label", "type", "alt", (F.col("before") + place).alias("place"))
 
 
-FILTER_CTE = f"""{GRAPH_CTE}, fn AS (SELECT * FROM n WHERE type IN ('gene', 'drug', 'phenotype')), fe0 AS (SELECT * FROM e WHERE type IN ('linked_to_risk', 'can_trigger', 'affects_response_to') AND (level IS NULL OR level = '' OR level IN ('1A', '2A'))),
+FILTER_CTE = f"""{GRAPH_CTE}, fn AS MATERIALIZED (SELECT * FROM n WHERE type IN ('gene', 'drug', 'phenotype')), fe0 AS MATERIALIZED (SELECT * FROM e WHERE type IN ('linked_to_risk', 'can_trigger', 'affects_response_to') AND (level IS NULL OR level = '' OR level IN ('1A', '2A'))),
 fe AS (SELECT * FROM fe0 WHERE source IN (SELECT id FROM fn) AND target IN (SELECT id FROM fn)),
-deg AS (SELECT id, count(*) AS d FROM (SELECT source AS id FROM fe UNION ALL SELECT target FROM fe) GROUP BY id), tn AS (SELECT id FROM fn LEFT JOIN deg USING (id) ORDER BY coalesce(d, 0) DESC, id LIMIT 300),
-te AS (SELECT * FROM fe WHERE source IN (SELECT id FROM tn) AND target IN (SELECT id FROM tn))"""
+deg AS (SELECT id, count(*) AS d FROM (SELECT source AS id FROM fe UNION ALL SELECT target FROM fe) GROUP BY id), tn AS MATERIALIZED (SELECT id FROM fn LEFT JOIN deg USING (id) ORDER BY coalesce(d, 0) DESC, id LIMIT 300),
+te AS MATERIALIZED (SELECT * FROM fe WHERE source IN (SELECT id FROM tn) AND target IN (SELECT id FROM tn))"""
 FILTERS = {"node_types": ["gene", "drug", "phenotype"], "edge_types": ["linked_to_risk", "can_trigger", "affects_response_to"], "levels": ["1A", "2A"], "most": 300}
 
 
@@ -181,7 +181,7 @@ def focus(s: SparkSession) -> DataFrame:
 FOCUS_CTE = "focus AS (SELECT CAST(i AS BIGINT) AS question_id, 'gene_s' || i AS node FROM range(1, 6) AS u(i)), sym AS (SELECT source AS a, target AS b FROM e UNION SELECT target, source FROM e), one AS (SELECT question_id, node FROM focus UNION SELECT question_id, b FROM focus JOIN sym ON a = node)"
 EXPANSION_CTE = f"""{GRAPH_CTE}, {FOCUS_CTE}, inner_e AS (SELECT o1.question_id, e.* FROM e JOIN one o1 ON o1.node = source JOIN one o2 ON o2.node = target AND o2.question_id = o1.question_id),
 deg AS (SELECT question_id, id, count(*) AS d FROM (SELECT question_id, source AS id FROM inner_e UNION ALL SELECT question_id, target FROM inner_e) GROUP BY ALL),
-tn AS (SELECT one.question_id, node AS id FROM one JOIN n ON n.id = node LEFT JOIN deg ON deg.question_id = one.question_id AND deg.id = node QUALIFY row_number() OVER (PARTITION BY one.question_id ORDER BY coalesce(d, 0) DESC, node) <= 120)"""
+tn AS MATERIALIZED (SELECT one.question_id, node AS id FROM one JOIN n ON n.id = node LEFT JOIN deg ON deg.question_id = one.question_id AND deg.id = node QUALIFY row_number() OVER (PARTITION BY one.question_id ORDER BY coalesce(d, 0) DESC, node) <= 120)"""
 
 
 @query("g_seed_expansion", f"WITH {EXPANSION_CTE} SELECT question_id, 'node' AS kind, id FROM tn UNION ALL SELECT i.question_id, 'edge', i.id FROM inner_e i WHERE (i.question_id, source) IN (SELECT (question_id, id) FROM tn) AND (i.question_id, target) IN (SELECT (question_id, id) FROM tn)")

@@ -15,12 +15,17 @@ from kgweave.plans.registry import ORACLES, query
 from kgweave.sources.shared import cut
 
 # written out on their own, not taken from the engine's constants
-STOP = "', '".join(
-    """a an the is are was were be been being of to for in on at by with from and or but if then than so as it this that these those what which who whom whose where when why how does do did can
-could should would will have has had i you we they he she me us them him her between about into through during before after above below tell explain show list give find say see look describe any
-some all most more less very patient class gene drug phenotype variant carry carries carrying pharmacogenomic association associations reference references cite citation clinical evidence
-guideline guidelines level interaction interactions""".split()
-)
+# Fixed values.
+STOP_WORDS = (
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "of", "to", "for", "in", "on", "at", "by", "with", "from", "and", "or",
+    "but", "if", "then", "than", "so", "as", "it", "this", "that", "these", "those", "what", "which", "who", "whom", "whose", "where", "when", "why",
+    "how", "does", "do", "did", "can", "could", "should", "would", "will", "have", "has", "had", "i", "you", "we", "they", "he", "she", "me", "us",
+    "them", "him", "her", "between", "about", "into", "through", "during", "before", "after", "above", "below", "tell", "explain", "show", "list",
+    "give", "find", "say", "see", "look", "describe", "any", "some", "all", "most", "more", "less", "very", "patient", "class", "gene", "drug",
+    "phenotype", "variant", "carry", "carries", "carrying", "pharmacogenomic", "association", "associations", "reference", "references", "cite",
+    "citation", "clinical", "evidence", "guideline", "guidelines", "level", "interaction", "interactions",
+)
+STOP = "', '".join(STOP_WORDS)
 LINK_INDEX = """SELECT 'd' || CAST(min(doc_id) AS VARCHAR(20)) AS id, lower(split_part(text, ' ', 2)) AS label, min(lower(split_part(text, ' ', 3))) || '; ' || max(lower(split_part(text, ' ', 4))) AS alt, min(doc_id) AS ord
 FROM {documents} WHERE split_part(text, ' ', 2) <> '' GROUP BY lower(split_part(text, ' ', 2))"""
 

@@ -69,8 +69,13 @@ S5 = drawn("S5", 25, "SELECT h.*, least(coalesce(df, 99), coalesce(gf, 99)) AS s
 NEG = "SELECT *, 'NEG|' || lower(drug) || '|' || gene AS k FROM (SELECT ord, CASE WHEN type1 = 'Chemical' THEN entity1 ELSE entity2 END AS drug, upper(CASE WHEN type1 = 'Chemical' THEN entity2 ELSE entity1 END) AS gene FROM raw_r WHERE lower(trim(association)) IN ('not associated', 'ambiguous') AND list_sort([lower(type1), lower(type2)]) = ['chemical', 'gene'] ORDER BY ord LIMIT 5000)"
 S6 = drawn("S6", 25, NEG, "TRUE", "'According to PharmGKB-curated evidence, is there a clinically meaningful pharmacogenomic association between ' || drug || ' and ' || gene || '?'", "s6_negative_control", key="k", entities="drug || '|' || gene", expected_negative="true", summary="'No, PharmGKB lists this pair as not associated / ambiguous.'")
 # written out on their own, not taken from the engine's constants
-OOD = "vitamin C|melatonin|glucosamine|echinacea|valerian root|St John''s wort|ginkgo biloba|milk thistle|saw palmetto|coenzyme Q10|creatine|alpha-lipoic acid|lutein|psyllium|lactobacillus|berberine|ashwagandha|rhodiola|lysine|DHEA|selenium yeast|spirulina|chlorella|bromelain"
-S7 = drawn("S7", 15, f"SELECT d, 0 AS ord, 'OOD|' || lower(d) AS k FROM unnest(string_split('{OOD}', '|')) AS u(d)", "TRUE", "'What pharmacogenomic guidelines exist for ' || d || ' in PharmGKB? Cite the specific gene-drug interactions if any.'", "s7_ood_drug", key="k", entities="d", should_refuse="true", summary="d || ' is not in PharmGKB''s clinical guidelines; appropriate response is to indicate no pharmacogenomic guidelines exist.'")
+# Fixed values.
+OOD = (
+    "vitamin C", "melatonin", "glucosamine", "echinacea", "valerian root", "St John's wort", "ginkgo biloba", "milk thistle", "saw palmetto",
+    "coenzyme Q10", "creatine", "alpha-lipoic acid", "lutein", "psyllium", "lactobacillus", "berberine", "ashwagandha", "rhodiola", "lysine", "DHEA",
+    "selenium yeast", "spirulina", "chlorella", "bromelain",
+)
+S7 = drawn("S7", 15, f"SELECT d, 0 AS ord, 'OOD|' || lower(d) AS k FROM (VALUES {", ".join(f"($${d}$$)" for d in OOD)}) AS u(d)", "TRUE", "'What pharmacogenomic guidelines exist for ' || d || ' in PharmGKB? Cite the specific gene-drug interactions if any.'", "s7_ood_drug", key="k", entities="d", should_refuse="true", summary="d || ' is not in PharmGKB''s clinical guidelines; appropriate response is to indicate no pharmacogenomic guidelines exist.'")
 SIB = """SELECT gene, class, a.drug AS da, a.level AS la, b.drug AS db, b.level AS lb FROM (SELECT gene, class, max(d) FILTER (WHERE r = 1) AS a, max(d) FILTER (WHERE r = 2) AS b FROM (SELECT *, row_number() OVER (PARTITION BY gene, class ORDER BY at_, low) AS r FROM (
   SELECT g AS gene, class, lower(x) AS low, min(ord || lpad(CAST(i AS VARCHAR), 3, '0')) AS at_, arg_max({'drug': x, 'level': level}, ord || lpad(CAST(i AS VARCHAR), 3, '0')) AS d FROM (SELECT prep.*, ds[i] AS x, i FROM prep, unnest(range(1, len(ds) + 1)) AS u(i) WHERE level IN ('1A', '1B', '2A', '2B')) JOIN class_d ON member = lower(x) GROUP BY ALL)) GROUP BY gene, class) WHERE b IS NOT NULL"""
 S8 = drawn("S8", 12, f"SELECT *, 'CMP|' || gene || '|' || class || '|' || da || '|' || db AS k FROM ({SIB})", "TRUE", "'Between ' || da || ' and ' || db || ' (both in the ' || class || ' class), which has stronger PharmGKB evidence for an interaction with ' || gene || ', and at what evidence level?'", "s8_comparative_same_class", key="k", order="md5('7|S8|' || k), k", entities="da || '|' || db || '|' || class || '|' || gene", levels="da || '=' || la || '|' || db || '=' || lb", summary="da || '=' || la || ', ' || db || '=' || lb || '.'")
