@@ -55,15 +55,43 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def running(sizes: Column, block: int = 64) -> Column:
-    """For each entry of an array of integers the sum of those before it, in blocks, as appending to an array copies it."""
-    none = F.expr("CAST(array() AS array<int>)")
-    step = lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
-    total = lambda x: F.aggregate(x, F.lit(0), lambda a, n: a + n)
+def prefixes(values: Column, fold: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """For each entry of an array the fold of those before it (of ``zero``'s type).
+
+    In blocks of about the square root of its size, as appending to an array copies it: n entries cost n times the root
+    of n steps. ``fold`` is associative.
+    """
+    none = F.array().cast("array<long>")
+    step = lambda a, x: F.struct(fold(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+    total = lambda x: F.aggregate(x, zero, fold)
     whole = lambda x, at: F.aggregate(x, F.struct(at.alias("at"), none.alias("out")), step, lambda a: a["out"])
-    cuts = lambda s: F.transform(F.sequence(F.lit(0), F.ceil(F.size(s) / block).cast("int") - 1), lambda b: F.slice(s, b * block + 1, F.lit(block)))
-    many = lambda s: let(cuts(s), lambda parts: F.flatten(F.zip_with(parts, whole(F.transform(parts, total), F.lit(0)), whole)))
-    return let(sizes, lambda s: F.when(F.size(s) > block, many(s)).otherwise(whole(s, F.lit(0))))
+    cuts = lambda c: F.transform(F.sequence(F.lit(0), F.ceil(F.size(c["v"]) / c["b"]).cast("int") - 1), lambda i: F.slice(c["v"], i * c["b"] + 1, c["b"]))
+    many = lambda c: let(cuts(c), lambda parts: F.flatten(F.zip_with(parts, whole(F.transform(parts, total), zero), whole)))
+    root = lambda v: F.struct(v.alias("v"), F.ceil(F.sqrt(F.size(v))).cast("int").alias("b"))
+    return let(values, lambda v: F.when(F.size(v) > 64, let(root(v), many)).otherwise(whole(v, zero)))
+
+
+def running(sizes: Column) -> Column:
+    """For each entry of an array of integers the sum of those before it."""
+    longs = F.transform(sizes, lambda n: n.cast("long"))
+    return F.transform(prefixes(longs, lambda a, n: a + n, F.lit(0).cast("long")), lambda n: n.cast("int"))
+
+
+#: A text's pieces have 2 ** PIECE code points.
+PIECE = 10
+
+
+def pieces(text: Column) -> Column:
+    """A text in pieces, to be read from with between()."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{1 << PIECE}}}"), F.lit(0))
+
+
+def between(parts: Column, start: Column, end: Column) -> Column:
+    """Code points [start, end) of a text in pieces: a few pieces are looked at, where substring walks from the text's beginning."""
+    first, last, mask = F.shiftright(start, PIECE), F.shiftright(end - 1, PIECE), (1 << PIECE) - 1
+    head = F.substring(F.element_at(parts, first + 1), start.bitwiseAND(F.lit(mask)) + 1, F.least(end - start, F.lit(1 << PIECE)))
+    rest = F.concat(F.array_join(F.slice(parts, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), F.substring(F.element_at(parts, last + 1), F.lit(1), end - F.shiftleft(last, PIECE)))
+    return F.when(end <= start, F.lit("")).when(first == last, head).otherwise(F.concat(head, rest))
 
 
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:

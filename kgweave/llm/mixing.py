@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgweave.llm.base import quoted, row_of, small, table, unpacked
+from kgweave.llm.base import cut, quoted, row_of, small, table, unpacked
 
 SEED = 11
 #: Largest mean of one draw; a larger rate is the sum of several draws.
@@ -32,6 +32,7 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None, source: str
         rows = [(k, float(v)) for k, v in weights.items()]
         named = docs.sparkSession.createDataFrame(rows, "_name string, w double")
         wanted = sizes.join(small(named, len(rows), 100_000), F.col("_src") == F.col("_name"), "left").drop("_name").fillna(0.0, ["w"])
+    wanted = cut(wanted, "sizes")  # a row a source; texts are read once for it
     sums = wanted.agg(F.sum("w").alias("all_w"), F.sum("size").alias("all_size")).first()
     all_w, all_size = sums["all_w"] or 1.0, sums["all_size"] or 0.0
     return wanted.withColumn("rate", F.when(F.col("size") > 0, F.col("w") / all_w * float(all_size if total is None else total) / F.col("size")).otherwise(0.0)).select("_src", "size", "rate")
@@ -60,7 +61,7 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, seed:
     weight, or no text) do not occur; a null or empty text in another source is repeated like any row. An empty table
     gives an empty one. Columns of ``docs`` keep their names; only ``_copy`` and ``_copies`` are replaced.
     """
-    rates = with_cdf(source_rates(docs, weights, source, text, power, total))
+    rates = cut(with_cdf(source_rates(docs, weights, source, text, power, total)), "rates")
     rates = small(rates, rates.count(), 100_000)
     own = ("_copy", "_copies")
     name = F.coalesce(F.col(quoted(doc_id)).cast("string"), F.concat(F.lit("t"), F.md5(F.coalesce(F.col(quoted(text)), F.lit("")))))
@@ -73,10 +74,15 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, seed:
     counted = drawn.withColumn("_copies", F.when(F.col("draws") == 1, single).otherwise(several)).where(F.col("_copies") > 0)
     copies = counted.select("_row", "_copies", "_name", "_content", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
     keyed = copies.select(F.xxhash64(F.lit(seed), "_name", "_copy", "_content").alias("_order"), "_row", "_copy", "_copies")
-    return keyed.orderBy("_order").select(*unpacked(docs, "_row", *own), "_copies", "_copy")
+    # the hash is uniform, so partitions are equal ranges of it: no sample of the rows is needed to order them all
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = keyed.repartitionById(n, (F.shiftrightunsigned(F.col("_order"), 33).bitwiseXOR(F.lit(1 << 30)) * n / F.lit(1 << 31)).cast("int")).sortWithinPartitions("_order")
+    return ranged.select(*unpacked(docs, "_row", *own), "_copies", "_copy")
 
 
 def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of documents in global random order, sources at the square root of their sizes; a null source is one of its own,
+    null and empty texts are repeated like others of their source, repeated rows alike; otherwise as in poisson_mix."""
     mixed = poisson_mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", F.col("_copy").cast("long").alias("copy"), F.col("_copies").cast("long").alias("copies"), "text")
 

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgweave.llm.base import doc_key, let, quoted, row_of, running, table
+from kgweave.llm.base import BROADCAST_ROWS, between, cut, doc_key, let, pieces, prefixes, quoted, row_of, running, table
 
 
 @dataclass(frozen=True)
@@ -36,6 +36,8 @@ KINDS = (
 GENERIC = SecretKind("owned", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24,}+", r"[A-Za-z0-9+/_=-]{24}")
 #: Owners, or repositories of fewer owners, from which on a value is a widely copied example.
 MIN_OWNERS, MIN_REPOS = 3, 25
+#: Beyond every offset.
+NEVER = 1 << 62
 
 
 def find_spans(text: Column, kind: SecretKind, order: int) -> Column:
@@ -59,8 +61,19 @@ def scan(df: DataFrame, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
     flat = df.select(*carry, *[find_spans(t, k, i).alias(f"_s{i}") for i, k in enumerate(KINDS)], find_spans(t, GENERIC, len(KINDS)).alias("_g"))
     base = F.array_sort(F.concat(*[F.col(f"_s{i}") for i in range(len(KINDS))]))
     flat = flat.select(*carry, base.alias("base"), "_g")
-    mixed = F.filter("_g", lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]") & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return flat.select(*carry, "base", mixed.alias("extra"))
+    told = F.filter("_g", lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
+    return flat.select(*carry, "base", apart(told, F.col("base")).alias("extra"))
+
+
+def apart(spans: Column, others: Column) -> Column:
+    """The spans that overlap none of ``others`` (both by start): in one order by start, no other span that began
+    before goes on into one, and the next other begins after its end."""
+    mark = lambda spans, own: F.transform(spans, lambda s: F.struct(s["start"].cast("long").alias("start"), F.lit(own).alias("own"), s["end"].cast("long").alias("end"), s.alias("s")))
+    reached = lambda all_: prefixes(F.transform(all_, lambda x: F.when(x["own"] == 1, F.lit(0)).otherwise(x["end"])), lambda a, b: F.greatest(a, b), F.lit(0).cast("long"))
+    follows = lambda all_: F.reverse(prefixes(F.reverse(F.transform(all_, lambda x: F.when(x["own"] == 1, F.lit(NEVER)).otherwise(x["start"]))), lambda a, b: F.least(a, b), F.lit(NEVER)))
+    free = lambda x: (x["a"]["own"] == 1) & (x["r"] <= x["a"]["start"]) & (x["f"] >= x["a"]["end"])
+    swept = lambda all_: F.transform(F.filter(F.arrays_zip(all_.alias("a"), reached(all_).alias("r"), follows(all_).alias("f")), free), lambda x: x["a"]["s"])
+    return F.when((F.size(spans) == 0) | (F.size(others) == 0), spans).otherwise(let(F.array_sort(F.concat(mark(others, 0), mark(spans, 1))), swept))
 
 
 def ownership(spans: DataFrame, owner: str, repo: str) -> DataFrame:
@@ -76,14 +89,14 @@ def secret_report(df: DataFrame, text: str = "text", doc_id: str = "doc_id", own
     """Per row of ``df``: _k1, _k2, doc_id, base spans, and ``found``: every span with ``live``.
 
     A repository is a distinct text, so that copies of one document are one, and its owner the ``owner`` column (null
-    is an owner of its own). A candidate value held by ``min_owners`` owners, or in ``min_repos`` repositories of fewer,
+    is an owner of its own). Spans are written once and read from there. A candidate value held by ``min_owners`` owners, or in ``min_repos`` repositories of fewer,
     is a widely copied example, otherwise live. Candidates without a telling prefix (kind owned) become spans only
     where live. Empty and null texts have no spans; repeated rows each get their result; an empty table has no rows.
     Other columns of ``df`` play no part, whatever their names.
     """
     keyed = df.select(F.col(quoted(doc_id)).alias("doc_id"), F.coalesce(F.col(quoted(owner)).cast("string"), F.lit("\0")).alias("_o"), F.col(quoted(text)).alias("_t"))
     docs = keyed.select(*doc_key("doc_id", "_t"), "doc_id", "_o", "_t")
-    scanned = scan(docs, "_t", ("_k1", "_k2", "doc_id", "_o"))
+    scanned = cut(scan(docs, "_t", ("_k1", "_k2", "doc_id", "_o")), "spans")  # texts are read once; offsets and values are small beside them
     spans = scanned.where((F.size("base") > 0) | (F.size("extra") > 0)).select("_k1", "_k2", "_o", F.explode(F.concat("base", "extra")).alias("s"))
     spans = spans.select("_k1", "_k2", "_o", "s.*", F.sha2(F.col("s.value"), 256).alias("vhash")).distinct()
     owners = ownership(spans, "_o", "_k2")
@@ -100,28 +113,33 @@ def secret_report(df: DataFrame, text: str = "text", doc_id: str = "doc_id", own
 def redact(df: DataFrame, text: str = "text", doc_id: str = "doc_id", owner: str = "source", min_owners: int = MIN_OWNERS, mark: str = "[secret]", min_repos: int = MIN_REPOS) -> DataFrame:
     """``df`` with each live span of ``text`` replaced by ``mark``; overlapping live spans become one mark. Columns as in ``df``.
 
-    Only texts that a gate finds candidates in are moved; all others, null and empty ones among them, pass as they are.
-    Rows are kept one for one, repeated ones too; an empty table gives an empty one.
+    Texts are read twice: for their spans, and to be rewritten. Live spans go to the texts by broadcast if they are few,
+    counted; otherwise the texts that a gate finds candidates in are moved to them, and all others pass as they are.
+    Null and empty texts stay. Rows are kept one for one, repeated ones too; an empty table gives an empty one.
     """
+    report = secret_report(df, text, doc_id, owner, min_owners, min_repos)
+    live = cut(report.select("_k1", "_k2", F.filter("found", lambda s: s["live"]).alias("_live")).where(F.size("_live") > 0).dropDuplicates(["_k1", "_k2"]), "live")
+    n = live.agg(F.coalesce(F.sum(F.size("_live")), F.lit(0))).first()[0]
+    if n <= BROADCAST_ROWS:
+        return _rewritten(df, F.broadcast(live), text, doc_id, mark)
     gates = functools.reduce(operator.or_, [F.regexp_like(F.col(quoted(text)), F.lit(k.gate)) for k in (*KINDS, GENERIC)])
     may = F.coalesce(gates, F.lit(False))
-    rest, held = df.where(~may), df.where(may)
-    live = secret_report(held, text, doc_id, owner, min_owners, min_repos).select("_k1", "_k2", F.filter("found", lambda s: s["live"]).alias("_live")).where(F.size("_live") > 0).dropDuplicates(["_k1", "_k2"])
-    packed = held.select(row_of(held).alias("_row"), F.col(quoted(doc_id)).alias("_d"), F.col(quoted(text)).alias("_t"))
+    return _rewritten(df.where(may), live, text, doc_id, mark).union(df.where(~may))
+
+
+def _rewritten(df: DataFrame, live: DataFrame, text: str, doc_id: str, mark: str) -> DataFrame:
+    packed = df.select(row_of(df).alias("_row"), F.col(quoted(doc_id)).alias("_d"), F.col(quoted(text)).alias("_t"))
     joined = packed.select("_row", "_t", *doc_key("_d", "_t")).join(live, ["_k1", "_k2"], "left")
     t = F.col("_t")
-    merged = F.aggregate(
-        F.col("_live"),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.struct(
-            F.greatest(a["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring(t, a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).otherwise(a["out"]).alias("out"),
-        ),
-        lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))),
+    # a span that begins before an earlier one ends is under that one's mark
+    reached = lambda spans: prefixes(F.transform(spans, lambda s: s["end"].cast("long")), lambda a, b: F.greatest(a, b), F.lit(0).cast("long"))
+    placed = lambda spans: F.filter(F.arrays_zip(spans.alias("s"), reached(spans).alias("r")), lambda x: x["s"]["start"] >= x["r"])
+    last = F.array_max(F.transform("_live", lambda s: s["end"]))
+    clear = lambda c: F.concat(
+        F.array_join(F.transform(placed(F.col("_live")), lambda x: F.concat(between(c["p"], x["r"].cast("int"), x["s"]["start"]), F.lit(mark))), ""), between(c["p"], c["last"], c["n"])
     )
-    new = F.when(F.col("_live").isNull(), t).otherwise(merged)
-    columns = [new.alias(c) if c == text else F.col("_row")[c].alias(c) for c in df.columns]
-    return joined.select(*columns).union(rest)
+    new = F.when(F.col("_live").isNull(), t).otherwise(let(F.struct(pieces(t).alias("p"), last.alias("last"), F.length(t).alias("n")), clear))
+    return joined.select(*[new.alias(c) if c == text else F.col("_row")[c].alias(c) for c in df.columns])
 
 
 def _joined(spans: Column) -> Column:

@@ -127,6 +127,8 @@ def judge_urls(df: DataFrame, rules: tuple[UrlRule, ...] | DataFrame = SITE_RULE
 
 
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, rule and verdict. A null url, and one without ``://``, has empty host and path and is allowed;
+    repeated rows are judged alike, one for one; otherwise as in judge_urls."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return judge_urls(pages).select("page_id", "host", "path", "rule", "verdict", "pattern_rule")
 
