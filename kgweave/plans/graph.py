@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from kgweave.operators import context as X
 from kgweave.operators import graph_build as B
 from kgweave.operators import graph_ops as G
-from kgweave.plans.bindings import CLASSES, RAW_DRUGS, RAW_FACTS, RAW_GENES, RAW_PHENOTYPES, RAW_RELATIONS, bound, plain
+from kgweave.plans.bindings import CLASSES, NAMES, RAW_DRUGS, RAW_FACTS, RAW_GENES, RAW_PHENOTYPES, RAW_RELATIONS, bound, plain
 from kgweave.plans.registry import query
+from kgweave.sources.files import fingerprint
 from kgweave.sources.shared import cut
 
 SEED_CLASSES = ("Brand#11", "Brand#12")
-_BUILT: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+_BUILT: dict[tuple[str, str, str], tuple[DataFrame, DataFrame]] = {}
 
 
 def genes(s: SparkSession, d: str) -> DataFrame:
@@ -32,9 +33,13 @@ def classes(s: SparkSession, d: str) -> DataFrame:
     return bound(s, d, CLASSES)
 
 
+def built_from(s: SparkSession, d: str) -> tuple[str, str, str]:
+    return s.sparkContext.applicationId, d, fingerprint(s, [f"{d}/{n}.parquet" for n in NAMES])
+
+
 def graph(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """nodes and edges over all facts and relations, built once in a session."""
-    key = (s.sparkContext.applicationId, d)
+    """nodes and edges over all facts and relations, built once in a session for the tables as they are."""
+    key = built_from(s, d)
     if key not in _BUILT:
         nodes, edges = B.build_graph(bound(s, d, RAW_FACTS), genes(s, d), drugs(s, d), phenotypes(s, d), classes(s, d), bound(s, d, RAW_RELATIONS))
         _BUILT[key] = nodes, cut(edges, "edges")

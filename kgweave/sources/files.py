@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kgweave.sources.versioned import Pinned, Versions
+
 NODES = "id string, label string, type string, fullName string, pharmgkb_id string, chromosome string, is_vip boolean, atc string, top_level string, gene string, level string, xref string, description string, members array<struct<rsid string, level string, role string, chemical string>>"
 EDGES = "id string, source string, target string, type string, level string, role string, critical boolean, count bigint, gene string, pmids array<string>"
 ANSWERS = "arm string, question_id string, answer string, duration_ms bigint, cost_usd double, error string, context_chars bigint"
@@ -30,11 +32,28 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.trim("value") != "").select(F.col("value").alias("row_key")).distinct()
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+MALFORMED = "_malformed"
+
+
+def parsed(lines: DataFrame, schema: str) -> DataFrame:
+    """Records of a table (or stream) of JSON lines in column ``value``, with MALFORMED: the line where it is no object of
+    the schema, else null. Blank lines are passed over."""
+    fields = T.StructType([*T._parse_datatype_string(schema).fields, T.StructField(MALFORMED, T.StringType())])
+    record = F.from_json("value", fields, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": MALFORMED})
+    held = lines.where(F.trim("value") != "").select("value", record.alias("r"))
+    # a line that is JSON but no object has no corrupt part
+    bad = F.when(F.col("r").isNull() | ~F.rlike(F.col("value"), F.lit(r"^\s*\{")), F.col("value")).otherwise(F.col("r")[MALFORMED])
+    return held.select(*[F.col("r")[f.name].alias(f.name) for f in fields.fields[:-1]], bad.alias(MALFORMED))
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str, stream: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Records of JSON lines, and the malformed lines (column ``line``), which a plain reader would take for empty records."""
+    found = parsed((spark.readStream if stream else spark.read).text(path), schema)
+    return found.where(F.col(MALFORMED).isNull()).drop(MALFORMED), found.where(F.col(MALFORMED).isNotNull()).select(F.col(MALFORMED).alias("line"))
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:
+    """Append once; a log that streams append to, and that survives a lost driver, is in kgweave.streaming.log."""
     df.write.mode("append").json(path)
 
 
@@ -55,17 +74,18 @@ def write_holdout(facts: DataFrame, keys: DataFrame, key_columns: list[str], pat
 ARTEFACTS = ("nodes", "edges", "seed_nodes", "seed_edges", "search_index")
 
 
-def write_graph(path: str, suffix: str = "", **tables: DataFrame) -> None:
-    """The artefacts of a graph build (ARTEFACTS), each as Parquet; the suffix keeps a reduced build beside the full one."""
-    for name in ARTEFACTS:
-        if name in tables:
-            tables[name].write.mode("overwrite").parquet(f"{path}/{name}{suffix}")
+def write_graph(path: str, suffix: str = "", **tables: DataFrame) -> int:
+    """Publish the artefacts of a graph build (ARTEFACTS) as one version of the set at ``path``; the suffix keeps a reduced
+    build beside the full one. Returns the version."""
+    held = {f"{name}{suffix}": tables[name] for name in ARTEFACTS if name in tables}
+    return Versions(next(iter(held.values())).sparkSession, path).publish(held)
 
 
-def read_graph(spark: SparkSession, path: str, suffix: str = "", seed: bool = False) -> tuple[DataFrame, DataFrame]:
-    """nodes and edges of a written graph, or of its seed view."""
-    head = "seed_" if seed else ""
-    return spark.read.parquet(f"{path}/{head}nodes{suffix}"), spark.read.parquet(f"{path}/{head}edges{suffix}")
+def read_graph(spark: SparkSession, path: str, suffix: str = "", seed: bool = False, version: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """nodes and edges of a written graph, or of its seed view: both of one version, the newest by default."""
+    store, head = Versions(spark, path), "seed_" if seed else ""
+    version = store.latest() if version is None else version
+    return store.read(f"{head}nodes{suffix}", version), store.read(f"{head}edges{suffix}", version)
 
 
 def read_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -75,16 +95,25 @@ def read_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return whole.selectExpr("inline(nodes)"), whole.selectExpr("inline(edges)")
 
 
-_GRAPHS: dict[tuple[str, str, str], tuple[DataFrame, DataFrame]] = {}
+_GRAPHS: dict[tuple[str, str], Pinned] = {}
 
 
 def cached_graph(spark: SparkSession, path: str, suffix: str = "") -> tuple[DataFrame, DataFrame]:
-    """read_graph, kept for the session after the first call."""
-    key = (spark.sparkContext.applicationId, path, suffix)
-    if key not in _GRAPHS:
-        nodes, edges = read_graph(spark, path, suffix)
-        _GRAPHS[key] = nodes.persist(), edges.persist()
-    return _GRAPHS[key]
+    """read_graph, kept in memory by the session until a newer version is published; the older one is then let go."""
+    held = _GRAPHS.setdefault((spark.sparkContext.applicationId, path), Pinned(Versions(spark, path)))
+    held.refresh()
+    return held.table(f"nodes{suffix}"), held.table(f"edges{suffix}")
+
+
+def fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    """Changes when one of the files or folders does: their sizes and times of change."""
+    out = []
+    for p in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(at):
+            out.append(f"{p}:{fs.getContentSummary(at).getLength()}:{fs.getFileStatus(at).getModificationTime()}")
+    return "|".join(out)
 
 
 _INDEXES: dict[str, DataFrame] = {}
