@@ -130,32 +130,81 @@ def corpus(facts: DataFrame, relations: DataFrame, most: int | None = MOST_RELAT
     return chunk_facts(facts.where(F.trim("level").isin(*HIGH_EVIDENCE))).unionByName(chunk_relations(relations, most), allowMissingColumns=True)
 
 
-def bm25_index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Postings (term, doc_id, tf, dl) and terms (term, df, n, average, raw: ln((n - df + 0.5) / (df + 0.5))), written once."""
-    held = docs.select("doc_id", tokens(F.col("text")).alias("t"))
-    tf = cut(held.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf")), "postings")
-    sums = held.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("average"))
-    terms = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(sums))
-    return tf, cut(terms.withColumn("raw", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))), "terms")
+class Postings:
+    """A BM25 index, written once: postings (term, doc_id, block, part), blocks (term, block, top) and terms (term, df, top, n, raw).
 
+    part: what a term adds to a document's score for one occurrence in a question, but for its inverse document frequency;
+    top: the greatest of a block of documents, or of all. A block holds documents of about one length, which makes its
+    tops tight. raw: ln((n - df + 0.5) / (df + 0.5)).
+    """
 
-def bm25(docs: DataFrame | tuple[DataFrame, DataFrame], questions: DataFrame, k: int = TOP_K, okapi: bool = True) -> DataFrame:
+    def __init__(self, docs: DataFrame):
+        held = docs.select("doc_id", tokens(F.col("text")).alias("t"))
+        sums = held.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("average"))  # one row
+        counts = held.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf")).join(F.broadcast(sums))
+        part = F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("average")))
+        length = F.round(4 * F.log2("dl")).cast("long")
+        deal = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / (LENGTHS * BLOCK_DOCS)))
+        self.postings = cut(counts.select("term", "doc_id", "n", (length * (1 << 40) + deal).alias("block"), part.alias("part")), "postings")
+        self.blocks = cut(self.postings.groupBy("term", "block").agg(F.max("part").alias("top"), F.count("*").alias("df"), F.first("n").alias("n")), "blocks")
+        terms = self.blocks.groupBy("term").agg(F.sum("df").alias("df"), F.max("top").alias("top"), F.first("n").alias("n"))
+        self.terms = cut(terms.withColumn("raw", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))), "terms")
+
+    def weights(self, questions: DataFrame, okapi: bool) -> tuple[DataFrame, bool]:
+        """question_id, term, w (times the inverse document frequency), df, most (the term's greatest share of a score); and whether shares are never negative."""
+        asked = questions.select("question_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("times"))
+        floor = 0.25 * (self.terms.agg(F.avg("raw")).first()[0] or 0.0) if okapi else 0.0
+        idf = F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")) if okapi else F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        held = asked.join(self.terms, "term").withColumn("w", F.col("times") * idf)
+        return cut(held.select("question_id", "term", "w", "df", (F.col("w") * F.col("top")).alias("most")), "weights"), floor >= 0
+
+
+#: Documents of a block, and lengths among which documents are dealt; postings of the rarest terms from which a first bound comes, times k.
+BLOCK_DOCS, LENGTHS, LEAD = 64, 8, 16
+#: Sums of doubles in another order differ by less.
+SLACK = 1e-6
+
+
+def bm25_survivors(index: Postings, weights: DataFrame, k: int) -> DataFrame:
+    """question_id, doc_id, s (share of the score that is known), and ``rest`` (terms to be added): documents that can be among the k best.
+
+    A question's bound is the k-th best score by its rarest terms alone, which no final k-th score is below. Terms that
+    together cannot reach the bound need not be looked for: documents are found by the others. And a found document stays
+    only if its block's tops of the terms passed over could lift it to the bound.
+    """
+    own = Window.partitionBy("question_id")  # the terms of one question
+    lead = weights.withColumn("before", F.sum("df").over(own.orderBy("df", "term")) - F.col("df")).where(F.col("before") <= LEAD * k)
+    first = lead.select("question_id", "term", "w").join(index.postings, "term").groupBy("question_id", "doc_id").agg(F.sum(F.col("w") * F.col("part")).alias("s"))
+    best = first.withColumn("r", F.row_number().over(own.orderBy(F.desc("s")))).where(F.col("r") <= k)
+    bounds = best.groupBy("question_id").agg(F.when(F.count("*") == k, F.min("s")).otherwise(0.0).alias("bound"))
+    split = weights.join(bounds, "question_id").withColumn("upto", F.sum("most").over(own.orderBy("most", "term")))
+    split = cut(split.withColumn("passed", F.col("upto") < F.col("bound") - SLACK), "split")
+    found = split.where("NOT passed").select("question_id", "term", "w", "bound").join(index.postings, "term").groupBy("question_id", "doc_id", "block", "bound").agg(F.sum(F.col("w") * F.col("part")).alias("s"))
+    lift = split.where("passed").select("question_id", "term", "w").join(index.blocks, "term").groupBy("question_id", "block").agg(F.sum(F.col("w") * F.col("top")).alias("lift"))
+    stay = found.join(lift, ["question_id", "block"], "left").where(F.col("s") + F.coalesce("lift", F.lit(0.0)) >= F.col("bound") - SLACK)
+    rest = split.where("passed").groupBy("question_id").agg(F.collect_list(F.struct("term", "w")).alias("rest"))
+    return stay.select("question_id", "doc_id", "s").join(rest, "question_id", "left")
+
+
+def bm25(docs: DataFrame | Postings, questions: DataFrame, k: int = TOP_K, okapi: bool = True) -> DataFrame:
     """question_id, doc_id, score, rank of the best k by BM25 (docs: doc_id, text, or its index; questions: question_id, question).
 
     A query term counts as often as it occurs. okapi: negative logarithms are replaced by a quarter of the mean of all;
-    otherwise ln(1 + ratio). Only postings of query terms are read; a term that many documents hold is divided by the
-    engine where it is skewed.
+    otherwise ln(1 + ratio). Exact: documents are left out only where bounds show that they cannot be among the best, and
+    only where no share of a score can be negative. A term that many documents hold is divided by the engine where it is
+    skewed.
     """
-    tf, terms = docs if isinstance(docs, tuple) else bm25_index(docs)
-    asked = cut(questions.select("question_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("times")), "asked")
-    if okapi:
-        floor = 0.25 * (terms.agg(F.avg("raw")).first()[0] or 0.0)
-        idf = F.when(F.col("raw") < 0, floor).otherwise(F.col("raw"))
-    else:
-        idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("times") * idf * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("average")))
-    scores = asked.join(terms, "term").join(tf, "term").groupBy("question_id", "doc_id").agg(F.sum(weight).alias("score"))
-    return _best(scores, k)
+    index = docs if isinstance(docs, Postings) else Postings(docs)
+    weights, positive = index.weights(questions, okapi)
+    share = F.sum(F.col("w") * F.col("part"))
+    if not positive:
+        return _best(weights.join(index.postings, "term").groupBy("question_id", "doc_id").agg(share.alias("score")), k)
+    stay = cut(bm25_survivors(index, weights, k), "survivors")
+    wanted = stay.select("question_id", "doc_id", F.explode("rest").alias("x")).select("question_id", "doc_id", "x.*")
+    n = stay.agg(F.coalesce(F.sum(F.size(F.coalesce("rest", F.array()))), F.lit(0))).first()[0]
+    more = index.postings.select("term", "doc_id", "part").join(small(wanted, n), ["term", "doc_id"]).groupBy("question_id", "doc_id").agg(share.alias("more"))
+    scores = stay.select("question_id", "doc_id", "s").join(more, ["question_id", "doc_id"], "left")
+    return _best(scores.select("question_id", "doc_id", (F.col("s") + F.coalesce("more", F.lit(0.0))).alias("score")), k)
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, block: int = 2048, part: int = 65_536) -> DataFrame:
