@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -20,18 +23,44 @@ def question_ngrams(questions: DataFrame, stopwords: list[str] | None = None) ->
     return questions.select("question_id", F.posexplode(grams).alias("pos", "term"))
 
 
-def link_substring(questions: DataFrame, index: DataFrame, least: int = 3) -> DataFrame:
-    """Entities whose label stands in the question, found through the label's first token instead of a nested loop."""
-    labels = index.where(F.length("label") >= least).select("id", "label", F.element_at(F.split(F.lower("label"), r"[^\p{L}\p{N}]+"), 1).alias("head"))
-    low = F.lower("question")
-    # a label can begin within a word of the question, so each suffix of a token may be its first token
-    parts = questions.select("question_id", low.alias("q"), F.explode(F.array_distinct(F.flatten(F.transform(F.split(low, r"[^\p{L}\p{N}]+"), lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), lambda i: F.substring(t, i, F.length(t))))))).alias("head"))
-    whole = parts.join(labels.where("head <> ''"), "head").where(F.contains("q", F.lower("label"))).select("question_id", "id", "label")
-    # single-token labels can also end within a word: their prefixes are met by the same suffixes cut to the label's length
-    sizes = labels.select(F.length("head").alias("n")).distinct()
-    cuts = parts.join(F.broadcast(sizes), F.length("head") > F.col("n")).select("question_id", "q", F.expr("substring(head, 1, n)").alias("head"))
-    more = cuts.distinct().join(labels.where("head <> ''"), "head").where(F.contains("q", F.lower("label"))).select("question_id", "id", "label")
-    return whole.union(more).distinct()
+#: Characters of the labels of one automaton, and of the questions that are run through it at once.
+SHARD_CHARS, BLOCK_CHARS = 1_000_000, 16_000_000
+
+
+def link_substring(questions: DataFrame, index: DataFrame, least: int = 3, most: int | None = None) -> DataFrame:
+    """question_id, id, label of all entries whose label (of ``least`` characters or more, case ignored) stands anywhere in
+    the question; with ``most`` the first so many of a question, by ``ord`` of the index.
+
+    Labels are dealt into shards and questions into blocks of bounded size; where a shard meets a block all its labels
+    are found in one reading of each question by an Aho-Corasick automaton. Null questions and labels link nothing.
+    """
+    named = index.where(F.length("label") >= least)
+    named = cut(named.select("id", "label", F.lower("label").alias("low"), (F.col("ord") if "ord" in index.columns else F.col("id")).alias("ord")), "labels")
+    labels, texts = named.select("low").distinct(), questions.select("question_id", F.lower("question").alias("q")).where(F.length("q") >= least)
+
+    def groups(df: DataFrame, text: str, size: int) -> int:
+        return max(1, math.ceil((df.agg(F.sum(F.length(text))).first()[0] or 0) / size))
+
+    shards, blocks = groups(labels, "low", SHARD_CHARS), groups(texts, "q", BLOCK_CHARS)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = labels.select("low", F.pmod(F.xxhash64("low"), F.lit(shards)).cast("int").alias("shard"), every(blocks).alias("block"))
+    right = texts.select("question_id", "q", every(shards).alias("shard"), F.pmod(F.xxhash64("question_id"), F.lit(blocks)).cast("int").alias("block"))
+
+    def read(names: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        hits: list[tuple] = []
+        if len(names) and len(asked):
+            automaton = ahocorasick.Automaton()
+            for name in names["low"]:
+                automaton.add_word(name, name)
+            automaton.make_automaton()
+            hits = [(i, name) for i, q in zip(asked["question_id"], asked["q"], strict=True) for name in {n for _, n in automaton.iter(q)}]
+        return pd.DataFrame(hits, columns=["question_id", "low"])
+
+    kind = questions.schema["question_id"].dataType.simpleString()
+    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(read, f"question_id {kind}, low string").join(named, "low")
+    if most is not None:
+        found = found.withColumn("r", F.row_number().over(Window.partitionBy("question_id").orderBy("ord", "id"))).where(F.col("r") <= most)
+    return found.select("question_id", "id", "label").distinct()
 
 
 def choices(index: DataFrame) -> DataFrame:

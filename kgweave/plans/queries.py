@@ -244,9 +244,13 @@ def link_ngrams(s: SparkSession, d: str) -> DataFrame:
 INDEX = "SELECT DISTINCT lower(split_part(text, ' ', 2)) AS id, lower(split_part(text, ' ', 2)) AS label FROM {documents} WHERE split_part(text, ' ', 2) <> ''"
 
 
-@query("link_substring", f"WITH i AS ({plain(INDEX)}) SELECT item_id AS question_id, id, label FROM benchmark JOIN i ON length(label) >= 3 AND regexp_matches(label, '^[\\p{{L}}\\p{{N}}]') AND contains(lower(text), label)")
+#: Second words, and pieces of texts that can begin with a blank or a mark.
+LABELS = INDEX + " UNION SELECT DISTINCT 'piece ' || lower(substr(text, 6, 5)) AS id, lower(substr(text, 6, 5)) AS label FROM {documents}"
+
+
+@query("link_substring", f"WITH i AS ({plain(LABELS)}) SELECT item_id AS question_id, id, label FROM benchmark JOIN i ON length(label) >= 3 AND contains(lower(text), lower(label))")
 def link_substring(s: SparkSession, d: str) -> DataFrame:
-    return R.link_substring(bound(s, d, QUESTIONS), bound(s, d, INDEX))
+    return R.link_substring(bound(s, d, QUESTIONS), bound(s, d, LABELS))
 
 
 BM25_CTE = r"""qt AS (SELECT question_id, term, count(*) AS times FROM (SELECT item_id AS question_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM benchmark) GROUP BY ALL),
