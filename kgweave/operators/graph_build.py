@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kgweave.constants import DRUG_CLASSES, HIGH_EVIDENCE, MOST_PMIDS, SEED_CLASSES, SEED_TYPES
 from kgweave.functions.columns import edge_type, fold_distinct, is_critical, level_rank, row_key, slug, split_cell
-from kgweave.sources.shared import cut
+from kgweave.sources.shared import cut, small
 
 
 def node_id(kind: str, label: Column) -> Column:
@@ -105,6 +105,25 @@ def search_index(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", "label", "type", "alt").orderBy("type", F.lower("label"), "id")
 
 
+def numbered(rows: DataFrame, order: list[Column | str], name: str = "place", parts: int | None = None) -> DataFrame:
+    """``rows`` with their place from 1 in an order over all of them.
+
+    Ranges of the order are sorted and written with each row's place in its range; the sizes of the ranges, one number
+    each, are added up. No task has more than a range, and equal rows are numbered in any order.
+    """
+    spark = rows.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    held = cut(ranged.withColumn("_at", F.monotonically_increasing_id()), "ranges")  # the range in the upper bits, the place in it in the lower 33
+    part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    before, offsets = 0, []
+    for r in held.groupBy(part.alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect():  # a row a range
+        offsets.append((r["p"], before))
+        before += r["n"]
+    table = spark.createDataFrame(offsets, "_p long, _before long")
+    return held.join(small(table, len(offsets)), part == F.col("_p")).withColumn(name, F.col("_before") + inside + 1).drop("_at", "_p", "_before")
+
+
 def alias_dimension(drugs: DataFrame) -> DataFrame:
     """name, target: primary names win over aliases; of primary rows the last, of aliases the first (drugs: name, aliases, target, ord)."""
     primary = drugs.select(F.lower(F.trim("name")).alias("name"), F.col("target"), F.lit(0).alias("kind"), (-F.col("ord")).alias("o"))
@@ -115,7 +134,7 @@ def alias_dimension(drugs: DataFrame) -> DataFrame:
 def holdout(facts: DataFrame, key_columns: list[str], share: float = 0.30, seed: int = 42) -> DataFrame:
     """row_key of the held-out high-evidence rows: round-half-even(share * n) of them in an order seeded by md5."""
     keyed = facts.where(F.col("level").isin(*HIGH_EVIDENCE)).select(row_key(*[F.col(c).cast("string") for c in key_columns]).alias("row_key")).distinct()
-    hashed = keyed.withColumn("h", F.md5(F.concat(F.lit(str(seed)), F.lit("|"), "row_key")))
+    hashed = cut(keyed.withColumn("h", F.md5(F.concat(F.lit(str(seed)), F.lit("|"), "row_key"))), "hashed")  # read three times
     # the k smallest hashes without a global sort: whole ranges of the first four digits, then part of one range
     bins = hashed.groupBy(F.substring("h", 1, 4).alias("bin")).agg(F.count("*").alias("n")).orderBy("bin").collect()  # 65,536 rows at most
     left = round(sum(r["n"] for r in bins) * share)

@@ -2,29 +2,64 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgweave.constants import CRITICAL_LEVELS, MOST_HOPS, SEED_HOPS, SEED_NODES
-from kgweave.sources.shared import cut
+from kgweave.sources.shared import cut, small
+
+
+#: Neighbours of one node in one block of an adjacency table.
+BLOCK_EDGES = 50_000
+
 
-def symmetric(edges: DataFrame) -> DataFrame:
-    """src, dst of every edge in both directions, written once: each hop joins with it again."""
-    both = edges.select(F.col("source").alias("src"), F.col("target").alias("dst")).where("src <> dst")
-    return cut(both.union(both.select("dst", "src")).distinct(), "symmetric")
+class Adjacency:
+    """Every edge in both directions (src, dst, block), written once: each hop joins with it again.
 
+    The neighbours of a hub are dealt into blocks of about BLOCK_EDGES, and ``heavy`` (src, blocks) says how many; what
+    stands on a hub meets its blocks one by one, so no task has all edges of one node.
+    """
 
-def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = 1, sym: DataFrame | None = None) -> DataFrame:
+    def __init__(self, edges: DataFrame, size: int = BLOCK_EDGES):
+        both = edges.select(F.col("source").alias("src"), F.col("target").alias("dst")).where("src <> dst")
+        pairs = cut(both.union(both.select("dst", "src")).distinct(), "pairs")
+        self.degrees = cut(pairs.groupBy("src").agg(F.count("*").alias("degree")), "degrees")
+        heavy = self.degrees.where(F.col("degree") > size)
+        self.heavy = cut(heavy.select("src", F.ceil(F.col("degree") / size).cast("int").alias("blocks")), "heavy")
+        self._hubs = self.heavy.count()
+        block = F.pmod(F.xxhash64("dst"), F.coalesce("blocks", F.lit(1)).cast("long")).cast("int")
+        self.edges = cut(pairs.join(self._hubs_table(), "src", "left").select("src", "dst", block.alias("block")), "adjacency") if self._hubs else pairs.withColumn("block", F.lit(0))
+
+    def _hubs_table(self) -> DataFrame:
+        return small(self.heavy, self._hubs)
+
+    def step(self, front: DataFrame, node: str = "node") -> DataFrame:
+        """``front`` with dst, a row for each neighbour of ``node``."""
+        at = front.withColumn("block", F.lit(0))
+        if self._hubs:
+            blocks = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
+            at = front.join(self._hubs_table().withColumnRenamed("src", node), node, "left").select(*front.columns, blocks.alias("block"))
+        return at.join(self.edges.withColumnRenamed("src", node), [node, "block"]).drop("block")
+
+    def load(self, front: DataFrame, node: str = "node") -> int:
+        """Rows that a step from ``front`` makes."""
+        return front.join(self.degrees.withColumnRenamed("src", node), node).agg(F.coalesce(F.sum("degree"), F.lit(0))).first()[0]
+
+
+def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = 1, adjacency: Adjacency | None = None) -> DataFrame:
     """question_id, node, hop: nodes within ``hops`` (0 to 4) undirected steps of a question's seeds (question_id, node).
 
-    sym: of ``symmetric``, where it is at hand.
+    adjacency: of ``edges``, where it is at hand.
     """
     hops = max(0, min(hops, MOST_HOPS))
-    sym = symmetric(edges) if sym is None else sym
     seen = seeds.select("question_id", "node").distinct().withColumn("hop", F.lit(0))
     front = seen
+    if hops and adjacency is None:
+        adjacency = Adjacency(edges)
     for h in range(1, hops + 1):
-        step = front.join(sym, front.node == sym.src).select("question_id", F.col("dst").alias("node")).distinct()
+        step = adjacency.step(front.select("question_id", "node")).select("question_id", F.col("dst").alias("node")).distinct()
         front = cut(step.join(seen, ["question_id", "node"], "left_anti").withColumn("hop", F.lit(h)), "front")
         seen = seen.unionByName(front)
     return seen
@@ -115,22 +150,51 @@ def hidden(edges: DataFrame, types: list[str] | None = None, levels: list[str] |
     return degrees(edges).select("node").join(visible, "node", "left_anti")
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int = MOST_HOPS, sym: DataFrame | None = None) -> DataFrame:
+def search_paths(edges: DataFrame, pairs: DataFrame, most: int = MOST_HOPS, adjacency: Adjacency | None = None) -> tuple[DataFrame, list[tuple[str, int, int]]]:
+    """The paths of ``shortest_paths``, and of each step taken its side, its depth and the rows of its frontier.
+
+    Paths grow from both ends of the pairs that are left, a level at a time and always on the side whose frontier has
+    fewer edges, and meet in the middle: after f steps from one end and b from the other, a node that both reach at
+    their last level is on a path of f + b hops, and no shorter one was found before. Each frontier keeps the smallest
+    path to each (root, node); the smallest whole path through a node is made of the smallest two parts.
+    """
+    adjacency = adjacency or Adjacency(edges)
+    left = cut(pairs.where("from_id <> to_id").select("from_id", "to_id").distinct(), "pairs")
+    ends = {"from": "from_id", "to": "to_id"}
+    seen, fronts, depth = {}, {}, {"from": 0, "to": 0}
+    for side, end in ends.items():
+        seen[side] = fronts[side] = left.select(F.col(end).alias("root")).distinct().select("root", F.col("root").alias("node"), F.col("root").alias("path"))
+    found, report = [], []
+    for hops in range(1, most + 1):
+        wanted = {side: fronts[side].join(left.select(F.col(end).alias("root")).distinct(), "root", "left_semi") for side, end in ends.items()}
+        side = "from" if hops == 1 else min(ends, key=lambda s: adjacency.load(wanted[s]))
+        grown = F.concat("path", F.lit(">"), "dst") if side == "from" else F.concat("dst", F.lit(">"), "path")
+        step = adjacency.step(wanted[side]).select("root", F.col("dst").alias("node"), grown.alias("path"))
+        front = step.join(seen[side].select("root", "node"), ["root", "node"], "left_anti").groupBy("root", "node").agg(F.min("path").alias("path"))
+        fronts[side] = cut(front, "front")
+        seen[side] = seen[side].unionByName(fronts[side])
+        depth[side] += 1
+        report.append((side, depth[side], fronts[side].count()))
+        begin = fronts["from"].select(F.col("root").alias("from_id"), "node", F.col("path").alias("head"))
+        end_ = fronts["to"].select(F.col("root").alias("to_id"), "node", F.col("path").alias("tail"))
+        # the node in the middle ends one part and begins the other
+        whole = F.concat("head", F.substring("tail", F.length("node") + 1, F.length("tail")))
+        met = left.join(begin, "from_id").join(end_, ["to_id", "node"]).groupBy("from_id", "to_id").agg(F.min(whole).alias("path"))
+        met = cut(met.select("from_id", "to_id", F.lit(hops).alias("hops"), "path"), "met")
+        found.append(met)
+        if hops < most:
+            left = cut(left.join(met, ["from_id", "to_id"], "left_anti"), "left")
+            if left.isEmpty():
+                break
+    return functools.reduce(DataFrame.union, found), report
+
+
+def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int = MOST_HOPS, adjacency: Adjacency | None = None) -> DataFrame:
     """from_id, to_id, hops, path (ids joined by ``>``): fewest undirected hops, of these the smallest path by characters.
 
-    Each frontier keeps one path for each (root, node) before it grows, so the work per level is bounded by nodes, not paths.
     Pairs of one node with itself, or farther apart than ``most``, have no row.
     """
-    sym = symmetric(edges) if sym is None else sym
-    roots = pairs.where("from_id <> to_id").select(F.col("from_id").alias("root")).distinct()
-    front = roots.select("root", F.col("root").alias("node"), F.col("root").alias("path")).withColumn("hops", F.lit(0))
-    seen = front
-    for h in range(1, most + 1):
-        step = front.join(sym, front.node == sym.src).select("root", F.col("dst").alias("node"), F.concat("path", F.lit(">"), "dst").alias("path"))
-        best = step.join(seen.select("root", "node"), ["root", "node"], "left_anti").groupBy("root", "node").agg(F.min("path").alias("path")).withColumn("hops", F.lit(h))
-        front = cut(best, "front")
-        seen = seen.unionByName(front)
-    return pairs.where("from_id <> to_id").distinct().join(seen, (F.col("from_id") == F.col("root")) & (F.col("to_id") == F.col("node"))).select("from_id", "to_id", F.col("hops").cast("int").alias("hops"), "path")
+    return search_paths(edges, pairs, most, adjacency)[0]
 
 
 def critical_paths(paths: DataFrame, edges: DataFrame) -> DataFrame:

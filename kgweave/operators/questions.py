@@ -34,16 +34,13 @@ def names(name: str) -> Column:
     return split_cell(F.trim(cell(name), F.lit('"')), "[,;]")
 
 
-def first_class(chemicals: Column, classes: Column) -> Column:
-    """The class of the first chemical that has one; classes: a map from lower-case names (a curated, bounded list)."""
-    found = F.filter(F.transform(chemicals, lambda d: F.try_element_at(classes, F.lower(d))), lambda c: c.isNotNull())
-    return F.try_element_at(found, F.lit(1))
-
-
-def class_map(classes: DataFrame) -> DataFrame:
-    """One row: the curated classes (class, member) as a map; of members in two classes the greater class."""
-    each = classes.groupBy(F.lower("member").alias("m")).agg(F.max("class").alias("c"))
-    return each.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("m", "c")))).alias("classes"))
+def first_class(rows: DataFrame, classes: DataFrame, chemicals: str = "_drugs") -> DataFrame:
+    """``rows`` with _class: the class of the first of their chemicals that has one, case ignored (of several the greater);
+    rows without one are dropped. Each list of chemicals is looked up once, by a join. classes: class, member."""
+    of = classes.groupBy(F.lower("member").alias("_m")).agg(F.max("class").alias("_c"))
+    each = rows.select(chemicals).distinct().select(chemicals, F.posexplode(chemicals).alias("_p", "_d"))
+    found = each.join(of, F.lower("_d") == F.col("_m")).groupBy(chemicals).agg(F.min_by("_c", "_p").alias("_class"))
+    return rows.join(found, chemicals)
 
 
 def shuffled(rows: DataFrame, stratum: str, key: Column, seed: int = SEED) -> DataFrame:
@@ -86,8 +83,7 @@ def evidence_level(facts: DataFrame, n: int = STRATA["S2"]) -> DataFrame:
 
 def multihop(facts: DataFrame, classes: DataFrame, n: int = STRATA["S3"]) -> DataFrame:
     """S3: from a variant through gene and drug to the drug's class."""
-    rows = _prepared(facts, "S3").join(F.broadcast(class_map(classes)))  # one row of the curated list
-    rows = rows.withColumn("_class", first_class(F.col("_drugs"), F.col("classes"))).where("_variant <> '' AND _gene <> '' AND _class IS NOT NULL")
+    rows = first_class(_prepared(facts, "S3").where("_variant <> '' AND _gene <> ''"), classes)
     act = F.when(F.contains("_type", F.lit("Toxicity")), "should be avoided").otherwise("may require dose adjustment")
     ask = F.concat(F.lit("A patient is found to carry the "), "_variant", F.lit(" variant in "), "_gene", F.lit(". Which class of medications "), act, F.lit(", and why?"))
     gold = {"entities": F.concat(F.array("_variant", "_gene", "_class"), F.slice("_drugs", 1, 3)), "drug_class": F.col("_class"), "answer_summary": F.concat("_class", F.lit(" "), act, F.lit(" because of the "), "_gene", F.lit(" variant."))}

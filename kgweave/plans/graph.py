@@ -86,6 +86,17 @@ UNION ALL SELECT cid, gene || ' variants (' || n || ')', 'variant_cluster', NULL
 GRAPH_CTE = f"{DIMS_CTE}, {OCC_CTE}, {EDGE_CTE}, {NODE_CTE}"
 
 
+_ADJACENT: dict[tuple[str, str, str], G.Adjacency] = {}
+
+
+def adjacency(s: SparkSession, d: str) -> G.Adjacency:
+    """The graph's adjacency, built once like the graph."""
+    key = built_from(s, d)
+    if key not in _ADJACENT:
+        _ADJACENT[key] = G.Adjacency(graph(s, d)[1])
+    return _ADJACENT[key]
+
+
 def flat_members(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("members", F.array_join(F.transform("members", lambda m: F.concat_ws(":", m["rsid"], m["level"], m["role"], m["chemical"])), "|"))
 
@@ -145,15 +156,8 @@ def kg_seed_edges(s: SparkSession, d: str) -> DataFrame:
 
 @query("kg_index", f"WITH {GRAPH_CTE} SELECT id, label, type, coalesce(fullName, '') AS alt, CAST(row_number() OVER (ORDER BY type, lower(label), id) AS BIGINT) AS place FROM n")
 def kg_index(s: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    # numbered within types, of which there are five, so that no task sorts all nodes
-    nodes = graph(s, d)[0]
-    index = B.search_index(nodes.select("id", "label", "type", F.coalesce("fullName", F.lit("")).alias("alt")))
-    bins = index.withColumn("bin", F.substring(F.lower("label"), 1, 2))
-    sizes = bins.groupBy("type", "bin").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("type", "bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("type", "bin").orderBy(F.lower("label"), "id"))
-    return bins.join(sizes, ["type", "bin"]).select("id", "label", "type", "alt", (F.col("before") + place).alias("place"))
+    nodes = graph(s, d)[0].select("id", "label", "type", F.coalesce("fullName", F.lit("")).alias("alt"))
+    return B.numbered(nodes, ["type", F.lower("label"), "id"])
 
 
 FILTER_CTE = f"""{GRAPH_CTE}, fn AS MATERIALIZED (SELECT * FROM n WHERE type IN ('gene', 'drug', 'phenotype')), fe0 AS MATERIALIZED (SELECT * FROM e WHERE type IN ('linked_to_risk', 'can_trigger', 'affects_response_to') AND (level IS NULL OR level = '' OR level IN ('1A', '2A'))),
@@ -219,7 +223,7 @@ FROM asked JOIN p1 USING (question_id) JOIN p2 USING (question_id) LEFT JOIN pp
 
 @query("ctx_node_packet", NODE_PACKET)
 def ctx_node_packet(s: SparkSession, d: str) -> DataFrame:
-    return X.node_context(*graph(s, d), focus(s), 2).select("question_id", "n_lines", "n_second", F.size("pmids").cast("long").alias("n_pmids"), "text")
+    return X.node_context(*graph(s, d), focus(s), 2, adjacency=adjacency(s, d)).select("question_id", "n_lines", "n_second", F.size("pmids").cast("long").alias("n_pmids"), "text")
 
 
 EDGE_PACKET = f"""WITH {GRAPH_CTE}, {ENDS_CTE}, f AS (SELECT min(id) AS id FROM e GROUP BY type), asked AS (SELECT en.* FROM en JOIN f USING (id)),

@@ -9,7 +9,7 @@ from kgweave.operators import context as X
 from kgweave.operators import graph_build as B
 from kgweave.operators import retrieval as R
 from kgweave.plans.bindings import RAW_FACTS, RAW_RELATIONS, bound, plain
-from kgweave.plans.graph import FLAT, GRAPH_CTE, RANK, SEED_CTE, TYPE_LINES, VERB, built_from, graph, kg_index, seed
+from kgweave.plans.graph import FLAT, GRAPH_CTE, RANK, SEED_CTE, TYPE_LINES, VERB, adjacency, built_from, graph, kg_index, seed
 from kgweave.plans.queries import QUESTIONS, dense
 from kgweave.plans.registry import ORACLES, query
 from kgweave.sources.shared import cut
@@ -147,7 +147,7 @@ def retrieved(s: SparkSession, d: str) -> DataFrame:
     key = built_from(s, d)
     if key not in _RETRIEVED:
         nodes, edges = graph(s, d)
-        _RETRIEVED[key] = cut(X.retrieve(asked(s, d), kg_index(s, d).withColumnRenamed("place", "ord"), nodes, edges), "retrieved")
+        _RETRIEVED[key] = cut(X.retrieve(asked(s, d), kg_index(s, d).withColumnRenamed("place", "ord"), nodes, edges, adjacency=adjacency(s, d)), "retrieved")
     return _RETRIEVED[key]
 
 

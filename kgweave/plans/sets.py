@@ -9,9 +9,11 @@ from kgweave.operators import graph_build as B
 from kgweave.operators import questions as Q
 from kgweave.operators.evaluation import first_of_each, select_run
 from kgweave.plans.bindings import CLASSES, RAW_FACTS, RAW_RELATIONS, bound, plain
+from kgweave.plans.graph import built_from
 from kgweave.plans.registry import query
 from kgweave.plans.retrieval import HELD_KEYS
 from kgweave.sources.files import corpus_pmids as distinct_pmids
+from kgweave.sources.shared import cut
 
 KEY = " || '|' || ".join(f"trim({c})" for c in HELD_KEYS)
 NAMES = "list_filter(list_transform(regexp_split_to_array(trim({0}, chr(34)), '[,;]'), lambda x: trim(x)), lambda x: x <> '')"
@@ -28,11 +30,18 @@ def facts(s: SparkSession, d: str) -> DataFrame:
     return bound(s, d, RAW_FACTS)
 
 
+_HELD: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def held(s: SparkSession, d: str) -> DataFrame:
+    """The held-out facts, which every stratum draws from, written once in a session for the tables as they are."""
     from kgweave.functions.columns import row_key
 
-    f = facts(s, d)
-    return f.withColumn("_rk", row_key(*[F.col(c) for c in HELD_KEYS])).join(B.holdout(f, HELD_KEYS).withColumnRenamed("row_key", "_rk"), "_rk", "left_semi").drop("_rk")
+    key = built_from(s, d)
+    if key not in _HELD:
+        f = facts(s, d)
+        _HELD[key] = cut(f.withColumn("_rk", row_key(*[F.col(c) for c in HELD_KEYS])).join(B.holdout(f, HELD_KEYS).withColumnRenamed("row_key", "_rk"), "_rk", "left_semi").drop("_rk"), "held")
+    return _HELD[key]
 
 
 def relations(s: SparkSession, d: str) -> DataFrame:
