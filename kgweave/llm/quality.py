@@ -23,11 +23,11 @@ from kgweave.llm.base import cut, drop_cut, lean, new_folder, others, quoted, re
 
 #: Bytes of an n-gram: longer than most syllables, so that counts go on growing with the text.
 ORDER = 6
-#: n-grams of one model shard.
-SHARD_ROWS = 6_000_000
+#: Rows of one model shard, of which a worker holds one. n-grams of up to WIDE bytes are in every shard: some 100,000.
+SHARD_ROWS, WIDE = 1_500_000, 3
 #: Positions of one numpy pass.
 SEGMENT = 1 << 20
-#: Bytes of text scored against one shard before the next is loaded, where there are several.
+#: Bytes of text of one task scored against one shard before the next is loaded.
 CHUNK = 32 << 20
 #: A document's cross entropy is shrunk towards its language's median as if it had so many more bytes.
 PRIOR = 200
@@ -35,6 +35,8 @@ PRIOR = 200
 KEPT, FOLDS = 0.98, 2
 #: Steps of one nat a byte in which medians and limits are taken.
 BINS = 10_000
+#: Beyond the greatest order.
+ORDERS = 8
 OWN = ("_q_bytes", "_q_loss", "_q_mid", "_q_limit", "_q_keep")
 NO_LANGUAGE = "und"
 
@@ -137,16 +139,17 @@ def train(trusted: DataFrame, text: str = "text", order: int = ORDER) -> DataFra
 
 
 def shard_of(context: Column | np.ndarray, shards: int) -> Column | np.ndarray:
-    """By the two bytes before the last: all n-grams of one position of order 3 and more share them."""
+    """By the WIDE bytes before the last: all longer n-grams of one position share them."""
+    mask = (1 << 8 * WIDE) - 1
     if isinstance(context, Column):
-        return F.pmod(context.bitwiseAND(F.lit(0xFFFF)) * F.lit(40503), F.lit(65537)) % F.lit(shards)
-    return (context & 0xFFFF) * 40503 % 65537 % shards
+        return F.pmod(context.bitwiseAND(F.lit(mask)) * F.lit(40503), F.lit(16777259)) % F.lit(shards)
+    return (context & mask) * 40503 % 16777259 % shards
 
 
 def save(model: DataFrame, shards: int | None = None) -> tuple[str, tuple[str, ...]]:
     """Write the model as one Arrow file a shard in the shared folder: the folder, and the file of each shard ('' for none).
 
-    Orders 1 and 2 are in every shard (65,792 n-grams at most). A file is named by the attempt that wrote it and never
+    Orders up to WIDE are in every shard. A file is named by the attempt that wrote it and never
     replaced; those of lost attempts are not among the names returned.
     """
     spark = model.sparkSession
@@ -155,19 +158,20 @@ def save(model: DataFrame, shards: int | None = None) -> tuple[str, tuple[str, .
     uri = new_folder(spark, "shards")
     context = F.when(F.col("logb").isNotNull(), F.col("key")).otherwise(F.shiftright("key", 8))
     every = F.sequence(F.lit(0), F.lit(shards - 1))
-    dealt = model.withColumn("shard", F.explode(F.when(F.col("ord") <= 2, every).otherwise(F.array(shard_of(context, shards).cast("int")))))
-    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "ord", "key")
+    dealt = model.withColumn("shard", F.explode(F.when(F.col("ord") <= WIDE, every).otherwise(F.array(shard_of(context, shards).cast("int")))))
+    kind = F.col("logb").isNotNull()
+    dealt = dealt.repartitionById(shards, "shard").sortWithinPartitions("ord", kind, "key")  # one shard a partition
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(uri)
-        t = pa.Table.from_batches(list(batches))  # a partition holds a few shards of bounded size
-        named: list[tuple[int, str]] = []
-        for s in np.unique(t.column("shard").to_numpy()).tolist():
-            name = f"shard-{s}-{TaskContext.get().taskAttemptId()}"
-            with fs.open_output_stream(f"{root}/{name}") as out, pa.ipc.new_file(out, t.schema) as writer:
-                writer.write_table(t.filter(pa.compute.equal(t.column("shard"), s)))
-            named.append((s, name))
-        yield pa.RecordBatch.from_arrays([pa.array([n[0] for n in named], pa.int32()), pa.array([n[1] for n in named], pa.string())], ["shard", "file"])
+        t = pa.Table.from_batches(list(batches))
+        shard = t.column("shard")[0].as_py()
+        name = f"shard-{shard}-{TaskContext.get().taskAttemptId()}"
+        value = pa.compute.coalesce(t.column("logp"), t.column("logb"))
+        kept = pa.table({"ord": t.column("ord").cast(pa.int8()), "back": t.column("logb").is_valid(), "key": t.column("key"), "value": value})
+        with fs.open_output_stream(f"{root}/{name}") as out, pa.ipc.new_file(out, kept.schema) as writer:
+            writer.write_table(kept)
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([name], pa.string())], ["shard", "file"])
 
     files = {r.shard: r.file for r in dealt.mapInArrow(guarded(run), "shard int, file string").collect()}  # a name a shard
     drop_cut(model)
@@ -202,15 +206,11 @@ def load(uri: str, file: str) -> dict[tuple[int, str], tuple[np.ndarray, np.ndar
     fs, root = pafs.FileSystem.from_uri(uri)
     with fs.open_input_file(f"{root}/{file}") as f:
         t = pa.ipc.open_file(f).read_all()
-    order, key = t.column("ord").to_numpy(), t.column("key").to_numpy()
-    out = {}
-    for what in ("logp", "logb"):
-        value = t.column(what).to_numpy()
-        for o in np.unique(order):
-            own = (order == o) & ~np.isnan(value)
-            by = np.argsort(key[own], kind="stable")
-            out[int(o), what] = key[own][by], value[own][by]
-    return out
+    order, back, key, value = (t.column(c).to_numpy() for c in ("ord", "back", "key", "value"))
+    # rows are in order of these, so each table is a slice
+    tables = 2 * order.astype(np.int16) + back
+    first = np.searchsorted(tables, np.arange(2 * ORDERS + 2))
+    return {(o, what): (key[a:b], value[a:b]) for o in range(1, ORDERS) for i, what in enumerate(("logp", "logb")) for a, b in [first[2 * o + i : 2 * o + i + 2]] if b > a}
 
 
 def find(part: dict, o: int, what: str, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -242,14 +242,15 @@ def log_probability(part: dict, k: np.ndarray, order: int) -> np.ndarray:
 def scored(df: DataFrame, uri: str, files: tuple[str, ...], text: str = "text", order: int = ORDER) -> DataFrame:
     """``df`` with _q_bytes and _q_loss (nats over all bytes of the text). All columns and rows pass through.
 
-    An n-gram and all that it backs off to are in one shard, so each position is looked up in one. A task reads the
-    shards one after another and holds one of them; a join of positions with counts would move many times the text.
+    An n-gram and all that it backs off to are in one shard, so each position is looked up in one. A task holds CHUNK
+    bytes of its text and one shard at a time, and reads every shard once for each CHUNK; a join of positions with
+    counts would move many times the text.
     """
     shards = len(files)
     schema = T.StructType([*df.schema.fields, T.StructField("_q_bytes", T.LongType()), T.StructField("_q_loss", T.DoubleType())])
     column = df.columns.index(text)
 
-    def losses(texts: pa.Array) -> np.ndarray:
+    def losses(texts: pa.Array | pa.ChunkedArray) -> np.ndarray:
         x, ends = padded(texts, order)
         lengths = np.diff(np.concatenate(([0], ends))) - (order - 1)
         total = np.zeros(len(ends))
@@ -272,14 +273,31 @@ def scored(df: DataFrame, uri: str, files: tuple[str, ...], text: str = "text",
                     total[first : last + 1] += np.bincount(doc - first, loss, last - first + 1)
         return total
 
+    def scored_(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches with their losses: each shard is loaded once for all of them."""
+        found = losses(pa.chunked_array([b.column(column) for b in held]).combine_chunks())
+        for b in held:
+            n = pa.compute.binary_length(b.column(column)).fill_null(0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns, n, pa.array(found[: b.num_rows])], [f.name for f in schema.fields])
+            found = found[b.num_rows :]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
+            held, size = [], 0
             for b in batches:
-                texts = b.column(column)
-                n = np.array([len(t.as_buffer()) if t.is_valid else 0 for t in texts], np.int64)
-                group = np.cumsum(n) // CHUNK
-                loss = np.concatenate([losses(texts.slice(int(i[0]), len(i))) for i in np.split(np.arange(len(n)), np.flatnonzero(np.diff(group)) + 1)]) if len(n) else np.zeros(0)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n), pa.array(loss)], [f.name for f in schema.fields])
+                n = pa.compute.binary_length(b.column(column)).fill_null(0).to_numpy().astype(np.int64)
+                group = (size + np.cumsum(n)) // CHUNK
+                for rows in np.split(np.arange(b.num_rows), np.flatnonzero(np.diff(group)) + 1):
+                    if not len(rows):
+                        continue
+                    part = int(n[rows].sum())
+                    if held and size + part > CHUNK:
+                        yield from scored_(held)
+                        held, size = [], 0
+                    held.append(b.slice(int(rows[0]), len(rows)))
+                    size += part
+            if held:
+                yield from scored_(held)
         finally:
             load.cache_clear()  # the worker outlives the task
 
