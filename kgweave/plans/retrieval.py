@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgweave.operators import context as X
+from kgweave.operators import follow_up as FU
 from kgweave.operators import graph_build as B
 from kgweave.operators import retrieval as R
 from kgweave.plans.bindings import RAW_FACTS, RAW_RELATIONS, bound, plain
@@ -30,8 +31,8 @@ LINK_INDEX = """SELECT 'd' || CAST(min(doc_id) AS VARCHAR(20)) AS id, lower(spli
 FROM {documents} WHERE split_part(text, ' ', 2) <> '' GROUP BY lower(split_part(text, ' ', 2))"""
 
 
-def terms_sql(questions: str) -> str:
-    return f"""tok AS (SELECT question_id, list_filter(regexp_split_to_array(regexp_replace(lower(question), '[^\\p{{L}}\\p{{N}}_\\s-]', ' ', 'g'), '\\s+'), lambda w: length(w) >= 3 AND w NOT IN ('{STOP}')) AS w FROM ({questions})),
+def terms_sql(questions: str, stop: str = STOP) -> str:
+    return f"""tok AS (SELECT question_id, list_filter(regexp_split_to_array(regexp_replace(lower(question), '[^\\p{{L}}\\p{{N}}_\\s-]', ' ', 'g'), '\\s+'), lambda w: length(w) >= 3 AND w NOT IN ('{stop}')) AS w FROM ({questions})),
 gram AS (SELECT question_id, array_to_string(w[i:i + n - 1], ' ') AS term, min((3 - n) * 1000000 + i) AS pos FROM tok, unnest([3, 2, 1]) AS a(n), unnest(range(1, len(w) - n + 2)) AS b(i) GROUP BY ALL),
 term AS (SELECT * FROM gram WHERE contains(term, ' ') OR length(term) >= 4 OR regexp_matches(term, '[0-9]'))"""
 
@@ -51,8 +52,8 @@ def similar_sql(left: str, right: str, worst: float) -> str:
 pair AS (SELECT * FROM (SELECT a, b, 1 - 2.0 * list_max(list_reduce(list_prepend(list_transform(cb, lambda c: CAST(0 AS BIGINT)), ca), lambda acc, x: {row})) / {size} AS d FROM near_) WHERE d <= {worst} + 1e-9)"""
 
 
-def link_sql(questions: str, index: str) -> str:
-    return f"""{terms_sql(questions)}, {choices_sql(index)}, {similar_sql('term', 'choice', 0.23)},
+def link_sql(questions: str, index: str, stop: str = STOP) -> str:
+    return f"""{terms_sql(questions, stop)}, {choices_sql(index)}, {similar_sql('term', 'choice', 0.23)},
 best AS (SELECT a AS term, id, d, row_number() OVER (PARTITION BY a ORDER BY round(d, 9), ord, p, id) AS r FROM pair JOIN choice ON choice = b QUALIFY r <= 3),
 scored AS (SELECT * FROM (SELECT *, round(d - CASE WHEN contains(term, ' ') THEN 0.05 ELSE 0 END, 9) AS score FROM best) WHERE score <= 0.18),
 linked AS (SELECT question_id, id, arg_min(term, score * 1e12 + pos) AS term, min(score) AS score, min(pos * 10 + r) AS f FROM term JOIN scored USING (term) GROUP BY ALL),
@@ -156,6 +157,46 @@ def retrieve_question(s: SparkSession, d: str) -> DataFrame:
     return retrieved(s, d).select("question_id", "n_paths", F.size("pmids").cast("long").alias("n_pmids"), F.array_join("citations", ",").alias("citations"), "subgraph_nodes", "subgraph_edges", "context_text")
 
 
+# follow-up runs; words written out on their own. Fixed values.
+FOLLOW_UP_WORDS = (
+    "a", "an", "the", "is", "are", "was", "were", "be", "of", "to", "for", "in", "on", "at", "by", "with", "from", "and", "or", "but", "if", "then",
+    "than", "so", "as", "it", "this", "that", "these", "those", "what", "which", "who", "whom", "whose", "where", "when", "why", "how", "does", "do",
+    "did", "can", "could", "should", "would", "will", "have", "has", "had", "between", "about", "into", "through", "pharmacogenomic", "association",
+    "associations", "reference", "references", "cite", "citation", "clinical", "evidence", "guideline", "guidelines", "level", "interaction",
+    "interactions", "carry", "carries", "carrying", "patient", "class", "gene", "drug", "phenotype", "variant",
+)
+FOLLOWED = """SELECT 'F' || CAST(n_nationkey AS VARCHAR(20)) AS id, CASE n_nationkey % 3 WHEN 0 THEN 'NEG' WHEN 1 THEN 'EDGE' ELSE 'OOD' END AS pattern,
+  CASE WHEN n_nationkey = 24 THEN 'Could it be?' ELSE 'Tell me all about ' || lower(n_name) || ' and P' || CAST(90 + n_nationkey AS VARCHAR(20)) || ' between s' || CAST(1 + n_nationkey % 9 AS VARCHAR(20)) || ' patients' END AS question FROM {nation}"""
+FOLLOW_LINE = "'  - ' || al || ' --' || verb || CASE WHEN len(tags) > 0 THEN '[' || array_to_string(tags, ', ') || ']' ELSE '' END || '--> ' || bl"
+FOLLOW_SQL = f"""WITH {GRAPH_CTE}, f AS ({plain(FOLLOWED)}), {link_sql('SELECT id AS question_id, question FROM f', INDEXED, "', '".join(FOLLOW_UP_WORDS))},
+ent AS (SELECT question_id, rank, ranked.id, term, n.label, n.type FROM ranked JOIN n USING (id)),
+en AS (SELECT e.*, a.label AS al, b.label AS bl, {VERB.replace('CASE type', 'CASE e.type')} AS verb, list_filter(['L' || nullif(e.level, ''), CASE WHEN critical THEN 'CRITICAL' END], lambda t: t IS NOT NULL) AS tags FROM e JOIN n a ON a.id = source JOIN n b ON b.id = target),
+near AS (SELECT node, string_agg(line, chr(10) ORDER BY line) AS t FROM (SELECT d.id AS node, {FOLLOW_LINE} AS line FROM (SELECT DISTINCT id FROM ent) d JOIN en ON d.id IN (source, target) QUALIFY row_number() OVER (PARTITION BY d.id ORDER BY line) <= 60) GROUP BY node),
+told AS (SELECT question_id, string_agg(label, '|' ORDER BY rank) AS entities, string_agg('  • ' || label || ' (' || type || ') — matched "' || term || '"', chr(10) ORDER BY rank) AS el, string_agg('DIRECT NEIGHBOURHOOD OF ' || label || ':' || coalesce(chr(10) || t, '') || chr(10), chr(10) ORDER BY rank) AS nl FROM ent LEFT JOIN near ON node = id GROUP BY question_id),
+a3 AS (SELECT f.id AS question_id, pattern, coalesce(entities, '') AS entities, 'QUESTION: ' || question || chr(10) || chr(10) || coalesce('ENTITIES IDENTIFIED IN QUESTION:' || chr(10) || el || chr(10) || chr(10) || nl, 'ENTITY LINKING: no specific graph entities matched the question.') AS context FROM f LEFT JOIN told ON question_id = f.id)
+SELECT question_id, pattern, 'A3' AS arm, entities, context, CAST(length(context) AS INTEGER) AS context_chars FROM a3
+UNION ALL SELECT id, pattern, 'A0', '', '(No retrieved context provided. Answer from your own knowledge if confident; otherwise say so.)', NULL FROM f"""
+
+
+def followed(s: SparkSession, d: str) -> DataFrame:
+    return FU.contexts(bound(s, d, FOLLOWED), kg_index(s, d).withColumnRenamed("place", "ord"), *graph(s, d))
+
+
+@query("follow_up_contexts", FOLLOW_SQL)
+def follow_up_contexts(s: SparkSession, d: str) -> DataFrame:
+    return followed(s, d).select("question_id", "pattern", "arm", F.array_join("entities", "|").alias("entities"), "context", "context_chars")
+
+
+TURNED = "substr(md5('42|' || question_id || '|' || pair), 1, 1) IN ('0', '1', '2', '3', '4', '5', '6', '7')"
+
+
+@query("follow_up_pairs", f"""WITH a AS (SELECT question_id, pattern, arm, md5(context) AS answer FROM ({FOLLOW_SQL})), p AS (SELECT question_id, pattern, 'A3_vs_A0' AS pair, max(answer) FILTER (WHERE arm = 'A3') AS x, max(answer) FILTER (WHERE arm = 'A0') AS y FROM a GROUP BY ALL)
+SELECT question_id, pattern, pair, CASE WHEN {TURNED} THEN 'A0' ELSE 'A3' END AS shown_a_arm, CASE WHEN {TURNED} THEN 'A3' ELSE 'A0' END AS shown_b_arm, CASE WHEN {TURNED} THEN y ELSE x END AS answer_a, CASE WHEN {TURNED} THEN x ELSE y END AS answer_b FROM p""")
+def follow_up_pairs(s: SparkSession, d: str) -> DataFrame:
+    """The contexts' digests stand for answers; pairs with A1, which has none here, are left out."""
+    return FU.judging(bound(s, d, FOLLOWED), followed(s, d).select("question_id", "arm", F.md5("context").alias("answer")))
+
+
 CHAT = "'Graph context (the only facts you may use):' || chr(10) || '---' || chr(10) || context_text || chr(10) || '---' || chr(10) || chr(10) || 'User question: ' || question"
 
 
