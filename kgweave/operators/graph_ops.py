@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -137,6 +138,32 @@ def hidden_elements(nodes: DataFrame, edges: DataFrame, node_types: list[str] |
     return nodes.select("id").join(shown_nodes.select("id"), "id", "left_anti"), edges.select("id").join(shown_edges.select("id"), "id", "left_anti")
 
 
+@dataclass(frozen=True)
+class Filters:
+    """What a view shows: all types and levels, the ``most`` nodes of greatest degree, clusters as one node each.
+
+    most: from LEAST to MOST in steps of STEP; other numbers go to the nearest of these.
+    """
+
+    node_types: tuple[str, ...] | None = None
+    edge_types: tuple[str, ...] | None = None
+    levels: tuple[str, ...] | None = None
+    most: int = 80
+    collapse_variants: bool = True
+
+    LEAST, MOST, STEP = 20, 300, 10
+
+    def __post_init__(self) -> None:
+        held = min(max(self.most, self.LEAST), self.MOST)
+        object.__setattr__(self, "most", self.LEAST + (held - self.LEAST + self.STEP // 2) // self.STEP * self.STEP)
+
+    def apply(self, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+        if not self.collapse_variants:
+            nodes, edges = expand_graph(nodes, edges)
+        as_list = lambda x: None if x is None else list(x)
+        return apply_filters(nodes, edges, as_list(self.node_types), as_list(self.edge_types), as_list(self.levels), self.most)
+
+
 def top_nodes(edges: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """The ``most`` nodes of greatest degree (ties: smaller id) and the edges among them."""
     nodes = degrees(edges).orderBy(F.desc("degree"), "node").limit(most)

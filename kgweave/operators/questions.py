@@ -142,9 +142,12 @@ def negative(relations: DataFrame, n: int = STRATA["S6"]) -> DataFrame:
     return drawn(rows, "S6", n, ORDER, ask, "s6_negative_control", F.col("_key"), {"entities": F.array("drug", "gene"), "expected_negative": F.lit(True), "answer_summary": F.lit("No, PharmGKB lists this pair as not associated / ambiguous.")})
 
 
-def out_of_domain(spark: SparkSession, n: int = STRATA["S7"], ood: tuple[str, ...] = OOD_NAMES) -> DataFrame:
-    """S7: names that no guideline covers."""
-    rows = shuffled(spark.createDataFrame([(i, d) for i, d in enumerate(ood)], "ord long, drug string"), "S7", F.concat(F.lit("OOD|"), F.lower("drug")))
+def out_of_domain(spark: SparkSession, n: int = STRATA["S7"], ood: tuple[str, ...] = OOD_NAMES, known: DataFrame | None = None) -> DataFrame:
+    """S7: names that no guideline covers; those that turn out to be ``known`` (name, any case) are left out."""
+    names_ = spark.createDataFrame([(i, d) for i, d in enumerate(ood)], "ord long, drug string")
+    if known is not None:
+        names_ = names_.join(known.select(F.lower(F.trim("name")).alias("_known")), F.lower("drug") == F.col("_known"), "left_anti")
+    rows = shuffled(names_, "S7", F.concat(F.lit("OOD|"), F.lower("drug")))
     ask = F.concat(F.lit("What pharmacogenomic guidelines exist for "), "drug", F.lit(" in PharmGKB? Cite the specific gene-drug interactions if any."))
     summary = F.concat("drug", F.lit(" is not in PharmGKB's clinical guidelines; appropriate response is to indicate no pharmacogenomic guidelines exist."))
     return drawn(rows, "S7", n, ORDER, ask, "s7_ood_drug", F.col("_key"), {"entities": F.array("drug"), "should_refuse": F.lit(True), "answer_summary": summary})
@@ -170,12 +173,12 @@ def comparative(facts: DataFrame, classes: DataFrame, n: int = STRATA["S8"]) ->
     return drawn(rows, "S8", n, ("_h", "_key"), ask, "s8_comparative_same_class", F.col("_key"), gold)
 
 
-def question_set(held: DataFrame, every: DataFrame, relations: DataFrame, classes: DataFrame, counts: dict[str, int] | None = None) -> DataFrame:
-    """All strata: questions over held-out facts, with ``every`` fact for frequencies and comparisons."""
+def question_set(held: DataFrame, every: DataFrame, relations: DataFrame, classes: DataFrame, counts: dict[str, int] | None = None, known: DataFrame | None = None) -> DataFrame:
+    """All strata: questions over held-out facts, with ``every`` fact for frequencies and comparisons, and the names that are ``known``."""
     n = STRATA | (counts or {})
     parts = [
         wellknown(held, n["S1"]), evidence_level(held, n["S2"]), multihop(held, classes, n["S3"]), citation(held, pair_pmids(relations), n["S4"]), longtail(held, every, n["S5"]),
-        negative(relations, n["S6"]), out_of_domain(held.sparkSession, n["S7"]), comparative(every, classes, n["S8"]),
+        negative(relations, n["S6"]), out_of_domain(held.sparkSession, n["S7"], known=known), comparative(every, classes, n["S8"]),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -183,6 +183,13 @@ def g_hidden_elements(s: SparkSession, d: str) -> DataFrame:
     return nodes.select(F.lit("node").alias("kind"), "id").unionByName(edges.select(F.lit("edge").alias("kind"), "id"))
 
 
+@query("g_default_view", f"""WITH {GRAPH_CTE}, fe AS MATERIALIZED (SELECT * FROM e WHERE source IN (SELECT id FROM n) AND target IN (SELECT id FROM n)), deg AS (SELECT id, count(*) AS d FROM (SELECT source AS id FROM fe UNION ALL SELECT target FROM fe) GROUP BY id),
+tn AS MATERIALIZED (SELECT n.id FROM n LEFT JOIN deg USING (id) ORDER BY coalesce(d, 0) DESC, n.id LIMIT 80) SELECT 'node' AS kind, id FROM tn UNION ALL SELECT 'edge', id FROM fe WHERE source IN (SELECT id FROM tn) AND target IN (SELECT id FROM tn)""")
+def g_default_view(s: SparkSession, d: str) -> DataFrame:
+    nodes, edges = G.Filters().apply(*graph(s, d))
+    return nodes.select(F.lit("node").alias("kind"), "id").unionByName(edges.select(F.lit("edge").alias("kind"), "id"))
+
+
 def focus(s: SparkSession) -> DataFrame:
     return s.range(1, 6).select(F.col("id").alias("question_id"), F.concat(F.lit("gene_s"), F.col("id").cast("string")).alias("node"))
 
@@ -221,6 +228,18 @@ SELECT question_id, n_lines, n_second, coalesce(n_pmids, 0) AS n_pmids, 'Focus n
 FROM asked JOIN p1 USING (question_id) JOIN p2 USING (question_id) LEFT JOIN pp USING (question_id)"""
 
 
+TASK = "'Task: Explain this node in the context of the surrounding graph. Why does it matter for pharmacogenomic reasoning? What is the shortest path of clinical implication a researcher should notice?'"
+
+
+@query("explain_nodes", f"""SELECT question_id, 'Graph context (the only facts you may use):' || chr(10) || '---' || chr(10) || text || chr(10) || '---' || chr(10) || chr(10) || {TASK} AS prompt, '(LLM disabled)' || chr(10) || chr(10) || 'Local context for this node:' || chr(10) || chr(10) || text AS explanation,
+  '(LLM disabled)' || chr(10) || chr(10) || 'Retrieved graph context:' || chr(10) || chr(10) || substr(text, 1, 2000) AS answer FROM ({NODE_PACKET})""")
+def explain_nodes(s: SparkSession, d: str) -> DataFrame:
+    """What is sent to a model about each focus node, and what is answered without one."""
+    text = F.col("text")
+    packets = X.node_context(*graph(s, d), focus(s), 2, adjacency=adjacency(s, d))
+    return packets.select("question_id", X.explain_prompt(text, "node").alias("prompt"), X.explain_without_model(text, "node").alias("explanation"), X.answer_without_model(text).alias("answer"))
+
+
 @query("ctx_node_packet", NODE_PACKET)
 def ctx_node_packet(s: SparkSession, d: str) -> DataFrame:
     return X.node_context(*graph(s, d), focus(s), 2, adjacency=adjacency(s, d)).select("question_id", "n_lines", "n_second", F.size("pmids").cast("long").alias("n_pmids"), "text")

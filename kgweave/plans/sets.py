@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kgweave.operators import graph_build as B
 from kgweave.operators import questions as Q
 from kgweave.operators.evaluation import first_of_each, select_run
-from kgweave.plans.bindings import CLASSES, RAW_FACTS, RAW_RELATIONS, bound, plain
+from kgweave.plans.bindings import CLASSES, RAW_DRUGS, RAW_FACTS, RAW_RELATIONS, bound, plain
 from kgweave.plans.graph import built_from
 from kgweave.plans.registry import query
 from kgweave.plans.retrieval import HELD_KEYS
@@ -48,6 +48,10 @@ def relations(s: SparkSession, d: str) -> DataFrame:
     return bound(s, d, RAW_RELATIONS)
 
 
+def known(s: SparkSession, d: str) -> DataFrame:
+    return bound(s, d, RAW_DRUGS).select(F.col("label").alias("name"))
+
+
 def classes(s: SparkSession, d: str) -> DataFrame:
     return bound(s, d, CLASSES)
 
@@ -84,7 +88,7 @@ OOD = (
     "coenzyme Q10", "creatine", "alpha-lipoic acid", "lutein", "psyllium", "lactobacillus", "berberine", "ashwagandha", "rhodiola", "lysine", "DHEA",
     "selenium yeast", "spirulina", "chlorella", "bromelain",
 )
-S7 = drawn("S7", 15, f"SELECT d, 0 AS ord, 'OOD|' || lower(d) AS k FROM (VALUES {", ".join(f"($${d}$$)" for d in OOD)}) AS u(d)", "TRUE", "'What pharmacogenomic guidelines exist for ' || d || ' in PharmGKB? Cite the specific gene-drug interactions if any.'", "s7_ood_drug", key="k", entities="d", should_refuse="true", summary="d || ' is not in PharmGKB''s clinical guidelines; appropriate response is to indicate no pharmacogenomic guidelines exist.'")
+S7 = drawn("S7", 15, f"SELECT d, 0 AS ord, 'OOD|' || lower(d) AS k FROM (VALUES {", ".join(f"($${d}$$)" for d in OOD)}) AS u(d)", f"lower(d) NOT IN (SELECT lower(trim(label)) FROM ({plain(RAW_DRUGS)}))", "'What pharmacogenomic guidelines exist for ' || d || ' in PharmGKB? Cite the specific gene-drug interactions if any.'", "s7_ood_drug", key="k", entities="d", should_refuse="true", summary="d || ' is not in PharmGKB''s clinical guidelines; appropriate response is to indicate no pharmacogenomic guidelines exist.'")
 SIB = """SELECT gene, class, a.drug AS da, a.level AS la, b.drug AS db, b.level AS lb FROM (SELECT gene, class, max(d) FILTER (WHERE r = 1) AS a, max(d) FILTER (WHERE r = 2) AS b FROM (SELECT *, row_number() OVER (PARTITION BY gene, class ORDER BY at_, low) AS r FROM (
   SELECT g AS gene, class, lower(x) AS low, min(ord || lpad(CAST(i AS VARCHAR), 3, '0')) AS at_, arg_max({'drug': x, 'level': level}, ord || lpad(CAST(i AS VARCHAR), 3, '0')) AS d FROM (SELECT prep.*, ds[i] AS x, i FROM prep, unnest(range(1, len(ds) + 1)) AS u(i) WHERE level IN ('1A', '1B', '2A', '2B')) JOIN class_d ON member = lower(x) GROUP BY ALL)) GROUP BY gene, class) WHERE b IS NOT NULL"""
 S8 = drawn("S8", 12, f"SELECT *, 'CMP|' || gene || '|' || class || '|' || da || '|' || db AS k FROM ({SIB})", "TRUE", "'Between ' || da || ' and ' || db || ' (both in the ' || class || ' class), which has stronger PharmGKB evidence for an interaction with ' || gene || ', and at what evidence level?'", "s8_comparative_same_class", key="k", order="md5('7|S8|' || k), k", entities="da || '|' || db || '|' || class || '|' || gene", levels="da || '=' || la || '|' || db || '=' || lb", summary="da || '=' || la || ', ' || db || '=' || lb || '.'")
@@ -128,7 +132,7 @@ def gen_s6(s: SparkSession, d: str) -> DataFrame:
 
 @query("gen_s7_out_of_domain", with_cte(S7))
 def gen_s7(s: SparkSession, d: str) -> DataFrame:
-    return flat(Q.out_of_domain(s))
+    return flat(Q.out_of_domain(s, known=known(s, d)))
 
 
 @query("gen_s8_comparative", with_cte(S8))
@@ -137,7 +141,7 @@ def gen_s8(s: SparkSession, d: str) -> DataFrame:
 
 
 def question_set(s: SparkSession, d: str) -> DataFrame:
-    return Q.question_set(held(s, d), facts(s, d), relations(s, d), classes(s, d))
+    return Q.question_set(held(s, d), facts(s, d), relations(s, d), classes(s, d), known=known(s, d))
 
 
 @query("gen_questions", with_cte(ALL_SQL))
