@@ -14,13 +14,25 @@ WINDOW_S, MOST = 60, 20
 def limit_batch(hits: DataFrame, key: str, ts: str, seconds: int = WINDOW_S, most: int = MOST, order: str | None = None) -> DataFrame:
     """hits with n_window (hits of the key in the last ``seconds``, this one and rejected ones included) and rejected.
 
-    Hits of one key and instant count one after another, by ``order`` (without it, in any order).
+    Hits of one key and instant count one after another, by ``order`` (without it, in any order). A hit without a time is
+    in no window (n_window null) and not rejected.
+
+    Time is divided into spans of ``seconds``, and each span of a key is read with a copy of the times of the one before,
+    which is all that its windows reach back to: a client with very many hits is in as many tasks as it has spans.
     """
+    span = seconds * 1_000_000
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = Window.partitionBy(key).orderBy(micros).rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    same = Window.partitionBy(key, micros)
-    later = F.count("*").over(same) - F.row_number().over(same.orderBy(F.col(order) if order else F.col(ts)))
-    return hits.withColumn("n_window", F.count("*").over(w) - later).withColumn("rejected", F.col("n_window") > most)
+    row = F.struct(*[F.col(f"`{c}`") for c in hits.columns])
+    held = hits.select(row.alias("_row"), F.col(key).alias("_key"), micros.alias("_us"), (F.col(order) if order else F.lit(0)).alias("_order"))
+    at = F.floor(F.col("_us") / span)
+    spread = held.where("_us IS NOT NULL").select("_row", "_key", "_us", "_order", F.posexplode(F.array(at, at + 1)).alias("_copy", "_span"))
+    spread = spread.withColumn("_row", F.when(F.col("_copy") == 0, F.col("_row")))
+    spans = Window.partitionBy("_key", "_span")
+    before = F.count("*").over(spans.orderBy("_us").rangeBetween(Window.unboundedPreceding, -span))
+    counted = spread.withColumn("n_window", F.row_number().over(spans.orderBy("_us", "_order")) - before).where(F.col("_copy") == 0)
+    timeless = held.where("_us IS NULL").select("_row", F.lit(None).cast("long").alias("n_window"))
+    out = counted.select("_row", F.col("n_window").cast("long").alias("n_window")).union(timeless)
+    return out.select("_row.*", "n_window", F.coalesce(F.col("n_window") > most, F.lit(False)).alias("rejected"))
 
 
 def limit_stream(hits: DataFrame, key: str, ts: str, seconds: int = WINDOW_S, most: int = MOST, late: str = "10 minutes") -> DataFrame:
