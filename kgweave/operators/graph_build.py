@@ -288,6 +288,46 @@ def build_graph(facts: DataFrame, genes: DataFrame, drugs: DataFrame, phenotypes
     return nodes, found.select(edge_id.alias("id"), "source", "target", "type", "level", "role", "critical", F.col("n").alias("count"), "gene", "pmids")
 
 
+def touched(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """ord and node of all that a fact makes: its genes, drugs, phenotypes and clusters; and id of the edges between them."""
+    seen = cut(occurrences(facts), "touched")
+    gene, drug = slug(F.lit("gene"), F.col("gene")), F.when(F.col("chemical").isNotNull(), slug(F.lit("drug"), F.col("chemical")))
+    ids = F.concat(F.array(gene, slug(F.lit("vcluster"), gene), drug), F.transform("phens", lambda p: slug(F.lit("phen"), p)))
+    nodes = seen.select("ord", F.explode(F.array_compact(ids)).alias("node")).distinct()
+    each = seen.where("chemical IS NOT NULL").select(gene.alias("g"), drug.alias("d"), F.transform("phens", lambda p: slug(F.lit("phen"), p)).alias("ps"), edge_type(F.col("role"), F.col("level")).alias("kind"), F.lower("chemical").alias("member"))
+    key = lambda source, kind, target: F.md5(F.concat_ws("|", source, kind, target))
+    made = F.concat(
+        F.array(key(F.col("d"), F.col("kind"), F.col("g"))), F.transform("ps", lambda p: key(F.col("d"), F.lit("can_trigger"), p)), F.transform("ps", lambda p: key(F.col("g"), F.lit("associated_with"), p)),
+    )
+    return nodes, each.select("d", "member", F.explode(made).alias("id"))
+
+
+def reduced_graph(nodes: DataFrame, edges: DataFrame, facts: DataFrame, held: DataFrame, key_columns: list[str], genes: DataFrame, drugs: DataFrame, phenotypes: DataFrame, classes: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """nodes and edges of the graph without the held-out facts (row_key), made from those of the whole graph; and the facts read for it.
+
+    What a held-out fact touched is made again from the facts left that touch it too; everything else is as it was. All
+    facts that mention a node or pair of nodes are among these, so the result is that of a full build. Edges of a touched
+    cluster all count as touched, since another fact can come first for one of its members. facts: ``ord`` names a fact.
+    """
+    keyed = facts.withColumn("row_key", row_key(*[F.col(c).cast("string") for c in key_columns]))
+    gone = keyed.join(held.select("row_key"), "row_key", "left_semi").drop("row_key")
+    left = cut(keyed.join(held.select("row_key"), "row_key", "left_anti").drop("row_key"), "left")
+    gone_nodes, gone_edges = touched(gone)
+    changed = cut(gone_nodes.select(F.col("node").alias("id")).distinct(), "changed")
+    to_class = gone_edges.select("d", "member").distinct().join(classes.select(F.lower("member").alias("member"), "class"), "member").select(F.md5(F.concat_ws("|", "d", F.lit("belongs_to_class"), slug(F.lit("class"), F.col("class")))).alias("id"))
+    clusters_ = changed.where(F.startswith("id", F.lit("vcluster_"))).select(F.col("id").alias("end"))
+    of_clusters = lambda e: e.select("id", F.explode(F.array("source", "target")).alias("end")).join(clusters_, "end", "left_semi").select("id")
+    keys = gone_edges.select("id").union(to_class)
+    again = left.join(touched(left)[0].join(changed.withColumnRenamed("id", "node"), "node", "left_semi").select("ord").distinct(), "ord", "left_semi")
+    again = cut(again.select(*facts.columns), "again")
+    new_nodes, new_edges = build_graph(again, genes, drugs, phenotypes, classes, relations)
+    new_edges = cut(new_edges, "edges")
+    # of either build the edges that are made anew
+    anew = cut(keys.union(of_clusters(edges)).union(of_clusters(new_edges)).distinct(), "anew")
+    out_nodes = nodes.join(changed, "id", "left_anti").unionByName(new_nodes.join(changed, "id", "left_semi"))
+    return out_nodes, edges.join(anew, "id", "left_anti").unionByName(new_edges.join(anew, "id", "left_semi")), again
+
+
 def entity_pairs(relations: DataFrame, nodes: DataFrame) -> DataFrame:
     """relations between two different nodes: entity1, entity2 (ids), association, pmids. Entities of other types, and
     those that are no node, are dropped."""

@@ -9,7 +9,7 @@ from kgweave.operators import graph_build as B
 from kgweave.operators import questions as Q
 from kgweave.operators.evaluation import first_of_each, select_run
 from kgweave.plans.bindings import CLASSES, RAW_DRUGS, RAW_FACTS, RAW_RELATIONS, bound, plain
-from kgweave.plans.graph import built_from
+from kgweave.plans.graph import GRAPH_CTE, built_from, drugs, flat_members, genes, graph, phenotypes
 from kgweave.plans.registry import query
 from kgweave.plans.retrieval import HELD_KEYS
 from kgweave.sources.files import corpus_pmids as distinct_pmids
@@ -186,3 +186,31 @@ PROMPTS = "SELECT 'F' || CAST(item_id AS VARCHAR(9)) AS id, CASE item_id % 3 WHE
 def follow_up_runs(s: SparkSession, d: str) -> DataFrame:
     runs, pairs = Q.follow_ups(bound(s, d, PROMPTS))
     return runs.select(F.lit("answer").alias("task"), "question_id", "pattern", F.col("arm").alias("who")).unionByName(pairs.select(F.lit("judge").alias("task"), "question_id", "pattern", F.col("pair").alias("who")))
+
+
+_REDUCED: dict[tuple[str, str, str], tuple[DataFrame, DataFrame]] = {}
+
+
+def reduced(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The graph without the held-out facts, made from the whole one."""
+    key = built_from(s, d)
+    if key not in _REDUCED:
+        f = facts(s, d)
+        held_keys = cut(B.holdout(f, HELD_KEYS), "holdout")
+        nodes, edges, _ = B.reduced_graph(*graph(s, d), f, held_keys, HELD_KEYS, genes(s, d), drugs(s, d), phenotypes(s, d), classes(s, d), relations(s, d))
+        _REDUCED[key] = cut(nodes, "nodes"), cut(edges, "edges")
+    return _REDUCED[key]
+
+
+LEFT = f"SELECT * FROM ({plain(RAW_FACTS)}) WHERE {KEY} NOT IN (SELECT key FROM (SELECT DISTINCT {KEY} AS key FROM ({plain(RAW_FACTS)}) WHERE level IN ('1A', '1B', '2A', '2B')) QUALIFY row_number() OVER (ORDER BY md5('42|' || key), key) <= round_even((SELECT count(DISTINCT {KEY}) FROM ({plain(RAW_FACTS)}) WHERE level IN ('1A', '1B', '2A', '2B')) * 0.30, 0))"
+REDUCED_CTE = GRAPH_CTE.replace(f"raw_f AS ({plain(RAW_FACTS)})", f"raw_f AS ({LEFT})")
+
+
+@query("kg_reduced_nodes", f"WITH {REDUCED_CTE} SELECT * FROM n")
+def kg_reduced_nodes(s: SparkSession, d: str) -> DataFrame:
+    return flat_members(reduced(s, d)[0])
+
+
+@query("kg_reduced_edges", f"WITH {REDUCED_CTE} SELECT * EXCLUDE (pmids), array_to_string(pmids, ';') AS pmids FROM e")
+def kg_reduced_edges(s: SparkSession, d: str) -> DataFrame:
+    return reduced(s, d)[1].withColumn("pmids", F.array_join("pmids", ";"))
