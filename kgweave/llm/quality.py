@@ -25,10 +25,10 @@ from kgweave.llm.base import cut, drop_cut, lean, new_folder, others, quoted, re
 ORDER = 6
 #: Rows of one model shard, of which a worker holds one. n-grams of up to WIDE bytes are in every shard: some 100,000.
 SHARD_ROWS, WIDE = 1_500_000, 3
-#: Positions of one numpy pass.
-SEGMENT = 1 << 20
+#: Positions of one numpy pass, which takes some 80 bytes for each; counts that a task holds before it adds them up.
+SEGMENT, HELD = 1 << 18, 4 << 20
 #: Bytes of text of one task scored against one shard before the next is loaded.
-CHUNK = 32 << 20
+CHUNK = 16 << 20
 #: A document's cross entropy is shrunk towards its language's median as if it had so many more bytes.
 PRIOR = 200
 #: Share of a language's trusted text, scored by a model that did not train on it, that the limit keeps; and parts for that.
@@ -88,7 +88,7 @@ def count_grams(df: DataFrame, text: str, order: int) -> DataFrame:
             for lo in range(order - 1, len(x), SEGMENT):
                 hi = min(lo + SEGMENT, len(x))
                 held.append(np.unique(keys(x, lo, hi, order)[pads(ends, lo, hi, lengths, order - 1)], return_counts=True))
-                if sum(len(h[0]) for h in held) > 4 * SEGMENT:
+                if sum(len(h[0]) for h in held) > HELD:
                     held[:] = [merged()]
         if held:
             k, n = merged()
