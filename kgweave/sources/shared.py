@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,13 +33,17 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Where the tables that cut() returned are, as long as something refers to them.
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: lineage ends at files that survive lost executors."""
     spark = df.sparkSession
     path = new_folder(spark, name) + "/t"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._cut_path = path
+    _WRITTEN[out] = path
     return out
 
 
@@ -52,10 +57,9 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def drop_cut(*tables: DataFrame) -> None:
-    """Delete tables written by cut() that nothing reads any more."""
+    """Delete tables written by cut() that nothing reads any more; they are named as cut() returned them (KeyError otherwise)."""
     for df in tables:
-        jvm = df.sparkSession.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(df._cut_path)
+        at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop(df))
         at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
