@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -106,3 +107,15 @@ def test_link_fuzzy_against_all_pairs(spark):
     first = {i: n for n, i in enumerate(best)}
     want = sorted(best, key=lambda i: (best[i][0], first[i]))[:7]
     assert got == {(str(i), best[i][0], best[i][1], n + 1) for n, i in enumerate(want)}
+
+
+
+def test_sign_test_of_many_decisions(spark):
+    """Against logarithms of gamma; a term for each decision, or one for each pair, would not end."""
+    C.register(spark)
+    for wins, losses in ((200_000, 201_000), (120, 150), (300, 290), (0, 5), (3_000_000, 1)):
+        n, k = wins + losses, min(wins, losses)
+        first = max(0, k - 20_000)  # terms below are nothing
+        want = min(1.0, 2 * sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2)) for i in range(first, k + 1)))
+        got = spark.range(1).select(F.expr(f"sign_test_p({wins}, {losses})").alias("a"), C.sign_test(F.lit(wins).cast("long"), F.lit(losses).cast("long")).alias("b")).first()
+        assert abs(got["a"] - want) < 1e-8 and abs(got["b"] - want) < 1e-8
