@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import pytest
 from hypothesis import given
@@ -119,3 +120,13 @@ def test_sign_test_of_many_decisions(spark):
         want = min(1.0, 2 * sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2)) for i in range(first, k + 1)))
         got = spark.range(1).select(F.expr(f"sign_test_p({wins}, {losses})").alias("a"), C.sign_test(F.lit(wins).cast("long"), F.lit(losses).cast("long")).alias("b")).first()
         assert abs(got["a"] - want) < 1e-8 and abs(got["b"] - want) < 1e-8
+
+
+def test_slug_of_plain_and_odd_names(spark):
+    """The short way for plain names gives what replacing gives, at the edges of what is plain."""
+    names = ["P1", "", "_", "__a", "a__", "_a_b_", "a\n", "a b", "\n", "Brand#11", "ä", "A-b:c.d", "-", "a_\n", None, " x ", "a\r\n_"]
+    plain = lambda x: re.sub("[^A-Za-z0-9_:.-]+", "_", x).strip("_").lower()
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", C.slug(F.col("n")).alias("s"), C.slug(F.lit("gene"), F.col("n")).alias("g")).collect()
+    for r in rows:
+        n = r["n"] or ""
+        assert r["s"] == plain(n) and r["g"] == plain("gene_" + n if n else "gene")
