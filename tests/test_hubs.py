@@ -81,3 +81,23 @@ def test_numbering(spark):
     assert [(r.t, r.label) for r in sorted(got, key=lambda r: r.place)] == sorted(rows)
     assert sorted(r.place for r in got) == list(range(1, 3001))
     assert B.numbered(spark.createDataFrame([], "t string, label string"), ["t"]).count() == 0
+
+
+def test_second_hop_once_for_many_focus_nodes(spark):
+    """Edges between surroundings stand once for all focus nodes of a mask, and the packets are those of each node alone."""
+    n = 70  # two masks
+    nodes = spark.createDataFrame([(f"g{i:03d}", f"G{i:03d}", "gene") for i in range(n)] + [(f"d{i}", f"D{i}", "drug") for i in range(5)], "id string, label string, type string")
+    nodes = nodes.select("*", *[F.lit(None).cast("string").alias(c) for c in ("fullName", "chromosome", "atc")], F.lit(None).cast("array<struct<rsid:string>>").alias("members"))
+    pairs = [(f"d{j}", f"g{i:03d}") for i in range(n) for j in range(5) if (i + j) % 3]
+    edges = spark.createDataFrame([(f"e{k}", a, b, "affects_response_to", None, None, None, None, [str(k % 9)]) for k, (a, b) in enumerate(pairs)], "id string, source string, target string, type string, level string, role string, critical boolean, count long, pmids array<string>")
+    focus = spark.createDataFrame([(i, f"g{i:03d}") for i in range(n)], "question_id long, node string")
+    far = X.second_hop(nodes, edges, G.neighbourhood(edges, focus.select(F.col("node").alias("question_id"), "node"), 2).select(F.col("question_id").alias("seed"), "node"), X._numbered(focus.select("node")))
+    assert far.count() <= 2 * len(pairs)
+    whole = {r["node"]: r for r in X.node_context(nodes, edges, focus, 2, most=7).collect()}
+    counted = {r["node"]: r for r in X.node_context(nodes, edges, focus, 2, most=7, cite="count").collect()}
+    for node, r in whole.items():
+        mine = {d for d, g in pairs if g == node}
+        near = {g for d, g in pairs if d in mine} | mine
+        want = sorted(f"  - {d.upper()} affects response to {g.upper()}" for d, g in pairs if d in near and g in near and g != node)
+        assert r["n_second"] == len(want) and r["text"].endswith("Second-hop context:\n" + "\n".join(want[:7]))
+        assert counted[node]["n_pmids"] == len(r["pmids"]) and counted[node]["text"] == r["text"]
