@@ -48,3 +48,9 @@ def test_edges_do_not_depend_on_relations_of_other_names(spark):
     facts = spark.createDataFrame([("rs1", "G1", "Efficacy", "3", "d", "", 1)], "variant string, gene string, type string, level string, chemicals string, phenotypes string, ord int")
     edges = B.build_edges(*B.read_facts(facts), B.class_table(spark), relations).collect()
     assert sorted((e.source, e.target, e.pmids) for e in edges) == [("drug_d", "gene_g1", None), ("gene_g1", "vcluster_gene_g1", None)]
+
+
+def test_members_take_the_place_of_clusters_without_a_shuffle_of_edges(small_graph, plain_joins):
+    nodes, edges = G.expand_graph(*small_graph)
+    assert shuffled_joins(nodes) == shuffled_joins(edges) == 0
+    assert nodes.where("type = 'variant_cluster'").first().id == "c__rs1" and edges.count() == 41
