@@ -54,3 +54,11 @@ def test_members_take_the_place_of_clusters_without_a_shuffle_of_edges(small_gra
     nodes, edges = G.expand_graph(*small_graph)
     assert shuffled_joins(nodes) == shuffled_joins(edges) == 0
     assert nodes.where("type = 'variant_cluster'").first().id == "c__rs1" and edges.count() == 41
+
+
+def test_whole_edges_meet_only_the_nodes_that_are_left(small_graph, plain_joins):
+    nodes, edges = G.apply_filters(*small_graph, most=3)
+    assert shuffled_joins(edges) == 0
+    assert sorted(r.id for r in nodes.collect()) == ["c", "d00", "g"] and sorted(r.id for r in edges.collect()) == ["e", "e00"]
+    for ids, n in zip(G.hidden_elements(*small_graph, most=3), (39, 39), strict=True):
+        assert shuffled_joins(ids) == 0 and ids.count() == n
