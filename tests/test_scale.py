@@ -62,3 +62,13 @@ def test_whole_edges_meet_only_the_nodes_that_are_left(small_graph, plain_joins)
     assert sorted(r.id for r in nodes.collect()) == ["c", "d00", "g"] and sorted(r.id for r in edges.collect()) == ["e", "e00"]
     for ids, n in zip(G.hidden_elements(*small_graph, most=3), (39, 39), strict=True):
         assert shuffled_joins(ids) == 0 and ids.count() == n
+
+
+def test_seed_view_is_not_shuffled(spark, small_graph, plain_joins):
+    nodes, edges = small_graph
+    drugs = nodes.withColumn("id", F.regexp_replace("id", "^d", "drug_d"))
+    ends = edges.withColumn("source", F.regexp_replace("source", "^d", "drug_d"))
+    classes = spark.createDataFrame([("A", "d01"), ("B", "d02")], "class string, member string")
+    kept, inner = B.seed_graph(drugs, ends, classes, ("A",))
+    assert shuffled_joins(kept) == shuffled_joins(inner) == 0
+    assert sorted(r.id for r in kept.collect()) == ["c", "drug_d01", "g"] and sorted(r.id for r in inner.collect()) == ["e", "e01"]
