@@ -72,3 +72,12 @@ def test_seed_view_is_not_shuffled(spark, small_graph, plain_joins):
     kept, inner = B.seed_graph(drugs, ends, classes, ("A",))
     assert shuffled_joins(kept) == shuffled_joins(inner) == 0
     assert sorted(r.id for r in kept.collect()) == ["c", "drug_d01", "g"] and sorted(r.id for r in inner.collect()) == ["e", "e01"]
+
+
+def test_held_facts(spark):
+    rows = spark.createDataFrame([(str(i % 500), "1A" if i % 2 else "4") for i in range(1000)], "variant string, level string")
+    held = B.holdout(rows, ["variant", "level"])
+    found = sorted(B.held_facts(rows, held, ["variant", "level"]).collect())
+    keys = {r.row_key for r in held.collect()}
+    assert len(keys) == 75 and found == sorted(r for r in rows.collect() if f"{r.variant}|{r.level}" in keys)
+    assert B.held_facts(rows, held.limit(0), ["variant", "level"]).count() == 0
