@@ -74,6 +74,22 @@ def test_seed_view_is_not_shuffled(spark, small_graph, plain_joins):
     assert sorted(r.id for r in kept.collect()) == ["c", "drug_d01", "g"] and sorted(r.id for r in inner.collect()) == ["e", "e01"]
 
 
+def test_first_lines_of_a_view(small_graph):
+    nodes, edges = small_graph
+    near = X.edges_of_first_lines(nodes, edges, 5)
+    assert sorted(r.source for r in near.collect()) == ["d00", "d01", "d02", "d03", "d04"]
+    assert X.edges_of_first_lines(nodes.where("id <> 'g'"), edges, 5).count() == 41
+    assert X.visible_context(nodes, edges, most=5).first().text == X.visible_context(nodes, near, most=5).first().text
+
+
+@pytest.mark.parametrize("prefix", ["D", "D!", "D0"])
+def test_a_label_that_another_begins_with(spark, prefix):
+    nodes = spark.createDataFrame([("a", "D", "drug"), ("b", prefix, "drug"), ("g", "G", "gene")], "id string, label string, type string")
+    edges = spark.createDataFrame([("1", "a", "g", "zz", "", False, None), ("2", "b", "g", "aa", "", False, None), ("3", "b", "g", "zzz", "", False, None)], EDGES)
+    lines = lambda e, most: [r for r in X.visible_context(nodes, e, most=most).first().text.split("\n") if "--" in r or " G" in r]
+    assert lines(edges, 1)[-1] == sorted(lines(edges, None)[-3:])[0]
+
+
 def test_held_facts(spark):
     rows = spark.createDataFrame([(str(i % 500), "1A" if i % 2 else "4") for i in range(1000)], "variant string, level string")
     held = B.holdout(rows, ["variant", "level"])
