@@ -12,6 +12,16 @@ from kgweave.plans import QUERIES, graph, sets
 DATA = "/root/testdata/sf0.001"
 
 
+def test_few_edges_are_found_without_a_shuffle_of_all(spark, monkeypatch):
+    nodes = spark.createDataFrame([("a", "A", "gene"), ("b", "B", "drug")], "id string, label string, type string")
+    edges = spark.createDataFrame([("1", "b", "a", "t", "3", None, None, None, None), ("2", "b", "b", "t", None, None, None, None, None)], "id string, source string, target string, type string, level string, role string, critical boolean, gene string, pmids array<string>")
+    plans = []
+    monkeypatch.setattr(X, "cut", lambda df, name: (plans.append((name, "\n".join(optimized(df)))), df)[1])
+    focus = edges.groupBy("type").agg(F.min("id").alias("edge_id")).select(F.lit(1).cast("long").alias("question_id"), "edge_id")
+    assert X.edge_context(nodes, edges, focus).first().n_lines == 1
+    assert any("edge_id" in line and "strategy=broadcast" in line for name, plan in plans if name == "focus" for line in plan.split("\n"))
+
+
 def test_the_reduced_graph_needs_no_whole_one(spark, monkeypatch):
     def build(*_):
         raise AssertionError("the whole graph was built")
