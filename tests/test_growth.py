@@ -12,6 +12,18 @@ from kgweave.plans import QUERIES, graph, sets
 DATA = "/root/testdata/sf0.001"
 
 
+def test_one_step_from_few_seeds_needs_no_adjacency(spark, monkeypatch):
+    edges = spark.createDataFrame([("1", "a", "b"), ("2", "c", "a"), ("3", "b", "c"), ("4", "a", "a"), ("5", "c", "d")], "id string, source string, target string")
+    seeds = spark.createDataFrame([(1, "a"), (2, "d"), (2, "c"), (3, "none")], "question_id long, node string")
+    want = sorted(map(tuple, G.neighbourhood(edges, seeds, 1, G.Adjacency(edges)).select("question_id", "node", "hop").collect()))
+
+    def build(*_):
+        raise AssertionError("an adjacency was built")
+
+    monkeypatch.setattr(G, "Adjacency", build)
+    assert sorted(map(tuple, G.neighbourhood(edges, seeds, 1).select("question_id", "node", "hop").collect())) == want
+
+
 def test_few_edges_are_found_without_a_shuffle_of_all(spark, monkeypatch):
     nodes = spark.createDataFrame([("a", "A", "gene"), ("b", "B", "drug")], "id string, label string, type string")
     edges = spark.createDataFrame([("1", "b", "a", "t", "3", None, None, None, None), ("2", "b", "b", "t", None, None, None, None, None)], "id string, source string, target string, type string, level string, role string, critical boolean, gene string, pmids array<string>")
