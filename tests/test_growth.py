@@ -12,6 +12,24 @@ from kgweave.plans import QUERIES, graph, sets
 DATA = "/root/testdata/sf0.001"
 
 
+def test_edges_of_other_nodes_are_not_merged(spark):
+    plan = optimized(QUERIES["ctx_node"](spark, DATA))
+    steps = "".join(k for line in plan for k, word in (("m", "Aggregate [_h"), ("s", "Join LeftSemi"), ("o", "Join Inner, (l_orderkey")) if word in line)
+    assert steps and steps.replace("mmso", "").replace("mso", "") == ""  # rows are left out above the joins and below the merges
+
+
+def test_merged_around_is_merged_and_filtered(spark):
+    rng = random.Random(5)
+    rows = [(f"d{rng.randrange(9)}", f"g{rng.randrange(9)}", "t", rng.choice(("1A", "3", "")), rng.choice("xyz"), rng.random() < 0.3, 1, f"{i:04}") for i in range(400)]
+    e = spark.createDataFrame(rows, "source string, target string, type string, level string, role string, critical boolean, n long, ord string")
+    nodes = spark.createDataFrame([(1, "g1"), (2, "d3"), (3, "g1"), (4, "none")], "question_id long, node string")
+    keys = ["source", "target", "type"]
+    merged = B.merge_edges(e, keys)
+    want = merged.join(nodes, merged.source == nodes.node).union(merged.join(nodes, merged.target == nodes.node))
+    got = B.merged_around(e, nodes, keys).select(want.columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
 def test_one_step_from_few_seeds_needs_no_adjacency(spark, monkeypatch):
     edges = spark.createDataFrame([("1", "a", "b"), ("2", "c", "a"), ("3", "b", "c"), ("4", "a", "a"), ("5", "c", "d")], "id string, source string, target string")
     seeds = spark.createDataFrame([(1, "a"), (2, "d"), (2, "c"), (3, "none")], "question_id long, node string")
