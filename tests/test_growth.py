@@ -30,6 +30,14 @@ def test_merged_around_is_merged_and_filtered(spark):
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
 
 
+def test_edges_on_no_path_are_not_merged(spark):
+    edges = spark.createDataFrame([("a", "b", True, "3"), ("b", "c", False, "3"), ("x", "y", True, "1A")], "source string, target string, critical boolean, level string")
+    paths = spark.createDataFrame([("a", "b", 1, "a>b"), ("c", "b", 1, "c>b")], "from_id string, to_id string, hops int, path string")
+    found = G.critical_paths(paths, edges)
+    assert [(r.from_id, r.critical) for r in found.collect()] == [("a", True), ("c", False)]
+    assert any("LeftSemi" in line for line in optimized(found))
+
+
 def test_one_step_from_few_seeds_needs_no_adjacency(spark, monkeypatch):
     edges = spark.createDataFrame([("1", "a", "b"), ("2", "c", "a"), ("3", "b", "c"), ("4", "a", "a"), ("5", "c", "d")], "id string, source string, target string")
     seeds = spark.createDataFrame([(1, "a"), (2, "d"), (2, "c"), (3, "none")], "question_id long, node string")
