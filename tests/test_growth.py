@@ -12,6 +12,10 @@ from kgweave.plans import QUERIES, graph, sets
 DATA = "/root/testdata/sf0.001"
 
 
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().split("\n")
+
+
 def test_edges_of_other_nodes_are_not_merged(spark):
     plan = optimized(QUERIES["ctx_node"](spark, DATA))
     steps = "".join(k for line in plan for k, word in (("m", "Aggregate [_h"), ("s", "Join LeftSemi"), ("o", "Join Inner, (l_orderkey")) if word in line)
